@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import mixing
+from . import decontamination, mixing, quality
 from .common import table
 
 
@@ -19,7 +19,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("k") * F.col("size")).alias("taken"))
 
 
-ALL = (op1_mixing,)
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+ALL = (op1_mixing, op8_decontamination, op9_quality)
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
