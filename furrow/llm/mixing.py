@@ -20,12 +20,14 @@ from .common import cut
 #: Units in a block of the flight phase.
 BLOCK = 1024
 MOST_REPEATS = 3
+#: Sources up to which the table with one row for each is broadcast.
+FEW_SOURCES = 50_000
 WORDS = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
 
 
 def targets(sources: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
-    """(src, source_size) to (src, source_size, target, rank).
+    """(src, source_size, n) to (src, source_size, n, rank, target).
 
     Weights are 1, 2, 3, 1, ... by code point, null last. A target stops at most times its
     source's size and the excess is shared again by weight: target = min(most * size, level *
@@ -50,7 +52,7 @@ def targets(sources: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
     stops = level * F.col("w") > most * F.col("source_size")
     found = limits.withColumn("level", F.min(F.when(~stops, F.struct((F.col("source_size") / F.col("w")).alias("r"), F.col("rank"), level.alias("v")))).over(all_rows)["v"])
     cap = (most * F.col("source_size")).cast("double")
-    return found.select("src", "source_size", "rank", F.coalesce(F.least(cap, F.col("level") * F.col("w")), cap).alias("target"))
+    return found.select("src", "source_size", "n", "rank", F.coalesce(F.least(cap, F.col("level") * F.col("w")), cap).alias("target"))
 
 
 def flight(p: np.ndarray, count: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np.ndarray:
@@ -158,21 +160,22 @@ def mix(docs: DataFrame, most: int = MOST_REPEATS, block: int = BLOCK, seed: int
     by hash and id. An empty table gives an empty result. k never exceeds most.
     """
     counted = cut(units(docs))
-    per_source = cut(targets(counted.groupBy("src").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n"))
-                             .select("src", "source_size"), most))
+    per_source = cut(targets(counted.groupBy("src").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n")), most))
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    joined = counted.withColumnRenamed("src", "own").join(per_source, F.col("own").eqNullSafe(F.col("src"))).drop("own")
+    extent = per_source.agg(F.count(F.lit(1)).alias("sources"), F.max("n").alias("units")).first()
+    small = F.broadcast if extent["sources"] <= FEW_SOURCES else (lambda df: df)
+    joined = counted.withColumnRenamed("src", "own").join(small(per_source), F.col("own").eqNullSafe(F.col("src"))).drop("own")
     base = F.least(F.floor(F.col("ratio") + EPS), F.lit(most)).cast("long")
     start = joined.withColumn("ratio", ratio).select(
         F.col("rank").cast("long").alias("rank"), "doc_id", "size", "h", "m", F.greatest(F.col("ratio") - base, F.lit(0.0)).alias("p"), base.alias("base"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("round")
     )
     parts, number = [], 0
     now = start
-    largest = (counted.groupBy("src").count().agg(F.max("count")).first()[0]) or 0
+    largest = extent["units"] or 0
     while largest > block:
         # a source's blocks: enough of them for its units, dealt by hash
         n = now.groupBy(F.col("rank").alias("r")).count().select("r", F.ceil(F.col("count") / block).alias("blocks"))
-        dealt = now.join(n, F.col("rank") == F.col("r")).withColumn("block", F.pmod(F.xxhash64("h", "doc_id", F.lit(seed + number)), F.col("blocks"))).withColumn("round", F.lit(number).cast("long"))
+        dealt = now.join(small(n), F.col("rank") == F.col("r")).withColumn("block", F.pmod(F.xxhash64("h", "doc_id", F.lit(seed + number)), F.col("blocks"))).withColumn("round", F.lit(number).cast("long"))
         flown = cut(dealt.select(*now.columns).groupBy("rank", "block").applyInArrow(_fly(False, seed), UNIT))
         fractional = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
         parts.append(flown.filter(~fractional))
@@ -185,7 +188,7 @@ def mix(docs: DataFrame, most: int = MOST_REPEATS, block: int = BLOCK, seed: int
     for part in parts[1:]:
         done = done.unionByName(part)
     decided = done.select(F.col("rank").alias("r"), "doc_id", "size", "h", "m", (F.col("base") + F.round("p").cast("long")).alias("k"))
-    out = decided.join(per_source, F.col("r") == F.col("rank"))
+    out = decided.join(small(per_source), F.col("r") == F.col("rank"))
     return out.select("src", "doc_id", "size", "h", "m", "source_size", "target", F.least(F.col("k"), F.lit(most)).alias("k"))
 
 
