@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontamination, mixing, personal, quality, toxicity
+from . import decontamination, jaccard, mixing, personal, quality, toxicity
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -38,7 +42,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
-ALL = (op1_mixing, op3_toxicity, op4_personal, op8_decontamination, op9_quality)
+ALL = (op1_mixing, op3_toxicity, op4_personal, op5_jaccard, op8_decontamination, op9_quality)
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
