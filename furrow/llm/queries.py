@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontamination, jaccard, mixing, personal, quality, toxicity, warc
+from . import decontamination, jaccard, media, mixing, personal, quality, toxicity, warc
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(table(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_and_read(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("url")
 
@@ -46,7 +50,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
-ALL = (op1_mixing, op3_toxicity, op4_personal, op5_jaccard, op7_warc, op8_decontamination, op9_quality)
+ALL = (op1_mixing, op3_toxicity, op4_personal, op5_jaccard, op6_media, op7_warc, op8_decontamination, op9_quality)
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
