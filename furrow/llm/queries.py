@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontamination, jaccard, media, mixing, personal, quality, toxicity, warc
+from . import decontamination, jaccard, media, mixing, personal, quality, substrings, toxicity, warc
 from .common import table
 
 
@@ -50,7 +50,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
-ALL = (op1_mixing, op3_toxicity, op4_personal, op5_jaccard, op6_media, op7_warc, op8_decontamination, op9_quality)
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
+ALL = (op1_mixing, op3_toxicity, op4_personal, op5_jaccard, op6_media, op7_warc, op8_decontamination, op9_quality, op10_substrings)
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
