@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontamination, jaccard, media, mixing, personal, quality, substrings, toxicity, warc
+from . import decontamination, jaccard, media, mixing, personal, quality, quotation, substrings, toxicity, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("k") * F.col("size")).alias("taken"))
 
 
+def op2_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
-ALL = (op1_mixing, op3_toxicity, op4_personal, op5_jaccard, op6_media, op7_warc, op8_decontamination, op9_quality, op10_substrings)
+ALL = (op1_mixing, op2_quotation, op3_toxicity, op4_personal, op5_jaccard, op6_media, op7_warc, op8_decontamination, op9_quality, op10_substrings)
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -71,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quotation": quotation.SQL}
