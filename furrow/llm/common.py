@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
@@ -55,3 +56,18 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         end = min(n, max(end, first + 1))
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+
+
+#: Slots of the table that narrowed() broadcasts, a row of eight bytes for each.
+SLOTS = 1 << 20
+
+
+def narrowed(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be among those wanted: all that are, and a few that are not.
+
+    Keys, which are hashes, fall into SLOTS slots and the slots in use are broadcast: at most
+    SLOTS rows whatever is wanted. It spares the join after it the shuffle of other rows; the
+    more is wanted of a larger table the less it spares.
+    """
+    slots = wanted.select(F.pmod(F.col(key), F.lit(SLOTS)).alias("__slot")).distinct()
+    return rows.withColumn("__slot", F.pmod(F.col(key), F.lit(SLOTS))).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut, text_slices
+from .common import cut, narrowed, text_slices
 from .components import components, roots
 
 SHINGLE = 5
@@ -272,8 +272,9 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = _blocked(members, "bucket", BUCKET_BLOCK).select("bucket", "low", "high", "own", "band", "node", "bands").mapInArrow(_candidates(least_matches()), "u long, v long").distinct()
     groups = cut(components(edges))
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    wanted = groups.join(sizes, "component").join(classes.select("node", "rep_id", "rep_hash", "copies"), "node")
+    wanted = cut(groups.join(sizes, "component").join(classes.select("node", "rep_id", "rep_hash", "copies"), "node"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), text_hash().alias("text_hash"))
+    own = narrowed(own, wanted.select(F.col("rep_hash").alias("text_hash")), "text_hash")
     texts = own.join(wanted, (own["text_hash"] == wanted["rep_hash"]) & own["doc_id"].eqNullSafe(wanted["rep_id"])).select("text", "node", "component", "size", "copies")
     sets = texts.mapInArrow(_shingle_sets, "node long, component long, size long, copies long, shingles binary")
     links = cut(_blocked(sets, "component", GROUP_BLOCK).mapInArrow(_verify, "u long, links long, v long"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut, text_slices
+from .common import cut, narrowed, text_slices
 
 WINDOW, GRAM = 50, 12
 #: 12-grams in a window.
@@ -150,17 +150,19 @@ def _spans(lists: list[list[tuple[int, int]]]) -> pa.Array:
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep, removed, open_ = [], [], []
-        rid, did, n = (batch.column(i).to_pylist() for i in range(3))
+        keep, whole, removed, open_ = [], [], [], []
+        did, n = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         places, firsts, hits = (batch.column(i) for i in range(3, 6))
         for i in range(batch.num_rows):
             own = hits[i].values
             gone, left = judged(did[i], n[i], *(x[i].values.to_numpy().astype(np.int64) for x in (places, firsts)), own.field("i").to_numpy(), own.field("least").to_numpy(), own.field("simple").to_numpy(zero_copy_only=False))
             if gone.any() or left.any():
                 keep.append(i)
-                removed.append(spans_of(gone))
+                whole.append(bool(covered_by(gone).all()))
+                removed.append(spans_of(gone) if not whole[-1] else [])
                 open_.append(spans_of(left))
-        yield pa.RecordBatch.from_arrays([pa.array([rid[i] for i in keep], pa.int64()), pa.array([did[i] for i in keep], pa.int64()), _spans(removed), _spans(open_)], names=["rid", "did", "removed", "open"])
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(whole, pa.bool_()), _spans(removed), _spans(open_)], names=["did", "text_hash", "whole", "removed", "open"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +176,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two hashes of the words of each open window, with its source coordinates."""
     reader = zstandard.ZstdDecompressor()
     for batch in batches:
-        for rid, did, spans, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for did, text_hash, spans, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if not spans:
                 continue
             data = np.frombuffer(reader.decompress(packed), np.uint8)
@@ -182,25 +184,24 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = words.word_hashes(data, starts, ends)
             at = np.concatenate([np.arange(s["a"], s["b"]) for s in spans])
             h1, h2 = (words.span_hashes(own, at, at + WINDOW, which).view(np.int64) for which in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.full(len(at), rid)), pa.array(np.full(len(at), did)), pa.array(at.astype(np.int32))], names=["h1", "h2", "rid", "did", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.full(len(at), did)), pa.array(np.full(len(at), text_hash)), pa.array(at.astype(np.int32))], names=["h1", "h2", "did", "text_hash", "at"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reader = zstandard.ZstdDecompressor()
     for batch in batches:
-        rids, gone, digests = [], [], []
-        for rid, removed, packed, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        gone, digests = [], []
+        for whole, removed, packed, more in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
             tokens = reader.decompress(packed).split()
-            windows = np.zeros(len(tokens) - WINDOW + 1, bool)
+            windows = np.full(len(tokens) - WINDOW + 1, whole)
             for s in removed:
                 windows[s["a"] : s["b"]] = True
             if more:
                 windows[more] = True
             cover = covered_by(windows)
-            rids.append(rid)
             gone.append(int(cover.sum()))
             digests.append(hashlib.sha256(b" ".join([t for t, c in zip(tokens, cover.tolist(), strict=True) if not c])).hexdigest())
-        yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], names=["rid", "gone", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], names=["did", "text_hash", "gone", "kept"])
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -211,30 +212,24 @@ def report(docs: DataFrame) -> DataFrame:
     fewer than 50 words have no window. Rows with equal ids remove nothing from each other, and
     rows without an id come after all others. An empty table gives an empty result.
     """
-    sketch = cut(sketched(docs).withColumns({"did": F.coalesce("doc_id", F.lit(LAST)), "rid": F.xxhash64("k1", "k2")}))
-    classes = cut(
-        sketch.filter(F.col("n_words") >= WINDOW).groupBy("rid", "k1", "k2")
-        .agg(F.min(F.struct("did", "text_hash")).alias("first"), *(F.first(c).alias(c) for c in ("n_words", "nodes", "places", "firsts", "edges")))
-        .select("rid", F.col("first.did").alias("did"), F.col("first.text_hash").alias("text_hash"), "n_words", "nodes", "places", "firsts", "edges")
-    )
-    occurrences = classes.select("rid", "did", F.posexplode("nodes").alias("i", "node"), "edges").select("rid", "did", "i", "node", F.col("edges")[F.col("i")].alias("before"), F.col("edges")[F.col("i") + 1].alias("after"))
+    key = ["did", "text_hash"]
+    sketch = cut(sketched(docs).withColumn("did", F.coalesce("doc_id", F.lit(LAST))))
+    placed = sketch.filter(F.size("nodes") > 0)
+    occurrences = placed.select(*key, F.posexplode("nodes").alias("i", "node"), "edges").select(*key, "i", "node", F.col("edges")[F.col("i")].alias("before"), F.col("edges")[F.col("i") + 1].alias("after"))
     nodes = occurrences.groupBy("node").agg(F.min("did").alias("least"), F.max("did").alias("most"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("before", "after") for f in (F.min, F.max)))
     repeated = nodes.filter("least < most").select("node", "least", ((F.col("min_before") == F.col("max_before")) & (F.col("min_after") == F.col("max_after"))).alias("simple"))
-    hits = occurrences.select("rid", "i", "node").join(repeated, "node").groupBy("rid").agg(F.collect_list(F.struct("i", "least", "simple")).alias("hits"))
-    verdicts = classes.select("rid", "did", "n_words", "places", "firsts").join(hits, "rid").mapInArrow(_judge, f"rid long, did long, removed {SPANS}, open {SPANS}")
-    wanted = verdicts.join(classes.select("rid", F.col("text_hash").alias("own_hash")), "rid").withColumnRenamed("did", "own_did")
+    hits = occurrences.select(*key, "i", "node").join(repeated, "node").groupBy(*key).agg(F.collect_list(F.struct("i", "least", "simple")).alias("hits"))
+    judging = placed.select(*key, "n_words", "places", "firsts").join(hits, key).dropDuplicates(key)
+    verdicts = cut(judging.mapInArrow(_judge, f"did long, text_hash long, whole boolean, removed {SPANS}, open {SPANS}"))
+    wanted = verdicts.filter("not whole or size(open) > 0")
     texts = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"))
-    joined = texts.join(wanted, (texts["text_hash"] == wanted["own_hash"]) & (texts["did"] == wanted["own_did"])).select("text", "rid", "did", "removed", "open")
-    packed = cut(joined.mapInArrow(_packed, f"rid long, did long, removed {SPANS}, open {SPANS}, packed binary").dropDuplicates(["rid"]))
-    windows = packed.select("rid", "did", "open", "packed").mapInArrow(_windows, "h1 long, h2 long, rid long, did long, at int")
+    joined = narrowed(texts, wanted, "text_hash").join(wanted, key).select("text", *key, "whole", "removed", "open").dropDuplicates(key)
+    packed = cut(joined.mapInArrow(_packed, f"did long, text_hash long, whole boolean, removed {SPANS}, open {SPANS}, packed binary"))
+    windows = packed.select(*key, "open", "packed").mapInArrow(_windows, "h1 long, h2 long, did long, text_hash long, at int")
     least = windows.groupBy("h1", "h2").agg(F.min("did").alias("least"), F.max("did").alias("most")).filter("least < most").drop("most")
-    more = windows.join(least, ["h1", "h2"]).filter("least < did").groupBy("rid").agg(F.collect_list("at").alias("more"))
-    done = packed.select("rid", "removed", "packed").join(more, "rid", "left").mapInArrow(_finish, "rid long, gone long, kept string")
-    result = classes.select("rid", F.col("did").alias("first")).join(done, "rid", "left")
-    out = sketch.select("doc_id", "did", "rid", "n_words", "kept_sha256").join(result, "rid", "left")
-    copy = F.col("did") > F.col("first")
-    return out.select(
-        "doc_id", "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "kept_sha256")).alias("kept_sha256"),
-    )
+    more = windows.join(least, ["h1", "h2"]).filter("least < did").groupBy(*key).agg(F.collect_list("at").alias("more"))
+    done = packed.filter("not whole").select(*key, "whole", "removed", "packed").join(more, key, "left").mapInArrow(_finish, "did long, text_hash long, gone long, kept string")
+    whole = verdicts.filter("whole").select(*key, F.lit(None).cast("long").alias("gone"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept"))
+    out = sketch.select("doc_id", *key, "n_words", "kept_sha256").join(done.unionByName(whole), key, "left")
+    gone = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.coalesce("gone", "n_words")).cast("long")
+    return out.select("doc_id", "n_words", gone.alias("n_removed"), F.coalesce("kept", "kept_sha256").alias("kept_sha256"))
