@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import box_queries, geometry_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
