@@ -25,7 +25,7 @@ from .common import cut
 #: Payloads are padded to a multiple of so many bytes.
 UNIT = 64
 #: Least and most bytes of a chunk, and the zero bits at which it is cut (2**BITS bytes on average).
-LEAST, MOST, BITS = 2048, 65536, 12
+LEAST, MOST, BITS = 4096, 131_072, 14
 #: Bytes that the rolling hash sees.
 SEEN = 32
 RATE = 8000
@@ -142,7 +142,9 @@ def read(manifest: DataFrame, store: DataFrame) -> DataFrame:
     """Each medium of a manifest put together from the store, verified and described."""
     once = manifest.groupBy("media").agg(F.first("digests").alias("digests"))
     listed = once.select("media", F.size("digests").alias("n"), F.posexplode("digests").alias("at", "digest"))
-    parts = listed.join(store, "digest").select("media", "at", "n", "data").repartition("media").sortWithinPartitions("media", "at")
+    parts = listed.join(store, "digest").select("media", "at", "n", "data")
+    # a medium of one chunk is whole where its chunk is; only the others' chunks have to meet
+    several = parts.filter("n > 1").repartition("media").sortWithinPartitions("media", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, held = zstandard.ZstdDecompressor(), []
@@ -166,7 +168,7 @@ def read(manifest: DataFrame, store: DataFrame) -> DataFrame:
         if held:
             raise ValueError("the last chunks of a medium are missing")
 
-    return parts.mapInArrow(run, READ)
+    return parts.filter("n = 1").mapInArrow(run, READ).unionByName(several.mapInArrow(run, READ))
 
 
 def stored_and_read(docs: DataFrame) -> DataFrame:
