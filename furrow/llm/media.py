@@ -142,7 +142,7 @@ def read(manifest: DataFrame, store: DataFrame) -> DataFrame:
     """Each medium of a manifest put together from the store, verified and described."""
     once = manifest.groupBy("media").agg(F.first("digests").alias("digests"))
     listed = once.select("media", F.size("digests").alias("n"), F.posexplode("digests").alias("at", "digest"))
-    parts = listed.join(store, "digest").select("media", "at", "n", "data")
+    parts = listed.join(store, "digest", "left").select("media", "at", "n", "data")
     # a medium of one chunk is whole where its chunk is; only the others' chunks have to meet
     several = parts.filter("n > 1").repartition("media").sortWithinPartitions("media", "at")
 
@@ -151,7 +151,7 @@ def read(manifest: DataFrame, store: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for media, at, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != len(held):
+                if at != len(held) or data is None:
                     raise ValueError(f"chunk {len(held)} is missing")
                 held.append(reader.decompress(data))
                 if len(held) == n:

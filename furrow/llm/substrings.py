@@ -35,6 +35,8 @@ AT_START, AT_END = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 def least_places(values: np.ndarray, span: int) -> np.ndarray:
     """For each span consecutive values the place of the least, the first of equals."""
     best, place, have = values, np.arange(len(values), dtype=np.int32), 1
+    if len(values) < span:
+        return place[:0]
 
     def merged(shift: int) -> None:
         nonlocal best, place
