@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut, text_slices
+from .common import cut, first_by_hash, text_slices
 
 #: Most labelled rows to learn from, and most features.
 SAMPLE, FEATURES = 20_000, 4000
@@ -111,11 +111,11 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic, and grade or null).
 
-    At most sample labels are used, the first by hash of doc_id, so that what is broadcast and
+    At most sample labels are used, about the first by hash of doc_id, so that what is broadcast and
     collected has a bound. Where a toxic row has no grade, its grade is 1 to 3 by how many
     toxic features it holds against the other toxic rows.
     """
-    chosen = labels.filter("toxic is not null and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    chosen = first_by_hash(labels.filter("toxic is not null and doc_id is not null"), sample, "doc_id", "toxic")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     rows = cut(own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.col("grade").cast("int").alias("grade")))
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import first_by_hash, shared_dir
 
 #: Records to train on, the largest of them in bytes, and the dictionary's size.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 1 << 16, 1 << 16
@@ -82,9 +82,9 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> bytes:
-    """A dictionary from whole records: the first sample by hash of those up to SAMPLE_BYTES."""
-    small = pages.filter(F.octet_length(F.coalesce("html", F.lit(""))) <= SAMPLE_BYTES)
-    rows = small.select("page_id", "url", "html").orderBy(F.xxhash64("page_id", "html"), "page_id").limit(sample).collect()
+    """A dictionary from whole records: about the first sample by hash, those over SAMPLE_BYTES left out."""
+    first = first_by_hash(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), sample, "page_id")
+    rows = first.filter(F.octet_length(F.coalesce("html", F.lit(""))) <= SAMPLE_BYTES).collect()
     records = [page_record(r["page_id"], r["url"], (r["html"] or "").encode(), None, True) for r in rows]
     if not records:
         return b""
