@@ -91,3 +91,26 @@ def test_straight_line_has_no_curvature():
     length, curvature = P.axis_length(np.stack((x, 2 * x, 0 * x), 1))
     assert length == pytest.approx(0.99 * 5**0.5, rel=1e-2)
     assert curvature == pytest.approx(1)
+
+
+def test_label_maps_keep_the_nearer(spark):
+    from furrow.operators import scenes
+
+    rows = [(1, 1, p, 5.0) for p in (1, 2, 3)] + [(1, 2, p, 9.0) for p in (3, 4)] + [(1, 3, p, 1.0) for p in (1, 5)]
+    got = scenes.composed_labels(spark.createDataFrame(rows, "image long, obj long, px long, depth double"))
+    assert {r["px"]: r["obj"] for r in got.collect()} == {1: 3, 2: 1, 3: 1, 4: 2, 5: 3}
+
+
+def test_morphology_settings():
+    from furrow.operators import scenes
+
+    with pytest.raises(ValueError):
+        scenes.Morphology(distance_percentile=0)
+
+
+def test_anchors_find_the_sizes(spark):
+    from furrow.operators import scenes
+
+    rows = [(10.0 + i % 2, 20.0) for i in range(50)] + [(40.0, 30.0 + i % 2) for i in range(50)]
+    got = scenes.fitted_anchors(spark.createDataFrame(rows, "w double, h double"), 2).collect()
+    assert [(r["w"], r["h"]) for r in got] == [(10.5, 20.0), (40.0, 30.5)]
