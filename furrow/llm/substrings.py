@@ -219,7 +219,8 @@ def report(docs: DataFrame) -> DataFrame:
     placed = sketch.filter(F.size("nodes") > 0)
     occurrences = placed.select(*key, F.posexplode("nodes").alias("i", "node"), "edges").select(*key, "i", "node", F.col("edges")[F.col("i")].alias("before"), F.col("edges")[F.col("i") + 1].alias("after"))
     nodes = occurrences.groupBy("node").agg(F.min("did").alias("least"), F.max("did").alias("most"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("before", "after") for f in (F.min, F.max)))
-    repeated = nodes.filter("least < most").select("node", "least", ((F.col("min_before") == F.col("max_before")) & (F.col("min_after") == F.col("max_after"))).alias("simple"))
+    # written once, so that the joins below exchange both sides and adaptive execution can split a hot node or window
+    repeated = cut(nodes.filter("least < most").select("node", "least", ((F.col("min_before") == F.col("max_before")) & (F.col("min_after") == F.col("max_after"))).alias("simple")))
     hits = occurrences.select(*key, "i", "node").join(repeated, "node").groupBy(*key).agg(F.collect_list(F.struct("i", "least", "simple")).alias("hits"))
     judging = placed.select(*key, "n_words", "places", "firsts").join(hits, key).dropDuplicates(key)
     verdicts = cut(judging.mapInArrow(_judge, f"did long, text_hash long, whole boolean, removed {SPANS}, open {SPANS}"))
@@ -228,7 +229,7 @@ def report(docs: DataFrame) -> DataFrame:
     joined = narrowed(texts, wanted, "text_hash").join(wanted, key).select("text", *key, "whole", "removed", "open").dropDuplicates(key)
     packed = cut(joined.mapInArrow(_packed, f"did long, text_hash long, whole boolean, removed {SPANS}, open {SPANS}, packed binary"))
     windows = packed.select(*key, "open", "packed").mapInArrow(_windows, "h1 long, h2 long, did long, text_hash long, at int")
-    least = windows.groupBy("h1", "h2").agg(F.min("did").alias("least"), F.max("did").alias("most")).filter("least < most").drop("most")
+    least = cut(windows.groupBy("h1", "h2").agg(F.min("did").alias("least"), F.max("did").alias("most")).filter("least < most").drop("most"))
     more = windows.join(least, ["h1", "h2"]).filter("least < did").groupBy(*key).agg(F.collect_list("at").alias("more"))
     done = packed.filter("not whole").select(*key, "whole", "removed", "packed").join(more, key, "left").mapInArrow(_finish, "did long, text_hash long, gone long, kept string")
     whole = verdicts.filter("whole").select(*key, F.lit(None).cast("long").alias("gone"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept"))
