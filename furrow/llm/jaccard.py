@@ -267,7 +267,8 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketch = cut(sketched(docs).withColumn("node", F.xxhash64("k1", "k2")))
     classes = cut(sketch.groupBy("node", "k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")).select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "copies", "bands"))
     banded = classes.filter("bands is not null").select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("bucket"))
-    crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # written, so that the join exchanges both sides and adaptive execution can split a hot bucket
+    crowded = cut(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = banded.join(crowded, "bucket").join(classes.select("node", "bands"), "node")
     edges = _blocked(members, "bucket", BUCKET_BLOCK).select("bucket", "low", "high", "own", "band", "node", "bands").mapInArrow(_candidates(least_matches()), "u long, v long").distinct()
     groups = cut(components(edges))
