@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, shared_dir
+from .common import cut, first_by_hash, shared_dir
 
 #: Records to train on, the largest of them in bytes, and the dictionary's size.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 1 << 16, 1 << 16
@@ -142,7 +142,8 @@ def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     payload = F.coalesce("html", F.lit(""))
     light = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))
-    largest = light.filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("largest"), F.lit(True).alias("shared"))
+    # only payloads of several rows; written, so that adaptive execution can split the join at a hot one
+    largest = cut(light.filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("digest", "largest", F.lit(True).alias("shared")))
     first = F.when(F.coalesce("shared", F.lit(False)), F.col("largest")).otherwise(F.col("page_id"))
     return light.distinct().join(largest, "digest", "left").select("page_id", "digest", first.alias("first"))
 
