@@ -26,6 +26,8 @@ from .common import cut
 UNIT = 64
 #: Least and most bytes of a chunk, and the zero bits at which it is cut (2**BITS bytes on average).
 LEAST, MOST, BITS = 4096, 131_072, 14
+#: Media that a chunk may be part of before it is joined apart from the others.
+HOT = 10_000
 #: Bytes that the rolling hash sees.
 SEEN = 32
 RATE = 8000
@@ -142,7 +144,13 @@ def read(manifest: DataFrame, store: DataFrame) -> DataFrame:
     """Each medium of a manifest put together from the store, verified and described."""
     once = manifest.groupBy("media").agg(F.first("digests").alias("digests"))
     listed = once.select("media", F.size("digests").alias("n"), F.posexplode("digests").alias("at", "digest"))
-    parts = listed.join(store, "digest", "left").select("media", "at", "n", "data")
+    hot = cut(listed.groupBy("digest").count().filter(F.col("count") > HOT).select("digest"))
+    if hot.isEmpty():
+        together = listed.join(store, "digest", "left")
+    else:  # hot chunks are few; written on their own, both sides are exchanged and adaptive execution can split them
+        hot_store = cut(store.join(hot, "digest", "left_semi"))
+        together = listed.join(hot, "digest", "left_anti").join(store, "digest", "left").unionByName(listed.join(hot, "digest", "left_semi").join(hot_store, "digest", "left"))
+    parts = together.select("media", "at", "n", "data")
     # a medium of one chunk is whole where its chunk is; only the others' chunks have to meet
     several = parts.filter("n > 1").repartition("media").sortWithinPartitions("media", "at")
 

@@ -271,7 +271,9 @@ def test_components(spark):
     assert got[40] == 0 and got[300] == 0 and got[102] == 100 and 200 not in got
 
 
-def test_media(spark, docs, rows, empty):
+@pytest.mark.parametrize("hot", [media.HOT, 0])
+def test_media(spark, docs, rows, empty, monkeypatch, hot):
+    monkeypatch.setattr(media, "HOT", hot)
     got = {r["doc_id"]: r for r in media.stored_and_read(docs).collect()}
     assert media.stored_and_read(docs).count() == len(rows) and media.stored_and_read(empty).count() == 0
     for r in rows:
