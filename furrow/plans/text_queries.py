@@ -72,7 +72,7 @@ def run_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return g.groupBy("image", "g").agg(F.min("px").alias("start"), F.count(F.lit(1)).alias("length")).drop("g")
 
 
-@query("array_pack", sql(f"""SELECT image, box_id, list_position([x1, y1, x2, y2], list_max([x1, y1, x2, y2])) - 1 AS top, {R('CASE WHEN conf <= 0.1 THEN 1 WHEN conf <= 0.3 THEN 1 + (5 - 1) * (conf - 0.1) / (0.3 - 0.1) WHEN conf <= 0.5 THEN 5 + (2 - 5) * (conf - 0.3) / (0.5 - 0.3) ELSE 2 END')} AS y,
+@query("array_pack", sql(f"""SELECT image, box_id, (list_position([x1, y1, x2, y2], list_max([x1, y1, x2, y2])) - 1)::BIGINT AS top, {R('CASE WHEN conf <= 0.1 THEN 1 WHEN conf <= 0.3 THEN 1 + (5 - 1) * (conf - 0.1) / (0.3 - 0.1) WHEN conf <= 0.5 THEN 5 + (2 - 5) * (conf - 0.3) / (0.5 - 0.3) ELSE 2 END')} AS y,
  ['zero', 'one', 'two'][cls + 1] AS name, len(list_filter([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95], lambda t: conf * 2 > t + 0.001))::BIGINT AS past FROM boxes""", "boxes"))
 def array_pack(spark: SparkSession, sf: str) -> DataFrame:
     """First greatest entry, linear interpolation, class names and thresholds passed."""
