@@ -22,8 +22,8 @@ def curve(scored: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
 
 def envelope(points: DataFrame, by: list[str]) -> DataFrame:
     """The curve with precision made non-increasing in rank."""
-    after = Window.partitionBy(*by).orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
-    return points.withColumn("envelope", F.max("precision").over(after))
+    backwards = Window.partitionBy(*by).orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)  # one pass, unlike a frame that looks ahead
+    return points.withColumn("envelope", F.max("precision").over(backwards))
 
 
 def average_precision(points: DataFrame, by: list[str], steps: int = 100) -> DataFrame:
@@ -32,19 +32,15 @@ def average_precision(points: DataFrame, by: list[str], steps: int = 100) -> Dat
     The curve starts at recall 0 with precision 1 and ends at recall 1 with precision 0, and is
     linear between its points; of points with equal recall the last counts.
     """
-    env = envelope(points, by)
-    nodes = F.concat(
-        F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0).cast("long").alias("k"), F.lit(1.0).alias("y"))),
-        F.array_sort(F.collect_list(F.struct(F.col("recall").alias("x"), F.col("rank").alias("k"), F.col("envelope").alias("y")))),
-        F.array(F.struct(F.lit(1.0).alias("x"), F.lit(1 << 60).cast("long").alias("k"), F.lit(0.0).alias("y"))),
-    )
-    # only where precision or recall change does a node matter: keep the first and last of each recall
-    lines = env.groupBy(*by).agg(nodes.alias("n")).select(*by, F.posexplode("n").alias("at", "p")).select(*by, "at", "p.x", "p.y")
-    order = Window.partitionBy(*by).orderBy("at")
-    spans = lines.select(*by, "at", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(order).alias("x1"), F.lead("y").over(order).alias("y1")).filter("x1 is not null")
+    env = envelope(points, by).select(*by, F.col("recall").alias("x"), F.col("rank").alias("k"), F.col("envelope").alias("y"))
+    groups = env.select(*by).distinct()
+    ends = [groups.select(*by, F.lit(x).alias("x"), F.lit(k).cast("long").alias("k"), F.lit(y).alias("y")) for x, k, y in ((0.0, 0, 1.0), (1.0, 1 << 60, 0.0))]
+    order = Window.partitionBy(*by).orderBy("x", "k")
+    lines = env.unionByName(ends[0]).unionByName(ends[1])
+    spans = lines.select(*by, "k", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(order).alias("x1"), F.lead("y").over(order).alias("y1")).filter("x1 is not null")
     # grid places in (x0, x1], the first span with its start too
     first, last = F.floor(F.col("x0") * steps) + 1, F.floor(F.col("x1") * steps)
-    first = F.when(F.col("at") == 0, F.lit(0).cast("long")).otherwise(first)
+    first = F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(first)
     hit = spans.withColumn("g", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     share = F.when(F.col("x1") > F.col("x0"), (F.col("g") / steps - F.col("x0")) / (F.col("x1") - F.col("x0"))).otherwise(1.0)
     heights = hit.withColumn("h", F.col("y0") + (F.col("y1") - F.col("y0")) * share)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,28 +69,60 @@ def match_greedy(pairs: DataFrame, thresholds: Sequence[float], image: str = "im
 def nms(boxes: DataFrame, by: Sequence[str], threshold: float = 0.45, most: int | None = 300, score: str = "conf", tie: str = "box_id") -> DataFrame:
     """Boxes that no kept box of higher score in the same group overlaps by more than threshold.
 
-    Greedy suppression by score, ties by tie; one group (an image, or an image and class) is one
-    Arrow task, in which the overlaps of a kept box with all later ones are one vector step.
+    Greedy suppression by score, ties by tie. Rows are dealt by group and sorted by score; a task
+    walks its groups one after the other, and the overlaps of a kept box with all later ones of
+    its group are one vector step.
     """
     import numpy as np
     import pyarrow as pa
 
-    def run(group: pa.Table) -> pa.Table:
-        order = np.lexsort((group[tie].to_numpy(), -group[score].to_numpy()))
-        x1, y1, x2, y2 = (group[c].to_numpy()[order] for c in CORNERS)
-        size, alive, keep = (x2 - x1) * (y2 - y1), np.ones(len(order), bool), []
-        for i in range(len(order)):
-            if not alive[i]:
+    def kept(table: pa.Table) -> list[int]:
+        keys = [table[c].to_numpy() for c in by]
+        x1, y1, x2, y2 = (table[c].to_numpy() for c in CORNERS)
+        size = (x2 - x1) * (y2 - y1)
+        new = np.zeros(table.num_rows, bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        ends = [*np.flatnonzero(new).tolist(), table.num_rows]
+        out, start = [], 0
+        for end in ends:
+            left, n = np.arange(start, end), 0
+            while len(left) and (most is None or n < most):
+                i, left = left[0], left[1:]
+                out.append(int(i))
+                n += 1
+                both = np.maximum(np.minimum(x2[i], x2[left]) - np.maximum(x1[i], x1[left]), 0) * np.maximum(np.minimum(y2[i], y2[left]) - np.maximum(y1[i], y1[left]), 0)
+                left = left[both <= threshold * (size[i] + size[left] - both)]
+            start = end
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            keep.append(order[i])
-            if most is not None and len(keep) == most:
-                break
-            both = np.maximum(np.minimum(x2[i], x2) - np.maximum(x1[i], x1), 0) * np.maximum(np.minimum(y2[i], y2) - np.maximum(y1[i], y1), 0)
-            union = size[i] + size - both
-            alive &= ~(both > threshold * union)
-        return group.take(pa.array(keep, pa.int64()))
-
-    return boxes.groupBy(*by).applyInArrow(run, boxes.schema)
+            same = np.ones(batch.num_rows, bool)  # rows of the last group may go on in the next batch
+            for c in by:
+                column = batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                same &= column == column[-1]
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            held.append(batch.slice(0, cut))
+            whole = pa.Table.from_batches(held).combine_chunks()
+            last = batch.slice(cut)
+            if cut:
+                yield from whole.take(pa.array(kept(whole), pa.int64())).to_batches()
+                held = [last]
+            elif whole.num_rows and any(whole[c][-1].as_py() != last.column(last.schema.get_field_index(c))[0].as_py() for c in by):
+                yield from whole.take(pa.array(kept(whole), pa.int64())).to_batches()
+                held = [last]
+            else:
+                held = [*held[:-1], last]
+        if held:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            yield from whole.take(pa.array(kept(whole), pa.int64())).to_batches()
+
+    dealt = boxes.repartition(*by).sortWithinPartitions(*by, F.desc(score), tie)
+    return dealt.mapInArrow(run, boxes.schema)
 
 
 def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
