@@ -97,7 +97,7 @@ PX = """, m AS (SELECT image, box_id AS mask, unnest(range(floor(x1 / 8)::BIGINT
 
 def mask_pixels(spark: SparkSession, sf: str) -> DataFrame:
     """(image, mask, px): each box as the cells of a coarse grid that it covers, half open."""
-    b = boxes(spark, sf).filter("image % 5 = 0")
+    b = boxes(spark, sf)
     cell = lambda c: F.floor(F.col(c) / 8)
     span = lambda a, c: F.explode(F.sequence(cell(a), cell(c) - 1))
     full = b.filter((cell("x2") > cell("x1")) & (cell("y2") > cell("y1")))
@@ -137,7 +137,7 @@ def mask_overlap_order(spark: SparkSession, sf: str) -> DataFrame:
 def mask_dilation(spark: SparkSession, sf: str) -> DataFrame:
     """Masks grown by one cell each way."""
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    p = mask_pixels(spark, sf).filter("image % 25 = 0").withColumn("d", F.explode(steps)).filter((F.col("px") % 100 + F.col("d.dx")).between(0, 99))
+    p = mask_pixels(spark, sf).withColumn("d", F.explode(steps)).filter((F.col("px") % 100 + F.col("d.dx")).between(0, 99))
     return p.select("image", "mask", (F.col("px") + F.col("d.dx") + 100 * F.col("d.dy")).alias("px")).distinct()
 
 
