@@ -88,7 +88,7 @@ def polygon_bounds(spark: SparkSession, sf: str) -> DataFrame:
   SELECT image, box_id, i::BIGINT AS i, {R('xs[low+1] + (xs[low+2] - xs[low+1]) * (i * 3 / 6.0::DOUBLE - low)')} AS x, {R('ys[low+1] + (ys[low+2] - ys[low+1]) * (i * 3 / 6.0::DOUBLE - low)')} AS y FROM u""", "boxes"))
 def polygon_resample(spark: SparkSession, sf: str) -> DataFrame:
     """Points at equal steps along closed polygons."""
-    pts = triangle(boxes(spark, sf).filter("image % 7 = 0")).select(*IDS, F.posexplode(B.resampled(F.col("pts"), 7)).alias("i", "p"))
+    pts = triangle(boxes(spark, sf)).select(*IDS, F.posexplode(B.resampled(F.col("pts"), 7)).alias("i", "p"))
     return pts.select(*IDS, F.col("i").cast("long").alias("i"), r(F.col("p.x")).alias("x"), r(F.col("p.y")).alias("y"))
 
 

@@ -73,3 +73,16 @@ def test_composed_labels_of_all_images(spark, sf_dir, masks):
     cells = {(image, x + 100 * y) for (image, _), own in masks.items() for x, y in own}
     assert [x[:2] for x in got] == sorted(cells)
     assert all((px % 100, px // 100) in masks[image, obj] for image, px, obj in got)
+
+
+def test_polygon_resample_of_all_boxes(spark, sf_dir):
+    want = {}
+    for b in boxes(spark, sf_dir).collect():
+        xs, ys = (b["x1"], b["x2"], b["x2"], b["x1"]), (b["y1"], b["y1"], b["y2"], b["y1"])
+        for i in range(7):  # two steps a side
+            k, half = divmod(i, 2)
+            ends = (k, k + 1) if half else (k, k)
+            want[b["image"], b["box_id"], i] = (sum(xs[e] for e in ends) / 2, sum(ys[e] for e in ends) / 2)
+    got = rows(spark, sf_dir, "polygon_resample", "image", "box_id", "i", "x", "y")
+    assert [x[:3] for x in got] == sorted(want)
+    assert all(x[3:] == pytest.approx(want[x[:3]], abs=1e-6) for x in got)
