@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from furrow.plans import catalogue
-from furrow.plans.fixtures import boxes
+from furrow.plans.fixtures import boxes, points
 
 
 def rows(spark, sf_dir, name, *columns):
@@ -86,3 +87,17 @@ def test_polygon_resample_of_all_boxes(spark, sf_dir):
     got = rows(spark, sf_dir, "polygon_resample", "image", "box_id", "i", "x", "y")
     assert [x[:3] for x in got] == sorted(want)
     assert all(x[3:] == pytest.approx(want[x[:3]], abs=1e-6) for x in got)
+
+
+def test_nearest_views_of_all_scenes(spark, sf_dir):
+    scenes = defaultdict(list)
+    for p in sorted(points(spark, sf_dir).collect(), key=lambda p: p["pid"]):
+        scenes[p["file_id"]].append(p)
+    assert len(scenes) == 10
+    want = []
+    for own in scenes.values():
+        ids, at = np.array([p["pid"] for p in own]), np.array([[p["x"], p["y"], p["z"]] for p in own])
+        for pid, d in zip(ids, np.sqrt(((at[:, None] - at) ** 2).sum(2)), strict=True):
+            near = [k for k in np.lexsort((ids, d)) if d[k] >= 1e-6][:4]
+            want += [(pid, ids[k], n) for n, k in enumerate(near, 1)]
+    assert rows(spark, sf_dir, "nearest_views", "pid", "other", "n") == sorted(want)
