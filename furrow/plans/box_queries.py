@@ -183,15 +183,15 @@ def nms_per_class(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("nms_agnostic", nms_sql("all", 20))
 def nms_agnostic(spark: SparkSession, sf: str) -> DataFrame:
-    """Boxes left by suppression over all classes of an image, 20 at most."""
-    return O.nms(boxes(spark, sf), ["image"], most=20).select("image", "box_id", r(F.col("conf")).alias("conf"))
+    """Boxes left by suppression over all classes of an image, 300 at most."""
+    return O.nms(boxes(spark, sf), ["image"]).select("image", "box_id", r(F.col("conf")).alias("conf"))
 
 
 @query("nms_padded", sql(f""", s AS (SELECT * FROM ({nms_sql('all', 5)})) , n AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY conf DESC, box_id) - 1 AS slot FROM s),
   g AS (SELECT image, unnest(range(0, 5)) AS slot, c FROM (SELECT image, count(*) AS c FROM n GROUP BY image))
   SELECT g.image, g.slot::BIGINT AS slot, coalesce(n.box_id, -1) AS box_id, coalesce(n.conf, 0.0) AS conf, g.c AS n_valid FROM g LEFT JOIN n ON g.image = n.image AND g.slot = n.slot"""))
 def nms_padded(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with five slots for each image, empty ones -1, and the number filled."""
+    """Five slots for the first boxes left of each image, empty ones -1, and the number filled."""
     kept = O.nms(boxes(spark, sf), ["image"], most=5).select("image", "box_id", r(F.col("conf")).alias("conf"))
     w = Window.partitionBy("image")
     slots = kept.select("*", (F.row_number().over(w.orderBy(F.desc("conf"), "box_id")) - 1).cast("long").alias("slot"), F.count(F.lit(1)).over(w).alias("n_valid"))
@@ -206,7 +206,7 @@ def nms_padded(spark: SparkSession, sf: str) -> DataFrame:
 def merge_nms(spark: SparkSession, sf: str) -> DataFrame:
     """Kept boxes as weighted means of those that they suppress."""
     own = boxes(spark, sf).drop("flag", "cls")
-    got = O.merged_boxes(O.nms(own, ["image"], most=10), own, ["image"])
+    got = O.merged_boxes(O.nms(own, ["image"]), own, ["image"])
     return got.select("image", "box_id", *[r(F.col(c)).alias(c) for c in O.CORNERS], "n_merged")
 
 

@@ -101,3 +101,41 @@ def test_nearest_views_of_all_scenes(spark, sf_dir):
             near = [k for k in np.lexsort((ids, d)) if d[k] >= 1e-6][:4]
             want += [(pid, ids[k], n) for n, k in enumerate(near, 1)]
     assert rows(spark, sf_dir, "nearest_views", "pid", "other", "n") == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def kept(spark, sf_dir):
+    """By image all boxes and those left by suppression over all classes, by hand."""
+    images = defaultdict(list)
+    for b in boxes(spark, sf_dir).collect():
+        images[b["image"]].append(b)
+    out = {}
+    for image, own in images.items():
+        left = []
+        for b in sorted(own, key=lambda b: (-b["conf"], b["box_id"])):
+            if not any(over(b, k) for k in left):
+                left.append(b)
+        assert 20 < len(left) <= 300
+        out[image] = own, left
+    return out
+
+
+def over(a, b):
+    i = max(min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]), 0) * max(min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]), 0)
+    return i > 0.45 * ((a["x2"] - a["x1"]) * (a["y2"] - a["y1"]) + (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) - i)
+
+
+def test_nms_agnostic_keeps_all_left(spark, sf_dir, kept):
+    got = rows(spark, sf_dir, "nms_agnostic", "image", "box_id")
+    assert got == sorted((image, b["box_id"]) for image, (_, left) in kept.items() for b in left)
+
+
+def test_merge_nms_merges_all_left(spark, sf_dir, kept):
+    want = {}
+    for image, (own, left) in kept.items():
+        for k in left:
+            near = [b for b in own if over(k, b)]
+            want[image, k["box_id"]] = [sum(b[c] * b["conf"] for b in near) / sum(b["conf"] for b in near) for c in ("x1", "y1", "x2", "y2")] + [len(near)]
+    got = rows(spark, sf_dir, "merge_nms", "image", "box_id", "x1", "y1", "x2", "y2", "n_merged")
+    assert [x[:2] for x in got] == sorted(want)
+    assert all(list(x[2:]) == pytest.approx(want[x[:2]], abs=1e-6) for x in got)
