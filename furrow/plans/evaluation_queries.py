@@ -17,6 +17,9 @@ MATCH = """, det AS (SELECT image, box_id, cls, conf, x1, y1, x2, y2, row_number
  ov AS (SELECT io.*, th FROM io CROSS JOIN (SELECT unnest([0.5, 0.75])::DOUBLE AS th) WHERE iou >= th), f1 AS (SELECT *, row_number() OVER (PARTITION BY image, th, det ORDER BY iou DESC, lab) AS n FROM ov),
  f2 AS (SELECT *, row_number() OVER (PARTITION BY image, th, lab ORDER BY det) AS m FROM f1 WHERE n = 1), mt AS (SELECT image, th, det, lab, iou FROM f2 WHERE m = 1)"""
 
+#: The reference's IoU thresholds.
+THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
+
 
 def detections(spark: SparkSession, sf: str) -> DataFrame:
     return boxes(spark, sf).withColumn("det", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("conf"), "box_id")).cast("long"))
@@ -26,12 +29,12 @@ def matches(spark: SparkSession, sf: str) -> DataFrame:
     det = detections(spark, sf).select("image", "cls", "det", "x1", "y1", "x2", "y2")
     gt = truth(spark, sf).withColumnRenamed("gt_id", "lab")
     pairs = O.overlap_join(gt, det, ["image", "cls"]).select("image", F.col("a_lab").alias("lab"), F.col("b_det").alias("det"), F.round(B.iou(B.box("a_"), B.box("b_")), 9).alias("iou"))
-    return O.match_greedy(pairs, [0.5, 0.75])
+    return O.match_greedy(pairs, THRESHOLDS)
 
 
 @query("match_greedy", sql(MATCH + f" SELECT image, th AS threshold, det, lab, {R('iou')} AS iou FROM mt", "truth"))
 def match_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    """One-to-one matches of detections and truth at two thresholds."""
+    """One-to-one matches of detections and truth at each threshold."""
     return matches(spark, sf).select("image", "threshold", "det", "lab", r(F.col("iou")).alias("iou"))
 
 
@@ -41,7 +44,7 @@ CURVE = MATCH + """, sc AS (SELECT d.cls, th, d.conf, d.image * 100000 + d.det A
 
 
 def curves(spark: SparkSession, sf: str) -> DataFrame:
-    d = detections(spark, sf).select("image", "cls", "conf", "det").withColumn("threshold", F.explode(F.array(F.lit(0.5), F.lit(0.75))))
+    d = detections(spark, sf).select("image", "cls", "conf", "det").withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])))
     m = matches(spark, sf).select("image", "det", "threshold", F.lit(1).cast("long").alias("hit"))
     scored = d.join(m, ["image", "det", "threshold"], "left").select("cls", "threshold", "conf", (F.col("image") * 100000 + F.col("det")).alias("tie"), F.coalesce("hit", F.lit(0)).alias("tp"))
     return E.curve(scored, truth(spark, sf).groupBy("cls").agg(F.count(F.lit(1)).alias("n_true")), ["cls", "threshold"])
@@ -62,13 +65,13 @@ AP = CURVE + """, nd AS (SELECT cls, th, recall AS x, rank AS k, envelope AS y F
 
 @query("average_precision", sql(AP + f" SELECT cls, th AS threshold, {R('ap')} AS ap FROM ap", "truth"))
 def average_precision(spark: SparkSession, sf: str) -> DataFrame:
-    """Average precision of each class at two thresholds."""
+    """Average precision of each class at each threshold."""
     return E.average_precision(curves(spark, sf), ["cls", "threshold"]).select("cls", "threshold", r(F.col("ap")).alias("ap"))
 
 
 @query("map_summary", sql(AP + f" SELECT cls, {R('avg(ap)')} AS map, {R('avg(ap) FILTER (th = 0.5)')} AS map50, {R('0.1 * avg(ap) FILTER (th = 0.5) + 0.9 * avg(ap)')} AS fitness FROM ap GROUP BY ROLLUP (cls)", "truth"))
 def map_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean average precision by class and over all, and fitness."""
+    """Mean average precision over all thresholds, by class and over all, and fitness."""
     ap = E.average_precision(curves(spark, sf), ["cls", "threshold"])
     at50 = F.avg(F.when(F.col("threshold") == 0.5, F.col("ap")))
     return ap.rollup("cls").agg(r(F.avg("ap")).alias("map"), r(at50).alias("map50"), r(0.1 * at50 + 0.9 * F.avg("ap")).alias("fitness"))
@@ -76,7 +79,7 @@ def map_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("best_f1", sql(CURVE + f""", f AS (SELECT cls, th, rank, 2 * precision * recall / (precision + recall + 1e-16) AS f1 FROM cv), b AS (SELECT *, row_number() OVER (PARTITION BY cls, th ORDER BY round(f1, 9) DESC, rank) AS n FROM f) SELECT cls, th AS threshold, rank, {R('f1')} AS f1 FROM b WHERE n = 1""", "truth"))
 def best_f1(spark: SparkSession, sf: str) -> DataFrame:
-    """The confidence rank with the best F1 of each class."""
+    """The confidence rank with the best F1 of each class at each threshold."""
     c = curves(spark, sf).withColumn("f1", E.f1(F.col("precision"), F.col("recall")))
     best = O.top_n(c, ["cls", "threshold"], [F.round("f1", 9).desc(), F.col("rank")], 1)
     return best.select("cls", "threshold", "rank", r(F.col("f1")).alias("f1"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from furrow.plans import catalogue
-from furrow.plans.fixtures import boxes, points
+from furrow.plans.fixtures import boxes, points, truth
 
 
 def rows(spark, sf_dir, name, *columns):
@@ -139,3 +139,79 @@ def test_merge_nms_merges_all_left(spark, sf_dir, kept):
     got = rows(spark, sf_dir, "merge_nms", "image", "box_id", "x1", "y1", "x2", "y2", "n_merged")
     assert [x[:2] for x in got] == sorted(want)
     assert all(list(x[2:]) == pytest.approx(want[x[:2]], abs=1e-6) for x in got)
+
+
+TEN = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
+
+
+@pytest.fixture(scope="module")
+def scored(spark, sf_dir):
+    """By hand: the matches (image, threshold, det, lab), and by class and threshold the rows (tps, precision, recall)."""
+    images, labels = defaultdict(list), defaultdict(list)
+    for b in boxes(spark, sf_dir).collect():
+        images[b["image"]].append(b)
+    for t in truth(spark, sf_dir).collect():
+        labels[t["image"], t["cls"]].append(t)
+    found, hits = [], defaultdict(list)
+    for image, own in images.items():
+        own.sort(key=lambda b: (-b["conf"], b["box_id"]))
+        best = []  # of each detection (iou, label); it is the same at each threshold that it reaches
+        for b in own:
+            pairs = []
+            for t in labels[image, b["cls"]]:
+                i = max(min(t["x2"], b["x2"]) - max(t["x1"], b["x1"]), 0) * max(min(t["y2"], b["y2"]) - max(t["y1"], b["y1"]), 0)
+                u = (t["x2"] - t["x1"]) * (t["y2"] - t["y1"]) + (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) - i + 1e-7
+                pairs.append((-round(i / u, 9), t["gt_id"]))
+            best.append(min(pairs, default=(0, None)))
+        for th in TEN:
+            taken = set()
+            for det, (b, (iou, lab)) in enumerate(zip(own, best, strict=True), 1):
+                hit = -iou >= th and lab not in taken
+                if hit:
+                    taken.add(lab)
+                    found.append((image, th, det, lab))
+                hits[b["cls"], th].append((-b["conf"], image * 100000 + det, hit))
+    curves = {}
+    for (cls, th), own in hits.items():
+        tps = np.cumsum([hit for *_, hit in sorted(own)])
+        n = sum(len(v) for (_, c), v in labels.items() if c == cls)
+        curves[cls, th] = list(zip(tps.tolist(), (tps / np.arange(1, len(tps) + 1)).tolist(), (tps / n).tolist(), strict=True))
+    return sorted(found), curves
+
+
+def area(curve):
+    """The reference's average precision of 101 points."""
+    _, precision, recall = map(np.array, zip(*curve, strict=True))
+    x, y = np.concatenate(([0.0], recall, [1.0])), np.concatenate(([1.0], precision, [0.0]))
+    y, grid = np.flip(np.maximum.accumulate(np.flip(y))), np.linspace(0, 1, 101)
+    return np.trapezoid(np.interp(grid, x, y), grid)
+
+
+def test_matches_at_ten_thresholds(spark, sf_dir, scored):
+    assert rows(spark, sf_dir, "match_greedy", "image", "threshold", "det", "lab") == scored[0]
+
+
+def test_curves_at_ten_thresholds(spark, sf_dir, scored):
+    got = rows(spark, sf_dir, "pr_curve", "cls", "threshold", "rank", "tps", "precision", "recall", "envelope")
+    want = [(*k, n, *x, max(y[1] for y in c[n - 1 :])) for k, c in sorted(scored[1].items()) for n, x in enumerate(c, 1)]
+    assert [x[:4] for x in got] == [x[:4] for x in want]
+    assert np.allclose([x[4:] for x in got], [x[4:] for x in want], atol=1e-6)
+
+
+def test_best_f1_at_ten_thresholds(spark, sf_dir, scored):
+    want = {k: max(2 * p * r / (p + r + 1e-16) for _, p, r in c) for k, c in scored[1].items()}
+    got = rows(spark, sf_dir, "best_f1", "cls", "threshold", "f1")
+    assert [x[:2] for x in got] == sorted(want) and all(f == pytest.approx(want[c, t], abs=1e-6) for c, t, f in got)
+
+
+def test_map_over_ten_thresholds(spark, sf_dir, scored):
+    ap = {k: area(c) for k, c in scored[1].items()}
+    got = rows(spark, sf_dir, "average_precision", "cls", "threshold", "ap")
+    assert [x[:2] for x in got] == sorted(ap) and len(ap) == 30
+    assert [x[2] for x in got] == pytest.approx([ap[x[:2]] for x in got], abs=2e-5)  # where a recall is a place of the grid, the operator takes its first point, interp its last
+    summary = {x["cls"]: x for x in catalogue.QUERIES["map_summary"](spark, sf_dir).collect()}
+    assert len(summary) == 4
+    for cls, x in summary.items():
+        whole = np.mean([v for (c, _), v in ap.items() if cls in (c, None)])
+        at50 = np.mean([v for (c, t), v in ap.items() if cls in (c, None) and t == 0.5])
+        assert [x["map"], x["map50"], x["fitness"]] == pytest.approx([whole, at50, 0.1 * at50 + 0.9 * whole], abs=2e-6)
