@@ -6,7 +6,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from furrow.functions import geometry as G
 from furrow.plans import catalogue
 from furrow.plans.fixtures import boxes, points, truth
 
@@ -215,3 +217,25 @@ def test_map_over_ten_thresholds(spark, sf_dir, scored):
         whole = np.mean([v for (c, _), v in ap.items() if cls in (c, None)])
         at50 = np.mean([v for (c, t), v in ap.items() if cls in (c, None) and t == 0.5])
         assert [x["map"], x["map50"], x["fitness"]] == pytest.approx([whole, at50, 0.1 * at50 + 0.9 * whole], abs=2e-6)
+
+
+def test_view_interpolation_of_all_views(spark, sf_dir):
+    want, near = {}, 0
+    for p in points(spark, sf_dir).collect():
+        q = np.array([p["e3"] + 0.5, p["e4"], p["e5"], p["e6"]])
+        q /= np.linalg.norm(q)
+        near += abs(q[0]) > 0.99
+        q *= -1 if q[0] < 0 else 1
+        axis, angle = np.linalg.norm(q[1:]), np.arctan2(np.linalg.norm(q[1:]), q[0])
+        want[p["pid"]] = (np.cos(0.3 * angle), np.sin(0.3 * angle) * (q[1] / axis if axis else 0))
+    assert near
+    got = rows(spark, sf_dir, "view_interpolation", "pid", "w", "x")
+    assert [x[0] for x in got] == sorted(want)
+    assert all(x[1:] == pytest.approx(want[x[0]], abs=2e-6) for x in got)
+
+
+def test_slerp_without_rotation(spark):
+    one, zero = F.lit(1.0), F.lit(0.0)
+    for w, x in ((1.0, 0.0), (-1.0, 0.0), (1.0, 1e-9)):
+        got = spark.range(1).select(*G.slerp([one, zero, zero, zero], [F.lit(w), F.lit(x), zero, zero], F.lit(0.3))).first()
+        assert tuple(got) == pytest.approx((1, 0.3 * x, 0, 0), abs=1e-12)
