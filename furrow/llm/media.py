@@ -24,8 +24,8 @@ from .common import cut
 
 #: Payloads are padded to a multiple of so many bytes.
 UNIT = 64
-#: Least and most bytes of a chunk, and the zero bits at which it is cut (2**BITS bytes on average).
-LEAST, MOST, BITS = 4096, 131_072, 14
+#: Least and most bytes of a chunk, and the zero bits at which it is cut (2**BITS bytes on average after the least).
+LEAST, MOST, BITS = 256, 131_072, 10
 #: Media that a chunk may be part of before it is joined apart from the others.
 HOT = 10_000
 #: Bytes that the rolling hash sees.

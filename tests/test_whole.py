@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.functions import geometry as G
+from furrow.llm import media
 from furrow.plans import catalogue
 from furrow.plans.fixtures import boxes, points, truth
 
@@ -239,3 +240,10 @@ def test_slerp_without_rotation(spark):
     for w, x in ((1.0, 0.0), (-1.0, 0.0), (1.0, 1e-9)):
         got = spark.range(1).select(*G.slerp([one, zero, zero, zero], [F.lit(w), F.lit(x), zero, zero], F.lit(0.3))).first()
         assert tuple(got) == pytest.approx((1, 0.3 * x, 0, 0), abs=1e-12)
+
+
+def test_short_media_share_chunks():
+    draws = np.random.default_rng(5)
+    a, b, passage = (draws.integers(97, 123, n, dtype=np.uint8).tobytes().decode() for n in (600, 600, 2400))
+    one, other = (set(media.chunks(media.stored(media.payload_of(text)[1]))) for text in (a + passage, b + passage))
+    assert sum(len(data) for _, data in one & other) > 0
