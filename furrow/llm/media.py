@@ -2,14 +2,16 @@
 
 A payload is stored as a WAV file of 8-bit samples. A rolling gear hash cuts the file where its
 top bits are zero, so that equal passages give equal chunks wherever they stand. Chunks are
-deduplicated by digest through Spark, a medium is the ordered list of its chunks' digests, and
-reading joins list and chunks, puts the file together and verifies it.
+deduplicated by digest through Spark, a medium is the ordered list of its chunks' digests. Both are
+tables in the shared folder, which Spark's committer writes; reading joins list and chunks as they
+stand there, puts the file together and verifies it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -17,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shared_dir
 
 #: Payloads are padded to a multiple of so many bytes.
 UNIT = 64
@@ -179,12 +181,25 @@ def read(manifest: DataFrame, store: DataFrame) -> DataFrame:
     return parts.filter("n = 1").mapInArrow(run, READ).unionByName(several.mapInArrow(run, READ))
 
 
+def write(docs: DataFrame, path: str) -> None:
+    """Writes the chunks and the manifest of all rows as tables at path."""
+    chunk_store(docs).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
+    manifests(docs).write.option("compression", "uncompressed").parquet(f"{path}/manifest")
+
+
+def tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The manifest and the chunks at path."""
+    return spark.read.parquet(f"{path}/manifest"), spark.read.parquet(f"{path}/chunks")
+
+
 def stored_and_read(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: its medium as stored in chunks and read back.
+    """Writes the media of docs to the shared folder and reads them back, a row for each row of docs.
 
     docs needs doc_id and text; other columns are ignored. A null or empty text is a payload of
     UNIT bytes 0. Equal texts are one medium and have equal values; repeated rows stay. An empty
     table gives an empty result.
     """
-    manifest = cut(manifests(docs))
-    return manifest.select("doc_id", "n_bytes", "media").join(read(manifest, chunk_store(docs)), "media").drop("media")
+    path = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
+    write(docs, path)
+    manifest, store = tables(docs.sparkSession, path)
+    return manifest.select("doc_id", "n_bytes", "media").join(read(manifest, store), "media").drop("media")
