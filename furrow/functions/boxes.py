@@ -117,6 +117,11 @@ def size_iou(w1: Column, h1: Column, w2: Column, h2: Column, eps: float = EPS) -
     return both / (w1 * h1 + w2 * h2 - both + eps)
 
 
+def size_ratio(a: Column, b: Column) -> Column:
+    """How many times the larger of two lengths is the smaller; infinite where one of them is 0."""
+    return F.when((a <= 0) | (b <= 0), F.lit(math.inf)).otherwise(F.greatest(F.try_divide(a, b), F.try_divide(b, a)))
+
+
 def iou_family(a: Box, b: Box, eps: float = EPS) -> dict[str, Column]:
     """IoU with its generalised, distance and complete variants; heights are at least eps."""
     w1, h1, w2, h2 = a[2] - a[0], F.greatest(a[3] - a[1], F.lit(eps)), b[2] - b[0], F.greatest(b[3] - b[1], F.lit(eps))

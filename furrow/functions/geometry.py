@@ -21,7 +21,8 @@ def let(values: Vec, names: Sequence[str], f) -> Column:
 
 
 def unit(q: Vec) -> tuple[Column, ...]:
-    n = F.sqrt(sum((c * c for c in q), F.lit(0.0)))
+    """A quaternion over its length; one of length 0 stays 0, which rotation() takes for none."""
+    n = F.greatest(F.sqrt(sum((c * c for c in q), F.lit(0.0))), F.lit(1e-12))
     return tuple(c / n for c in q)
 
 
@@ -119,17 +120,22 @@ def conic(a: Column, b: Column, c: Column) -> tuple[Column, ...]:
     return c / ok, -b / ok, a / ok, F.ceil(3 * F.sqrt(F.greatest(mid + root, mid - root)) + ok * 0)
 
 
+# The shifts and masks that put two free bits after each bit of ten.
+MORTON_STEPS = ((16, 0x30000FF), (8, 0x300F00F), (4, 0x30C30C3), (2, 0x9249249))
+
+
 def morton(x: Column, y: Column, z: Column) -> Column:
     """Interleaved bits of three coordinates of ten bits."""
 
     def spread(v: Column) -> Column:
-        for shift, mask in ((16, 0x30000FF), (8, 0x300F00F), (4, 0x30C30C3), (2, 0x9249249)):
+        for shift, mask in MORTON_STEPS:
             v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
         return v
 
     return spread(x).bitwiseOR(F.shiftleft(spread(y), 1)).bitwiseOR(F.shiftleft(spread(z), 2))
 
 
+# Fixed value: the golden ratio as far as it is used.
 GOLDEN = 1.6180339887
 
 
@@ -152,15 +158,28 @@ def id_colour(i: Column) -> tuple[Column, ...]:
     return tuple(out)
 
 
-# Real spherical harmonics up to degree 2.
-C0, C1 = 0.28209479177387814, 0.4886025119029199
-C2 = (1.0925484305920792, -1.0925484305920792, 0.31539156525252005, -1.0925484305920792, 0.5462742152960396)
+def legendre(degree: int, order: int, z: Column) -> Column:
+    """The associated Legendre polynomial of z over (1 - z^2)^(order / 2), by the recurrence in the degree."""
+    below, now = F.lit(0.0), F.lit(float(math.prod(range(1, 2 * order, 2))))
+    for n in range(order + 1, degree + 1):
+        below, now = now, (z * float(2 * n - 1) * now - float(n + order - 1) * below) / float(n - order)
+    return now
 
 
-def harmonics(c: Vec, d: Vec) -> Column:
-    """Colour in a direction from nine coefficients, half added, not under 0."""
+def harmonic(degree: int, order: int, d: Vec) -> Column:
+    """A real spherical harmonic in a unit direction, with the sign (-1)^order."""
     x, y, z = d
-    basis = [C0, -C1 * y, C1 * z, -C1 * x, C2[0] * x * y, C2[1] * y * z, C2[2] * (2 * z * z - x * x - y * y), C2[3] * x * z, C2[4] * (x * x - y * y)]
+    m = abs(order)
+    scale = math.sqrt((2 * degree + 1) / (4 * math.pi) * math.factorial(degree - m) / math.factorial(degree + m)) * (math.sqrt(2) if m else 1) * (-1) ** m
+    real, imaginary = F.lit(1.0), F.lit(0.0)  # of (x + iy)^m
+    for _ in range(m):
+        real, imaginary = real * x - imaginary * y, real * y + imaginary * x
+    return scale * legendre(degree, m, z) * (imaginary if order < 0 else real)
+
+
+def harmonics(c: Vec, d: Vec, degree: int = 2) -> Column:
+    """Colour in a unit direction from (degree + 1)^2 coefficients, by degree and order, half added, not under 0."""
+    basis = [harmonic(n, m, d) for n in range(degree + 1) for m in range(-n, n + 1)]
     return F.greatest(sum((a * b for a, b in zip(c, basis, strict=True)), F.lit(0.0)) + 0.5, F.lit(0.0))
 
 
@@ -190,6 +209,6 @@ def slerp(a: Vec, b: Vec, t: Column) -> tuple[Column, ...]:
     sign = F.when(dot < 0, -1.0).otherwise(1.0)
     angle = F.acos(F.least(F.abs(dot), F.lit(1.0)))
     near = F.sin(angle) < 1e-6
-    wa = F.when(near, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
-    wb = F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle)) * sign
+    wa = F.when(near, 1 - t).otherwise(F.try_divide(F.sin((1 - t) * angle), F.sin(angle)))
+    wb = F.when(near, t).otherwise(F.try_divide(F.sin(t * angle), F.sin(angle))) * sign
     return tuple(wa * x + wb * y for x, y in zip(a, b, strict=True))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +53,8 @@ def average_precision(points: DataFrame, by: list[str], steps: int = 100) -> Dat
 
 def f1(precision: Column, recall: Column) -> Column:
     return 2 * precision * recall / (precision + recall + EPS)
+
+
+def psnr(mse: Column, peak: float = 1.0, rounded: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Peak signal to noise in decibels, infinite where there is no error."""
+    return F.when(mse > 0, rounded(10 * F.log10(F.try_divide(F.lit(peak * peak), mse)))).when(mse.isNotNull(), F.lit(math.inf))

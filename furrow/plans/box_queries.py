@@ -83,7 +83,7 @@ def polygon_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return triangle(boxes(spark, sf)).select(*IDS, *named("a", B.polygon_bounds(F.col("pts"))), r(inside[0]).alias("i1"), r(inside[3]).alias("i4"))
 
 
-@query("polygon_resample", sql(f""", t AS (SELECT image, box_id, [x1, x2, x2, x1] AS xs, [y1, y1, y2, y1] AS ys, unnest(range(0, 7)) AS i FROM boxes WHERE image % 7 = 0), u AS (
+@query("polygon_resample", sql(f""", t AS (SELECT image, box_id, [x1, x2, x2, x1] AS xs, [y1, y1, y2, y1] AS ys, unnest(range(0, 7)) AS i FROM boxes), u AS (
   SELECT *, least(floor(i * 3 / 6.0::DOUBLE), 2)::INT AS low FROM t)
   SELECT image, box_id, i::BIGINT AS i, {R('xs[low+1] + (xs[low+2] - xs[low+1]) * (i * 3 / 6.0::DOUBLE - low)')} AS x, {R('ys[low+1] + (ys[low+2] - ys[low+1]) * (i * 3 / 6.0::DOUBLE - low)')} AS y FROM u""", "boxes"))
 def polygon_resample(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,10 +103,12 @@ def polygon_scale(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(*IDS, r(s["x"]).alias("x"), r(s["y"]).alias("y"), r(n["x"]).alias("nx"), r(p["x"]).alias("px"), r(p["y"]).alias("py"))
 
 
-PAIRS = """, pairs AS (SELECT a.image, a.box_id AS a_id, b.box_id AS b_id, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2,
+#: Boxes by the grid columns that they meet, so that the join has two equal keys; a pair counts in the column of its overlap's left edge.
+PAIRS = """, cells AS MATERIALIZED (SELECT *, unnest(range(floor(x1 / 64)::BIGINT, floor(x2 / 64)::BIGINT + 1)) AS cell FROM boxes),
+  pairs AS (SELECT a.image, a.box_id AS a_id, b.box_id AS b_id, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2,
   greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i,
-  (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ba, a.conf AS a_conf, b.conf AS b_conf, a.cls AS a_cls, b.cls AS b_cls
-  FROM boxes a JOIN boxes b ON a.image = b.image AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2)"""
+  (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ba
+  FROM cells a JOIN cells b ON a.image = b.image AND a.cell = b.cell WHERE a.cell = floor(greatest(a.x1, b.x1) / 64) AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2)"""
 
 
 def pairs_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,7 +183,7 @@ def nms_per_class(spark: SparkSession, sf: str) -> DataFrame:
     return O.nms(boxes(spark, sf), ["image", "cls"]).select("image", "box_id", r(F.col("conf")).alias("conf"))
 
 
-@query("nms_agnostic", nms_sql("all", 20))
+@query("nms_agnostic", nms_sql("all"))
 def nms_agnostic(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes left by suppression over all classes of an image, 300 at most."""
     return O.nms(boxes(spark, sf), ["image"]).select("image", "box_id", r(F.col("conf")).alias("conf"))
@@ -199,7 +201,7 @@ def nms_padded(spark: SparkSession, sf: str) -> DataFrame:
     return grid.join(slots.drop("n_valid"), ["image", "slot"], "left").select("image", "slot", F.coalesce("box_id", F.lit(-1)).cast("long").alias("box_id"), F.coalesce("conf", F.lit(0.0)).alias("conf"), "n_valid")
 
 
-@query("merge_nms", sql(f""", k AS (SELECT * FROM ({nms_sql('all', 10)})), p AS (SELECT a.image, a.box_id, b.* EXCLUDE (image, box_id), greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i,
+@query("merge_nms", sql(f""", k AS (SELECT * FROM ({nms_sql('all')})), p AS (SELECT a.image, a.box_id, b.* EXCLUDE (image, box_id), greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i,
   (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM boxes a JOIN k ON a.image = k.image AND a.box_id = k.box_id JOIN boxes b ON a.image = b.image)
   SELECT image, box_id, {R('sum(x1 * conf) / sum(conf)')} AS x1, {R('sum(y1 * conf) / sum(conf)')} AS y1, {R('sum(x2 * conf) / sum(conf)')} AS x2, {R('sum(y2 * conf) / sum(conf)')} AS y2, count(*) AS n_merged
   FROM p WHERE i > 0.45 * (s - i) GROUP BY image, box_id""", "boxes"))
@@ -276,7 +278,7 @@ def anchor_match(spark: SparkSession, sf: str) -> DataFrame:
     x, y, w, h = B.xyxy_to_xywh(B.box())
     t = boxes(spark, sf).select(*IDS, (x / 8).alias("gx"), (y / 8).alias("gy"), w.alias("w"), h.alias("h"))
     anchors = F.array(*[F.struct(F.lit(a).alias("aw"), F.lit(b).alias("ah")) for a, b in ANCHORS])
-    m = t.select("*", F.posexplode(anchors).alias("anchor", "a")).filter(F.greatest(F.col("w") / F.col("a.aw"), F.col("a.aw") / F.col("w"), F.col("h") / F.col("a.ah"), F.col("a.ah") / F.col("h")) < 4)
+    m = t.select("*", F.posexplode(anchors).alias("anchor", "a")).filter(F.greatest(B.size_ratio(F.col("w"), F.col("a.aw")), B.size_ratio(F.col("h"), F.col("a.ah"))) < 4)
     near = lambda c: (c - F.floor(c) < 0.5) & (c > 1)
     gx, gy = F.col("gx"), F.col("gy")
     offsets = [(F.lit(True), 0.0, 0.0), (near(gx), 0.5, 0.0), (near(gy), 0.0, 0.5), (near(80 - gx), -0.5, 0.0), (near(60 - gy), 0.0, -0.5)]
@@ -289,7 +291,7 @@ def anchor_match(spark: SparkSession, sf: str) -> DataFrame:
 def anchor_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Best possible recall of a set of anchors, and how many fit a box."""
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    x = [F.least(F.least(w / a, a / w), F.least(h / b, b / h)) for a, b in ((F.lit(p), F.lit(q)) for p, q in ANCHORS)]
+    x = [1 / F.greatest(B.size_ratio(w, F.lit(a)), B.size_ratio(h, F.lit(b))) for a, b in ANCHORS]
     n = sum((F.when(c > 0.25, 1).otherwise(0) for c in x), F.lit(0))
     return boxes(spark, sf).agg(r(F.avg(F.when(F.greatest(*x) > 0.25, 1.0).otherwise(0.0))).alias("recall"), r(F.avg(n)).alias("anchors_past"))
 

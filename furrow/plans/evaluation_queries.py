@@ -14,7 +14,7 @@ from .registry import query
 MATCH = """, det AS (SELECT image, box_id, cls, conf, x1, y1, x2, y2, row_number() OVER (PARTITION BY image ORDER BY conf DESC, box_id) AS det FROM boxes),
  pr AS (SELECT t.image, t.gt_id AS lab, d.det, greatest(least(t.x2, d.x2) - greatest(t.x1, d.x1), 0) * greatest(least(t.y2, d.y2) - greatest(t.y1, d.y1), 0) AS i, (t.x2-t.x1)*(t.y2-t.y1) + (d.x2-d.x1)*(d.y2-d.y1) AS s
    FROM truth t JOIN det d ON t.image = d.image AND t.cls = d.cls), io AS (SELECT image, lab, det, round(i / (s - i + 1e-7), 9) AS iou FROM pr),
- ov AS (SELECT io.*, th FROM io CROSS JOIN (SELECT unnest([0.5, 0.75])::DOUBLE AS th) WHERE iou >= th), f1 AS (SELECT *, row_number() OVER (PARTITION BY image, th, det ORDER BY iou DESC, lab) AS n FROM ov),
+ ov AS (SELECT io.*, th FROM io CROSS JOIN (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS th) WHERE iou >= th), f1 AS (SELECT *, row_number() OVER (PARTITION BY image, th, det ORDER BY iou DESC, lab) AS n FROM ov),
  f2 AS (SELECT *, row_number() OVER (PARTITION BY image, th, lab ORDER BY det) AS m FROM f1 WHERE n = 1), mt AS (SELECT image, th, det, lab, iou FROM f2 WHERE m = 1)"""
 
 #: The reference's IoU thresholds.
@@ -38,7 +38,7 @@ def match_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return matches(spark, sf).select("image", "threshold", "det", "lab", r(F.col("iou")).alias("iou"))
 
 
-CURVE = MATCH + """, sc AS (SELECT d.cls, th, d.conf, d.image * 100000 + d.det AS tie, CASE WHEN mt.det IS NULL THEN 0 ELSE 1 END AS tp FROM det d CROSS JOIN (SELECT unnest([0.5, 0.75])::DOUBLE AS th) h LEFT JOIN mt USING (image, det, th)),
+CURVE = MATCH + """, sc AS (SELECT d.cls, th, d.conf, d.image * 100000 + d.det AS tie, CASE WHEN mt.det IS NULL THEN 0 ELSE 1 END AS tp FROM det d CROSS JOIN (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS th) h LEFT JOIN mt USING (image, det, th)),
  tot AS (SELECT cls, count(*) AS n_true FROM truth GROUP BY cls), rk AS (SELECT *, row_number() OVER w AS rank, sum(tp) OVER (PARTITION BY cls, th ORDER BY conf DESC, tie ROWS UNBOUNDED PRECEDING) AS tps FROM sc WINDOW w AS (PARTITION BY cls, th ORDER BY conf DESC, tie)),
  cv AS (SELECT rk.*, tps / rank::DOUBLE AS precision, tps / (n_true + 1e-16::DOUBLE) AS recall FROM rk JOIN tot USING (cls)), en AS (SELECT *, max(precision) OVER (PARTITION BY cls, th ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM cv)"""
 
@@ -95,7 +95,7 @@ def top_k_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return boxes(spark, sf).withColumn("n", rank).rollup("cls").agg(r(F.avg((F.col("n") == 1).cast("double"))).alias("top1"), r(F.avg((F.col("n") <= 2).cast("double"))).alias("top2"))
 
 
-PX = """, m AS (SELECT image, box_id AS mask, unnest(range(floor(x1 / 8)::BIGINT, floor(x2 / 8)::BIGINT)) AS gx, y1, y2 FROM boxes WHERE image % 5 = 0), p AS (SELECT image, mask, gx + 100 * unnest(range(floor(y1 / 8)::BIGINT, floor(y2 / 8)::BIGINT)) AS px FROM m)"""
+PX = """, m AS (SELECT image, box_id AS mask, unnest(range(floor(x1 / 8)::BIGINT, floor(x2 / 8)::BIGINT)) AS gx, y1, y2 FROM boxes), p AS (SELECT image, mask, gx + 100 * unnest(range(floor(y1 / 8)::BIGINT, floor(y2 / 8)::BIGINT)) AS px FROM m)"""
 
 
 def mask_pixels(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,7 +136,7 @@ def mask_overlap_order(spark: SparkSession, sf: str) -> DataFrame:
     return O.top_n(p.join(n, ["image", "mask"]), ["image", "px"], [F.col("n"), F.desc("mask")], 1).select("image", "px", "mask")
 
 
-@query("mask_dilation", sql(PX + " SELECT DISTINCT image, mask, px + dx + 100 * dy AS px FROM p CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dx) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dy) WHERE image % 25 = 0 AND (px % 100) + dx BETWEEN 0 AND 99", "boxes"))
+@query("mask_dilation", sql(PX + " SELECT DISTINCT image, mask, px + dx + 100 * dy AS px FROM p CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dx) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dy) WHERE (px % 100) + dx BETWEEN 0 AND 99", "boxes"))
 def mask_dilation(spark: SparkSession, sf: str) -> DataFrame:
     """Masks grown by one cell each way."""
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
@@ -192,12 +192,12 @@ def label_histograms(spark: SparkSession, sf: str) -> DataFrame:
     return boxes(spark, sf).groupBy("cls", F.least(F.floor((F.col("x2") - F.col("x1")) / 2), F.lit(24)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("image_quality", sql(f"SELECT source, {R('avg((value - prev)^2)')} AS mse, {R('10 * log10(10000 / avg((value - prev)^2))')} AS psnr, {R('avg(abs(value - prev))')} AS l1 FROM (SELECT *, lag(value) OVER (PARTITION BY source ORDER BY frame) AS prev FROM frames) WHERE prev IS NOT NULL GROUP BY source", "frames"))
+@query("image_quality", sql(f"SELECT source, {R('avg((value - prev)^2)')} AS mse, CASE WHEN avg((value - prev)^2) > 0 THEN {R('10 * log10(10000 / avg((value - prev)^2))')} ELSE 'Infinity'::DOUBLE END AS psnr, {R('avg(abs(value - prev))')} AS l1 FROM (SELECT *, lag(value) OVER (PARTITION BY source ORDER BY frame) AS prev FROM frames) WHERE prev IS NOT NULL GROUP BY source", "frames"))
 def image_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean squared and absolute error and PSNR between successive values."""
+    """Mean squared and absolute error and PSNR between successive values; that of equal ones is infinite."""
     p = frames(spark, sf).withColumn("prev", F.lag("value").over(Window.partitionBy("source").orderBy("frame"))).filter("prev is not null")
     d = F.col("value") - F.col("prev")
-    return p.groupBy("source").agg(r(F.avg(d * d)).alias("mse"), r(10 * F.log10(10000 / F.avg(d * d))).alias("psnr"), r(F.avg(F.abs(d))).alias("l1"))
+    return p.groupBy("source").agg(r(F.avg(d * d)).alias("mse"), E.psnr(F.avg(d * d), 100.0, r).alias("psnr"), r(F.avg(F.abs(d))).alias("l1"))
 
 
 @query("latest_runs", sql(f""", k AS (SELECT *, row_number() OVER (PARTITION BY grp, method ORDER BY stamp DESC, run DESC) AS n FROM runs) SELECT grp, method, run, {R('metric')} AS metric FROM k WHERE n = 1""", "runs"))

@@ -129,8 +129,8 @@ def orbit_path(spark: SparkSession, _sf: str) -> DataFrame:
     return spark.range(60).select(i.alias("i"), r(2 * math.cos(e) * F.cos(a)).alias("x"), r(2 * math.cos(e) * F.sin(a)).alias("y"), r(F.lit(2 * math.sin(e))).alias("z"))
 
 
-@query("view_interpolation", sql(QSQL + f""", v AS (SELECT pid, qw, qx, qy, qz, CASE WHEN qw < 0 THEN -1 ELSE 1 END AS sg, acos(least(abs(qw), 1)) AS an FROM m WHERE qw BETWEEN -0.99 AND 0.99)
- SELECT pid, {R('sin(0.7*an)/sin(an) + sin(0.3*an)/sin(an)*sg*qw')} AS w, {R('sin(0.3*an)/sin(an)*sg*qx')} AS x FROM v""", "points"))
+@query("view_interpolation", sql(QSQL + f""", v AS (SELECT pid, qw, qx, qy, qz, CASE WHEN qw < 0 THEN -1 ELSE 1 END AS sg, acos(least(abs(qw), 1)) AS an FROM m), t AS (SELECT *, CASE WHEN sin(an) < 1e-6 THEN 0.7 ELSE sin(0.7*an)/sin(an) END AS wa, CASE WHEN sin(an) < 1e-6 THEN 0.3 ELSE sin(0.3*an)/sin(an) END * sg AS wb FROM v)
+ SELECT pid, {R('wa + wb*qw')} AS w, {R('wb*qx')} AS x FROM t""", "points"))
 def view_interpolation(spark: SparkSession, sf: str) -> DataFrame:
     """Quaternions three tenths of the way from no rotation to a view."""
     got = G.slerp([F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)], quat(), F.lit(0.3))

@@ -30,8 +30,8 @@ def outlier_removal(spark: SparkSession, sf: str) -> DataFrame:
     return P.without_outliers(cloud(spark, sf), "file_id", 8, 2.0).select("file_id", "pid")
 
 
-@query("nearest_views", sql(""", v AS (SELECT pid, x, y, z FROM points WHERE file_id = 0), d AS (SELECT a.pid, b.pid AS other, sqrt((a.x-b.x)^2 + (a.y-b.y)^2 + (a.z-b.z)^2) AS d FROM v a CROSS JOIN v b),
- k AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, other) AS n FROM d WHERE d >= 1e-6) SELECT pid, other, n FROM k WHERE n <= 4""", "points"))
+@query("nearest_views", sql(""", d AS (SELECT a.file_id, a.pid, b.pid AS other, sqrt((a.x-b.x)^2 + (a.y-b.y)^2 + (a.z-b.z)^2) AS d FROM points a JOIN points b ON a.file_id = b.file_id),
+ k AS (SELECT *, row_number() OVER (PARTITION BY file_id, pid ORDER BY d, other) AS n FROM d WHERE d >= 1e-6) SELECT pid, other, n FROM k WHERE n <= 4""", "points"))
 def nearest_views(spark: SparkSession, sf: str) -> DataFrame:
     """The four nearest views of each view in its scene."""
     v = cloud(spark, sf)

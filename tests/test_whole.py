@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import zstandard
 from pyspark.sql import functions as F
 
 from furrow.functions import geometry as G
-from furrow.llm import common, media
 from furrow.plans import catalogue
 from furrow.plans.fixtures import boxes, points, truth
 
@@ -242,26 +239,3 @@ def test_slerp_without_rotation(spark):
     for w, x in ((1.0, 0.0), (-1.0, 0.0), (1.0, 1e-9)):
         got = spark.range(1).select(*G.slerp([one, zero, zero, zero], [F.lit(w), F.lit(x), zero, zero], F.lit(0.3))).first()
         assert tuple(got) == pytest.approx((1, 0.3 * x, 0, 0), abs=1e-12)
-
-
-def test_short_media_share_chunks():
-    draws = np.random.default_rng(5)
-    a, b, passage = (draws.integers(97, 123, n, dtype=np.uint8).tobytes().decode() for n in (600, 600, 2400))
-    one, other = (set(media.chunks(media.stored(media.payload_of(text)[1]))) for text in (a + passage, b + passage))
-    assert sum(len(data) for _, data in one & other) > 0
-
-
-def test_media_are_stored_and_read_from_there(spark):
-    texts = ["one passage " * 900, "one passage " * 900 + "and more", "short", "", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    got = media.stored_and_read(docs)
-    folders = {f.partition("/media-")[2].partition("/")[0] for f in got.inputFiles()}
-    assert len(folders) == 1 and folders != {""}
-    path = f"{common.shared_dir(spark)}/media-{folders.pop()}"
-    chunks = {x["digest"]: zstandard.decompress(x["data"]) for x in spark.read.parquet(f"{path}/chunks").collect()}
-    assert len(chunks) == spark.read.parquet(f"{path}/chunks").count()
-    listed = {x["doc_id"]: x["digests"] for x in spark.read.parquet(f"{path}/manifest").collect()}
-    for doc, text in enumerate(texts):
-        whole = b"".join(chunks[d] for d in listed[doc])
-        assert whole == media.stored(media.payload_of(text)[1])
-    assert {x["doc_id"]: x["media_sha256"] for x in got.collect()} == {d: hashlib.sha256(media.stored(media.payload_of(t)[1])).hexdigest() for d, t in enumerate(texts)}
