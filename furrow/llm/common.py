@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once; one longer text is handled alone.
@@ -19,11 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where that is unset."""
+    """The folder in spark.checkpoint.dir, or the one set with setCheckpointDir.
+
+    Where neither is set, a temporary one serves local mode; on a cluster, whose machines do
+    not share it, that is an error.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
         given = spark.sparkContext.getCheckpointDir()
     if not given:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="furrow-checkpoint-")
         spark.sparkContext.setCheckpointDir(given)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -37,6 +45,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """rows with their place in an order, from 1, in a column called name.
+
+    Partitions by range are sorted on their own and counted; only one count a partition meets
+    on the driver.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = cut(ranged.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")))
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("least")).orderBy("__part").collect()
+    before = [0, *accumulate(c["n"] for c in counts)]
+    starts = [(c["__part"], b - c["least"] + 1) for c, b in zip(counts, before, strict=False)]
+    first = rows.sparkSession.createDataFrame(starts, "__part int, __first long")
+    return dealt.join(F.broadcast(first), "__part").withColumn(name, F.col("__at") + F.col("__first")).drop("__part", "__at", "__first")
+
+
 def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets into bytes) of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -3,19 +3,20 @@
 Each unit is taken floor(p) or floor(p) + 1 times, p being its source's target over its
 source's size. The fractional parts are the inclusion probabilities of a balanced sample:
 the flight moves them inside the null space of two constraints, the number of documents and
-the number of words, and at most two units of a block stay fractional. Those of all blocks of
-a source meet in the next round, until one block a source is left. Large units fly first, so that the last two are small; they are
-landed by the joint draw with the smaller expected error in words.
+the number of words. It settles the largest unit that is left, all others making up for it,
+so that the few that stay fractional are small. Those of all blocks of a source meet in the
+next round, until one block a source is left. Its last units are landed by a draw, and the
+words that the draw is off are made up by the fewest changes of how often units are taken.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered
 
 #: Units in a block of the flight phase.
 BLOCK = 1024
@@ -24,6 +25,8 @@ MOST_REPEATS = 3
 FEW_SOURCES = 50_000
 WORDS = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
+#: Units times words up to which the landing finds the nearest total there is; over it, changes of one or two units.
+EXACT = 20_000_000
 
 
 def targets(sources: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
@@ -31,117 +34,143 @@ def targets(sources: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
 
     Weights are 1, 2, 3, 1, ... by code point, null last. A target stops at most times its
     source's size and the excess is shared again by weight: target = min(most * size, level *
-    weight), the level being found from running sums over the sources in order of
-    size / weight, at which they reach their limit.
+    weight). The level rises from that without stops, one aggregation a step, until no further
+    source stops; a source that stops at a level stops at every higher one.
     """
-    all_rows = Window.partitionBy(F.lit(0))
-    order = all_rows.orderBy(F.col("src").asc_nulls_last())
-    ranked = sources.withColumn("rank", F.row_number().over(order)).withColumn("w", ((F.col("rank") - 1) % 3 + 1).cast("long"))
-    reach = all_rows.orderBy((F.col("source_size") / F.col("w")).asc(), "rank")
-    before = reach.rowsBetween(Window.unboundedPreceding, -1)
-    limits = ranked.withColumns(
-        {
-            "total": F.sum("source_size").over(all_rows),
-            "all_w": F.sum("w").over(all_rows),
-            "below": F.coalesce(F.sum("source_size").over(before), F.lit(0)),
-            "below_w": F.coalesce(F.sum("w").over(before), F.lit(0)),
-        }
-    )
-    # level if every source before this one stopped; the first that does not stop gives the level
-    level = (F.col("total") - most * F.col("below")).cast("double") / (F.col("all_w") - F.col("below_w"))
-    stops = level * F.col("w") > most * F.col("source_size")
-    found = limits.withColumn("level", F.min(F.when(~stops, F.struct((F.col("source_size") / F.col("w")).alias("r"), F.col("rank"), level.alias("v")))).over(all_rows)["v"])
-    cap = (most * F.col("source_size")).cast("double")
-    return found.select("src", "source_size", "n", "rank", F.coalesce(F.least(cap, F.col("level") * F.col("w")), cap).alias("target"))
+    ranked = numbered(sources, "rank", F.col("src").asc_nulls_last()).withColumn("w", ((F.col("rank") - 1) % 3 + 1).cast("long"))
+    cap, level, before = (most * F.col("source_size")).cast("double"), 0.0, -1
+    while True:
+        stops = F.col("w") * F.lit(level) > cap
+        now = ranked.agg(
+            F.sum("source_size").alias("total"), F.sum("w").alias("w"), F.count_if(stops).alias("stopped"),
+            F.sum(F.when(stops, F.col("source_size")).otherwise(0)).alias("below"), F.sum(F.when(stops, F.col("w")).otherwise(0)).alias("below_w"),
+        ).first()
+        if not now["w"] or now["stopped"] == before or now["w"] == now["below_w"]:
+            break
+        before, level = now["stopped"], (now["total"] - most * now["below"]) / (now["w"] - now["below_w"])
+    return ranked.select("src", "source_size", "n", "rank", F.least(cap, F.col("w") * F.lit(level)).alias("target"))
 
 
 def flight(p: np.ndarray, count: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np.ndarray:
     """Probabilities moved until at most two are fractional, sums of count and size kept.
 
-    Three units at a time: their null space is the cross product of the two constraint rows.
+    A step moves the first unit that is fractional, the largest if units come by falling size,
+    along its own axis projected into the null space of the two constraint rows over all
+    fractional units. How far, one way or the other, is drawn so that each probability keeps
+    its mean; every step settles a unit at least.
     """
-    p, n = p.copy(), len(p)
-    chance = draws.random(2 * n + 4)
-    count, size = count.astype(float), size.astype(float)
-    live: list[int] = []
-    used = 0
-    for i in range(n + 1):
-        if i < n:
-            if EPS < p[i] < 1 - EPS:
-                live.append(i)
-            else:
-                p[i] = round(p[i])
-                continue
-        while len(live) >= (3 if i < n else 2):
-            if len(live) >= 3:
-                a, b, c = live[:3]
-                u = [count[b] * size[c] - count[c] * size[b], count[c] * size[a] - count[a] * size[c], count[a] * size[b] - count[b] * size[a]]
-                top = max(map(abs, u))
-                if top <= 1e-12 * max(1.0, count[a] * size[b]):
-                    u = [count[b], -count[a], 0.0] if size[a] * count[b] == size[b] * count[a] else [0.0, count[c], -count[b]]
-            else:
-                a, b = live[:2]
-                if count[a] * size[b] != count[b] * size[a]:
-                    break
-                u = [count[b], -count[a]]
-            trio = live[: len(u)]
-            up = min((1 - p[k]) / x if x > 0 else p[k] / -x for k, x in zip(trio, u, strict=True) if x)
-            down = min(p[k] / x if x > 0 else (1 - p[k]) / -x for k, x in zip(trio, u, strict=True) if x)
-            step = up if chance[used] * (up + down) < down else -down
-            used += 1
-            fixed = False
-            for k, x in zip(trio, u, strict=True):
-                p[k] += step * x
-                if p[k] < EPS or p[k] > 1 - EPS:
-                    p[k] = 0.0 if p[k] < 0.5 else 1.0
-                    live.remove(k)
-                    fixed = True
-            if not fixed:  # rounding kept the boundary from being met
-                k = min(trio, key=lambda j: min(p[j], 1 - p[j]))
-                p[k] = 0.0 if p[k] < 0.5 else 1.0
-                live.remove(k)
-    return p
-
-
-def land(p: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np.ndarray:
-    """Draws the last fractional units, two at most at a time, keeping each one's probability."""
     p = p.copy()
-    left = [i for i in range(len(p)) if EPS < p[i] < 1 - EPS]
-    while left:
-        if len(left) == 1:
-            p[left[0]] = float(draws.random() < p[left[0]])
+    chance = iter(draws.random(2 * len(p) + 4))
+    live = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    p[np.setdiff1d(np.arange(len(p)), live)] = np.round(p[np.setdiff1d(np.arange(len(p)), live)])
+    top = max(1.0, float(size.max(initial=0.0)))
+    a, b, q = count[live].astype(float), size[live] / top, p[live]
+    while len(live) > 1:
+        aa, ab, bb = a @ a, a @ b, b @ b
+        det = aa * bb - ab * ab
+        if det > 1e-12 * aa * bb:
+            u = -a * ((bb * a[0] - ab * b[0]) / det) - b * ((aa * b[0] - ab * a[0]) / det)
+        else:  # all of the same shape: one row is enough
+            u = -a * (a[0] / aa)
+        u[0] += 1
+        if np.abs(u).max() < 1e-9:
             break
-        a, b = left[:2]
-        left = left[2:]
-        goal = p[a] * size[a] + p[b] * size[b]
-        cost = {(x, y): (x * size[a] + y * size[b] - goal) ** 2 for x in (0, 1) for y in (0, 1)}
-
-        def expected(both: float, a: int = a, b: int = b, cost: dict = cost) -> float:
-            return both * cost[1, 1] + (p[a] - both) * cost[1, 0] + (p[b] - both) * cost[0, 1] + (1 - p[a] - p[b] + both) * cost[0, 0]
-
-        both = min((max(0.0, p[a] + p[b] - 1), min(p[a], p[b])), key=expected)
-        x = draws.random()
-        one, two = p[a], p[b]
-        p[a] = float(x < one)
-        p[b] = float(x < both or one <= x < one + two - both)
+        rise = u > 0
+        room = np.where(rise, 1 - q, q)
+        fall = np.where(rise, q, 1 - q)
+        speed = np.maximum(np.abs(u), 1e-15)
+        up, down = float((room / speed).min()), float((fall / speed).min())
+        q = q + u * (up if next(chance) * (up + down) < down else -down)
+        done = (q < EPS) | (q > 1 - EPS)
+        if not done.any():  # rounding kept the boundary from being met
+            done[np.minimum(q, 1 - q).argmin()] = True
+        p[live[done]] = np.round(q[done])
+        live, a, b, q = live[~done], a[~done], b[~done], q[~done]
+    p[live] = q
     return p
 
 
-def _fly(last: bool, seed: int):
+def landed(p: np.ndarray, draws: np.random.Generator) -> np.ndarray:
+    """Whole numbers for the last fractional units, each drawn by its probability."""
+    return np.where((p > EPS) & (p < 1 - EPS), draws.random(len(p)) < p, np.round(p)).astype(np.int64)
+
+
+def corrected(k: np.ndarray, size: np.ndarray, goal: float, most: int) -> np.ndarray:
+    """k, each from 0 to most, changed little so that the sum of k * size comes nearest to goal.
+
+    Small problems get the nearest total that there is, and of the ways to it one with the
+    least sum of changes; larger ones are improved by the best change of one or two units
+    until none helps.
+    """
+    top = int(min(most * size.sum(), goal + size.max(initial=0) + 1))
+    return _nearest(k, size, goal, most, top) if len(k) * (top + 1) <= EXACT else _improved(k, size, goal, most)
+
+
+def _nearest(k: np.ndarray, size: np.ndarray, goal: float, most: int, top: int) -> np.ndarray:
+    far = 1 << 28
+    cost = np.full(top + 1, far, np.int32)
+    cost[0] = 0
+    chosen = np.zeros((len(k), top + 1), np.int8)
+    for i, (n, s) in enumerate(zip(k.tolist(), size.tolist(), strict=True)):
+        best = cost + n
+        for c in range(1, most + 1):
+            if c * s > top:
+                break
+            less = np.full(top + 1, far, np.int32)
+            less[c * s :] = cost[: top + 1 - c * s] + abs(c - n)
+            better = less < best
+            best[better], chosen[i][better] = less[better], c
+        cost = np.minimum(best, far)
+    sums = np.flatnonzero(cost < far)
+    at = int(min(sums.tolist(), key=lambda x: (abs(x - goal), cost[x])))
+    out = k.copy()
+    for i in range(len(k) - 1, -1, -1):
+        out[i] = chosen[i][at]
+        at -= int(out[i]) * int(size[i])
+    return out
+
+
+def _improved(k: np.ndarray, size: np.ndarray, goal: float, most: int) -> np.ndarray:
+    k = k.copy()
+    while True:
+        off = goal - float(k @ size)
+        unit, to = (x.ravel() for x in np.indices((len(k), most + 1)))
+        here = (to != k[unit]) & (size[unit] > 0)
+        unit, to = unit[here], to[here]
+        change = ((to - k[unit]) * size[unit]).astype(float)
+        order = np.lexsort((to, unit, change))
+        unit, to, change = unit[order], to[order], change[order]
+        if abs(off) < 0.5 + EPS or not len(change):
+            return k
+        one = int(np.abs(off - change).argmin())
+        best, ways = abs(off - change[one]), [one]
+        # for each change the nearest of the others to what it leaves
+        place = np.searchsorted(change, off - change)
+        for shift in range(-most - 2, most + 2):
+            other = np.clip(place + shift, 0, len(change) - 1)
+            miss = np.where(unit[other] == unit, np.inf, np.abs(off - change - change[other]))
+            at = int(miss.argmin())
+            if miss[at] < best - EPS:
+                best, ways = float(miss[at]), [at, int(other[at])]
+        if best > abs(off) - 0.5:
+            return k
+        k[unit[ways]] = to[ways]
+
+
+def _fly(last: bool, seed: int, most: int):
     def run(units: pa.Table) -> pa.Table:
-        units = units.sort_by([("size", "descending"), *((c, "ascending") for c in ("h", "doc_id", "m"))]).combine_chunks()
+        units = units.sort_by([("words", "descending"), *((c, "ascending") for c in ("h", "doc_id", "m"))]).combine_chunks()
         draws = np.random.default_rng([seed, *(units[c][0].as_py() for c in ("rank", "block", "round"))])
-        m = units["m"].to_numpy()
-        size = m * units["size"].to_numpy()
-        p = flight(units["p"].to_numpy(), m, size, draws)
+        base, p, size = (units[c].to_numpy() for c in ("base", "p", "words"))
+        q = flight(p, units["m"].to_numpy(), size, draws)
         if last:
-            p = land(p, size, draws)
-        return units.set_column(units.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
+            q = corrected(base + landed(q, draws), size, float((base + p) @ size), most) - base
+        return units.set_column(units.schema.get_field_index("p"), "p", pa.array(q.astype(float), pa.float64()))
 
     return run
 
 
-UNIT = "rank long, doc_id long, size long, h long, m long, p double, base long, block long, round long"
+UNIT = "rank long, doc_id long, size long, h long, m long, words long, p double, base long, block long, round long"
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -167,7 +196,7 @@ def mix(docs: DataFrame, most: int = MOST_REPEATS, block: int = BLOCK, seed: int
     joined = counted.withColumnRenamed("src", "own").join(small(per_source), F.col("own").eqNullSafe(F.col("src"))).drop("own")
     base = F.least(F.floor(F.col("ratio") + EPS), F.lit(most)).cast("long")
     start = joined.withColumn("ratio", ratio).select(
-        F.col("rank").cast("long").alias("rank"), "doc_id", "size", "h", "m", F.greatest(F.col("ratio") - base, F.lit(0.0)).alias("p"), base.alias("base"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("round")
+        F.col("rank").cast("long").alias("rank"), "doc_id", "size", "h", "m", (F.col("size") * F.col("m")).alias("words"), F.greatest(F.col("ratio") - base, F.lit(0.0)).alias("p"), base.alias("base"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("round")
     )
     parts, number = [], 0
     now = start
@@ -176,14 +205,14 @@ def mix(docs: DataFrame, most: int = MOST_REPEATS, block: int = BLOCK, seed: int
         # a source's blocks: enough of them for its units, dealt by hash
         n = now.groupBy(F.col("rank").alias("r")).count().select("r", F.ceil(F.col("count") / block).alias("blocks"))
         dealt = now.join(small(n), F.col("rank") == F.col("r")).withColumn("block", F.pmod(F.xxhash64("h", "doc_id", F.lit(seed + number)), F.col("blocks"))).withColumn("round", F.lit(number).cast("long"))
-        flown = cut(dealt.select(*now.columns).groupBy("rank", "block").applyInArrow(_fly(False, seed), UNIT))
+        flown = cut(dealt.select(*now.columns).groupBy("rank", "block").applyInArrow(_fly(False, seed, most), UNIT))
         fractional = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
         parts.append(flown.filter(~fractional))
         now = flown.filter(fractional)
         largest = now.groupBy("rank").count().agg(F.max("count")).first()[0] or 0
         number += 1
     final = now.withColumn("block", F.lit(0).cast("long")).withColumn("round", F.lit(number).cast("long"))
-    parts.append(final.groupBy("rank").applyInArrow(_fly(True, seed), UNIT))
+    parts.append(final.groupBy("rank").applyInArrow(_fly(True, seed, most), UNIT))
     done = parts[0]
     for part in parts[1:]:
         done = done.unionByName(part)
@@ -195,10 +224,11 @@ def mix(docs: DataFrame, most: int = MOST_REPEATS, block: int = BLOCK, seed: int
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row repeated as often as it is taken, numbered in mix_copy from 1; rows not taken go.
 
-    All columns of docs stay; should one be called mix_copy, the number replaces it.
+    All columns of docs stay, whatever their names; should one be called mix_copy, the number
+    replaces it. Nulls, empty texts, ties, repeated rows and empty tables are as in mix().
     """
-    taken = mix(docs, **options).filter("k > 0").select(F.col("src").alias("__src"), F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("k").alias("__k"))
-    keyed = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    on = F.col("source").eqNullSafe(F.col("__src")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h"))
-    out = keyed.join(taken, on).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__k").cast("int"))))
-    return out.drop("__src", "__id", "__h", "__k", "__own")
+    taken = mix(docs, **options).filter("k > 0").select("src", "doc_id", "h", "k")
+    rows = docs.select(F.struct("*").alias("row"))
+    on = F.col("row.source").eqNullSafe(F.col("src")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("h"))
+    copies = rows.join(taken, on).select("row", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("mix_copy"))
+    return copies.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "mix_copy"], "mix_copy")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from furrow.llm import decontamination, jaccard, media, mixing, personal, quality, queries, quotation, substrings, toxicity, warc, words
+from furrow.llm import common, decontamination, jaccard, media, mixing, personal, quality, queries, quotation, substrings, toxicity, warc, words
 from furrow.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, k string, node string, h string"
@@ -99,6 +100,42 @@ def test_mixing(spark, docs, rows):
         assert r["source_size"] == sizes[r["src"]] and r["target"] == pytest.approx(target[r["src"]]) and 0 <= r["k"] <= 3
     copies = mixing.mixed_documents(docs, block=16)
     assert copies.count() == sum(r["m"] * r["k"] for r in got)
+    clashing = docs.withColumn("row", F.lit("row")).withColumn("src", F.lit("src")).withColumn("__own", F.lit("own"))
+    assert mixing.mixed_documents(clashing).columns == [*clashing.columns, "mix_copy"]
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [mixing.BLOCK, 4])
+def test_taken_words_meet_targets(spark, sf_dir, block):
+    """Every source of the smallest table is within half a word; with tiny blocks, of which few units meet in the last, within its largest document."""
+    out = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), block=block)
+    for r in out.groupBy("src", "target").agg(F.sum(F.col("k") * F.col("size") * F.col("m")).alias("taken"), F.max("size").alias("largest")).collect():
+        assert abs(r["taken"] - r["target"]) <= (0.5 if block > 4 else r["largest"])
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40)), min_size=1, max_size=6), st.floats(0, 300))
+def test_corrected_is_the_nearest_total(units, goal):
+    k, size = (np.array(x) for x in zip(*units, strict=True))
+    got = mixing.corrected(k, size, goal, 3)
+    best = min((abs(float(np.array(x) @ size) - goal), int(np.abs(np.array(x) - k).sum())) for x in itertools.product(range(4), repeat=len(k)))
+    assert (abs(float(got @ size) - goal), int(np.abs(got - k).sum())) == pytest.approx(best) and got.min() >= 0 and got.max() <= 3
+    improved = mixing._improved(k, size, goal, 3)
+    assert abs(float(improved @ size) - goal) <= abs(float(k @ size) - goal) + 1e-9 and improved.min() >= 0 and improved.max() <= 3
+
+
+def test_a_giant_is_settled_first():
+    size = np.array([3746, *range(5, 54)])
+    for i in range(50):
+        q = mixing.flight(np.full(50, 0.37), np.ones(50), size, np.random.default_rng(i))
+        assert q[0] in (0.0, 1.0) or q @ size == pytest.approx(0.37 * size.sum())
+        assert q @ size == pytest.approx(0.37 * size.sum())
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000,) for i in range(500)] + [(None,)], "a long")
+    got = sorted(((r["a"] is None, r["a"] or 0), r["n"]) for r in common.numbered(df, "n", F.col("a").asc_nulls_last()).collect())
+    assert [n for _, n in got] == list(range(1, 502))
 
 
 def test_flight_keeps_both_totals():
@@ -108,7 +145,7 @@ def test_flight_keeps_both_totals():
     q = mixing.flight(p, np.ones(400), size, draws)
     assert ((q > 1e-9) & (q < 1 - 1e-9)).sum() <= 2
     assert q.sum() == pytest.approx(p.sum()) and q @ size == pytest.approx(p @ size)
-    inclusion = np.mean([mixing.land(mixing.flight(p[:6], np.ones(6), size[:6], np.random.default_rng(i)), size[:6], np.random.default_rng(i + 10**6)) for i in range(3000)], 0)
+    inclusion = np.mean([mixing.landed(mixing.flight(p[:6], np.ones(6), size[:6], np.random.default_rng(i)), np.random.default_rng(i + 10**6)) for i in range(3000)], 0)
     assert np.abs(inclusion - 0.37).max() < 0.05
 
 
