@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -240,6 +241,59 @@ def test_personal(spark, docs, rows, empty):
     assert sorted_rows(same) == sorted(rows, key=str) and personal.report(empty).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9)), max_size=8), st.lists(st.tuples(st.integers(-3, 3), st.integers(0, 40), st.integers(1, 9)), max_size=12))
+def test_chosen_spans(base, scored):
+    base = [(a, a + n, "ip") for a, n in base]
+    scored = [(float(p), (a, a + n, "phone")) for p, a, n in scored]
+    taken, want = list(base), []
+    for _, span in sorted(scored, key=lambda c: (-c[0], c[1])):
+        if not any(x < span[1] and span[0] < y for x, y, _ in taken):
+            taken.append(span)
+            want.append(span)
+    assert personal.chosen(base, scored) == want
+
+
+def planted(n=600):
+    """Texts with one candidate each, whether it is personal data, and how it stands there."""
+    draws, out = random.Random(8), []
+    for i in range(n):
+        word = "".join(draws.choice("abcdefgh") for _ in range(6))
+        kind = i % 6
+        digits = "".join(draws.choice("0123456789") for _ in range(10))
+        token = "".join(draws.choice("0123456789abcdef") for _ in range(32))
+        held, real = (
+            (f"write to {word} (at) mail.example.com today", True), (f"item {digits} left", False), (f"api key = '{token}' here", True),
+            (f"see {'-'.join([word] * 5)}/{word} there", False), (f"contact: {word}@{word}.org soon", True), (f"version 1.{i % 9}.2.{300 + i % 600} out", False),
+        )[kind]
+        out.append((i, f"some {word} {held} and more {word}", real))
+    return out
+
+
+def test_added_spans(spark):
+    """Spans beside the base ones: obfuscated addresses and keys are added, look-alikes are not."""
+    rows = planted()
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in personal.report(df).collect()}
+    right = sum(bool(got[i]) == real for i, _, real in rows)
+    assert right >= 0.95 * len(rows)
+    for i, text, _ in rows:  # spans lie in the text, base ones stay, added ones overlap nothing
+        spans = [(int(a), int(b)) for _, a, b in (x.split(":") for x in got[i].split(",") if x)]
+        assert all(0 <= a < b <= len(text) for a, b in spans) and {f"{k}:{a}:{b}" for a, b, k in brute_spans(text)} <= set(got[i].split(",")) | {""}
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_many_candidates_take_little_longer(spark):
+    model = personal.SpanModel([0], [1])
+    model.weights = np.ones(personal.FEATURES)
+    text = lambda n: " ".join(f"a{i}(at)mail.example.com" for i in range(n))
+    found = personal.candidates(text(8000))
+    assert len(found) == 8000
+    start = time.perf_counter()
+    assert len(model.added([], found)) == 8000
+    assert time.perf_counter() - start < 2
+
+
 def test_em_recovers_reliabilities():
     draws = np.random.default_rng(9)
     y = draws.random(4000) < 0.4
