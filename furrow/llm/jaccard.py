@@ -3,9 +3,12 @@
 Texts with equal words form a class and are handled once. A class has 128 MinHash values in
 32 bands of four; classes that agree in a band are candidates. Within a bucket the values of
 two classes are compared some at a time and the pair is dropped once the posterior probability
-that its similarity reaches the threshold, from a uniform prior, is under the tolerance. Pairs
-that are left give groups, within which the exact similarity of all pairs is computed from
-whole shingle sets. Buckets and groups of any size are split into pairs of blocks.
+that its similarity reaches the threshold, from a uniform prior, is under the tolerance. The
+pairs that are left, and no others, are verified on whole shingle sets. Most come as pairs, of
+which one class at least has few partners, and are joined with both sets. Where many classes
+resemble many, pairs would be as many as the square of the group: such a crowd is dealt in pairs
+of blocks, and each block finds its surviving pairs again before it verifies them. Buckets and
+crowds of any size are split.
 """
 
 from __future__ import annotations
@@ -30,8 +33,12 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Values compared between two looks at the posterior.
 STEP = 16
-#: Members of a bucket, and of a group, that meet in one task.
-BUCKET_BLOCK, GROUP_BLOCK = 512, 256
+#: Members of a bucket, and of a crowd, of which two blocks meet in one task.
+BUCKET_BLOCK, CROWD_BLOCK = 512, 256
+#: A key with more members than these over SPREAD has as many blocks as SPREAD, so that its work is spread early.
+SPREAD = 20
+#: Partners in a bucket with which a class still gives pairs; pairs of two classes with more are a crowd's.
+FEW = 16
 _draws = np.random.default_rng(20_240_601)
 FACTORS = _draws.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 SHIFTS = _draws.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -139,17 +146,49 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
 def _blocked(members: DataFrame, key: str, block: int) -> DataFrame:
     """Rows with size (of their key's members) dealt to pairs of blocks: adds own, low, high.
 
-    A key with up to block members makes one pair (0, 0); a larger one has enough blocks, and
-    each member goes to every pair that its block is part of.
+    A key with few members makes one pair (0, 0); a larger one has enough blocks of block
+    members, and at least SPREAD of smaller ones where that is possible. Each member goes to
+    every pair that its block is part of.
     """
-    n = F.ceil(F.col("size") / block)
+    few = max(1, block // 8)
+    n = F.when(F.col("size") <= few, 1).otherwise(F.greatest(F.ceil(F.col("size") / block), F.least(F.lit(SPREAD), F.ceil(F.col("size") / few))))
     own = F.pmod(F.xxhash64("node", F.lit(3)), n).cast("int")
     other = F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
     return members.withColumn("own", own).withColumn("other", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "size").repartition(F.col(key), F.col("low"), F.col("high")).sortWithinPartitions(key, "low", "high")
 
 
+def surviving(values: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
+    """Which of the pairs of rows (a, b) of MinHash values are still likely enough after all looks."""
+    left, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
+    for k, fewest in enumerate(least):
+        span = slice(k * STEP, (k + 1) * STEP)
+        matches += (values[a[left], span] == values[b[left], span]).sum(1)
+        on = matches >= fewest
+        left, matches = left[on], matches[on]
+    return left
+
+
+def _bands(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's bands, and the MinHash values that they are made of."""
+    bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    return bands, np.ascontiguousarray(bands).view(np.uint16)
+
+
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys starts, and the end."""
+    change = np.zeros(len(keys[0]) - 1, bool)
+    for k in keys:
+        change |= k[1:] != k[:-1]
+    return np.flatnonzero(np.concatenate(([True], change, [True])))
+
+
 def _candidates(least: list[int]):
-    """Pairs that agree in a bucket and whose posterior holds, as (u, v) to the least of each task's groups."""
+    """(u, v, crowd) of pairs that agree in a bucket and whose posterior holds.
+
+    A pair comes up in the first band in which it agrees. Those of which one class has FEW
+    partners or fewer in its blocks are given as they are; the others as links of each class to
+    the least of its crowd.
+    """
 
     def pairs(key: np.ndarray, own: np.ndarray, cross: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i, d = np.arange(len(key)), 1
@@ -167,30 +206,26 @@ def _candidates(least: list[int]):
         for table in _runs(batches, ["bucket", "low", "high"]):
             table = table.combine_chunks()
             bucket, node, low, high, own, band = (table[c].to_numpy() for c in ("bucket", "node", "low", "high", "own", "band"))
-            bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-            values = np.ascontiguousarray(bands).view(np.uint16)
-            key = np.cumsum(np.concatenate(([False], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
-            names, place = np.unique(node, return_inverse=True)
-            left = [np.zeros((0, 2), np.int64)]
+            bands, values = _bands(table)
+            starts = _new(bucket, low, high)
+            key = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in pairs(key, own, low != high):
                 first = (bands[a] == bands[b]).argmax(1) == band[a]  # else another bucket has the pair
                 a, b = a[first], b[first]
-                matches = np.zeros(len(a), np.int64)
-                for k, fewest in enumerate(least):
-                    span = slice(k * STEP, (k + 1) * STEP)
-                    matches += (values[a, span] == values[b, span]).sum(1)
-                    on = matches >= fewest
-                    a, b, matches = a[on], b[on], matches[on]
-                left.append(np.stack((place[a], place[b]), 1))
-                if sum(map(len, left)) > 1 << 20:
-                    links = np.concatenate(left)
-                    top = roots(len(names), links[:, 0], links[:, 1])
-                    left = [np.stack((np.arange(len(names)), top), 1)[top != np.arange(len(names))]]
-            links = np.concatenate(left)
-            if len(links):
-                top = roots(len(names), links[:, 0], links[:, 1])
-                moved = np.flatnonzero(top != np.arange(len(names)))
-                yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[top[moved]])], names=["u", "v"])
+                on = surviving(values, a, b, least)
+                firsts.append(a[on])
+                seconds.append(b[on])
+            a, b = np.concatenate(firsts), np.concatenate(seconds)
+            if not len(a):
+                continue
+            partners = np.bincount(a, minlength=len(node)) + np.bincount(b, minlength=len(node))
+            few = np.minimum(partners[a], partners[b]) <= FEW
+            u, v = np.minimum(node[a[few]], node[b[few]]), np.maximum(node[a[few]], node[b[few]])
+            top = roots(len(node), a[~few], b[~few])
+            moved = np.flatnonzero(top != np.arange(len(node)))
+            u, v = np.concatenate((u, node[moved])), np.concatenate((v, node[top[moved]]))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.arange(len(u)) >= few.sum())], names=["u", "v", "crowd"])
 
     return run
 
@@ -217,40 +252,65 @@ def similar(sets: list[np.ndarray], rows: np.ndarray, others: np.ndarray) -> np.
     return both * AT_LEAST[1] >= AT_LEAST[0] * union
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each group and pair of blocks: copies linked to each node, and the least node of its part."""
-    for table in _runs(batches, ["component", "low", "high"]):
-        table = table.combine_chunks()
-        component, node, low, high, own, copies = (table[c].to_numpy() for c in ("component", "node", "low", "high", "own", "copies"))
-        sets = table["shingles"].combine_chunks()
-        new = np.flatnonzero(np.concatenate(([True], (component[1:] != component[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
-        out: list[list[np.ndarray]] = []
-        for a, b in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
-            _, once = np.unique(node[a:b], return_index=True)
-            at = a + once
-            if len(at) < 2:
+def _verify_crowd(least: list[int]):
+    """For each crowd and pair of blocks: copies linked to each node, and the least node of its part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, ["component", "low", "high"]):
+            table = table.combine_chunks()
+            component, node, low, high, own, copies = (table[c].to_numpy() for c in ("component", "node", "low", "high", "own", "copies"))
+            bands, values = _bands(table)
+            sets = table["shingles"].combine_chunks()
+            starts = _new(component, low, high).tolist()
+            out: list[list[np.ndarray]] = []
+            for start, end in zip(starts[:-1], starts[1:], strict=True):
+                at = np.arange(start, end)
+                left, right = (at, at) if low[start] == high[start] else (at[own[at] == low[start]], at[own[at] == high[start]])
+                # the block's own candidates: pairs that agree in a band and whose posterior holds
+                agree = np.zeros((len(left), len(right)), bool)
+                for k in range(BANDS):
+                    agree |= bands[left, k][:, None] == bands[right, k][None]
+                if left is right:
+                    agree &= np.tri(len(at), k=-1, dtype=bool)
+                i, j = np.nonzero(agree)
+                on = surviving(values, left[i], right[j], least)
+                i, j = i[on], j[on]
+                if not len(i):
+                    continue
+                rows, i = np.unique(left[i], return_inverse=True)
+                others, j = np.unique(right[j], return_inverse=True)
+                used = np.union1d(rows, others)
+                own_sets = [np.frombuffer(sets[x].as_buffer(), np.int64) for x in used.tolist()]
+                good = similar(own_sets, np.searchsorted(used, rows), np.searchsorted(used, others))[i, j]
+                a, b = rows[i[good]], others[j[good]]
+                if not len(a):
+                    continue
+                weight = np.zeros(end - start, np.int64)
+                np.add.at(weight, a - start, copies[b])
+                np.add.at(weight, b - start, copies[a])
+                some = np.flatnonzero(weight)
+                top = roots(end - start, a - start, b - start)
+                out.append([node[start + some], weight[some], node[start + top[some]]])
+            if out:
+                u, n, v = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n), pa.array(v)], names=["u", "links", "v"])
+
+    return run
+
+
+def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair with both sets that reaches the threshold, the copies of either linked to the other."""
+    for batch in batches:
+        u, v, u_copies, v_copies = (batch.column(i).to_numpy() for i in range(4))
+        good = np.zeros(len(u), bool)
+        for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+            a, b = (np.frombuffer(z.as_buffer(), np.int64) for z in (x, y))
+            if len(a) * AT_LEAST[1] < AT_LEAST[0] * len(b) or len(b) * AT_LEAST[1] < AT_LEAST[0] * len(a):
                 continue
-            own_sets = [np.frombuffer(sets[i].as_buffer(), np.int64) for i in at.tolist()]
-            everyone = np.arange(len(at))
-            if low[a] == high[a]:
-                linked = similar(own_sets, everyone, everyone)
-                np.fill_diagonal(linked, False)
-                rows, others = np.nonzero(linked)
-                weight = linked @ copies[at]
-            else:
-                left, right = everyone[own[at] == low[a]], everyone[own[at] == high[a]]
-                linked = similar(own_sets, left, right)
-                rows, others = np.nonzero(linked)
-                weight = np.zeros(len(at), np.int64)
-                weight[left], weight[right] = linked @ copies[at[right]], linked.T @ copies[at[left]]
-                rows, others = left[rows], right[others]
-            some = np.flatnonzero(weight)
-            if len(some):
-                top = roots(len(at), rows, others)
-                out.append([node[at[some]], weight[some], node[at[top[some]]]])
-        if out:
-            u, n, v = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n), pa.array(v)], names=["u", "links", "v"])
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            good[i] = both * AT_LEAST[1] >= AT_LEAST[0] * (len(a) + len(b) - both)
+        u, v, u_copies, v_copies = u[good], v[good], u_copies[good], v_copies[good]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((u, v), (v_copies, u_copies), (v, u))], names=["u", "links", "v"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,28 +323,42 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, classes): doc_id and node of each row; node, rep_id, rep_hash, copies, links, class_id of each class."""
-    sketch = cut(sketched(docs).withColumn("node", F.xxhash64("k1", "k2")))
-    classes = cut(sketch.groupBy("node", "k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")).select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "copies", "bands"))
+    """(documents, classes): doc_id, k1, k2 of each row; k1, k2, node, rep_id, rep_hash, copies, links, class_id of each class.
+
+    Nodes are numbers given to the classes when they are written, so no two share one.
+    """
+    sketch = cut(sketched(docs))
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    classes = cut(sketch.groupBy("k1", "k2").agg(rep.alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")).select("k1", "k2", F.monotonically_increasing_id().alias("node"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "copies", "bands"))
     banded = classes.filter("bands is not null").select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("bucket"))
     # written, so that the join exchanges both sides and adaptive execution can split a hot bucket
     crowded = cut(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = banded.join(crowded, "bucket").join(classes.select("node", "bands"), "node")
-    edges = _blocked(members, "bucket", BUCKET_BLOCK).select("bucket", "low", "high", "own", "band", "node", "bands").mapInArrow(_candidates(least_matches()), "u long, v long").distinct()
-    groups = cut(components(edges))
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    wanted = cut(groups.join(sizes, "component").join(classes.select("node", "rep_id", "rep_hash", "copies"), "node"))
+    least = least_matches()
+    found = cut(_blocked(members, "bucket", BUCKET_BLOCK).select("bucket", "low", "high", "own", "band", "node", "bands").mapInArrow(_candidates(least), "u long, v long, crowd boolean"))
+    crowds = cut(components(found.filter("crowd").select("u", "v").distinct()))
+    # pairs within a crowd are found again, with all the others, by its blocks
+    of = lambda end: crowds.select(F.col("node").alias(end), F.col("component").alias(end + "_crowd"))
+    pairs = cut(found.filter("not crowd").select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").filter("u_crowd is null or v_crowd is null or u_crowd != v_crowd").select("u", "v"))
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(crowds.select("node")).distinct()
+    wanted = cut(nodes.join(classes.select("node", "rep_id", "rep_hash", "copies"), "node"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), text_hash().alias("text_hash"))
     own = narrowed(own, wanted.select(F.col("rep_hash").alias("text_hash")), "text_hash")
-    texts = own.join(wanted, (own["text_hash"] == wanted["rep_hash"]) & own["doc_id"].eqNullSafe(wanted["rep_id"])).select("text", "node", "component", "size", "copies")
-    sets = texts.mapInArrow(_shingle_sets, "node long, component long, size long, copies long, shingles binary")
-    links = cut(_blocked(sets, "component", GROUP_BLOCK).mapInArrow(_verify, "u long, links long, v long"))
+    # one row of each class: rows equal in id and text are the same text
+    texts = own.join(wanted, (own["text_hash"] == wanted["rep_hash"]) & own["doc_id"].eqNullSafe(wanted["rep_id"])).select("text", "node", "copies").dropDuplicates(["node"])
+    sets = cut(texts.mapInArrow(_shingle_sets, "node long, copies long, shingles binary"))
+    end = lambda e: sets.select(F.col("node").alias(e), F.col("copies").alias(e + "_copies"), F.col("shingles").alias(e + "_set"))
+    both = pairs.join(end("u"), "u").join(end("v"), "v").select("u", "v", "u_copies", "v_copies", "u_set", "v_set")
+    sizes = crowds.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    crowd = crowds.join(sizes, "component").join(classes.select("node", "bands"), "node").join(sets, "node")
+    verified = "u long, links long, v long"
+    links = cut(both.mapInArrow(_verify_pairs, verified).unionByName(_blocked(crowd, "component", CROWD_BLOCK).mapInArrow(_verify_crowd(least), verified)))
     final = components(links)
     linked = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     named = classes.drop("bands").join(final, "node", "left").join(linked, "node", "left")
-    named = cut(named.select("node", "rep_id", "rep_hash", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component")))
-    least = named.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("no_id"), "rep_id", "rep_hash")).alias("first"))
-    return sketch.select("doc_id", "node"), named.join(least, "component")
+    named = cut(named.select("k1", "k2", "node", "rep_id", "rep_hash", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component")))
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("no_id"), "rep_id", "rep_hash")).alias("first"))
+    return sketch.select("doc_id", "k1", "k2"), named.join(first, "component")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -298,13 +372,17 @@ def report(docs: DataFrame) -> DataFrame:
     that has one. An empty table gives an empty result.
     """
     rows, classes = joined(docs)
-    return rows.join(classes.select("node", F.col("first.rep_id").alias("class_id"), F.col("links").alias("n_links")), "node").drop("node")
+    return rows.join(classes.select("k1", "k2", F.col("first.rep_id").alias("class_id"), F.col("links").alias("n_links")), ["k1", "k2"]).drop("k1", "k2")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of linked texts, that with the least doc_id; columns unchanged."""
+    """docs with one row of each group of linked texts, that with the least doc_id; columns unchanged.
+
+    Nulls, empty texts and groups are as in report(). Of rows equal in doc_id and text one
+    stays. Columns may have any names; an empty table stays empty.
+    """
     _, classes = joined(docs)
-    first = classes.select(F.col("first.rep_id").alias("__id"), F.col("first.rep_hash").alias("__hash")).distinct()
-    own = docs.withColumn("__own", text_hash())
-    kept = own.join(first, (F.col("__own") == F.col("__hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["__own", "doc_id"]).drop("__own")
+    first = classes.select(F.col("first.rep_id").alias("id"), F.col("first.rep_hash").alias("hash")).distinct()
+    rows = docs.select(F.struct("*").alias("row")).withColumns({"own_id": F.col("row.doc_id").cast("long"), "own_hash": F.xxhash64(F.coalesce("row.text", F.lit("")))})
+    kept = rows.join(first, (F.col("own_hash") == F.col("hash")) & F.col("own_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["own_hash", "own_id"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

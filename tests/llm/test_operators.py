@@ -340,8 +340,10 @@ def test_jaccard(spark, docs, rows, empty, monkeypatch):
     want = brute_links(rows)
     assert sorted_rows(jaccard.report(docs)) == want
     monkeypatch.setattr(jaccard, "BUCKET_BLOCK", 8)
-    monkeypatch.setattr(jaccard, "GROUP_BLOCK", 7)
-    assert sorted_rows(jaccard.report(docs)) == want
+    monkeypatch.setattr(jaccard, "CROWD_BLOCK", 7)
+    for few in (0, 3, 100):  # all pairs are a crowd's, some are, none is
+        monkeypatch.setattr(jaccard, "FEW", few)
+        assert sorted_rows(jaccard.report(docs)) == want
     kept = jaccard.kept_documents(docs)
     assert kept.columns == docs.columns
     assert kept.count() == len({c for _, c, _ in want if c is not None}) + sum(c is None for _, c, _ in want)
