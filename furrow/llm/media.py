@@ -1,10 +1,12 @@
 """Content-defined chunking of media payloads.
 
 A payload is stored as a WAV file of 8-bit samples. A rolling gear hash cuts the file where its
-top bits are zero, so that equal passages give equal chunks wherever they stand. Chunks are
-deduplicated by digest through Spark, a medium is the ordered list of its chunks' digests. Both are
-tables in the shared folder, which Spark's committer writes; reading joins list and chunks as they
-stand there, puts the file together and verifies it.
+top bits are zero, so that equal passages give equal chunks wherever they stand. A medium is the
+ordered list of its chunks' digests. Chunks are deduplicated by digest through Spark, and each is
+stored once, compressed with a dictionary: one that occurs once stands in its medium's pack, the
+others in a table of chunks of their own. All are tables in the shared folder, which Spark's
+committer writes. Reading joins the packs with the chunks that they lack, puts the files together
+and verifies them.
 """
 
 from __future__ import annotations
@@ -22,14 +24,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import first_by_hash, shared_dir
 
 #: Payloads are padded to a multiple of so many bytes.
 UNIT = 64
 #: Least and most bytes of a chunk, and the zero bits at which it is cut (2**BITS bytes on average after the least).
 LEAST, MOST, BITS = 256, 131_072, 10
-#: Media that a chunk may be part of before it is joined apart from the others.
-HOT = 10_000
+#: Slots of the filter of repeated chunks, a bit each: what is broadcast, however many there are.
+SLOTS = 1 << 24
+#: Documents from whose chunks the dictionary is trained, the largest of them in bytes, and its size.
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 1 << 16, 1 << 18
 #: Bytes that the rolling hash sees.
 SEEN = 32
 RATE = 8000
@@ -114,16 +118,105 @@ def manifests(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, n_bytes long, media binary, digests array<binary>")
 
 
-def chunk_store(docs: DataFrame) -> DataFrame:
-    """(digest, data): every chunk once, compressed."""
+class Slots:
+    """A filter of digests: all that are in it, and a few that are not, are repeated."""
+
+    def __init__(self, bits: bytes, n: int) -> None:
+        self.bits, self.n = bits, n
+
+    def __contains__(self, digest: bytes) -> bool:
+        slot = int.from_bytes(digest[:3]) % self.n
+        return bool(self.bits[slot >> 3] >> (slot & 7) & 1)
+
+
+def repeated(manifest: DataFrame) -> Slots:
+    """The filter of chunks that occur more than once in a manifest: bitmaps that Spark builds, SLOTS / 8 bytes in all."""
+    each = manifest.select(F.explode("digests").alias("digest")).groupBy(F.substring("digest", 1, 10).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("long") % SLOTS + 1
+    maps = each.filter("n > 1").select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    bits = bytearray(SLOTS // 8)
+    for row in maps.collect():
+        at = (row["bucket"] - 1) * len(row["bits"])
+        bits[at : at + len(row["bits"])] = row["bits"]
+    return Slots(bytes(bits), SLOTS)
+
+
+def dictionary(docs: DataFrame) -> bytes:
+    """A dictionary for chunks, trained on those of a bounded sample of documents; empty where they are too few."""
+    rows = first_by_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length("text") <= SAMPLE_BYTES), SAMPLE, "doc_id").collect()
+    parts = [part for r in rows for _, part in chunks(stored(payload_of(r["text"])[1]))]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, parts, k=256, d=8, level=LEVEL).as_bytes() if parts else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def packer_of(zdict: bytes) -> zstandard.ZstdCompressor:
+    if not zdict:
+        return zstandard.ZstdCompressor(level=LEVEL)
+    shared = zstandard.ZstdCompressionDict(zdict)
+    shared.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
+
+
+def reader_of(zdict: bytes) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(zdict)) if zdict else zstandard.ZstdDecompressor()
+
+
+PACK = "media binary, n int, at array<int>, data array<binary>, lacks array<struct<at:int,digest:binary>>"
+PACK_TYPES = [pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.struct([("at", pa.int32()), ("digest", pa.binary())]))]
+PACK_NAMES = ["media", "n", "at", "data", "lacks"]
+
+
+def _pack_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(PACK_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PACK_TYPES, strict=True)], names=PACK_NAMES)
+
+
+def packs(docs: DataFrame, manifest: DataFrame, slots, zdict: bytes) -> DataFrame:
+    """A row for each medium: its number of chunks, those of its own with their places, and the digests of the others.
+
+    A medium with a chunk of its own occurs once and comes from its text; one without comes
+    from the manifest, once.
+    """
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, twice = packer_of(zdict), slots.value
+        for batch in batches:
+            rows = []
+            for text in batch.column(0).to_pylist():
+                media = stored(payload_of(text)[1])
+                at, data, lacks, n = [], [], [], 0
+                for digest, part in chunks(media):
+                    if digest in twice:
+                        lacks.append({"at": n, "digest": digest})
+                    else:
+                        at.append(n)
+                        data.append(packer.compress(part))
+                    n += 1
+                if at:
+                    rows.append((hashlib.sha256(media).digest(), n, at, data, lacks))
+            yield _pack_batch(rows)
+
+    def none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = slots.value
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield _pack_batch([(media, len(digests), [], [], [{"at": i, "digest": d} for i, d in enumerate(digests)]) for media, digests in rows if all(d in twice for d in digests)])
+
+    return docs.select("text").mapInArrow(own, PACK).unionByName(manifest.select("media", "digests").mapInArrow(none, PACK).dropDuplicates(["media"]))
+
+
+def chunk_store(docs: DataFrame, slots, zdict: bytes) -> DataFrame:
+    """(digest, data): every repeated chunk once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=LEVEL)
+        packer, twice = packer_of(zdict), slots.value
         for batch in batches:
             found: dict[bytes, bytes] = {}
             for text in batch.column(0).to_pylist():
                 for digest, part in chunks(stored(payload_of(text)[1])):
-                    if digest not in found:
+                    if digest in twice and digest not in found:
                         found[digest] = packer.compress(part)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "data"])
 
@@ -142,54 +235,73 @@ def described(payload: bytes) -> str:
 READ = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def read(manifest: DataFrame, store: DataFrame) -> DataFrame:
-    """Each medium of a manifest put together from the store, verified and described."""
-    once = manifest.groupBy("media").agg(F.first("digests").alias("digests"))
-    listed = once.select("media", F.size("digests").alias("n"), F.posexplode("digests").alias("at", "digest"))
-    hot = cut(listed.groupBy("digest").count().filter(F.col("count") > HOT).select("digest"))
-    if hot.isEmpty():
-        together = listed.join(store, "digest", "left")
-    else:  # hot chunks are few; written on their own, both sides are exchanged and adaptive execution can split them
-        hot_store = cut(store.join(hot, "digest", "left_semi"))
-        together = listed.join(hot, "digest", "left_anti").join(store, "digest", "left").unionByName(listed.join(hot, "digest", "left_semi").join(hot_store, "digest", "left"))
-    parts = together.select("media", "at", "n", "data")
-    # a medium of one chunk is whole where its chunk is; only the others' chunks have to meet
-    several = parts.filter("n > 1").repartition("media").sortWithinPartitions("media", "at")
+def _described_batch(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    """The values of media (name, file), each verified against its name."""
+    out = []
+    for media, whole in rows:
+        name = hashlib.sha256(whole)
+        if name.digest() != media:
+            raise ValueError("a medium differs from its name")
+        payload = samples(whole)
+        out.append((media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(whole), name.hexdigest(), described(payload)))
+    types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = [x.split()[0] for x in READ.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, held = zstandard.ZstdDecompressor(), []
+
+def read(packed: DataFrame, store: DataFrame, zdict: bytes) -> DataFrame:
+    """Each medium put together from its pack and the store, verified and described."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = reader_of(zdict)
+        for batch in batches:
+            rows = []
+            for media, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(data) != n:
+                    raise ValueError("a chunk is missing")
+                rows.append((media, b"".join(map(reader.decompress, data))))
+            yield _described_batch(rows)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, held = reader_of(zdict), []
         for batch in batches:
-            rows: list[tuple] = []
+            rows: list[tuple[bytes, bytes]] = []
             for media, at, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != len(held) or data is None:
                     raise ValueError(f"chunk {len(held)} is missing")
                 held.append(reader.decompress(data))
                 if len(held) == n:
-                    whole = b"".join(held)
+                    rows.append((media, b"".join(held)))
                     held = []
-                    name = hashlib.sha256(whole)
-                    if name.digest() != media:
-                        raise ValueError("a medium differs from its name")
-                    payload = samples(whole)
-                    rows.append((media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(whole), name.hexdigest(), described(payload)))
-            if rows:
-                types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield _described_batch(rows)
         if held:
             raise ValueError("the last chunks of a medium are missing")
 
-    return parts.filter("n = 1").mapInArrow(run, READ).unionByName(several.mapInArrow(run, READ))
+    complete = packed.filter("size(lacks) = 0").select("media", "n", "data").mapInArrow(whole, READ)
+    rest = packed.filter("size(lacks) > 0")
+    lacking = rest.select("media", "n", F.explode("lacks").alias("c")).select("media", "n", "c.at", "c.digest").join(store, "digest", "left").select("media", "at", "n", "data")
+    own = rest.select("media", "n", F.explode(F.arrays_zip("at", "data")).alias("c")).select("media", "c.at", "n", "c.data")
+    parts = own.unionByName(lacking).repartition("media").sortWithinPartitions("media", "at")
+    return complete.unionByName(parts.mapInArrow(joined, READ))
 
 
 def write(docs: DataFrame, path: str) -> None:
-    """Writes the chunks and the manifest of all rows as tables at path."""
-    chunk_store(docs).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
-    manifests(docs).write.option("compression", "uncompressed").parquet(f"{path}/manifest")
+    """Writes manifest, packs, chunks and dictionary of all rows as tables at path."""
+    spark = docs.sparkSession
+    put = lambda df, name: df.write.option("compression", "uncompressed").parquet(f"{path}/{name}")
+    put(manifests(docs), "manifest")
+    manifest = spark.read.parquet(f"{path}/manifest")
+    zdict = dictionary(docs)
+    put(spark.createDataFrame([(bytearray(zdict),)], "dictionary binary"), "dictionary")
+    slots = spark.sparkContext.broadcast(repeated(manifest))
+    put(packs(docs, manifest, slots, zdict), "packs")
+    put(chunk_store(docs, slots, zdict), "chunks")
 
 
-def tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The manifest and the chunks at path."""
-    return spark.read.parquet(f"{path}/manifest"), spark.read.parquet(f"{path}/chunks")
+def tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, bytes]:
+    """The manifest, packs, chunks and dictionary at path."""
+    manifest, packed, store = (spark.read.parquet(f"{path}/{n}") for n in ("manifest", "packs", "chunks"))
+    return manifest, packed, store, bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
 
 
 def stored_and_read(docs: DataFrame) -> DataFrame:
@@ -201,5 +313,5 @@ def stored_and_read(docs: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     write(docs, path)
-    manifest, store = tables(docs.sparkSession, path)
-    return manifest.select("doc_id", "n_bytes", "media").join(read(manifest, store), "media").drop("media")
+    manifest, packed, store, zdict = tables(docs.sparkSession, path)
+    return manifest.select("doc_id", "n_bytes", "media").join(read(packed, store, zdict), "media").drop("media")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import zstandard
 
 from furrow.llm import common, media
 
@@ -24,10 +23,15 @@ def test_media_are_stored_and_read_from_there(spark):
     folders = {f.partition("/media-")[2].partition("/")[0] for f in got.inputFiles()}
     assert len(folders) == 1 and folders != {""}
     path = f"{common.shared_dir(spark)}/media-{folders.pop()}"
-    chunks = {x["digest"]: zstandard.decompress(x["data"]) for x in spark.read.parquet(f"{path}/chunks").collect()}
-    assert len(chunks) == spark.read.parquet(f"{path}/chunks").count()
-    listed = {x["doc_id"]: x["digests"] for x in spark.read.parquet(f"{path}/manifest").collect()}
-    for doc, text in enumerate(texts):
-        whole = b"".join(chunks[d] for d in listed[doc])
-        assert whole == media.stored(media.payload_of(text)[1])
+    manifest, packed, store, zdict = media.tables(spark, path)
+    reader = media.reader_of(zdict)
+    own = {(x["media"], a): d for x in packed.collect() for a, d in zip(x["at"], x["data"], strict=True)}
+    shared = {x["digest"]: x["data"] for x in store.collect()}
+    assert packed.count() == packed.select("media").distinct().count() and store.count() == len(shared)
+    for x in manifest.collect():  # each chunk stands in one place
+        parts = [own.get((x["media"], i), shared.get(d)) for i, d in enumerate(x["digests"])]
+        assert all(((x["media"], i) in own) != (d in shared) for i, d in enumerate(x["digests"]))
+        assert b"".join(map(reader.decompress, parts)) == media.stored(media.payload_of(texts[x["doc_id"]])[1])
+    assert len({hashlib.sha256(reader.decompress(d)).digest() for d in own.values()}) == len(own)
+    assert shared and own
     assert {x["doc_id"]: x["media_sha256"] for x in got.collect()} == {d: hashlib.sha256(media.stored(media.payload_of(t)[1])).hexdigest() for d, t in enumerate(texts)}

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import itertools
 import random
 import re
 import time
+import wave
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PythonException
@@ -364,16 +365,27 @@ def test_components(spark):
     assert got[40] == 0 and got[300] == 0 and got[102] == 100 and 200 not in got
 
 
-@pytest.mark.parametrize("hot", [media.HOT, 0])
-def test_media(spark, docs, rows, empty, monkeypatch, hot):
-    monkeypatch.setattr(media, "HOT", hot)
+@pytest.mark.parametrize("slots", [media.SLOTS, 8])
+def test_media(spark, docs, rows, empty, monkeypatch, slots):
+    """Against values computed by hand; with 8 slots nearly all chunks count as repeated."""
+    monkeypatch.setattr(media, "SLOTS", slots)
     got = {r["doc_id"]: r for r in media.stored_and_read(docs).collect()}
     assert media.stored_and_read(docs).count() == len(rows) and media.stored_and_read(empty).count() == 0
     for r in rows:
-        n, payload = media.payload_of(r[1])
-        row = got[r[0]]
+        raw = (r[1] or "").encode()
+        payload = raw.ljust(max(64, (len(raw) + 63) // 64 * 64), b"\0")
+        buffer = io.BytesIO()
+        with wave.open(buffer, "wb") as f:
+            f.setnchannels(1), f.setsampwidth(1), f.setframerate(media.RATE), f.writeframes(payload)
+        whole, row, level = buffer.getvalue(), got[r[0]], list(payload)
+        mean = sum(level) / len(level)
+        feature = f"n={len(level)};mean={mean:.4f};std={np.std(level):.4f};zc={sum((a < 128) != (b < 128) for a, b in zip(level, level[1:]))};values={len(set(level))}"
         if r[0] is not None:
-            assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+            assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+            assert (row["media_bytes"], row["media_sha256"], row["feature"]) == (len(whole), hashlib.sha256(whole).hexdigest(), feature)
+
+
+def test_chunks():
     data = np.random.default_rng(0).integers(0, 256, 400_000, np.uint8).tobytes()
     ends = media.cuts(data)
     assert ends[-1] == len(data) and max(np.diff([0, *ends])) <= media.MOST
@@ -383,12 +395,16 @@ def test_media(spark, docs, rows, empty, monkeypatch, hot):
 
 
 def test_media_notices_damage(spark, docs):
-    manifest = media.manifests(docs)
+    path = f"{common.shared_dir(spark)}/damage"
+    media.write(docs, path)
+    _, packed, store, zdict = media.tables(spark, path)
+    with pytest.raises(PythonException, match="missing"):
+        media.read(packed, store.limit(1), zdict).collect()
     with pytest.raises(PythonException, match="missing"):
-        media.read(manifest, media.chunk_store(docs).limit(3)).collect()
-    short = media.chunk_store(docs).withColumn("data", F.lit(zstandard.compress(b"other")))
+        media.read(packed.withColumn("data", F.slice("data", 2, 1000)), store, zdict).collect()
+    other = F.lit(media.packer_of(zdict).compress(b"other"))
     with pytest.raises(PythonException, match="differs"):
-        media.read(manifest, short).collect()
+        media.read(packed, store.withColumn("data", other), zdict).collect()
 
 
 def test_warc(spark, tmp_path):
