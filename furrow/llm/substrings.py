@@ -2,12 +2,13 @@
 
 A window is 50 consecutive words. Of the word 12-grams in each window the one with the least
 hash is its anchor, so equal windows have equal anchors, whatever stands around them. The graph
-has anchors as nodes and, as edges, the words from an anchor to the next in the same document
-(or to its start or end). Spark joins give every occurrence its node's first document and
-whether the node branches. Along paths of nodes that do not branch, all occurrences have the
-same surroundings: their windows are judged at once, from the node. The windows that reach past
-such a path, or lie at a branch, are compared one by one, by their words at their source
-coordinates.
+is sparse: of all token k-mers only the anchors are nodes, and an edge is the words from an
+anchor to the next in the same document (or to its start or end). A node whose occurrences all
+have the same edge to the next, which all have the same edge back, does not branch there. Spark
+joins compact such nodes to paths: each node points to the one before, and pointers are doubled
+until they reach a path's head. All occurrences of a path have the same words from its first
+anchor to its last: their windows are judged at once, from the path. The windows that reach past
+a path are compared one by one, by their words at their source coordinates.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ WINDOW, GRAM = 50, 12
 CHOICE = WINDOW - GRAM + 1
 #: Rows without an id come after all others.
 LAST = (1 << 63) - 1
+NO_NODE = -(1 << 63)
 AT_START, AT_END = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -125,19 +127,44 @@ def covered_by(windows: np.ndarray) -> np.ndarray:
     return total > 0
 
 
-def judged(did: int, n: int, places: np.ndarray, firsts: np.ndarray, at: np.ndarray, least: np.ndarray, simple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows removed, windows to be compared) of a text; at, least and simple tell of its repeated anchors."""
+def paths(nodes: DataFrame) -> DataFrame:
+    """(node, head, place): the path that each node is part of and its place in it, from 0.
+
+    nodes has node and, where the link to the node before does not branch, prev; else prev is
+    null and the node a head. Each round joins pointers with pointers, which doubles how far
+    they reach. Nodes on a ring have no head; each is a path of its own.
+    """
+    now = cut(nodes.select("node", F.coalesce("prev", "node").alias("up"), F.col("prev").isNotNull().cast("long").alias("place"), F.col("prev").isNull().alias("done")))
+    left = now.filter("not done").count()
+    while left:
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("place").alias("more"), F.col("done").alias("there"))
+        now = cut(now.join(above, "up").select("node", F.col("next").alias("up"), F.when(F.col("done"), F.col("place")).otherwise(F.col("place") + F.col("more")).alias("place"), (F.col("done") | F.col("there")).alias("done")))
+        before, left = left, now.filter("not done").count()
+        if left == before:  # only rings are left
+            break
+    return now.select("node", F.when(F.col("done"), F.col("up")).otherwise(F.col("node")).alias("head"), F.when(F.col("done"), F.col("place")).otherwise(F.lit(0)).alias("place"))
+
+
+def judged(did: int, n: int, places: np.ndarray, firsts: np.ndarray, at: np.ndarray, least: np.ndarray, head: np.ndarray, place: np.ndarray, one_before: np.ndarray, one_after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows removed, windows to be compared) of a text; at, and the others in its order, tell of its repeated anchors."""
     r, windows = len(places), n - WINDOW + 1
-    first_doc, straight = np.full(r, -1, np.int64), np.zeros(r, bool)
-    first_doc[at], straight[at] = least, simple
-    # the words that every occurrence of a path of straight anchors has around it
-    low, high = np.zeros(r, np.int64), np.zeros(r, np.int64)
-    for a, b in spans_of(straight):
-        low[a:b] = places[a - 1] if a else 0
-        high[a:b] = places[b] + GRAM if b < r else n
+    first_doc = np.full(r, -1, np.int64)
+    first_doc[at] = least
+    order = np.argsort(at)
+    at, head, place, one_before, one_after = at[order], head[order], place[order], one_before[order], one_after[order]
+    # runs of anchors that follow each other on one path: all its occurrences have the words from the first anchor to the last,
+    # and where only one edge leads there, or on, also those of that edge
+    new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (head[1:] != head[:-1]) | (place[1:] != place[:-1] + 1)))
+    run = np.cumsum(new) - 1
+    low, high = np.full(r, n, np.int64), np.zeros(r, np.int64)
+    starts = np.flatnonzero(new)
+    ends = np.concatenate((starts[1:], [len(at)])) - 1
+    first, last = at[starts], at[ends]
+    low[at] = np.where(one_before[starts], np.where(first > 0, places[first - 1], 0), places[first])[run]
+    high[at] = np.where(one_after[ends], np.where(last + 1 < r, places[np.minimum(last + 1, r - 1)] + GRAM, n), places[last] + GRAM)[run]
     owner = np.repeat(np.arange(r), np.diff(np.concatenate((firsts, [windows]))))
     start = np.arange(windows)
-    settled = straight[owner] & (start >= low[owner]) & (start + WINDOW <= high[owner])
+    settled = (start >= low[owner]) & (start + WINDOW <= high[owner])
     repeated = first_doc[owner] >= 0
     return settled & repeated & (first_doc[owner] < did), repeated & ~settled
 
@@ -157,7 +184,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, firsts, hits = (batch.column(i) for i in range(3, 6))
         for i in range(batch.num_rows):
             own = hits[i].values
-            gone, left = judged(did[i], n[i], *(x[i].values.to_numpy().astype(np.int64) for x in (places, firsts)), own.field("i").to_numpy(), own.field("least").to_numpy(), own.field("simple").to_numpy(zero_copy_only=False))
+            gone, left = judged(did[i], n[i], *(x[i].values.to_numpy().astype(np.int64) for x in (places, firsts)), own.field("i").to_numpy(), own.field("least").to_numpy(), *(own.field(c).to_numpy(zero_copy_only=False) for c in ("head", "place", "one_before", "one_after")))
             if gone.any() or left.any():
                 keep.append(i)
                 whole.append(bool(covered_by(gone).all()))
@@ -217,11 +244,16 @@ def report(docs: DataFrame) -> DataFrame:
     key = ["did", "text_hash"]
     sketch = cut(sketched(docs).withColumn("did", F.coalesce("doc_id", F.lit(LAST))))
     placed = sketch.filter(F.size("nodes") > 0)
-    occurrences = placed.select(*key, F.posexplode("nodes").alias("i", "node"), "edges").select(*key, "i", "node", F.col("edges")[F.col("i")].alias("before"), F.col("edges")[F.col("i") + 1].alias("after"))
-    nodes = occurrences.groupBy("node").agg(F.min("did").alias("least"), F.max("did").alias("most"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("before", "after") for f in (F.min, F.max)))
+    occurrences = placed.select(*key, F.posexplode("nodes").alias("i", "node"), "nodes", "edges").select(*key, "i", "node", F.coalesce(F.get("nodes", F.col("i") - 1), F.lit(NO_NODE)).alias("prev"), F.col("edges")[F.col("i")].alias("before"), F.col("edges")[F.col("i") + 1].alias("after"))
+    nodes = occurrences.groupBy("node").agg(F.min("did").alias("least"), F.max("did").alias("most"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("before", "after", "prev") for f in (F.min, F.max)))
     # written once, so that the joins below exchange both sides and adaptive execution can split a hot node or window
-    repeated = cut(nodes.filter("least < most").select("node", "least", ((F.col("min_before") == F.col("max_before")) & (F.col("min_after") == F.col("max_after"))).alias("simple")))
-    hits = occurrences.select(*key, "i", "node").join(repeated, "node").groupBy(*key).agg(F.collect_list(F.struct("i", "least", "simple")).alias("hits"))
+    same = lambda c: F.col(f"min_{c}") == F.col(f"max_{c}")
+    repeated = cut(nodes.filter("least < most").select("node", "least", F.when(same("before") & same("prev"), F.col("min_prev")).alias("prev"), same("before").alias("one_before"), same("after").alias("one_after")))
+    # a link that branches on neither side: every occurrence of either end is one of the other
+    onward = repeated.filter("one_after").select(F.col("node").alias("prev"), F.lit(True).alias("linked"))
+    linked = repeated.select("node", "prev").join(onward, "prev", "left").select("node", F.when(F.col("linked"), F.col("prev")).alias("prev"))
+    compacted = cut(repeated.drop("prev").join(paths(linked), "node"))
+    hits = occurrences.select(*key, "i", "node").join(compacted, "node").groupBy(*key).agg(F.collect_list(F.struct("i", "least", "head", "place", "one_before", "one_after")).alias("hits"))
     judging = placed.select(*key, "n_words", "places", "firsts").join(hits, key).dropDuplicates(key)
     verdicts = cut(judging.mapInArrow(_judge, f"did long, text_hash long, whole boolean, removed {SPANS}, open {SPANS}"))
     wanted = verdicts.filter("not whole or size(open) > 0")

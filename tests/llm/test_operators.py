@@ -497,6 +497,26 @@ def test_substrings(docs, rows, empty):
     assert substrings.report(empty).count() == 0
 
 
+def test_paths(spark):
+    """Two straight paths, one of them long, a node alone and a ring."""
+    rows = [(i, i - 1 if i else None) for i in range(70)] + [(100, None), (101, 100), (200, None)] + [(300, 302), (301, 300), (302, 301)]
+    got = {r["node"]: (r["head"], r["place"]) for r in substrings.paths(spark.createDataFrame(rows, "node long, prev long")).collect()}
+    assert all(got[i] == (0, i) for i in range(70)) and got[101] == (100, 1) and got[200] == (200, 0)
+    assert all(got[i] == (i, 0) for i in (300, 301, 302))
+
+
+def test_substrings_of_crossing_passages(spark):
+    """Passages that meet, part, repeat within a text and are cut at its ends."""
+    draws = random.Random(12)
+    passages = [[f"w{draws.randrange(9)}" if k == 5 else f"p{k}x{i}" for i in range(120)] for k in range(6)]
+    texts = []
+    for i in range(60):
+        parts = [passages[draws.randrange(6)][draws.randrange(40) : 80 + draws.randrange(40)] for _ in range(draws.randint(1, 4))]
+        texts.append((i % 57, " ".join(w for p in parts for w in p + [f"own{i}"] * draws.randrange(3))))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert sorted_rows(substrings.report(df)) == brute_removed(texts)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=200), st.integers(1, 50))
 def test_least_places(values, span):
