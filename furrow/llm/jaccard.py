@@ -4,9 +4,9 @@ Texts with equal words form a class and are handled once. A class has 128 MinHas
 32 bands of four; classes that agree in a band are candidates. Within a bucket the values of
 two classes are compared some at a time and the pair is dropped once the posterior probability
 that its similarity reaches the threshold, from a uniform prior, is under the tolerance. The
-pairs that are left, and no others, are verified on whole shingle sets. Most come as pairs, of
-which one class at least has few partners, and are joined with both sets. Where many classes
-resemble many, pairs would be as many as the square of the group: such a crowd is dealt in pairs
+pairs that are left, and no others, are verified on whole shingle sets. Most come as pairs of
+classes with few partners and are joined with both sets. Where many classes resemble each other,
+pairs would be as many as the square of the group: such a crowd is dealt in pairs
 of blocks, and each block finds its surviving pairs again before it verifies them. Buckets and
 crowds of any size are split.
 """
@@ -37,7 +37,7 @@ STEP = 16
 BUCKET_BLOCK, CROWD_BLOCK = 512, 256
 #: A key with more members than these over SPREAD has as many blocks as SPREAD, so that its work is spread early.
 SPREAD = 20
-#: Partners in a bucket with which a class still gives pairs; pairs of two classes with more are a crowd's.
+#: Partners in a bucket with which a class still gives pairs; pairs of a class with more are a crowd's.
 FEW = 16
 _draws = np.random.default_rng(20_240_601)
 FACTORS = _draws.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -185,9 +185,9 @@ def _new(*keys: np.ndarray) -> np.ndarray:
 def _candidates(least: list[int]):
     """(u, v, crowd) of pairs that agree in a bucket and whose posterior holds.
 
-    A pair comes up in the first band in which it agrees. Those of which one class has FEW
-    partners or fewer in its blocks are given as they are; the others as links of each class to
-    the least of its crowd.
+    A pair comes up in the first band in which it agrees. Those of two classes with FEW
+    partners or fewer in their blocks are given as they are; the others as links of each class
+    to the least of its crowd.
     """
 
     def pairs(key: np.ndarray, own: np.ndarray, cross: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -220,7 +220,7 @@ def _candidates(least: list[int]):
             if not len(a):
                 continue
             partners = np.bincount(a, minlength=len(node)) + np.bincount(b, minlength=len(node))
-            few = np.minimum(partners[a], partners[b]) <= FEW
+            few = np.maximum(partners[a], partners[b]) <= FEW
             u, v = np.minimum(node[a[few]], node[b[few]]), np.maximum(node[a[few]], node[b[few]])
             top = roots(len(node), a[~few], b[~few])
             moved = np.flatnonzero(top != np.arange(len(node)))
