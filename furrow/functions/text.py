@@ -37,6 +37,7 @@ def without_extension(name: Column) -> Column:
     return F.regexp_replace(name, r"\.(png|jpg)", "")
 
 
+# Fixed value below: the characters that file names must not hold.
 def clean(s: Column) -> Column:
     """Characters that names should not have, each an underscore."""
     return F.regexp_replace(s, r"[|@#!¡·$€%&()=?¿^*;:,¨´><+]", "_")
@@ -74,10 +75,22 @@ def whole_number(stem: Column) -> Column:
     return F.when(stem.rlike(r"^\d+$"), stem.try_cast("long"))
 
 
-#: The 91-class numbers of the 80 classes in order; the other numbers have no class.
-MISSING_91 = (12, 26, 29, 30, 45, 66, 68, 69, 71, 83, 91)
+# The 91-class numbers of the 80 classes, in order.
+CLASS_91 = (
+    1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, 16, 17, 18, 19, 20, 21,
+    22, 23, 24, 25, 27, 28, 31, 32, 33, 34, 35, 36, 37, 38, 39, 40, 41, 42, 43, 44,
+    46, 47, 48, 49, 50, 51, 52, 53, 54, 55, 56, 57, 58, 59, 60, 61, 62, 63, 64, 65,
+    67, 70, 72, 73, 74, 75, 76, 77, 78, 79, 80, 81, 82, 84, 85, 86, 87, 88, 89, 90,
+)
 
 
 def class_91(c: Column) -> Column:
     """The 91-class number of one of 80 classes."""
-    return F.element_at(F.array(*[F.lit(i) for i in range(1, 92) if i not in MISSING_91]), c.cast("int") + 1)
+    return F.element_at(F.array(*[F.lit(i) for i in CLASS_91]), c.cast("int") + 1)
+
+
+def free_name(name: Column, used: Column, sep: str = "") -> Column:
+    """name if it is not among the used numbers as 1, else name with the least free number from 2."""
+    numbers = F.sequence(F.lit(2), F.size(used) + 2)
+    free = F.array_min(F.filter(numbers, lambda n: ~F.array_contains(used, n)))
+    return F.when(~F.array_contains(used, 1), name).otherwise(F.concat(name, F.lit(sep), free.cast("string")))

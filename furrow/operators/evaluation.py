@@ -58,3 +58,11 @@ def f1(precision: Column, recall: Column) -> Column:
 def psnr(mse: Column, peak: float = 1.0, rounded: Callable[[Column], Column] = lambda c: c) -> Column:
     """Peak signal to noise in decibels, infinite where there is no error."""
     return F.when(mse > 0, rounded(10 * F.log10(F.try_divide(F.lit(peak * peak), mse)))).when(mse.isNotNull(), F.lit(math.inf))
+
+
+def swept(rows: DataFrame, grid: dict[str, list[float]]) -> DataFrame:
+    """Each row once for each combination of thresholds that its columns exceed, which are added as <column>_th."""
+    for name, values in grid.items():
+        over = F.array_compact(F.array(*[F.when(F.col(name) > v, F.lit(float(v))) for v in values]))
+        rows = rows.withColumn(f"{name}_th", F.explode(over))
+    return rows

@@ -121,7 +121,8 @@ def nms(boxes: DataFrame, by: Sequence[str], threshold: float = 0.45, most: int
             whole = pa.Table.from_batches(held).combine_chunks()
             yield from whole.take(pa.array(kept(whole), pa.int64())).to_batches()
 
-    dealt = boxes.repartition(*by).sortWithinPartitions(*by, F.desc(score), tie)
+    # by a hash, as an exchange on the columns themselves is left out above a union whose inputs have it, and their partitions do not meet
+    dealt = boxes.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, F.desc(score), tie)
     return dealt.mapInArrow(run, boxes.schema)
 
 

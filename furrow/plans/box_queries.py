@@ -161,10 +161,10 @@ def best_match_or_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("image", F.col("a_gt_id").alias("gt_id"), F.col("b_box_id").alias("box_id"), r(F.col("overlap")).alias("overlap"), r(F.col("distance")).alias("distance"))
 
 
-def nms_sql(by: str, most: int = 300) -> str:
+def nms_sql(by: str, most: int = 300, views: tuple[str, ...] = ("boxes",), head: str = "", source: str = "boxes") -> str:
     part = "PARTITION BY image, cls" if by == "cls" else "PARTITION BY image"
     same = "AND a.cls = b.cls" if by == "cls" else ""
-    return sql(f""", ranked AS (SELECT *, row_number() OVER ({part} ORDER BY conf DESC, box_id) AS n FROM boxes), hits AS (
+    return sql(head + f""", ranked AS (SELECT *, row_number() OVER ({part} ORDER BY conf DESC, box_id) AS n FROM {source}), hits AS (
       SELECT a.image, a.cls, a.n, list(b.n) AS earlier FROM ranked a JOIN ranked b ON a.image = b.image {same} AND b.n < a.n
         AND greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) > 0.45 * ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
         - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0))
@@ -174,7 +174,7 @@ def nms_sql(by: str, most: int = 300) -> str:
       UNION ALL SELECT w.image, w.grp, w.n + 1, CASE WHEN s.earlier IS NULL OR NOT list_has_any(s.earlier, w.kept) THEN list_append(w.kept, s.n) ELSE w.kept END
       FROM walk w JOIN steps s ON s.image = w.image AND s.n = w.n + 1 {'AND s.grp = w.grp' if by == 'cls' else ''}), ends AS (
       SELECT image, grp, arg_max(kept, n) AS kept FROM walk GROUP BY image, grp)
-      SELECT s.image, s.box_id, {R('s.conf')} AS conf FROM steps s JOIN ends e ON s.image = e.image {'AND s.grp = e.grp' if by == 'cls' else ''} WHERE list_contains(e.kept[1:{most}], s.n)""", "boxes")
+      SELECT s.image, s.box_id, {R('s.conf')} AS conf FROM steps s JOIN ends e ON s.image = e.image {'AND s.grp = e.grp' if by == 'cls' else ''} WHERE list_contains(e.kept[1:{most}], s.n)""", *views)
 
 
 @query("nms_per_class", nms_sql("cls"))

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import boxes as B
 from ..operators import evaluation as E
 from ..operators import overlap as O
 from .fixtures import R, boxes, frames, r, runs, sql, table, truth
 from .registry import query
 
-MATCH = """, det AS (SELECT image, box_id, cls, conf, x1, y1, x2, y2, row_number() OVER (PARTITION BY image ORDER BY conf DESC, box_id) AS det FROM boxes),
- pr AS (SELECT t.image, t.gt_id AS lab, d.det, greatest(least(t.x2, d.x2) - greatest(t.x1, d.x1), 0) * greatest(least(t.y2, d.y2) - greatest(t.y1, d.y1), 0) AS i, (t.x2-t.x1)*(t.y2-t.y1) + (d.x2-d.x1)*(d.y2-d.y1) AS s
-   FROM truth t JOIN det d ON t.image = d.image AND t.cls = d.cls), io AS (SELECT image, lab, det, round(i / (s - i + 1e-7), 9) AS iou FROM pr),
+DET = ", det AS (SELECT image, box_id, cls, conf, x1, y1, x2, y2, row_number() OVER (PARTITION BY image ORDER BY conf DESC, box_id) AS det FROM boxes)"
+BOX_PAIRS = """, pr AS (SELECT t.image, t.gt_id AS lab, d.det, greatest(least(t.x2, d.x2) - greatest(t.x1, d.x1), 0) * greatest(least(t.y2, d.y2) - greatest(t.y1, d.y1), 0) AS i, (t.x2-t.x1)*(t.y2-t.y1) + (d.x2-d.x1)*(d.y2-d.y1) AS s
+   FROM truth t JOIN det d ON t.image = d.image AND t.cls = d.cls)"""
+GREEDY = """, io AS (SELECT image, lab, det, round(i / (s - i + 1e-7), 9) AS iou FROM pr),
  ov AS (SELECT io.*, th FROM io CROSS JOIN (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS th) WHERE iou >= th), f1 AS (SELECT *, row_number() OVER (PARTITION BY image, th, det ORDER BY iou DESC, lab) AS n FROM ov),
  f2 AS (SELECT *, row_number() OVER (PARTITION BY image, th, lab ORDER BY det) AS m FROM f1 WHERE n = 1), mt AS (SELECT image, th, det, lab, iou FROM f2 WHERE m = 1)"""
+MATCH = DET + BOX_PAIRS + GREEDY
 
 #: The reference's IoU thresholds.
 THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
@@ -38,14 +41,16 @@ def match_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return matches(spark, sf).select("image", "threshold", "det", "lab", r(F.col("iou")).alias("iou"))
 
 
-CURVE = MATCH + """, sc AS (SELECT d.cls, th, d.conf, d.image * 100000 + d.det AS tie, CASE WHEN mt.det IS NULL THEN 0 ELSE 1 END AS tp FROM det d CROSS JOIN (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS th) h LEFT JOIN mt USING (image, det, th)),
+CURVES = """, sc AS (SELECT d.cls, th, d.conf, d.image * 100000 + d.det AS tie, CASE WHEN mt.det IS NULL THEN 0 ELSE 1 END AS tp FROM det d CROSS JOIN (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS th) h LEFT JOIN mt USING (image, det, th)),
  tot AS (SELECT cls, count(*) AS n_true FROM truth GROUP BY cls), rk AS (SELECT *, row_number() OVER w AS rank, sum(tp) OVER (PARTITION BY cls, th ORDER BY conf DESC, tie ROWS UNBOUNDED PRECEDING) AS tps FROM sc WINDOW w AS (PARTITION BY cls, th ORDER BY conf DESC, tie)),
  cv AS (SELECT rk.*, tps / rank::DOUBLE AS precision, tps / (n_true + 1e-16::DOUBLE) AS recall FROM rk JOIN tot USING (cls)), en AS (SELECT *, max(precision) OVER (PARTITION BY cls, th ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM cv)"""
+CURVE = MATCH + CURVES
 
 
-def curves(spark: SparkSession, sf: str) -> DataFrame:
+def curves(spark: SparkSession, sf: str, matched: DataFrame | None = None) -> DataFrame:
+    """Precision-recall curves of all detections by class and threshold, with box matches unless others are given."""
     d = detections(spark, sf).select("image", "cls", "conf", "det").withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])))
-    m = matches(spark, sf).select("image", "det", "threshold", F.lit(1).cast("long").alias("hit"))
+    m = (matches(spark, sf) if matched is None else matched).select("image", "det", "threshold", F.lit(1).cast("long").alias("hit"))
     scored = d.join(m, ["image", "det", "threshold"], "left").select("cls", "threshold", "conf", (F.col("image") * 100000 + F.col("det")).alias("tie"), F.coalesce("hit", F.lit(0)).alias("tp"))
     return E.curve(scored, truth(spark, sf).groupBy("cls").agg(F.count(F.lit(1)).alias("n_true")), ["cls", "threshold"])
 
@@ -57,10 +62,11 @@ def pr_curve(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("cls", "threshold", "rank", "tps", *[r(F.col(n)).alias(n) for n in ("precision", "recall", "envelope")])
 
 
-AP = CURVE + """, nd AS (SELECT cls, th, recall AS x, rank AS k, envelope AS y FROM en UNION ALL SELECT DISTINCT cls, th, 0.0::DOUBLE, 0, 1.0::DOUBLE FROM en UNION ALL SELECT DISTINCT cls, th, 1.0::DOUBLE, 1::BIGINT << 60, 0.0::DOUBLE FROM en),
+AREA = """, nd AS (SELECT cls, th, recall AS x, rank AS k, envelope AS y FROM en UNION ALL SELECT DISTINCT cls, th, 0.0::DOUBLE, 0, 1.0::DOUBLE FROM en UNION ALL SELECT DISTINCT cls, th, 1.0::DOUBLE, 1::BIGINT << 60, 0.0::DOUBLE FROM en),
  sp AS (SELECT cls, th, x AS x0, y AS y0, k, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM nd WINDOW w AS (PARTITION BY cls, th ORDER BY x, k)), gr AS (SELECT unnest(range(0, 101)) AS g),
  ht AS (SELECT cls, th, g, y0 + (y1 - y0) * CASE WHEN x1 > x0 THEN (g / 100.0::DOUBLE - x0) / (x1 - x0) ELSE 1 END AS h FROM sp JOIN gr ON g >= CASE WHEN k = 0 THEN 0 ELSE floor(x0 * 100) + 1 END AND g <= floor(x1 * 100) WHERE x1 IS NOT NULL),
  ap AS (SELECT cls, th, sum(h * CASE WHEN g IN (0, 100) THEN 0.5 ELSE 1 END) / 100 AS ap FROM ht GROUP BY cls, th)"""
+AP = CURVE + AREA
 
 
 @query("average_precision", sql(AP + f" SELECT cls, th AS threshold, {R('ap')} AS ap FROM ap", "truth"))
@@ -100,12 +106,15 @@ PX = """, m AS (SELECT image, box_id AS mask, unnest(range(floor(x1 / 8)::BIGINT
 
 def mask_pixels(spark: SparkSession, sf: str) -> DataFrame:
     """(image, mask, px): each box as the cells of a coarse grid that it covers, half open."""
-    b = boxes(spark, sf)
+    return cells(boxes(spark, sf).withColumnRenamed("box_id", "mask"))
+
+
+def cells(b: DataFrame) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / 8)
     span = lambda a, c: F.explode(F.sequence(cell(a), cell(c) - 1))
     full = b.filter((cell("x2") > cell("x1")) & (cell("y2") > cell("y1")))
     rows = full.withColumn("gx", span("x1", "x2")).withColumn("gy", span("y1", "y2"))
-    return rows.select("image", F.col("box_id").alias("mask"), (F.col("gx") + 100 * F.col("gy")).alias("px"))
+    return rows.select("image", "mask", (F.col("gx") + 100 * F.col("gy")).alias("px"))
 
 
 @query("mask_iou", sql(PX + f""", s AS (SELECT image, mask, count(*) AS n FROM p GROUP BY image, mask), o AS (SELECT a.image, a.mask AS a, b.mask AS b, count(*) AS i FROM p a JOIN p b ON a.image = b.image AND a.px = b.px AND a.mask < b.mask GROUP BY ALL)
@@ -224,3 +233,54 @@ def methods_union(spark: SparkSession, sf: str) -> DataFrame:
 def timing_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Mean time of each stage and over all."""
     return table(spark, sf, "events").rollup("event_type").agg(r(F.sum("value") / F.count("value")).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+MASK_PAIRS = """, dm AS (SELECT image, det, cls, unnest(range(floor(x1 / 8)::BIGINT, floor(x2 / 8)::BIGINT)) AS gx, y1, y2 FROM det), dp AS (SELECT image, det, cls, gx + 100 * unnest(range(floor(y1 / 8)::BIGINT, floor(y2 / 8)::BIGINT)) AS px FROM dm),
+ tm AS (SELECT image, gt_id AS lab, cls, unnest(range(floor(x1 / 8)::BIGINT, floor(x2 / 8)::BIGINT)) AS gx, y1, y2 FROM truth), tp AS (SELECT image, lab, cls, gx + 100 * unnest(range(floor(y1 / 8)::BIGINT, floor(y2 / 8)::BIGINT)) AS px FROM tm),
+ dn AS (SELECT image, det, count(*) AS n FROM dp GROUP BY ALL), tn AS (SELECT image, lab, count(*) AS n FROM tp GROUP BY ALL), ip AS (SELECT image, lab, det, count(*) AS i FROM tp JOIN dp USING (image, cls, px) GROUP BY ALL),
+ pr AS (SELECT ip.image, ip.lab, ip.det, i, tn.n + dn.n AS s FROM ip JOIN tn USING (image, lab) JOIN dn USING (image, det))"""
+
+
+def mask_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """One-to-one matches of detections and truth at each threshold by the cells that their masks share."""
+    of = lambda df, name: cells(df.select("image", F.col(name).alias("mask"), *O.CORNERS)).withColumnRenamed("mask", name)
+    det, gt = detections(spark, sf), truth(spark, sf).withColumnRenamed("gt_id", "lab")
+    d, t = of(det, "det"), of(gt, "lab")
+    i = t.join(d, ["image", "px"]).groupBy("image", "lab", "det").agg(F.count(F.lit(1)).alias("i"))
+    same = i.join(det.select("image", "det", "cls"), ["image", "det"]).join(gt.select("image", "lab", "cls"), ["image", "lab", "cls"])
+    counted = lambda df, name, n: df.groupBy("image", name).agg(F.count(F.lit(1)).alias(n))
+    j = same.join(counted(t, "lab", "nt"), ["image", "lab"]).join(counted(d, "det", "nd"), ["image", "det"])
+    iou = F.round(F.col("i") / (F.col("nt") + F.col("nd") - F.col("i") + 1e-7), 9)
+    return O.match_greedy(j.select("image", "lab", "det", iou.alias("iou")), THRESHOLDS)
+
+
+@query("box_and_mask_ap", "SELECT 'box' AS kind, * FROM (" + sql(AP + f" SELECT cls, th AS threshold, {R('ap')} AS ap FROM ap", "truth") + ") UNION ALL SELECT 'mask', * FROM (" + sql(DET + MASK_PAIRS + GREEDY + CURVES + AREA + f" SELECT cls, th AS threshold, {R('ap')} AS ap FROM ap", "truth") + ")")
+def box_and_mask_ap(spark: SparkSession, sf: str) -> DataFrame:
+    """Average precision of each class at each threshold, by boxes and by masks."""
+    out = [E.average_precision(curves(spark, sf, m), ["cls", "threshold"]).select(F.lit(kind).alias("kind"), "cls", "threshold", r(F.col("ap")).alias("ap")) for kind, m in (("box", matches(spark, sf)), ("mask", mask_matches(spark, sf)))]
+    return out[0].unionByName(out[1])
+
+
+ODD = """, p AS (SELECT image, mask, px FROM (SELECT image, mask, gx + 100 * unnest(range(floor(y1 / 8)::BIGINT, floor(y2 / 8)::BIGINT)) AS px FROM (SELECT image, {id} AS mask, unnest(range(floor(x1 / 8)::BIGINT, floor(x2 / 8)::BIGINT)) AS gx, y1, y2 FROM {source})) WHERE px % 2 > 0 OR px % 3 > 0)"""
+
+
+@query("paired_mask_iou", sql(ODD.format(id="box_id", source="boxes").replace(", p AS", ", a AS") + ODD.format(id="gt_id", source="truth").replace(", p AS", ", b AS") + f""", na AS (SELECT image, mask, count(*) AS n FROM a GROUP BY ALL), nb AS (SELECT image, mask, count(*) AS n FROM b GROUP BY ALL),
+ o AS (SELECT image, mask, count(*) AS i FROM a JOIN b USING (image, mask, px) GROUP BY ALL) SELECT nb.image, nb.mask, {R('coalesce(i, 0) / (na.n + nb.n - coalesce(i, 0) + 1e-7)')} AS iou FROM nb JOIN na USING (image, mask) LEFT JOIN o USING (image, mask)""", "truth"))
+def paired_mask_iou(spark: SparkSession, sf: str) -> DataFrame:
+    """IoU of each true mask and the box mask of the same number; a pixel is on where any of its two channels is over 0."""
+    on = lambda df: cells(df).filter(A.any_positive(F.array(F.col("px") % 2, F.col("px") % 3)))
+    a, b = on(boxes(spark, sf).withColumnRenamed("box_id", "mask")), on(truth(spark, sf).withColumnRenamed("gt_id", "mask"))
+    counted = lambda df, n: df.groupBy("image", "mask").agg(F.count(F.lit(1)).alias(n))
+    j = counted(b, "nb").join(counted(a, "na"), ["image", "mask"]).join(counted(a.join(b, ["image", "mask", "px"]), "i"), ["image", "mask"], "left")
+    i = F.coalesce("i", F.lit(0))
+    return j.select("image", "mask", r(i / (F.col("na") + F.col("nb") - i + 1e-7)).alias("iou"))
+
+
+@query("parameter_grid", sql(DET + BOX_PAIRS + """, g AS (SELECT c::DOUBLE AS conf_th, t::DOUBLE AS iou_th FROM (SELECT unnest([0.001, 0.1, 0.2, 0.3]) AS c) CROSS JOIN (SELECT unnest([0.1, 0.3, 0.45, 0.6]) AS t)), m AS (SELECT image, lab, det, round(i / (s - i + 1e-7), 9) AS iou FROM pr WHERE i > 0)
+ SELECT conf_th, iou_th, count(*) AS n_pairs, count(DISTINCT (m.image, m.lab)) AS n_found FROM m JOIN det d ON m.image = d.image AND m.det = d.det JOIN g ON d.conf > conf_th AND m.iou > iou_th GROUP BY conf_th, iou_th""", "truth"))
+def parameter_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs and true boxes found at each of a grid of confidence and overlap thresholds."""
+    det = detections(spark, sf).select("image", "cls", "det", "conf", *O.CORNERS)
+    gt = truth(spark, sf).withColumnRenamed("gt_id", "lab")
+    pairs = O.overlap_join(gt, det, ["image", "cls"]).select("image", F.col("a_lab").alias("lab"), F.col("b_conf").alias("conf"), F.round(B.iou(B.box("a_"), B.box("b_")), 9).alias("iou"))
+    return E.swept(pairs, {"conf": [0.001, 0.1, 0.2, 0.3], "iou": [0.1, 0.3, 0.45, 0.6]}).groupBy("conf_th", "iou_th").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("image", "lab").alias("n_found"))

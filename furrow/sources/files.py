@@ -282,6 +282,7 @@ def content_key(files: DataFrame) -> DataFrame:
     return files.agg(F.sha2(F.concat(F.sum("length").cast("string"), paths).cast("binary"), 256).alias("key"))
 
 
+# The file types that are read.
 IMAGE_TYPES = ("bmp", "dng", "jpeg", "jpg", "mpo", "png", "tif", "tiff", "webp", "pfm")
 VIDEO_TYPES = ("asf", "avi", "gif", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "ts", "wmv")
 
