@@ -2,43 +2,84 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .graph import components
+
 XYZ = ("x", "y", "z")
-#: Pairs of points whose distances are held at once.
-PAIRS = 4_000_000
+#: Points of a cloud up to which its neighbours are searched in one cell.
+SMALL = 256
 
 
 def _cloud(group: pa.Table) -> np.ndarray:
     return np.stack([group[c].to_numpy() for c in XYZ], 1)
 
 
-def neighbour_distances(p: np.ndarray, k: int) -> np.ndarray:
-    """Distances of each point to its k nearest others, ascending, a block of points at a time."""
-    k = min(k, len(p) - 1)
-    out = np.zeros((len(p), max(k, 0)))
-    step = max(1, PAIRS // max(len(p), 1))
-    for a in range(0, len(p), step):
-        d = np.sqrt(np.maximum(((p[a : a + step, None, :] - p[None]) ** 2).sum(2), 0))
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        if k > 0:
-            out[a : a + step] = np.sort(np.partition(d, k - 1, 1)[:, :k], 1)
-    return out
+def _celled(points: DataFrame, side: Column) -> DataFrame:
+    return points.withColumns({"c" + c: F.floor((F.col(c) - F.col(c + "0")) / side).cast("long") for c in XYZ})
 
 
-def mean_neighbour_distance(points: DataFrame, by: str, k: int, squared: bool = False) -> DataFrame:
-    """points with near: the mean (squared) distance to the k nearest others of the group."""
+def _around(points: DataFrame, reach: int = 1) -> DataFrame:
+    """Each point once for each cell within reach of its own, which becomes its cell."""
+    for c in XYZ:
+        steps = F.transform(F.array(*[F.lit(i).cast("long") for i in range(-reach, reach + 1)]), lambda i, c=c: i)
+        points = points.withColumn("step", F.explode(steps)).withColumn("c" + c, F.col("c" + c) + F.col("step")).drop("step")
+    return points
 
-    def run(group: pa.Table) -> pa.Table:
-        d = neighbour_distances(_cloud(group), k)
-        near = (d**2 if squared else d).mean(1) if d.shape[1] else np.full(len(d), np.nan)
-        return group.append_column("near", pa.array(near))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-    return points.groupBy(by).applyInArrow(run, f"{schema}, near double")
+def _distance(a: str = "", b: str = "o") -> Column:
+    return F.sqrt(sum(((F.col(a + c) - F.col(b + c)) * (F.col(a + c) - F.col(b + c)) for c in XYZ), F.lit(0.0)))
+
+
+def neighbours(points: DataFrame, by: str, k: int, least: float | None = None) -> DataFrame:
+    """(by, pid, other, d, n): the k nearest others of each point in its group, by distance, then pid.
+
+    points has by, pid, x, y, z. Points are dealt to cells that hold a few times k points on
+    average, and each meets those of the 27 cells around its own. Whatever is nearer than a
+    cell's side has then been seen: points whose k-th neighbour is farther are searched again in
+    cells of twice the side, until a cell holds the whole cloud. With least, nearer points do
+    not count.
+    """
+    key = ["x0", "y0", "z0"]
+    ends = points.groupBy(by).agg(*[F.min(c).alias(c + "0") for c in XYZ], *[F.max(c).alias(c + "1") for c in XYZ], F.count(F.lit(1)).alias("size"))
+    wide = F.greatest(*[F.col(c + "1") - F.col(c + "0") for c in XYZ])
+    side = F.when(F.col("size") <= SMALL, wide).otherwise(wide * F.cbrt(F.lit(4.0 * (k + 1)) / F.col("size")))
+    ends = ends.select(by, *key, (wide * 1.0001 + 1e-12).alias("wide"), F.greatest(side * 1.0001, wide * 1e-6, F.lit(1e-12)).alias("side"))
+    all_points = cut(points.select(by, "pid", *XYZ).join(ends, by))
+    left, parts = all_points, []
+    while True:
+        others = _celled(all_points, F.col("side")).select(by, "cx", "cy", "cz", F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in XYZ])
+        near = _around(_celled(left, F.col("side"))).join(others, [by, "cx", "cy", "cz"]).filter("pid != other").withColumn("d", _distance())
+        near = near if least is None else near.filter(F.col("d") >= least)
+        ranked = near.withColumn("n", F.row_number().over(Window.partitionBy(by, "pid").orderBy("d", "other")).cast("long")).filter(F.col("n") <= k)
+        # what is done: k neighbours within a side, or the whole cloud seen
+        ranked = ranked.withColumn("far", F.max(F.when(F.col("n") == k, F.col("d"))).over(Window.partitionBy(by, "pid")))
+        whole = F.col("side") >= F.col("wide")
+        found = cut(ranked.select(by, "pid", "other", "d", "n", (whole | (F.col("far") <= F.col("side"))).alias("done")))
+        parts.append(found.filter("done").drop("done"))
+        settled = found.filter("done").select(by, "pid").distinct()
+        left = left.filter(~whole).join(settled, [by, "pid"], "left_anti").withColumn("side", F.least(F.col("side") * 2, F.col("wide")))
+        left = cut(left)
+        if left.isEmpty():
+            break
+        all_points = all_points.withColumn("side", F.least(F.col("side") * 2, F.col("wide")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def mean_neighbour_distance(points: DataFrame, by: str, k: int, squared: bool = False) -> DataFrame:
+    """points with near: the mean (squared) distance to the k nearest others of the group, not a number where there are none."""
+    d = F.col("d") * F.col("d") if squared else F.col("d")
+    near = neighbours(points, by, k).groupBy(by, "pid").agg(F.avg(d).alias("near"))
+    return points.join(near, [by, "pid"], "left").withColumn("near", F.coalesce("near", F.lit(math.nan)))
 
 
 def without_outliers(points: DataFrame, by: str, k: int = 200, ratio: float = 3.0) -> DataFrame:
@@ -50,41 +91,36 @@ def without_outliers(points: DataFrame, by: str, k: int = 200, ratio: float = 3.
     return bound.filter((F.col("n") <= k) | (F.col("near") < F.col("mid") + ratio * 1.4826 * F.col("mad"))).drop("near", "mid", "n", "mad")
 
 
-def dbscan_labels(p: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Density clusters: cores have least points within eps, themselves included; -1 is noise.
-
-    Clusters are numbered by their first point; a border point joins the least-numbered
-    cluster of a core in reach.
-    """
-    n = len(p)
-    near = [np.flatnonzero(((p[i] - p) ** 2).sum(1) <= eps * eps) for i in range(n)] if n <= 20_000 else None
-    reach = (lambda i: near[i]) if near is not None else (lambda i: np.flatnonzero(((p[i] - p) ** 2).sum(1) <= eps * eps))
-    core = np.array([len(reach(i)) >= least for i in range(n)], bool)
-    labels, number = np.full(n, -1), 0
-    for i in range(n):
-        if not core[i] or labels[i] >= 0:
-            continue
-        stack = [i]
-        labels[i] = number
-        while stack:
-            for j in reach(stack.pop()):
-                if labels[j] < 0:
-                    labels[j] = number
-                    if core[j]:
-                        stack.append(j)
-        number += 1
-    return labels
-
-
 def clustered(points: DataFrame, by: str, eps: float, least: int) -> DataFrame:
-    """points with cluster, by density within each group; points are taken in order of pid."""
+    """points with cluster, by density within each group; -1 is noise.
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("pid")
-        return group.append_column("cluster", pa.array(dbscan_labels(_cloud(group), eps, least), pa.int64()))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-    return points.groupBy(by).applyInArrow(run, f"{schema}, cluster long")
+    Cores have least points within eps, themselves included. Clusters are the components of
+    cores in reach of each other, numbered by their first core's pid; a border point joins the
+    least-numbered cluster of a core in reach. Points meet in cells of side eps. Of a core's
+    links one is kept to each small cell (cores in one are all in reach of each other), so that
+    links grow with the points, not with the pairs.
+    """
+    own = points.select(by, "pid", *XYZ).withColumns({c + "0": F.lit(0.0) for c in XYZ})
+    cells = _celled(own, F.lit(eps)).drop("x0", "y0", "z0")
+    others = cells.select(by, "cx", "cy", "cz", F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in XYZ])
+    reach = lambda a, b: _around(a).join(b, [by, "cx", "cy", "cz"]).filter(sum(((F.col(c) - F.col("o" + c)) * (F.col(c) - F.col("o" + c)) for c in XYZ), F.lit(0.0)) <= eps * eps)
+    cores = cut(reach(cells, others).groupBy(by, "pid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(by, "pid"))
+    core_cells = cut(cells.join(cores, [by, "pid"]))
+    small = F.struct(*[F.floor(F.col("o" + c) / (eps / math.sqrt(3) * 0.999)).alias(c) for c in XYZ])
+    core_others = core_cells.select(by, "cx", "cy", "cz", F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in XYZ])
+    links = reach(core_cells, core_others).groupBy(by, F.col("pid").alias("u"), small.alias("cell")).agg(F.min("other").alias("v"))
+    # numbers for (group, pid), so that nodes of different groups never meet
+    numbers = cut(cores.withColumn("node", F.monotonically_increasing_id()))
+    of = lambda c: numbers.select(by, F.col("pid").alias(c), F.col("node").alias("n" + c))
+    joined = components(links.select(by, "u", "v").join(of("u"), [by, "u"]).join(of("v"), [by, "v"]).select(F.col("nu").alias("u"), F.col("nv").alias("v")))
+    rooted = numbers.join(joined, "node", "left").select(by, "pid", F.coalesce("component", "node").alias("root"))
+    first = rooted.groupBy(by, "root").agg(F.min("pid").alias("first"))
+    number = (F.row_number().over(Window.partitionBy(by).orderBy("first")) - 1).cast("long")
+    core_labels = cut(rooted.join(first.select(by, "root", number.alias("cluster")), [by, "root"]).select(by, "pid", "cluster"))
+    labelled = core_cells.join(core_labels, [by, "pid"]).select(by, "cx", "cy", "cz", F.col("cluster"), *[F.col(c).alias("o" + c) for c in XYZ])
+    border = reach(cells.join(cores, [by, "pid"], "left_anti"), labelled).groupBy(by, "pid").agg(F.min("cluster").alias("cluster"))
+    found = core_labels.unionByName(border.select(by, "pid", "cluster"))
+    return points.join(found, [by, "pid"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long")))
 
 
 def main_cluster(clusters: DataFrame, by: str) -> DataFrame:

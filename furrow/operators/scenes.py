@@ -37,25 +37,28 @@ def composed_labels(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image").applyInArrow(run, "image long, px long, obj long")
 
 
-def window_weights(size: int = 11, sigma: float = 1.5) -> list[tuple[int, int, float]]:
-    """(dx, dy, weight) of a Gaussian window that sums to one."""
+def window_weights(size: int = 11, sigma: float = 1.5) -> list[tuple[int, float]]:
+    """(offset, weight) of a Gaussian window that sums to one."""
     g = [math.exp(-((i - size // 2) ** 2) / (2 * sigma * sigma)) for i in range(size)]
-    total = sum(g)
-    return [(i - size // 2, j - size // 2, g[i] * g[j] / total / total) for i in range(size) for j in range(size)]
+    return [(i - size // 2, v / sum(g)) for i, v in enumerate(g)]
 
 
 def ssim(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """Mean structural similarity of images a and b: image, x, y, a, b. What lies outside is 0."""
-    near = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dx, dy, w in window_weights()])
-    spread = pixels.withColumn("n", F.explode(near)).select("image", (F.col("x") + F.col("n.dx")).alias("x"), (F.col("y") + F.col("n.dy")).alias("y"), F.col("n.w").alias("w"), "a", "b")
-    inside = spread.filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
-    w, a, b = F.col("w"), F.col("a"), F.col("b")
-    m = inside.groupBy("image", "x", "y").agg(F.sum(w * a).alias("ma"), F.sum(w * b).alias("mb"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.sum(w * a * b).alias("ab"))
+    """Mean structural similarity of images a and b: image, x, y, a, b. What lies outside is 0.
+
+    The window is a product of two: sums along x, then along y, take 22 rows a pixel and not 121.
+    """
+    near = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in window_weights()])
+    a, b = F.col("a"), F.col("b")
+    sums = pixels.select("image", "x", "y", a.alias("ma"), b.alias("mb"), (a * a).alias("aa"), (b * b).alias("bb"), (a * b).alias("ab"))
+    for axis, end in (("x", width), ("y", height)):
+        spread = sums.withColumn("n", F.explode(near)).withColumn(axis, F.col(axis) + F.col("n.k")).filter(F.col(axis).between(0, end - 1))
+        sums = spread.groupBy("image", "x", "y").agg(*[F.sum(F.col("n.w") * F.col(c)).alias(c) for c in ("ma", "mb", "aa", "bb", "ab")])
     ma, mb = F.col("ma"), F.col("mb")
     c1, c2 = 0.01**2, 0.03**2
     top = (2 * ma * mb + c1) * (2 * (F.col("ab") - ma * mb) + c2)
     low = (ma * ma + mb * mb + c1) * (F.col("aa") - ma * ma + F.col("bb") - mb * mb + c2)
-    return m.groupBy("image").agg(F.avg(top / low).alias("ssim"))
+    return sums.groupBy("image").agg(F.avg(top / low).alias("ssim"))
 
 
 def fitted_anchors(sizes: DataFrame, n: int = 9, rounds: int = 15) -> DataFrame:

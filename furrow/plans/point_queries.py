@@ -34,11 +34,7 @@ def outlier_removal(spark: SparkSession, sf: str) -> DataFrame:
  k AS (SELECT *, row_number() OVER (PARTITION BY file_id, pid ORDER BY d, other) AS n FROM d WHERE d >= 1e-6) SELECT pid, other, n FROM k WHERE n <= 4""", "points"))
 def nearest_views(spark: SparkSession, sf: str) -> DataFrame:
     """The four nearest views of each view in its scene."""
-    v = cloud(spark, sf)
-    o = v.select("file_id", F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in "xyz"])
-    d = F.sqrt(sum(((F.col(c) - F.col("o" + c)) * (F.col(c) - F.col("o" + c)) for c in "xyz"), F.lit(0.0)))
-    near = v.join(o, "file_id").withColumn("d", d).filter("d >= 1e-6")
-    return near.withColumn("n", F.row_number().over(Window.partitionBy("file_id", "pid").orderBy("d", "other")).cast("long")).filter("n <= 4").select("pid", "other", "n")
+    return P.neighbours(cloud(spark, sf), "file_id", 4, 1e-6).select("pid", "other", "n")
 
 
 CLUSTERS = """, e AS (SELECT a.file_id, a.pid, b.pid AS other FROM points a JOIN points b ON a.file_id = b.file_id AND (a.x-b.x)^2 + (a.y-b.y)^2 + (a.z-b.z)^2 <= 0.0144),

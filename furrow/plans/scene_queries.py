@@ -12,7 +12,7 @@ from .fixtures import R, boxes, frames, points, r, sql, table
 from .geometry_queries import QSQL, matrix, turned
 from .registry import query
 
-WEIGHTS = ", ".join(f"({dx}, {dy}, {w!r}::DOUBLE)" for dx, dy, w in S.window_weights())
+WEIGHTS = ", ".join(f"({dx}, {dy}, {v!r}::DOUBLE * {w!r}::DOUBLE)" for dx, v in S.window_weights() for dy, w in S.window_weights())
 GRID = ", px AS (SELECT image, x, y, ((x * 7 + y * 13 + image * 5) % 32) / 31.0::DOUBLE AS a, ((x * 7 + y * 13 + image * 5) % 32 + (x * y) % 3) / 34.0::DOUBLE AS b FROM (SELECT unnest(range(0, 5)) AS image) CROSS JOIN (SELECT unnest(range(0, 16)) AS x) CROSS JOIN (SELECT unnest(range(0, 12)) AS y))"
 
 

@@ -81,9 +81,10 @@ def test_hull_and_axes():
     assert np.allclose(np.abs(axes[0]), [0, 0, 1])
 
 
-def test_density_clusters():
-    p = np.array([[0, 0, 0], [0.1, 0, 0], [0.2, 0, 0], [5, 5, 5], [9, 0, 0], [9.1, 0, 0], [9.2, 0, 0]], float)
-    assert P.dbscan_labels(p, 0.15, 2).tolist() == [0, 0, 0, -1, 1, 1, 1]
+def test_density_clusters(spark):
+    p = [[0, 0, 0], [0.1, 0, 0], [0.2, 0, 0], [5, 5, 5], [9, 0, 0], [9.1, 0, 0], [9.2, 0, 0]]
+    df = spark.createDataFrame([(1, i, *map(float, x)) for i, x in enumerate(p)], "g long, pid long, x double, y double, z double")
+    assert [r["cluster"] for r in P.clustered(df, "g", 0.15, 2).orderBy("pid").collect()] == [0, 0, 0, -1, 1, 1, 1]
 
 
 def test_straight_line_has_no_curvature():
