@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -11,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_dir
+
+__all__ = ["cut", "first_by_hash", "narrowed", "numbered", "parted", "shared_dir", "table", "text_slices"]
+
 #: Bytes of text handled at once; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
 
@@ -19,32 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or the one set with setCheckpointDir.
-
-    Where neither is set, a temporary one serves local mode; on a cluster, whose machines do
-    not share it, that is an error.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = spark.sparkContext.getCheckpointDir()
-    if not given:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        given = "file://" + tempfile.mkdtemp(prefix="furrow-checkpoint-")
-        spark.sparkContext.setCheckpointDir(given)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(given)
-    return given
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage with a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
     """rows with their place in an order, from 1, in a column called name.
 
@@ -85,15 +62,21 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
 SLOTS = 1 << 20
 
 
-def narrowed(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows whose key may be among those wanted: all that are, and a few that are not.
+def parted(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among those wanted, the others): the first has all that are, and a few that are not.
 
     Keys, which are hashes, fall into SLOTS slots and the slots in use are broadcast: at most
     SLOTS rows whatever is wanted. It spares the join after it the shuffle of other rows; the
     more is wanted of a larger table the less it spares.
     """
-    slots = wanted.select(F.pmod(F.col(key), F.lit(SLOTS)).alias("__slot")).distinct()
-    return rows.withColumn("__slot", F.pmod(F.col(key), F.lit(SLOTS))).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
+    slots = F.broadcast(wanted.select(F.pmod(F.col(key), F.lit(SLOTS)).alias("__slot")).distinct())
+    placed = rows.withColumn("__slot", F.pmod(F.col(key), F.lit(SLOTS)))
+    return placed.join(slots, "__slot", "left_semi").drop("__slot"), placed.join(slots, "__slot", "left_anti").drop("__slot")
+
+
+def narrowed(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be among those wanted, as the first of parted()."""
+    return parted(rows, wanted, key)[0]
 
 
 def first_by_hash(rows: DataFrame, most: int, *keys: str) -> DataFrame:

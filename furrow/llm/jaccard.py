@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from . import words
 from .common import cut, narrowed, text_slices
-from .components import components, roots
+from .components import roots
 
 SHINGLE = 5
 #: The threshold as a fraction, and the posterior below which a pair is dropped.

@@ -4,7 +4,7 @@ A Zstandard dictionary is trained on a bounded sample of records and stands in a
 frame at the start of each archive; every record is a frame of its own. Equal payloads are
 written once, other records revisit the one that holds them. Archives are rows of bytes in a
 table in the shared folder, which Spark's committer writes, so that a lost executor leaves no
-partial archive; export() makes files of them.
+partial archive; export() has the executors make files of them, in any file system.
 """
 
 from __future__ import annotations
@@ -14,15 +14,15 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, first_by_hash, shared_dir
+from .common import cut, first_by_hash, parted, shared_dir
 
 #: Records to train on, the largest of them in bytes, and the dictionary's size.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 1 << 16, 1 << 16
@@ -39,8 +39,9 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id}/{digest}')}>"
+def record_id(page_id: int | None, digest: str, copy: int = 0) -> str:
+    """The same for the same page, payload and number among rows equal in both, and for no other record."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id}/{digest}' + (f'/{copy}' if copy else ''))}>"
 
 
 def clean(value: str) -> str:
@@ -53,10 +54,10 @@ def record(kind: str, block: bytes, fields: dict[str, str]) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, first: int | None, is_response: bool) -> bytes:
-    """The record of a page: a response with its payload, or a revisit of page first's."""
+def page_record(page_id: int | None, url: str | None, payload: bytes, first: int | None, is_response: bool, copy: int = 0) -> bytes:
+    """The record of a page: a response with its payload, or a revisit of page first's; copy numbers equal rows."""
     digest = base32(hashlib.sha1(payload).digest())
-    fields = {"WARC-Record-ID": record_id(page_id, digest), "WARC-Date": "1970-01-01T00:00:00Z"}
+    fields = {"WARC-Record-ID": record_id(page_id, digest, copy), "WARC-Date": "1970-01-01T00:00:00Z"}
     if url is not None:
         fields["WARC-Target-URI"] = clean(url)
     fields["WARC-Payload-Digest"] = f"sha1:{digest}"
@@ -135,17 +136,32 @@ def records(archive: bytes) -> Iterator[bytes]:
 
 
 def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, digest, first): for each page, the page whose record holds its payload.
+    """(page_id, url, html, first, copy): for each page, the page whose record holds its payload, and its number among equal rows.
 
     Of equal payloads of at least least_bytes, the one with the largest page_id; smaller ones
-    hold their own.
+    hold their own. Only digests are grouped, and only payloads of several rows are joined.
     """
     payload = F.coalesce("html", F.lit(""))
-    light = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))
-    # only payloads of several rows; written, so that adaptive execution can split the join at a hot one
-    largest = cut(light.filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("digest", "largest", F.lit(True).alias("shared")))
-    first = F.when(F.coalesce("shared", F.lit(False)), F.col("largest")).otherwise(F.col("page_id"))
-    return light.distinct().join(largest, "digest", "left").select("page_id", "digest", first.alias("first"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))
+    # written, so that adaptive execution can split the join at a hot payload
+    light = own.select("page_id", "digest", "n")
+    shared = cut(light.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n")).filter("rows > 1").select("digest", "largest", (F.col("n") >= least_bytes).alias("long")))
+    # rows equal in page and payload, numbered: their hosts and texts need not differ
+    again = cut(light.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.lit(True).alias("again")))
+    key = F.xxhash64("digest")
+    maybe, unique = parted(own.withColumn("key", key), shared.select(key.alias("key")), "key")
+    once = unique.select("page_id", "url", "html", F.col("page_id").alias("first"), F.lit(0).cast("long").alias("copy"))
+    first = F.when(F.coalesce("long", F.lit(False)), F.col("largest")).otherwise(F.col("page_id"))
+    known = maybe.join(shared, "digest", "left").select("page_id", "url", "html", "digest", first.alias("first"))
+    if again.isEmpty():
+        return once.unionByName(known.drop("digest").withColumn("copy", F.lit(0).cast("long")))
+    same = known["page_id"].eqNullSafe(again["p"]) & (known["digest"] == again["d"])
+    alone = known.join(again, same, "left_anti").drop("digest").withColumn("copy", F.lit(0).cast("long"))
+    # written with numbers; of equal rows the least numbered has the id that revisits refer to
+    numbered = cut(known.join(again, same).drop("again", "p", "d").withColumn("id", F.monotonically_increasing_id()))
+    least = numbered.groupBy(F.col("page_id").alias("p"), F.col("digest").alias("d")).agg(F.min("id").alias("least"))
+    copies = numbered.join(least, numbered["page_id"].eqNullSafe(least["p"]) & (numbered["digest"] == least["d"]))
+    return once.unionByName(alone).unionByName(copies.select("page_id", "url", "html", "first", F.when(F.col("id") == F.col("least"), 0).otherwise(F.col("id") + 1).alias("copy")))
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, dictionary: bytes | None = None) -> None:
@@ -169,8 +185,8 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, dictionary: bytes |
 
         parts, n, size = opened(), 0, 0
         for batch in batches:
-            for page_id, url, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                frame = packer.compress(page_record(page_id, url, (html or "").encode(), first, first == page_id))
+            for page_id, url, html, first, copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                frame = packer.compress(page_record(page_id, url, (html or "").encode(), first, first == page_id, copy))
                 parts.append(frame)
                 n, size = n + 1, size + len(frame)
                 if size >= ARCHIVE_BYTES:
@@ -180,10 +196,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, dictionary: bytes |
         if n:
             yield closed(parts, n)
 
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
-    who = decided(pages, least_bytes).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first")
-    joined = own.join(who, own["page_id"].eqNullSafe(who["p"]) & (own["digest"] == who["d"])).select("page_id", "url", "html", "first")
-    joined.mapInArrow(run, "archive string, records long, data binary").write.option("compression", "uncompressed").parquet(path)
+    decided(pages, least_bytes).mapInArrow(run, "archive string, records long, data binary").write.option("compression", "uncompressed").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -215,12 +228,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export(spark: SparkSession, path: str, folder: str) -> int:
-    """Writes each archive at path as a file in a local folder of the driver; the number of files."""
-    n = 0
-    for row in spark.read.parquet(path).toLocalIterator():
-        (Path(folder) / row["archive"]).write_bytes(row["data"])
-        n += 1
-    return n
+    """Writes each archive at path as a file in folder, a path or URI that the executors reach; the number of files.
+
+    Each task writes under a name of its own and then moves the file to its place, so that a
+    task that is lost and run again leaves whole files only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), folder)
+        system.create_dir(top, recursive=True)
+        for batch in batches:
+            for name, data in zip(*batch.columns, strict=True):
+                part = f"{top}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part, compression=None) as out:
+                    out.write(data.as_buffer())
+                system.move(part, f"{top}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["archive"])
+
+    return spark.read.parquet(path).select("archive", "data").mapInArrow(run, "archive string").count()
 
 
 def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -228,8 +253,9 @@ def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     pages needs page_id, url and html; other columns are ignored. A null html is empty, a null
     url is left out. A null page_id counts as less than every other. Rows equal in page_id and
-    payload are of the same type, so a repeated response is written again. An empty table gives
-    no archive and no row.
+    payload are of the same type, so a repeated response is written again, under an id of its own;
+    revisits refer to one of them. An empty table
+    gives no archive and no row.
     """
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write(pages, path, least_bytes)

@@ -21,7 +21,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from furrow.llm import common, decontamination, jaccard, media, mixing, personal, quality, queries, quotation, substrings, toxicity, warc, words
-from furrow.llm.components import components
+from furrow.llm.components import roots
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, k string, node string, h string"
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -359,10 +359,8 @@ def test_posterior_drops_few():
     assert (low >= jaccard.least_matches()).all(1).mean() < 0.001
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 200), (300, 1)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got[40] == 0 and got[300] == 0 and got[102] == 100 and 200 not in got
+def test_roots():
+    assert roots(6, np.array([1, 3]), np.array([2, 1])).tolist() == [0, 1, 1, 1, 4, 5]
 
 
 @pytest.mark.parametrize("slots", [media.SLOTS, 8])
@@ -419,9 +417,18 @@ def test_warc(spark, tmp_path):
     want = sorted(((i, len((h or "").encode()), digest(h), "response" if largest[digest(h)] in (i, -1) else "revisit", None if largest[digest(h)] in (i, -1) else largest[digest(h)]) for i, _, h in pages), key=str)
     assert sorted_rows(got.drop("url")) == want
     path = str(tmp_path / "a")
-    warc.write(df, path)
-    assert warc.export(spark, path, str(tmp_path)) == len(list(tmp_path.glob("*.warc.zst"))) > 0
-    first = next(tmp_path.glob("*.warc.zst")).read_bytes()
+    twice = df.unionByName(df.filter("page_id in (61, 33) or page_id is null"))
+    warc.write(twice, path)
+    folder = tmp_path / "files"
+    assert warc.export(spark, path, f"file://{folder}") == len(list(folder.glob("*.warc.zst"))) > 0
+    assert warc.export(spark, path, f"file://{folder}") == len(list(folder.iterdir()))
+    found = [warc.parse(x)[0] for f in folder.glob("*.warc.zst") for x in warc.records(f.read_bytes())]
+    kinds = Counter(f["WARC-Type"] for f in found)
+    assert kinds["response"] + kinds["revisit"] == twice.count()
+    ids = {f["WARC-Record-ID"] for f in found}
+    assert len(ids) == len(found)  # no two records share an id, equal rows included
+    assert all(f["WARC-Refers-To"] in ids for f in found if f["WARC-Type"] == "revisit")
+    first = next(folder.glob("*.warc.zst")).read_bytes()
     assert int.from_bytes(first[:4], "little") == warc.SKIPPABLE and len(list(warc.records(first))) >= 2
     assert warc.archived(df.limit(0)).count() == 0
 
