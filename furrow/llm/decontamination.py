@@ -4,26 +4,38 @@ The automaton accepts every run of words of every item. Training words are strea
 it while the longest match that ends at each word is tracked; where that reaches the window
 length, or a whole item that is shorter, the words matched are hits. Only runs of words whose
 k-grams all occur in some item are streamed: no window can lie outside them.
+
+Items are dealt to blocks of bounded size, of which executors build an automaton each. Where
+there are several, one pass over the texts finds the documents that hold a k-gram of any item,
+and only those go through the automata, some at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from . import words
-from .common import text_slices
+from .common import cut, text_slices
 
 WINDOW = 13
 #: A document is contaminated if hits are at least this part of its words.
 COVERAGE = 20
-#: Words of items in one automaton; more items make more automata, each streamed in turn.
+#: Words of items in one automaton, on average; more items make more automata, each streamed in turn.
 BLOCK_WORDS = 200_000
+#: Most words of a gram that marks a run to be streamed.
+MOST_GRAM = 4
+#: Automata in one job; what they have found is written before the next go on.
+AT_ONCE = 4
+#: Bits of the filter over all items' grams, by length of gram.
+FILTER_BITS = 1 << 24
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -58,7 +70,7 @@ class Automaton:
             if 0 < len(tokens) < window:
                 self.shorts.setdefault(self.holding(state, len(tokens)), []).append((len(tokens), name))
         lengths = [len(tokens) for _, tokens in items if tokens]
-        self.k = min(4, window, *lengths) if lengths else 0
+        self.k = min(MOST_GRAM, window, *lengths) if lengths else 0
         self._grams([tokens for _, tokens in items if tokens])
 
     def _state(self, length: int, link: int, following: dict[int, int]) -> int:
@@ -103,17 +115,31 @@ class Automaton:
             data = np.frombuffer(b"".join(tokens), np.uint8)
             found.append(words.gram_hashes(words.word_hashes(data, ends - [len(t) for t in tokens], ends), self.k))
         self.grams = np.unique(np.concatenate(found))
+        self._mark()
+
+    def _mark(self) -> None:
         bits = max(16, min(24, int(len(self.grams) * 16).bit_length()))
         self.mask = np.uint64((1 << bits) - 1)
         self.bits = np.zeros(1 << bits, bool)
         self.bits[self.grams & self.mask] = True
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("bits", "mask", "_ends")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._ends = {}
+        self._mark()
+
     def ends_here(self, state: int) -> list[tuple[int, str]]:
         """(length, item) of the short items that some string of the state ends with."""
-        got = self._ends.get(state)
-        if got is None:
-            above = self.ends_here(self.link[state]) if self.link[state] >= 0 else []
-            got = self._ends[state] = self.shorts.get(state, []) + above
+        chain = []
+        while state >= 0 and state not in self._ends:
+            chain.append(state)
+            state = self.link[state]
+        got = self._ends.get(state, [])
+        for below in reversed(chain):
+            got = self._ends[below] = self.shorts.get(below, []) + got
         return got
 
     def stream(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
@@ -183,71 +209,121 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list:
-    """Broadcast automata over all items: item_id and text; nulls have no words.
+BUILT = "k int, filter binary, automaton binary"
+
 
-    Each has at most block_words words of items (or one item), so that what is broadcast at a
-    time has a bound.
+def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(k, filter, automaton) of each block of items: item_id and text; nulls have no words.
+
+    Items are dealt by hash to blocks of about block_words words, those shorter than MOST_GRAM
+    words apart from the others, since their automata mark runs by shorter grams. A task builds
+    the automaton of a block; a filter over its grams goes with it.
     """
-    context, block, size, out = items.sparkSession.sparkContext, [], 0, []
-    for row in items.select(F.col("item_id").cast("string").alias("item"), "text").orderBy("item", "text").toLocalIterator():
-        tokens = item_words(row["text"])
-        if block and size + len(tokens) > block_words:
-            out.append(context.broadcast(Automaton(block, window)))
-            block, size = [], 0
-        block.append((row["item"] if row["item"] is not None else "", tokens))
-        size += len(tokens)
-    out.append(context.broadcast(Automaton(block, window)))
-    return out
 
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(item_words(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array([min(MOST_GRAM, window, x) for x in n], pa.int32())], names=["item", "text", "n", "k"])
+
+    def built(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group["item"].to_pylist(), group["text"].to_pylist(), strict=True))
+        automaton = Automaton([(name, item_words(text)) for name, text in rows], window)
+        bits = np.zeros(FILTER_BITS, bool)
+        bits[automaton.grams & np.uint64(FILTER_BITS - 1)] = True
+        return pa.table({"k": pa.array([automaton.k], pa.int32()), "filter": pa.array([np.packbits(bits).tobytes()], pa.binary()), "automaton": pa.array([pickle.dumps(automaton)], pa.binary())})
+
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    sized = cut(named.mapInArrow(sizes, "item string, text string, n long, k int").filter("n > 0"))
+    totals = sized.groupBy("k").agg(F.ceil(F.sum("n") / block_words).cast("int").alias("blocks"))
+    dealt = sized.join(F.broadcast(totals), "k").withColumn("block", F.pmod(F.xxhash64("item", "text"), F.col("blocks")))
+    return cut(dealt.select("k", "block", "item", "text").groupBy("k", "block").applyInArrow(built, BUILT))
 
-FOUND = "spans array<struct<start:int,end:int>>, items array<string>, longest int"
 
+SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>, longest int"
 
-def _pass(automaton, text: str, first: bool, put: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One automaton over all texts; put(batch, words, spans, items, longest) makes the output."""
+
+def _pass(blocks: list, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Streams the texts in a column row through the automata of blocks, adding to what has been found; keeps some of row's fields."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = [pickle.loads(b.value) for b in blocks]
         for batch in batches:
-            column, n = batch.column(batch.schema.get_field_index(text)), batch.num_rows
-            counts, spans, items, longest = np.zeros(n, np.int64), [[] for _ in range(n)], [set() for _ in range(n)], [0] * n
-            if not first:
-                for i, (s, names, most) in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__spans", "__items", "__longest")), strict=True)):
-                    spans[i], items[i], longest[i] = [(x["start"], x["end"]) for x in s], set(names), most
-            for at, sizes, hits, *_ in automaton.value.scan(column):
-                counts[at : at + len(sizes)] = sizes
-                for r, (s, names, most) in hits.items():
-                    spans[at + r], items[at + r], longest[at + r] = spans[at + r] + s, items[at + r] | names, max(longest[at + r], most)
-            yield put(batch, counts, [merged(s) for s in spans], items, longest)
+            row = batch.column(0)
+            column, n = row.field("text"), batch.num_rows
+            counts, spans, items, longest = batch.column(1).to_numpy(zero_copy_only=False).copy(), [], [], batch.column(4).to_pylist()
+            for s, names in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                spans.append([(x["start"], x["end"]) for x in s])
+                items.append(set(names))
+            for automaton in loaded:
+                for at, sizes, hits, *_ in automaton.scan(column):
+                    counts[at : at + len(sizes)] = sizes
+                    for r, (s, names, most) in hits.items():
+                        spans[at + r], items[at + r], longest[at + r] = spans[at + r] + s, items[at + r] | names, max(longest[at + r], most)
+            kept = pa.StructArray.from_arrays([row.field(f) for f in keep], fields=[row.type.field(f) for f in keep]) if keep != [f.name for f in row.type] else row
+            found = [pa.array([[{"start": a, "end": b} for a, b in merged(s)] for s in spans], SPAN), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([kept, pa.array(counts, pa.int64()), *found, pa.array(longest, pa.int32())], names=["row", "n_words", "spans", "items", "longest"])
 
     return run
 
 
-def _carry(batch: pa.RecordBatch, counts: np.ndarray, spans: list, items: list, longest: list) -> pa.RecordBatch:
-    """The batch with what has been found so far, for the next automaton."""
-    own = [c for c in batch.schema.names if c not in ("__spans", "__items", "__longest")]
-    arrays = [batch.column(batch.schema.get_field_index(c)) for c in own]
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    arrays += [pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(longest, pa.int32())]
-    return pa.RecordBatch.from_arrays(arrays, names=[*own, "__spans", "__items", "__longest"])
-
-
-def scanned(docs: DataFrame, items: DataFrame, put: Callable, schema: str, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs through every automaton in turn; put makes the output batches of the last."""
-    all_automata = automata(items, window, block_words)
-    now = docs
-    for i, automaton in enumerate(all_automata):
-        last = i == len(all_automata) - 1
-        own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        now = now.mapInArrow(_pass(automaton, "text", i == 0, put if last else _carry), schema if last else f"{own}, {FOUND.replace('spans ', '__spans ').replace('items ', '__items ').replace('longest ', '__longest ')}")
-    return now
+def _marked(filters: dict[int, bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts words, and tells which texts hold a gram of any item, by the filters over their hashes, by length of gram."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = {k: np.unpackbits(np.frombuffer(f, np.uint8)).astype(bool) for k, f in filters.items()}
+        for batch in batches:
+            column, n = batch.column(0).field("text"), batch.num_rows
+            counts, maybe = np.zeros(n, np.int64), np.zeros(n, bool)
+            for first, end, data, offsets in text_slices(column):
+                data = words.LOWER[data]
+                starts, ends, at = words.split(data, offsets, words.ALNUM)
+                counts[first:end] = np.diff(at)
+                own = words.word_hashes(data, starts, ends)
+                for k, table in bits.items():
+                    hit = np.flatnonzero(table[words.gram_hashes(own, k) & np.uint64(FILTER_BITS - 1)])
+                    text = np.searchsorted(at, hit, "right") - 1
+                    maybe[first + text[hit + k <= at[text + 1]]] = True
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(maybe)], names=["row", "n_words", "maybe"])
 
-def is_contaminated(hit: int, n: int, coverage: int = COVERAGE) -> bool:
-    return hit > 0 and coverage * hit >= n
+    return run
 
 
-REPORT = f"doc_id long, n_words long, n_hit long, contaminated boolean, {FOUND}"
+def scanned(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(row, n_words, spans, items, longest): docs as a column row with the fields to keep, through every automaton."""
+    context = docs.sparkSession.sparkContext
+    blocks = automata(items, window, block_words)
+    row = StructField("row", StructType([f for f in docs.schema.fields if f.name in keep]), False)
+    found = StructType.fromDDL(FOUND).fields
+    empty = {f.name: (F.lit(0) if f.name == "longest" else F.array()).cast(f.dataType) for f in found[1:]}
+    now = docs.select(F.struct("*").alias("row")).withColumns({"n_words": F.lit(0).cast("long"), **empty})
+    n = blocks.count()
+    if n <= 1:  # all texts through the only automaton
+        only = [context.broadcast(bytes(b["automaton"])) for b in blocks.select("automaton").collect()] or [context.broadcast(pickle.dumps(Automaton([], window)))]
+        return now.mapInArrow(_pass(only, keep), StructType([row, *found]))
+    filters: dict[int, np.ndarray] = {}
+    for b in blocks.select("k", "filter").toLocalIterator():
+        filters[b["k"]] = filters.get(b["k"], 0) | np.frombuffer(b["filter"], np.uint8)
+    whole = StructField("row", now.schema["row"].dataType, False)
+    told = now.select("row").mapInArrow(_marked({k: f.tobytes() for k, f in filters.items()}), StructType([whole, found[0], StructField("maybe", BooleanType())]))
+    # the others keep no text that is not asked for; candidates are written once
+    light = F.struct(*[F.col("row")[f].alias(f) for f in docs.columns if f in keep]).alias("row")
+    rest = told.filter("not maybe").withColumns(empty).select(light, *[f.name for f in found])
+    left = cut(told.filter("maybe").withColumns(empty).select("row", *[f.name for f in found]))
+    some: list = []
+    for i, b in enumerate(blocks.select("automaton").toLocalIterator(), 1):
+        some.append(context.broadcast(bytes(b["automaton"])))
+        if len(some) == AT_ONCE and i < n:
+            left, some = cut(left.mapInArrow(_pass(some, docs.columns), StructType([whole, *found]))), []
+    return rest.unionByName(left.mapInArrow(_pass(some, keep), StructType([row, *found])))
+
+
+def hit_words(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]).cast("long"))
+
+
+def is_contaminated(hit: Column, n: Column, coverage: int = COVERAGE) -> Column:
+    return (hit > 0) & (coverage * hit >= n)
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -257,26 +333,19 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: in
     empty text has no words and is clean, a null item has no windows, equal item_ids count once.
     Repeated rows give repeated rows; empty tables give an empty result or no hits.
     """
-
-    def put(batch: pa.RecordBatch, counts: np.ndarray, spans: list, found: list, longest: list) -> pa.RecordBatch:
-        hit = [sum(b - a for a, b in s) for s in spans]
-        bad = [is_contaminated(h, n, coverage) for h, n in zip(hit, counts.tolist(), strict=True)]
-        done = _carry(batch, counts, spans, found, longest)
-        arrays = [batch.column(0), pa.array(counts), pa.array(hit, pa.int64()), pa.array(bad), *(done.column(c) for c in ("__spans", "__items", "__longest"))]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_hit", "contaminated", "spans", "items", "longest"])
-
-    return scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, put, REPORT, window, block_words)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = scanned(own, items, ["doc_id"], window, block_words).withColumn("n_hit", hit_words(F.col("spans")))
+    return out.select("row.doc_id", "n_words", "n_hit", is_contaminated(F.col("n_hit"), F.col("n_words"), coverage).alias("contaminated"), "spans", "items", "longest")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs that are not contaminated, all columns unchanged."""
+    """The rows of docs that are not contaminated, all columns unchanged, whatever their names.
 
-    def put(batch: pa.RecordBatch, counts: np.ndarray, spans: list, _found: list, _longest: list) -> pa.RecordBatch:
-        keep = [not is_contaminated(sum(b - a for a, b in s), n, coverage) for s, n in zip(spans, counts.tolist(), strict=True)]
-        own = [c for c in batch.schema.names if c not in ("__spans", "__items", "__longest")]
-        return batch.select(own).filter(pa.array(keep, pa.bool_()))
-
-    return scanned(docs, items, put, docs.schema, window, block_words)
+    Null and empty texts are clean and stay, repeated rows stay or go alike, empty tables give
+    an empty result or all rows.
+    """
+    out = scanned(docs, items, docs.columns, window, block_words).filter(~is_contaminated(hit_words(F.col("spans")), F.col("n_words"), coverage))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def cut_text(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -464,6 +464,28 @@ def test_decontamination(spark, docs, rows, empty, block_words):
     assert decontamination.report(docs, df.limit(0)).filter("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("at_once", [decontamination.AT_ONCE, 1])
+def test_decontamination_by_many_items(spark, monkeypatch, at_once):
+    """Items of many blocks, of one word to forty, with columns that clash; every document against brute force."""
+    monkeypatch.setattr(decontamination, "AT_ONCE", at_once)
+    draws = random.Random(21)
+    text = lambda n: " ".join(f"t{draws.randrange(3000)}" for _ in range(n))
+    items = [(f"i{k}", text(draws.choice((1, 2, 3, 5, 12, 13, 14, 40)) if k % 40 == 0 else draws.randint(13, 40))) for k in range(600)]
+    texts = [text(draws.randint(0, 300)) for _ in range(120)]
+    for i in range(0, 120, 2):
+        own, item = texts[i].split(), draws.choice(items)[1].split()
+        at = draws.randrange(len(own) + 1)
+        texts[i] = " ".join(own[:at] + item[draws.randrange(3) :] + own[at:])
+    docs = spark.createDataFrame([(i, t, "r", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, row string, __spans string, n_words int").repartition(3)
+    df = spark.createDataFrame(items, "item_id string, text string")
+    assert decontamination.automata(df, block_words=2000).count() > 4
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["contaminated"], r["items"]) for r in decontamination.report(docs, df, block_words=2000).collect()}
+    want = {i: (n, h, bool(c), f) for i, t in enumerate(texts) for n, h, c, f in [brute_hits(t, items)]}
+    assert got == want
+    clean = decontamination.clean_documents(docs, df, block_words=2000)
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i, w in want.items() if not w[2]}
+
+
 def test_cut_text():
     assert decontamination.cut_text("a b, c! d e", [(1, 3)]) == "a ! d e"
 
