@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered
 
 MARKS = r"^(?:[ \t]*>)+"
 #: Lines that only say whose text is quoted below.
@@ -31,13 +31,21 @@ def _lines(text: Column) -> Column:
     return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n", -1)
 
 
-def _is_own(line: Column) -> Column:
-    return ~line.rlike(MARKS) & ~line.rlike(ATTRIBUTION)
+def own_text(text: Column) -> Column:
+    """A message without quoted and attribution lines, and without blank ends.
 
+    An attribution can be broken over two lines that stand right before a quoted one.
+    """
+    lines = _lines(text)
 
-def own_text(text: Column) -> Column:
-    """A message without quoted and attribution lines, and without blank ends."""
-    return F.regexp_replace(F.array_join(F.filter(_lines(text), _is_own), "\n"), r"^\s+|\s+$", "")
+    def at(i: Column) -> Column:
+        return F.coalesce(F.get(lines, i), F.lit(""))
+
+    def broken(i: Column) -> Column:
+        return F.concat(at(i), F.lit(" "), at(i + 1)).rlike(ATTRIBUTION) & at(i + 2).rlike(MARKS)
+
+    own = F.filter(lines, lambda line, i: ~line.rlike(MARKS) & ~line.rlike(ATTRIBUTION) & ~broken(i) & ~((i > 0) & broken(i - 1)))
+    return F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", "")
 
 
 def quoted_lines(messages: DataFrame) -> DataFrame:
@@ -91,10 +99,12 @@ def threads(linked: DataFrame) -> DataFrame:
 
 
 def linked_conversations(messages: DataFrame) -> DataFrame:
-    """Messages without quotes, in reply order: each conversation's threads by their first turn.
+    """Messages without quotes, and their place in reply order: each conversation's threads by their first turn.
 
     messages needs conv_id, turn, role and text; other columns are ignored. One row for each
-    row: conv_id, turn, role, body, n_quotes, n_linked, levels, parent_turn, root_turn, depth.
+    row: conv_id, turn, role, body, n_quotes, n_linked, levels, parent_turn, root_turn, depth,
+    place. A place is the number, from 1, of a message over all conversations by conv_id, root
+    and turn (null first), ties by role and body; a message comes after those that it answers.
     A message that quotes nothing known has no parent and is its own root. A null text is
     empty. Rows without conv_id or turn link to nothing. Rows of one conversation and turn are
     linked as one message and all stay. An empty table gives an empty result.
@@ -103,10 +113,11 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     found = cut(links(rows))
     out = rows.select("conv_id", "turn", "role", own_text(F.col("text")).alias("body")).join(found, ["conv_id", "turn"], "left").join(threads(found), ["conv_id", "turn"], "left")
     zero = F.lit(0).cast("long")
-    return out.select(
+    rows = out.select(
         "conv_id", "turn", "role", "body", *(F.coalesce(c, zero).alias(c) for c in ("n_quotes", "n_linked", "levels")),
         F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", zero).alias("depth"),
-    ).orderBy("conv_id", "root_turn", "turn")
+    )
+    return numbered(rows, "place", *(F.col(c).asc_nulls_first() for c in ("conv_id", "root_turn", "turn", "role", "body")))
 
 
 SQL = r"""
@@ -116,8 +127,12 @@ WITH RECURSIVE m AS (
   FROM conversations
 ), own AS (
   SELECT conv_id, turn, role, text, lines,
-         regexp_replace(array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+')
-           AND NOT regexp_matches(x, '(?i)^\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$')), E'\n'),
+         regexp_replace(array_to_string(list_filter(lines, lambda x, i: NOT regexp_matches(x, '^(?:[ \t]*>)+')
+           AND NOT regexp_matches(x, '(?i)^\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$')
+           AND NOT (regexp_matches(x || ' ' || coalesce(lines[i + 1], ''), '(?i)^\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$')
+             AND regexp_matches(coalesce(lines[i + 2], ''), '^(?:[ \t]*>)+'))
+           AND NOT (i > 1 AND regexp_matches(lines[i - 1] || ' ' || x, '(?i)^\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$')
+             AND regexp_matches(coalesce(lines[i + 1], ''), '^(?:[ \t]*>)+'))), E'\n'),
            '^\s+|\s+$', '', 'g') AS body
   FROM m
 ), quoted AS (
@@ -156,6 +171,7 @@ WITH RECURSIVE m AS (
   SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY conv_id, turn
 )
 SELECT own.conv_id, own.turn, own.role, own.body, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked,
-       coalesce(levels, 0)::BIGINT AS levels, parent AS parent_turn, coalesce(root, own.turn) AS root_turn, coalesce(tops.depth, 0)::BIGINT AS depth
+       coalesce(levels, 0)::BIGINT AS levels, parent AS parent_turn, coalesce(root, own.turn) AS root_turn, coalesce(tops.depth, 0)::BIGINT AS depth,
+       row_number() OVER (ORDER BY own.conv_id NULLS FIRST, coalesce(root, own.turn) NULLS FIRST, own.turn NULLS FIRST, own.role NULLS FIRST, own.body NULLS FIRST) AS place
 FROM own LEFT JOIN links USING (conv_id, turn) LEFT JOIN tops USING (conv_id, turn)
 """

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import words
 from .common import cut, first_by_hash, text_slices
@@ -107,17 +108,17 @@ class Model:
         return np.concatenate(parts)
 
 
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic, and grade or null).
 
-    At most sample labels are used, about the first by hash of doc_id, so that what is broadcast and
-    collected has a bound. Where a toxic row has no grade, its grade is 1 to 3 by how many
+    At most sample labels are used, about the first by hash of doc_id, and of rows equal in
+    doc_id one text, so that what is broadcast and collected has a bound. Where a toxic row has no grade, its grade is 1 to 3 by how many
     toxic features it holds against the other toxic rows.
     """
     chosen = first_by_hash(labels.filter("toxic is not null and doc_id is not null"), sample, "doc_id", "toxic")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    rows = cut(own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.col("grade").cast("int").alias("grade")))
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    rows = cut(own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", F.col("toxic").cast("int").alias("toxic"), F.col("grade").cast("int").alias("grade")).agg(one.alias("text")).select("doc_id", "text", "toxic", "grade"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +178,9 @@ def report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
     docs needs doc_id and text, labels doc_id, toxic and perhaps grade (0 to 3); other columns
     are ignored. A null or empty text has no features and the grade chances of such. With no
-    toxic or no other label, everything is graded 0. Repeated rows give repeated rows.
+    toxic or no other label, everything is graded 0. Repeated rows give repeated rows; an empty
+    table gives an empty result. Labels without a grade have two values only: then the upper
+    grades say how many toxic features a toxic row holds, and nothing that the labels do not.
     """
     model = fit(docs, _labels(labels), sample)
 
@@ -191,12 +194,16 @@ def report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that are not rejected, all columns unchanged."""
-    model, own = fit(docs, _labels(labels), sample), docs.columns
+    """The rows of docs that are not rejected, all columns unchanged, whatever their names.
+
+    Nulls, empty texts, repeated rows and empty tables are as in report().
+    """
+    model = fit(docs, _labels(labels), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = model.grade(batch.column(len(own)))
-            yield batch.select(list(range(len(own)))).filter(pa.array(1 - p[:, 0] < REJECT))
+            p = model.grade(batch.column(1))
+            yield batch.select([0]).filter(pa.array(1 - p[:, 0] < REJECT))
 
-    return docs.select(*[F.col(f"`{c}`") for c in own], F.lower("text").alias("__lower")).mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct("*").alias("row"), F.lower("text").alias("lower"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"]])).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import io
 import itertools
+import math
 import random
 import re
 import time
@@ -13,7 +14,9 @@ import wave
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -155,6 +158,7 @@ QUOTES = [
     (1, 0, "u", "Hello there friend.\nSecond line here.\n\nPara two is good."), (1, 1, "a", "> Hello there friend.\n> Second line here.\nI agree."),
     (1, 2, "u", "On Mon, Bob wrote:\n>> Hello there friend.\n>> Second line here.\n> I agree!\nThird\n"), (1, 3, "a", "> nothing known\nfoo"), (1, 4, "u", ">Para two is good.\r\n> Third\r\nbar"),
     (2, 0, "u", None), (2, 1, "u", ""), (None, 1, "u", "> Hello there friend."), (2, None, "x", "zz"), (1, 5, "a", "> Para two   is good\n> but changed\nok"), (1, 5, "a", "> bar\nok2"), (1, 6, None, "> > ok2\nfin"), (3, 0, "u", "x"), (3, 0, "u", "x"),
+    (4, 0, "u", "First things first."), (4, 1, "a", "On Mon 3 May at 10:00,\nBob <b@x.org> wrote:\n> First things first.\nFine."), (4, 2, "u", "On the whole\nhe wrote:"),
 ]
 
 
@@ -166,6 +170,15 @@ def test_quotation(spark):
     assert got[1, 3, "foo"]["parent_turn"] is None and got[1, 3, "foo"]["n_quotes"] == 1
     assert got[1, 6, "fin"]["parent_turn"] == 5 and got[1, 6, "fin"]["depth"] == 3
     assert quotation.linked_conversations(df).count() == len(QUOTES)
+    assert got[4, 1, "Fine."]["parent_turn"] == 0 and got[4, 2, "On the whole\nhe wrote:"]["parent_turn"] is None
+    con = duckdb.connect()
+    con.register("conversations", pa.table({c: [r[i] for r in QUOTES] for i, c in enumerate(("conv_id", "turn", "role", "text"))}))
+    said = con.execute(quotation.SQL)
+    columns = [d[0] for d in said.description]
+    assert sorted(map(str, said.fetchall())) == sorted(str(tuple(r[c] for c in columns)) for r in quotation.linked_conversations(df).collect())
+    for r in got.values():  # a message comes after what it answers
+        if r["parent_turn"] is not None:
+            assert all(r["place"] > p["place"] for k, p in got.items() if k[:2] == (r["conv_id"], r["parent_turn"]))
     assert quotation.linked_conversations(df.limit(0)).count() == 0
 
 
@@ -196,6 +209,37 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.report(empty, labels).count() == 0
 
 
+def test_toxicity_by_hand(spark):
+    """The chances of each text, from its words one by one, with the fitted weights and thresholds."""
+    own, labels = labelled(spark)
+    model = toxicity.fit(own, toxicity._labels(labels))
+    slots = {int(h): i for i, h in enumerate(model.features.hashes)}
+    assert slots
+    hashed = lambda w: int(words.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    got = {r["doc_id"]: r for r in toxicity.report(own, labels).collect()}
+    for r in own.collect():
+        counts = Counter()
+        for w in ALNUM.findall((r["text"] or "").lower()):
+            raw = w.encode()
+            counts[hashed(raw)] += 1
+            if len(raw) > toxicity.BEGINNING:
+                counts[hashed(raw[: toxicity.BEGINNING]) ^ 0x5BD1E995] += 1
+        z = sum(model.ordinal.weights[slots[h]] * (1 + math.log(n)) for h, n in counts.items() if h in slots)
+        upto = [0.0, *(1 / (1 + math.exp(z - t)) for t in model.ordinal.thresholds), 1.0]
+        p = [b - a for a, b in zip(upto, upto[1:])]
+        row = got[r["doc_id"]]
+        assert row["expected_severity"] == pytest.approx(sum(i * x for i, x in enumerate(p))) and row["p_toxic"] == pytest.approx(1 - p[0])
+        assert row["grade"] == max(range(4), key=lambda i: p[i]) and row["rejected"] == (1 - p[0] >= toxicity.REJECT)
+
+
+def test_toxicity_takes_one_text_of_equal_ids(spark):
+    own, labels = labelled(spark, 60)
+    repeated = own.unionByName(own.filter("doc_id < 30")).unionByName(own.filter("doc_id < 30").withColumn("text", F.concat("text", F.lit(" other words"))))
+    assert {r["doc_id"]: r["rejected"] for r in toxicity.report(repeated, labels).collect()}.keys() == {r["doc_id"] for r in own.collect()}
+    kept = toxicity.kept_documents(own.withColumn("__lower", F.lit(1)).withColumn("row", F.lit(2)), labels)
+    assert kept.columns == ["doc_id", "text", "__lower", "row"]
+
+
 def test_ordinal_recovers_order():
     draws = np.random.default_rng(4)
     x = draws.integers(0, 6, 3000)
@@ -502,6 +546,27 @@ def test_quality(spark, docs, empty):
     assert quality.isotonic(np.array([1.0, 0.0, 2.0]), np.ones(3)).tolist() == [0.5, 0.5, 2.0]
 
 
+def test_quality_by_hand(spark):
+    """Weights as least squares gives them over all rows at once, and features that make the Gaussian kernel."""
+    own, labels = labelled(spark)
+    stats = quality.described(own)
+    y = labels.select("doc_id", F.col("quality").alias("y")).filter("y is not null and doc_id is not null")
+    model = quality.fit(stats, y)
+    known = {r["doc_id"]: np.array(r["stats"], float) for r in stats.collect()}
+    rows = [(known[r["doc_id"]], r["y"]) for r in y.collect() if r["doc_id"] in known and zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1]
+    x, target = np.stack([r[0] for r in rows]), np.array([float(r[1]) for r in rows])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.where(x.std(0) > 1e-9, x.std(0), 1))
+    z = model.expand(x)
+    ridge = quality.RIDGE * len(x) / quality.FEATURES
+    want = np.linalg.lstsq(np.concatenate((z, np.sqrt(ridge) * np.eye(z.shape[1]))), np.concatenate((target, np.zeros(z.shape[1]))), rcond=None)[0]
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-5)
+    wide = quality.Model(np.zeros(6), np.ones(6), 40_000)
+    points = np.random.default_rng(0).normal(size=(12, 6))
+    cosines = wide.expand(points)[:, :40_000]
+    kernel = np.exp(-((points[:, None] - points) ** 2).sum(2) / (2 * 6))
+    assert np.abs(cosines @ cosines.T - kernel).max() < 0.03
+
+
 def brute_removed(rows):
     first = {}
     order = lambda i: float("inf") if i is None else i
