@@ -36,7 +36,7 @@ HASHES = BANDS * ROWS
 STEP = 16
 #: Members of a bucket, and of a crowd, of which two blocks meet in one task.
 BUCKET_BLOCK, CROWD_BLOCK = 512, 256
-#: A key with more members than these over SPREAD has as many blocks as SPREAD, so that its work is spread early.
+#: Blocks that a crowd has at least, where they can be an eighth as large, so that its work is spread early.
 SPREAD = 20
 #: Partners in a bucket with which a class still gives pairs; pairs of a class with more are a crowd's.
 FEW = 16
@@ -144,15 +144,14 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _blocked(members: DataFrame, key: str, block: int) -> DataFrame:
+def _blocked(members: DataFrame, key: str, block: int, spread: int = 1) -> DataFrame:
     """Rows with size (of their key's members) dealt to pairs of blocks: adds own, low, high.
 
-    A key with few members makes one pair (0, 0); a larger one has enough blocks of block
-    members, and at least SPREAD of smaller ones where that is possible. Each member goes to
+    A key with up to block members makes one pair (0, 0), a larger one has enough blocks. With
+    spread it has as many at least, of an eighth of the members or more. Each member goes to
     every pair that its block is part of.
     """
-    few = max(1, block // 8)
-    n = F.when(F.col("size") <= few, 1).otherwise(F.greatest(F.ceil(F.col("size") / block), F.least(F.lit(SPREAD), F.ceil(F.col("size") / few))))
+    n = F.greatest(F.ceil(F.col("size") / block), F.least(F.lit(spread), F.ceil(F.col("size") / max(1, block // 8))))
     own = F.pmod(F.xxhash64("node", F.lit(3)), n).cast("int")
     other = F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
     return members.withColumn("own", own).withColumn("other", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "size").repartition(F.col(key), F.col("low"), F.col("high")).sortWithinPartitions(key, "low", "high")
@@ -223,9 +222,10 @@ def _candidates(least: list[int]):
             partners = np.bincount(a, minlength=len(node)) + np.bincount(b, minlength=len(node))
             few = np.maximum(partners[a], partners[b]) <= FEW
             u, v = np.minimum(node[a[few]], node[b[few]]), np.maximum(node[a[few]], node[b[few]])
-            top = roots(len(node), a[~few], b[~few])
-            moved = np.flatnonzero(top != np.arange(len(node)))
-            u, v = np.concatenate((u, node[moved])), np.concatenate((v, node[top[moved]]))
+            names, place = np.unique(node, return_inverse=True)  # the least of a crowd is then the same in most buckets
+            top = roots(len(names), place[a[~few]], place[b[~few]])
+            moved = np.flatnonzero(top != np.arange(len(names)))
+            u, v = np.concatenate((u, names[moved])), np.concatenate((v, names[top[moved]]))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.arange(len(u)) >= few.sum())], names=["u", "v", "crowd"])
 
     return run
@@ -353,12 +353,13 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = crowds.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     crowd = crowds.join(sizes, "component").join(classes.select("node", "bands"), "node").join(sets, "node")
     verified = "u long, links long, v long"
-    links = cut(both.mapInArrow(_verify_pairs, verified).unionByName(_blocked(crowd, "component", CROWD_BLOCK).mapInArrow(_verify_crowd(least), verified)))
+    links = cut(both.mapInArrow(_verify_pairs, verified).unionByName(_blocked(crowd, "component", CROWD_BLOCK, SPREAD).mapInArrow(_verify_crowd(least), verified)))
     final = components(links)
     linked = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     named = classes.drop("bands").join(final, "node", "left").join(linked, "node", "left")
     named = cut(named.select("k1", "k2", "node", "rep_id", "rep_hash", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component")))
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("no_id"), "rep_id", "rep_hash")).alias("first"))
+    # written, so that the join exchanges both sides and adaptive execution can split a large component
+    first = cut(named.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("no_id"), "rep_id", "rep_hash")).alias("first")))
     return sketch.select("doc_id", "k1", "k2"), named.join(first, "component")
 
 
