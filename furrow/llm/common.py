@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir
 
-__all__ = ["cut", "first_by_hash", "narrowed", "numbered", "parted", "shared_dir", "table", "text_slices"]
+__all__ = ["cut", "deleted", "first_by_hash", "narrowed", "numbered", "parted", "shared_dir", "table", "text_slices"]
 
 #: Bytes of text handled at once; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is read no more, in whatever file system it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
     """rows with their place in an order, from 1, in a column called name.
 
