@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from furrow.llm import decontamination, jaccard, mixing, personal, toxicity
-from furrow.llm.common import shared_dir, table
+from furrow.llm.common import deleted, shared_dir, table
 from furrow.session import ship
 
 
@@ -54,10 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what each keeps is written to the shared folder."""
+    """All stages over the documents of sf_dir.
+
+    What each keeps is written to the shared folder, and deleted there once the next has been
+    written; that of the last stays, as the result is read from it.
+    """
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            deleted(spark, f"{folder}/{i - 1}")
     return docs
