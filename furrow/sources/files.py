@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -122,13 +123,24 @@ def normalised_scalar(points: DataFrame, name: str) -> DataFrame:
     return points.withColumn(name, value / F.max(value).over(Window.partitionBy("file")))
 
 
+#: Rows that are held as objects at once when a file is written.
+PLY_ROWS = 100_000
+
+
 def write_ply(df: DataFrame, path: str, columns: dict[str, str]) -> None:
     """One PLY file of the rows in order of the first column given; columns maps names to number types.
 
-    The rows of one cloud are brought to the driver, as a single file must be; write Parquet for more.
+    Spark sorts; the rows of one cloud come to the driver a partition at a time, as a single
+    file must be written in one place. Write Parquet for more.
     """
-    rows = df.select(*columns).toPandas().sort_values(next(iter(columns)), kind="stable")
-    Path(path).write_bytes(format_ply({c: rows[c].to_numpy().astype(PLY_TYPES[t]) for c, t in columns.items()}))
+    rows = df.select(*[F.col(c) for c in columns]).orderBy(next(iter(columns)))
+    parts: dict[str, list[np.ndarray]] = {c: [np.zeros(0, PLY_TYPES[t])] for c, t in columns.items()}
+    own = rows.toLocalIterator(prefetchPartitions=True)
+    while some := list(islice(own, PLY_ROWS)):
+        for i, (c, t) in enumerate(columns.items()):
+            parts[c].append(np.array([r[i] for r in some], PLY_TYPES[t]))
+    Path(path).write_bytes(format_ply({c: np.concatenate(p) for c, p in parts.items()}))
+
 
 
 def read_point_text(spark: SparkSession, path: str) -> DataFrame:
@@ -277,9 +289,11 @@ def label_counters(images: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def content_key(files: DataFrame) -> DataFrame:
-    """A key of a set of files (path, length) that changes with their sizes or paths."""
-    paths = F.array_join(F.array_sort(F.collect_list("path")), "")
-    return files.agg(F.sha2(F.concat(F.sum("length").cast("string"), paths).cast("binary"), 256).alias("key"))
+    """A key of a set of files (path, length) that changes with their sizes or paths, in whatever order they come."""
+    digest = F.sha2(F.concat_ws(":", F.col("path"), F.col("length").cast("string")).cast("binary"), 256)
+    parts = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(8)]
+    sums = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"), *[F.sum(p).alias(f"p{i}") for i, p in enumerate(parts)])
+    return sums.select(F.sha2(F.concat_ws(",", *[F.col(c).cast("string") for c in sums.columns]).cast("binary"), 256).alias("key"))
 
 
 # The file types that are read.
@@ -297,9 +311,10 @@ def list_media(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
 
 
 def class_folders(files: DataFrame) -> DataFrame:
-    """Files with the class of their folder, numbered by the folder's name."""
+    """Files with the class of their folder, numbered by the folder's name; the window sees one row a folder."""
     named = files.withColumn("name", F.element_at(F.split("path", "/"), -2))
-    return named.withColumn("cls", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("name")) - 1)
+    numbers = named.select("name").distinct().withColumn("cls", F.row_number().over(Window.orderBy("name")) - 1)
+    return named.join(numbers, "name")
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -404,3 +419,9 @@ def dataset_config(text: str) -> dict:
         own["names"] = dict(enumerate(own["names"]))
     own["nc"] = len(own["names"])
     return own
+
+
+def read_study(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A study's text file: numbers between blanks, in the order of columns."""
+    rows = spark.read.text(path).filter(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("t"))
+    return rows.select(*[F.get("t", F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(columns)])

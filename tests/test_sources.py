@@ -7,7 +7,12 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from furrow.functions import boxes as B
+from furrow.functions import geometry as G
+from furrow.operators import evaluation as E
+from furrow.operators import results
 from furrow.sources import files, sinks
 
 
@@ -119,3 +124,59 @@ def test_sinks(spark, tmp_path):
     got = sinks.metric_documents(metrics).first()
     assert got["mean"] == 2 and json.loads(got["per_view"]) == {"v1": 1.0, "v2": 3.0}
     assert sinks.best_of(metrics, "view", "value").first()["view"] == "v2"
+    scored = spark.createDataFrame([(0, 0.5, 0.01), (1, None, 0.3), (2, 0.9, 0.02), (3, 0.9, 0.04)], "generation int, fitness double, lr double")
+    assert sinks.best_of(scored, "generation", "fitness").first()["generation"] == 2 and sinks.best_of(scored.limit(0), "generation", "fitness").count() == 0
+    assert [r["value"] for r in sinks.best_settings(scored, "generation", "fitness").collect()] == ["# generation: 2", "fitness: 0.9", "lr: 0.02"]
+    assert sinks.voc_lines(d).first()["value"] == "wheat 0.123456 10 10 30 20"
+
+
+def test_model_round_trip(spark, tmp_path):
+    (tmp_path / "cameras.txt").write_text("1 PINHOLE 640 480 500 501 320 240\n")
+    (tmp_path / "images.txt").write_text("1 1 0 0 0 0.5 0 0 1 a_cam_01.png\n1 2 7 3 4 -1\n2 1 0 0 0 0 0 0 1 a_cam_12.png\n\n")
+    (tmp_path / "points3D.txt").write_text("7 1 2 3 10 20 30 0.5 1 0 2 4\n8 1 2 3 10 20 30 0.5\n")
+    model = files.read_model(spark, str(tmp_path))
+    sinks.write_model(*model, str(tmp_path / "out"))
+    again = files.read_model(spark, str(tmp_path / "out"))
+    for a, b in zip(model, again, strict=True):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_splits_traits_and_studies(spark, tmp_path):
+    images = spark.createDataFrame([("p1", "b.png"), ("p1", "a.png"), ("p2", "c.png")], "plot string, file string")
+    sinks.write_splits(sinks.split_documents(images, ["p2"]), str(tmp_path / "splits"))
+    got = {r["split"]: [] for r in spark.read.text(str(tmp_path / "splits")).select("split").distinct().collect()}
+    for r in spark.read.text(str(tmp_path / "splits")).collect():
+        got[r["split"]].append(json.loads(r["value"]))
+    assert got["train"] == [{"p1": ["a.png", "b.png"]}] and got["test"] == [{"p2": ["c.png"]}]
+    assert sorted(got["splits"], key=str) == [{"test": ["p2"]}, {"train": ["p1"]}]
+    sinks.trait_table(images, str(tmp_path / "traits"))
+    assert spark.read.csv(str(tmp_path / "traits"), header=True).count() == 3
+    assert [r["size"] for r in sinks.study_sizes(spark).orderBy("size").collect()] == list(range(256, 1537, 128))
+    study = sinks.study_sizes(spark).selectExpr("size", "size / 3 AS map")
+    lines = sinks.study_lines(study, ["size", "map"])
+    assert lines.orderBy("value").first()["value"] == "       256      85.33"
+    lines.write.text(str(tmp_path / "study"))
+    assert sorted(r["map"] for r in files.read_study(spark, str(tmp_path / "study"), ["size", "map"]).collect())[:2] == [85.33, 128.0]
+    some = spark.createDataFrame([("a", 1), ("b", 2)], "path string, length long")
+    key = files.content_key(some).first()["key"]
+    assert key == files.content_key(some.orderBy("length", ascending=False)).first()["key"] != files.content_key(some.filter("length = 1")).first()["key"]
+
+
+def test_results(spark):
+    d = spark.createDataFrame([("im", 0, 64.0, 48.0, 128.0, 96.0, 0.5, 1), ("im", 1, 0.0, 0.0, 64.0, 48.0, 0.25, 1), ("im", 2, 0.0, 0.0, 64.0, 48.0, 0.25, 7)], "image string, box_id int, x1 double, y1 double, x2 double, y2 double, conf double, cls int")
+    v = results.Results(d.filter("cls = 1"), ("none", "wheat"), 640, 480)
+    assert v.xyxyn().first()["x2"] == 0.2 and v.xywh().first()["xc"] == 96 and v.xywhn().first()["h"] == pytest.approx(0.1)
+    assert json.loads(v.records().first()["value"]) == {"xmin": 64.0, "ymin": 48.0, "xmax": 128.0, "ymax": 96.0, "confidence": 0.5, "class": 1, "name": "wheat"}
+    assert v.counts().first()["said"] == "2 wheats"
+    assert results.Results(d, ("none", "wheat"), 640, 480).xyxy().filter("name is null").count() == 1
+    seen = results.restored(d.selectExpr("image", "box_id", "(640 - x2) * 0.5 AS x1", "y1 * 0.5 AS y1", "(640 - x1) * 0.5 AS x2", "y2 * 0.5 AS y2", "conf", "cls"), 0.5, 640)
+    assert [tuple(r)[2:6] for r in seen.collect()] == [tuple(r)[2:6] for r in d.collect()]
+
+
+def test_flat_and_equal(spark):
+    one = spark.range(1)
+    flat = one.select(B.size_ratio(F.lit(0.0), F.lit(10.0)).alias("a"), B.size_ratio(F.lit(5.0), F.lit(10.0)).alias("b")).first()
+    assert tuple(flat) == (float("inf"), 2.0)
+    q = G.unit([F.lit(0.0)] * 4)
+    assert one.select(*[c.alias(f"c{i}") for i, c in enumerate(c for row in G.rotation(q) for c in row)]).first()[0] == 1.0
+    assert tuple(one.select(E.psnr(F.lit(0.0)), E.psnr(F.lit(0.01)), E.psnr(F.lit(None).cast("double"))).first()) == (float("inf"), pytest.approx(20), None)

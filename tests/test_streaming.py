@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from furrow.plans.fixtures import frames, table
 from furrow.streaming import frames as S
+from furrow.streaming import hooks as H
 
 
 def run(stream, mode, tmp_path, name):
@@ -43,3 +47,50 @@ def test_second_strike_and_resume(spark, tmp_path):
     assert last == {1: "buffered", 2: "processed", 3: "processed"}
     items = spark.createDataFrame([(1,), (2,), (3,)], "mask long")
     assert {r["mask"] for r in S.not_done(items, got.filter("status = 'processed'"), "mask").collect()} == {1}
+
+
+def test_accumulated_state(spark, tmp_path):
+    """Contributions that arrive in two runs add up, from where the first left off."""
+    schema = "obj long, gid long, w double"
+    rows = [(1, 1, 0.5), (1, 2, 1.0), (2, 1, 0.25)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got: list[tuple] = []
+
+    def go():
+        put = lambda df, _: got.extend(tuple(r) for r in df.collect())
+        S.accumulated(stream).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination(120)
+
+    go()
+    assert sorted(got) == rows
+    spark.createDataFrame([(1, 1, 2.0)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    got.clear()
+    go()
+    assert got == [(1, 1, 2.5)]
+
+
+def test_hooks_and_resumption(spark, tmp_path):
+    said, hooks = [], H.Hooks()
+    hooks.on("started", lambda e: said.append("started"), "a")
+    hooks.on("progress", lambda p: said.append(p.numInputRows), "b")
+    hooks.on("ended", lambda e: said.append("ended"), "c")
+    hooks.on("ended", lambda e: said.append("never"), "d")
+    hooks.off("ended", "d")
+    assert hooks.registered("ended") == ["c"]
+    with pytest.raises(ValueError, match="none of"):
+        hooks.on("epoch", print)
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    spark.streams.addListener(hooks)
+    try:
+        for total in (5, 8):
+            H.resumed(stream, str(tmp_path / "out"), str(tmp_path / "at")).awaitTermination(120)
+            assert spark.read.parquet(str(tmp_path / "out")).count() == total
+            spark.range(3).write.mode("append").parquet(str(tmp_path / "in"))
+        for _ in range(100):
+            if said.count("ended") == 2:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(hooks)
+    assert said.count("started") == said.count("ended") == 2 and 5 in said and "never" not in said
