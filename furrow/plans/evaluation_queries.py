@@ -174,7 +174,7 @@ def dataset_stats(spark: SparkSession, sf: str) -> DataFrame:
 def image_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Weight of each image from its classes, images with 80 boxes or more."""
     w = boxes(spark, sf).groupBy("cls").agg((1.0 / F.count(F.lit(1))).alias("w"))
-    return boxes(spark, sf).join(F.broadcast(w), "cls").groupBy("image").agg(r(F.sum("w") * 1000).alias("weight"), F.count(F.lit(1)).alias("n")).filter("n >= 80")
+    return boxes(spark, sf).join(w, "cls").groupBy("image").agg(r(F.sum("w") * 1000).alias("weight"), F.count(F.lit(1)).alias("n")).filter("n >= 80")
 
 
 @query("aspect_batches", sql(f""", im AS (SELECT image, (300 + image % 700) / (400.0::DOUBLE + image % 900) AS ar, image % 10 AS grp FROM boxes GROUP BY image), k AS (SELECT *, (row_number() OVER (PARTITION BY grp ORDER BY ar, image) - 1) // 4 AS batch FROM im)
