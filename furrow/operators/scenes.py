@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import hierarchy as H
 from . import points as P
 
 
@@ -92,6 +93,9 @@ class Morphology:
     outlier_ratio: float = 3.0
     epsilon: float = 0.12
     min_samples: int = 4
+    clusterer: str = "dbscan"
+    min_cluster_size: int = 50
+    selection_epsilon: float = 0.0
     distance_percentile: float = 99.0
 
     def __post_init__(self) -> None:
@@ -99,6 +103,8 @@ class Morphology:
             raise ValueError("counts must be positive")
         if self.epsilon <= 0 or self.outlier_ratio <= 0 or not 1 <= self.distance_percentile <= 100:
             raise ValueError("a setting is out of range")
+        if self.clusterer not in ("dbscan", "hdbscan") or self.min_cluster_size < 2 or self.selection_epsilon < 0:
+            raise ValueError("no such clusterer, or its settings are out of range")
 
 
 def morphology(points: DataFrame, settings: Morphology = Morphology()) -> DataFrame:
@@ -115,6 +121,10 @@ def morphology(points: DataFrame, settings: Morphology = Morphology()) -> DataFr
     order = w.orderBy(F.xxhash64("pid", F.lit(7)), "pid")
     sampled = local.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= settings.subsampling_threshold).drop("n")
     cleaned = P.without_outliers(sampled, "file_id", settings.outlier_k, settings.outlier_ratio)
-    main = P.main_cluster(P.clustered(cleaned, "file_id", settings.epsilon, settings.min_samples), "file_id")
+    if settings.clusterer == "dbscan":
+        clusters = P.clustered(cleaned, "file_id", settings.epsilon, settings.min_samples)
+    else:
+        clusters = H.clustered(cleaned, "file_id", settings.min_cluster_size, settings.min_samples, True, settings.selection_epsilon)
+    main = P.main_cluster(clusters, "file_id")
     found = P.traits(main.select("file_id", "pid", *"xyz"), "file_id", settings.distance_percentile)
     return found.join(shift, "file_id").select("file_id", *[(F.col(c) + F.col("s" + c)).alias(c) for c in "xyz"], "n", "length", "width", "volume", "inclination", "curvature")

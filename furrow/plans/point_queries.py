@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import hierarchy as H
 from ..operators import points as P
 from .fixtures import R, points, r, sql
 from .registry import query
@@ -57,6 +58,12 @@ def main_cluster(spark: SparkSession, sf: str) -> DataFrame:
     return P.main_cluster(P.clustered(cloud(spark, sf), "file_id", 0.12, 4), "file_id").select("file_id", "pid")
 
 
+@query("hierarchical_clusters")
+def hierarchical_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The most stable clusters of each cloud over all densities, noise -1."""
+    return H.clustered(cloud(spark, sf), "file_id", 5, 3, False).select("file_id", "pid", "cluster")
+
+
 @query("robust_location", sql(f""", m AS (SELECT file_id, median(x) AS mid FROM points GROUP BY file_id) SELECT p.file_id, {R('any_value(mid)')} AS mid, {R('median(abs(x - mid)) * 1.4826')} AS mad, {R('quantile_cont(x, 0.005)')} AS low, {R('quantile_cont(x, 0.995)')} AS high,
  {R('avg(x)')} AS cx, {R('avg(y)')} AS cy, {R('avg(z)')} AS cz, count(*) AS n, {R('min(x)')} AS x0, {R('max(x)')} AS x1, {R('min(z)')} AS z0, {R('max(z)')} AS z1, {R('covar_samp(x, y)')} AS cxy, {R('covar_samp(x, z)')} AS cxz, {R('var_samp(x)')} AS cxx FROM points p JOIN m USING (file_id) GROUP BY p.file_id""", "points"))
 def robust_location(spark: SparkSession, sf: str) -> DataFrame:

@@ -100,6 +100,16 @@ def test_morphology_run(spark, sf_dir, clouds):
         assert [got[k][n] for n in want] == pytest.approx(list(want.values()), rel=1e-6, nan_ok=True)
 
 
+def test_hierarchical_clusters(spark, sf_dir, clouds):
+    got = {(r["file_id"], r["pid"]): r["cluster"] for r in catalogue.QUERIES["hierarchical_clusters"](spark, sf_dir).collect()}
+    assert got.keys() == {(k, i) for k, (ids, _) in clouds.items() for i in ids}
+    for k, (ids, p) in clouds.items():
+        label = np.array([got[k, i] for i in ids])
+        names = set(label.tolist()) - {-1}
+        assert names == set(range(len(names))) and len(names) != 1
+        assert all((label == c).sum() >= 5 for c in names)
+
+
 def test_composed_labels(spark, sf_dir):
     """Objects laid down one after the other on a canvas, pixel by pixel."""
     want = {}
