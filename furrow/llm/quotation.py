@@ -34,7 +34,8 @@ def _lines(text: Column) -> Column:
 def own_text(text: Column) -> Column:
     """A message without quoted and attribution lines, and without blank ends.
 
-    An attribution can be broken over two lines that stand right before a quoted one.
+    An attribution can be broken over two lines that stand right before a quoted one. Only texts
+    with a mark are searched for that.
     """
     lines = _lines(text)
 
@@ -44,7 +45,9 @@ def own_text(text: Column) -> Column:
     def broken(i: Column) -> Column:
         return F.concat(at(i), F.lit(" "), at(i + 1)).rlike(ATTRIBUTION) & at(i + 2).rlike(MARKS)
 
+    plain = F.filter(lines, lambda line: ~line.rlike(ATTRIBUTION))
     own = F.filter(lines, lambda line, i: ~line.rlike(MARKS) & ~line.rlike(ATTRIBUTION) & ~broken(i) & ~((i > 0) & broken(i - 1)))
+    own = F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(">")), own).otherwise(plain)
     return F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", "")
 
 
@@ -104,20 +107,22 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     messages needs conv_id, turn, role and text; other columns are ignored. One row for each
     row: conv_id, turn, role, body, n_quotes, n_linked, levels, parent_turn, root_turn, depth,
     place. A place is the number, from 1, of a message over all conversations by conv_id, root
-    and turn (null first), ties by role and body; a message comes after those that it answers.
+    and turn, so that it comes after those that it answers; it is null without conv_id or turn.
     A message that quotes nothing known has no parent and is its own root. A null text is
     empty. Rows without conv_id or turn link to nothing. Rows of one conversation and turn are
-    linked as one message and all stay. An empty table gives an empty result.
+    linked as one message, share its place and all stay. An empty table gives an empty result.
     """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role"), F.coalesce("text", F.lit("")).alias("text"))
     found = cut(links(rows))
-    out = rows.select("conv_id", "turn", "role", own_text(F.col("text")).alias("body")).join(found, ["conv_id", "turn"], "left").join(threads(found), ["conv_id", "turn"], "left")
+    messages = rows.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn").distinct()
     zero = F.lit(0).cast("long")
-    rows = out.select(
+    threaded = messages.join(threads(found), ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", zero).alias("depth"))
+    placed = numbered(threaded, "place", F.col("conv_id"), F.col("root"), F.col("turn"))
+    out = rows.select("conv_id", "turn", "role", own_text(F.col("text")).alias("body")).join(found, ["conv_id", "turn"], "left").join(placed, ["conv_id", "turn"], "left")
+    return out.select(
         "conv_id", "turn", "role", "body", *(F.coalesce(c, zero).alias(c) for c in ("n_quotes", "n_linked", "levels")),
-        F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", zero).alias("depth"),
+        F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", zero).alias("depth"), "place",
     )
-    return numbered(rows, "place", *(F.col(c).asc_nulls_first() for c in ("conv_id", "root_turn", "turn", "role", "body")))
 
 
 SQL = r"""
@@ -172,6 +177,6 @@ WITH RECURSIVE m AS (
 )
 SELECT own.conv_id, own.turn, own.role, own.body, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked,
        coalesce(levels, 0)::BIGINT AS levels, parent AS parent_turn, coalesce(root, own.turn) AS root_turn, coalesce(tops.depth, 0)::BIGINT AS depth,
-       row_number() OVER (ORDER BY own.conv_id NULLS FIRST, coalesce(root, own.turn) NULLS FIRST, own.turn NULLS FIRST, own.role NULLS FIRST, own.body NULLS FIRST) AS place
+       CASE WHEN own.conv_id IS NOT NULL AND own.turn IS NOT NULL THEN dense_rank() OVER (PARTITION BY own.conv_id IS NOT NULL AND own.turn IS NOT NULL ORDER BY own.conv_id, coalesce(root, own.turn), own.turn) END AS place
 FROM own LEFT JOIN links USING (conv_id, turn) LEFT JOIN tops USING (conv_id, turn)
 """
