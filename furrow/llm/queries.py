@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontamination, jaccard, manifest, media, mixing, personal, quality, quotation, substrings, toxicity, warc
+from . import decontamination, jaccard, manifest, media, mixing, personal, quality, quotation, repair, substrings, toxicity, warc
 from .common import table
 
 
@@ -62,7 +62,11 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.report(table(spark, sf_dir, "documents"))
 
 
-ALL = (op1_mixing, op2_quotation, op3_toxicity, op4_personal, op5_jaccard, op6_media, op7_warc, op8_decontamination, op9_quality, op10_substrings, op11_manifest)
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
+ALL = (op1_mixing, op2_quotation, op3_toxicity, op4_personal, op5_jaccard, op6_media, op7_warc, op8_decontamination, op9_quality, op10_substrings, op11_manifest, op12_repair)
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -79,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quotation": quotation.SQL, "op11_manifest": manifest.SQL}
+    return {"op2_quotation": quotation.SQL, "op11_manifest": manifest.SQL, "op12_repair": repair.SQL}
