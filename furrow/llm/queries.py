@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontamination, jaccard, manifest, media, mixing, personal, quality, quotation, repair, substrings, toxicity, warc
+from . import decontamination, jaccard, manifest, media, mixing, personal, quality, quotation, repair, substrings, suffixes, toxicity, warc
 from .common import table
 
 
@@ -66,7 +66,11 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(table(spark, sf_dir, "conversations"))
 
 
-ALL = (op1_mixing, op2_quotation, op3_toxicity, op4_personal, op5_jaccard, op6_media, op7_warc, op8_decontamination, op9_quality, op10_substrings, op11_manifest, op12_repair)
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
+ALL = (op1_mixing, op2_quotation, op3_toxicity, op4_personal, op5_jaccard, op6_media, op7_warc, op8_decontamination, op9_quality, op10_substrings, op11_manifest, op12_repair, op13_suffixes)
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
