@@ -87,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quotation": quotation.SQL, "op11_manifest": manifest.SQL, "op12_repair": repair.SQL}
+    return {"op2_quotation": quotation.SQL, "op11_manifest": manifest.SQL, "op12_repair": repair.SQL, "op13_suffixes": suffixes.SQL}

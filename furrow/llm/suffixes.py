@@ -236,3 +236,14 @@ def report(docs: DataFrame) -> DataFrame:
     done = packed(docs).join(wanted, key).select(*key, "packed", "ranges").dropDuplicates(key).mapInArrow(_removed, "did long, text_hash long, gone long, spans long, kept string")
     out = keyed.join(done, key, "left")
     return out.select("doc_id", "n_bytes", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "kept_sha256").alias("kept_sha256"))
+
+
+#: Texts are cut into overlapping pieces, as a string is cut out of a short text sooner.
+SQL = """WITH b AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents), n AS (SELECT r, doc_id, t, length(t) // 2 AS n FROM b),
+ pieces AS MATERIALIZED (SELECT r, at0, n, t[2 * at0 + 1:2 * at0 + 1198] AS t FROM (SELECT r, t, n, unnest(range(0, n - 199, 400)) AS at0 FROM n)),
+ w AS MATERIALIZED (SELECT r, at0 + i AS i, md5_number(t[2 * i + 1:2 * i + 400]) AS h FROM (SELECT r, t, at0, unnest(range(0, least(400, n - 199 - at0))) AS i FROM pieces)),
+ k AS (SELECT r, i FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+ s AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM k)),
+ p AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM s GROUP BY r, run), q AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS f FROM p),
+ o AS (SELECT r, sum(z - a) AS removed, count(*) AS spans, max(z) AS last FROM p GROUP BY r), c AS (SELECT q.r, string_agg(t[2 * f + 1:2 * a], '' ORDER BY a) AS kept FROM q JOIN n USING (r) GROUP BY q.r)
+ SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(c.kept || t[2 * last + 1:], t))) AS kept_sha256 FROM n LEFT JOIN o USING (r) LEFT JOIN c USING (r)"""
