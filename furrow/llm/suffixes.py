@@ -32,6 +32,8 @@ from .substrings import least_places
 LENGTH, GRAM = 200, 64
 #: Parts into which a round cuts a range of offsets.
 ARMS = 6
+#: Bytes of text, and places, handled at once: arrays of some dozen times as many bytes stand in memory.
+SLICE_BYTES, SLICE_PLACES = 1 << 18, 1 << 10
 #: Rows without an id are told apart by their texts.
 LAST = (1 << 63) - 1
 #: A place: the first string that has the anchor, the anchor's offset in it and the number of such strings, in one long.
@@ -67,7 +69,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_slices(batch.column(3)):
+            for first, end, data, offsets in text_slices(batch.column(3), SLICE_BYTES):
                 n, grams, hulls, places = anchors(data, offsets)
                 raw = data.tobytes()
                 digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -117,9 +119,7 @@ def _parts(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     """Cuts each place's range of offsets from x to y into parts of size: hashes of the bytes that all strings of a part have, and of all its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, SLICE_PLACES) for b in batches for i in range(0, b.num_rows, SLICE_PLACES)):
             rep, gram, mult, top, many, x, y = (batch.column(c).to_numpy().astype(np.int64) for c in ("rep", "gram", "mult", "high", "many", "x", "y"))
             around = batch.column("around")
             bounds = np.frombuffer(around.buffers()[1], np.int32)[around.offset : around.offset + batch.num_rows + 1].astype(np.int64)
