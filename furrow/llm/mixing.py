@@ -99,8 +99,9 @@ def corrected(k: np.ndarray, size: np.ndarray, goal: float, most: int) -> np.nda
     """k, each from 0 to most, changed little so that the sum of k * size comes nearest to goal.
 
     Small problems get the nearest total that there is, and of the ways to it one with the
-    least sum of changes; larger ones are improved by the best change of one or two units
-    until none helps.
+    least sum of changes. Larger ones, whose tables would not fit, are improved by the best change
+    of one or two units until none helps; the total is then never farther off than before, which
+    is the words of the two smallest units of the last block at most, as only those are drawn.
     """
     top = int(min(most * size.sum(), goal + size.max(initial=0) + 1))
     return _nearest(k, size, goal, most, top) if len(k) * (top + 1) <= EXACT else _improved(k, size, goal, most)
@@ -159,10 +160,10 @@ def _improved(k: np.ndarray, size: np.ndarray, goal: float, most: int) -> np.nda
 
 def _fly(last: bool, seed: int, most: int):
     def run(units: pa.Table) -> pa.Table:
-        units = units.sort_by([("words", "descending"), *((c, "ascending") for c in ("h", "doc_id", "m"))]).combine_chunks()
+        units = units.sort_by([("words", "descending"), *((c, "ascending") for c in ("h", "doc_id", "copy"))]).combine_chunks()
         draws = np.random.default_rng([seed, *(units[c][0].as_py() for c in ("rank", "block", "round"))])
         base, p, size = (units[c].to_numpy() for c in ("base", "p", "words"))
-        q = flight(p, units["m"].to_numpy(), size, draws)
+        q = flight(p, np.ones(len(p)), size, draws)
         if last:
             q = corrected(base + landed(q, draws), size, float((base + p) @ size), most) - base
         return units.set_column(units.schema.get_field_index("p"), "p", pa.array(q.astype(float), pa.float64()))
@@ -170,33 +171,33 @@ def _fly(last: bool, seed: int, most: int):
     return run
 
 
-UNIT = "rank long, doc_id long, size long, h long, m long, words long, p double, base long, block long, round long"
+UNIT = "rank long, doc_id long, size long, h long, copy long, words long, p double, base long, block long, round long"
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Documents to (src, doc_id, size, h, m): m rows with the same source, id and text are one unit."""
+    """Documents to (src, doc_id, size, h, copy): a row for each, those with the same source, id and text numbered from 1 in copy."""
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select(F.col("source").alias("src"), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"), F.xxhash64(text).alias("h"))
-    return sized.groupBy("src", "doc_id", "size", "h").agg(F.count(F.lit(1)).alias("m"))
+    return sized.groupBy("src", "doc_id", "size", "h").agg(F.count(F.lit(1)).alias("m")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
 
 
 def mix(docs: DataFrame, most: int = MOST_REPEATS, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """(src, doc_id, size, h, m, source_size, target, k): each unit and how often it is taken.
+    """(src, doc_id, size, h, copy, source_size, target, k): each unit and how often it is taken.
 
     docs needs doc_id, text and source; other columns are ignored, whatever their names. A
-    null text is empty and a null source a source of its own, the last. Rows equal in source,
-    doc_id and text are one unit and are all taken the same number of times. Ties are ordered
-    by hash and id. An empty table gives an empty result. k never exceeds most.
+    null text is empty and a null source a source of its own, the last. Of rows equal in source,
+    doc_id and text, which are numbered in copy, some may be taken more often than others. Ties are ordered by hash, id and
+    copy. An empty table gives an empty result. k never exceeds most.
     """
     counted = cut(units(docs))
-    per_source = cut(targets(counted.groupBy("src").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n")), most))
+    per_source = cut(targets(counted.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), most))
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     extent = per_source.agg(F.count(F.lit(1)).alias("sources"), F.max("n").alias("units")).first()
     small = F.broadcast if extent["sources"] <= FEW_SOURCES else (lambda df: df)
     joined = counted.withColumnRenamed("src", "own").join(small(per_source), F.col("own").eqNullSafe(F.col("src"))).drop("own")
     base = F.least(F.floor(F.col("ratio") + EPS), F.lit(most)).cast("long")
     start = joined.withColumn("ratio", ratio).select(
-        F.col("rank").cast("long").alias("rank"), "doc_id", "size", "h", "m", (F.col("size") * F.col("m")).alias("words"), F.greatest(F.col("ratio") - base, F.lit(0.0)).alias("p"), base.alias("base"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("round")
+        F.col("rank").cast("long").alias("rank"), "doc_id", "size", "h", "copy", F.col("size").alias("words"), F.greatest(F.col("ratio") - base, F.lit(0.0)).alias("p"), base.alias("base"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("round")
     )
     parts, number = [], 0
     now = start
@@ -204,7 +205,7 @@ def mix(docs: DataFrame, most: int = MOST_REPEATS, block: int = BLOCK, seed: int
     while largest > block:
         # a source's blocks: enough of them for its units, dealt by hash
         n = now.groupBy(F.col("rank").alias("r")).count().select("r", F.ceil(F.col("count") / block).alias("blocks"))
-        dealt = now.join(small(n), F.col("rank") == F.col("r")).withColumn("block", F.pmod(F.xxhash64("h", "doc_id", F.lit(seed + number)), F.col("blocks"))).withColumn("round", F.lit(number).cast("long"))
+        dealt = now.join(small(n), F.col("rank") == F.col("r")).withColumn("block", F.pmod(F.xxhash64("h", "doc_id", "copy", F.lit(seed + number)), F.col("blocks"))).withColumn("round", F.lit(number).cast("long"))
         flown = cut(dealt.select(*now.columns).groupBy("rank", "block").applyInArrow(_fly(False, seed, most), UNIT))
         fractional = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
         parts.append(flown.filter(~fractional))
@@ -216,19 +217,31 @@ def mix(docs: DataFrame, most: int = MOST_REPEATS, block: int = BLOCK, seed: int
     done = parts[0]
     for part in parts[1:]:
         done = done.unionByName(part)
-    decided = done.select(F.col("rank").alias("r"), "doc_id", "size", "h", "m", (F.col("base") + F.round("p").cast("long")).alias("k"))
+    decided = done.select(F.col("rank").alias("r"), "doc_id", "size", "h", "copy", (F.col("base") + F.round("p").cast("long")).alias("k"))
     out = decided.join(small(per_source), F.col("r") == F.col("rank"))
-    return out.select("src", "doc_id", "size", "h", "m", "source_size", "target", F.least(F.col("k"), F.lit(most)).alias("k"))
+    return out.select("src", "doc_id", "size", "h", "copy", "source_size", "target", F.least(F.col("k"), F.lit(most)).alias("k"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row repeated as often as it is taken, numbered in mix_copy from 1; rows not taken go.
 
     All columns of docs stay, whatever their names; should one be called mix_copy, the number
-    replaces it. Nulls, empty texts, ties, repeated rows and empty tables are as in mix().
+    replaces it. Nulls, empty texts, ties, repeated rows and empty tables are as in mix(). Which of
+    repeated rows is which copy is told by all their columns.
     """
-    taken = mix(docs, **options).filter("k > 0").select("src", "doc_id", "h", "k")
-    rows = docs.select(F.struct("*").alias("row"))
-    on = F.col("row.source").eqNullSafe(F.col("src")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("h"))
-    copies = rows.join(taken, on).select("row", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("mix_copy"))
+    mixed = cut(mix(docs, **options))
+    once = mixed.groupBy("src", "doc_id", "h").agg(F.max("copy").alias("m"), F.max("k").alias("k"))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("own_h", F.xxhash64(F.coalesce("row.text", F.lit(""))))
+    key = F.col("row.source").eqNullSafe(F.col("src")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.col("own_h") == F.col("h"))
+    joined = rows.join(once.filter("m > 1 or k > 0"), key)
+    taken = joined.filter("m = 1").select("row", "k")
+    again = joined.filter("m > 1").select("row", "src", "doc_id", "h", F.monotonically_increasing_id().alias("nth"))
+    # those that are repeated are numbered by a sort over all of them, which no group holds up
+    order = [F.col("src").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("h"), F.xxhash64(F.to_json("row")), F.col("nth")]
+    placed = numbered(again, "at", *order)
+    first = placed.groupBy(F.col("src").alias("src2"), F.col("doc_id").alias("id2"), F.col("h").alias("h2")).agg(F.min("at").alias("first"))
+    met = placed.join(first, F.col("src").eqNullSafe(F.col("src2")) & F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))).select("row", "src", "doc_id", "h", (F.col("at") - F.col("first") + 1).alias("copy"))
+    own = mixed.filter("k > 0").select(F.col("src").alias("src2"), F.col("doc_id").alias("id2"), F.col("h").alias("h2"), F.col("copy").alias("copy2"), "k")
+    numbered_rows = met.join(own, F.col("src").eqNullSafe(F.col("src2")) & F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")) & (F.col("copy") == F.col("copy2"))).select("row", "k")
+    copies = taken.unionByName(numbered_rows).select("row", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("mix_copy"))
     return copies.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "mix_copy"], "mix_copy")
