@@ -12,7 +12,6 @@ and only those go through the automata, some at a time.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -64,9 +63,9 @@ class Automaton:
         for name, tokens in items:
             state = 0
             for n, t in enumerate(tokens, 1):
-                state = self.next[state][self.vocabulary[t]]
+                state = self.holding(self.next[state][self.vocabulary[t]], window)
                 if n >= window:
-                    self.windows.setdefault(self.holding(state, window), set()).add(name)
+                    self.windows.setdefault(state, set()).add(name)
             if 0 < len(tokens) < window:
                 self.shorts.setdefault(self.holding(state, len(tokens)), []).append((len(tokens), name))
         lengths = [len(tokens) for _, tokens in items if tokens]
@@ -102,7 +101,11 @@ class Automaton:
         return new
 
     def holding(self, state: int, n: int) -> int:
-        """The state of the last n words of a state's strings."""
+        """The state of the last n words of a state's strings, or of all of them if they have fewer.
+
+        A walk that goes on from what it gave the word before takes constant time a word on average,
+        as the links of a state grow by one a word at most.
+        """
         while self.length[self.link[state]] >= n:
             state = self.link[state]
         return state
@@ -144,27 +147,36 @@ class Automaton:
 
     def stream(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
         """Hit spans (start, end) in order of end, the items found and the longest match."""
-        spans, found, longest, state, n = [], set(), 0, 0, 0
+        spans, found, longest, seen = [], set(), 0, set()
+        whole, near = (0, 0), (0, 0)  # the longest match, and that of the last words of a window: state and length
         for i, token in enumerate(tokens, 1):
             c = self.vocabulary.get(token)
             if c is None:
-                state = n = 0
+                whole = near = (0, 0)
                 continue
-            while state and c not in self.next[state]:
-                state = self.link[state]
-                n = self.length[state]
-            state = self.next[state].get(c, 0)
-            n = n + 1 if state else 0
-            longest = max(longest, n)
+            whole, (state, n) = self._step(*whole, c), self._step(*near, c)
+            longest = max(longest, whole[1])
+            state = self.holding(state, self.window)
+            near = state, n = state, min(n, self.length[state])
             if n >= self.window:
                 spans.append((i - self.window, i))
-                found |= self.windows[self.holding(state, self.window)]
+                if state not in seen:
+                    found |= self.windows[state]
+                    seen.add(state)
             for length, item in self.ends_here(state):
                 if length <= n:
                     spans.append((i - length, i))
                     found.add(item)
         return spans, found, longest
 
+    def _step(self, state: int, n: int, c: int) -> tuple[int, int]:
+        """The longest match that ends with word c, after one of n words in a state."""
+        while state and c not in self.next[state]:
+            state = self.link[state]
+            n = self.length[state]
+        state = self.next[state].get(c, 0)
+        return state, n + 1 if state else 0
+
     def scan(self, column: pa.Array) -> Iterator[tuple[int, list[int], dict[int, tuple[list, set, int]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each slice: first row, words of each row, and for rows with hits (spans, items, longest)."""
         for first, _, data, offsets in text_slices(column):
@@ -217,13 +229,19 @@ def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WO
 
     Items are dealt by hash to blocks of about block_words words, those shorter than MOST_GRAM
     words apart from the others, since their automata mark runs by shorter grams. A task builds
-    the automaton of a block; a filter over its grams goes with it.
+    the automaton of a block; a filter over its grams goes with it. An item longer than a block is
+    dealt in pieces that share all but one word of a window, so that no window is lost; its
+    longest match is that within a piece.
     """
+    step = max(block_words, window)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(item_words(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array([min(MOST_GRAM, window, x) for x in n], pa.int32())], names=["item", "text", "n", "k"])
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = item_words(text)
+                pieces = [tokens[a : a + step + window - 1] for a in range(0, max(1, len(tokens) - window + 1), step)]
+                n = [len(x) for x in pieces]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(n)), pa.array([b" ".join(x).decode() for x in pieces]), pa.array(n, pa.int64()), pa.array([min(MOST_GRAM, window, x) for x in n], pa.int32())], names=["item", "text", "n", "k"])
 
     def built(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group["item"].to_pylist(), group["text"].to_pylist(), strict=True))
@@ -338,20 +356,40 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: in
     return out.select("row.doc_id", "n_words", "n_hit", is_contaminated(F.col("n_hit"), F.col("n_words"), coverage).alias("contaminated"), "spans", "items", "longest")
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS, longest: int | None = None) -> DataFrame:
     """The rows of docs that are not contaminated, all columns unchanged, whatever their names.
 
-    Null and empty texts are clean and stay, repeated rows stay or go alike, empty tables give
-    an empty result or all rows.
+    With longest, a run of hits of more than so many words is cut out of those that stay, which may
+    hold hits under the limit of coverage, and n_chars, where it is a column, is brought up to
+    date. Null and empty texts are clean and stay, repeated rows stay or go alike, empty tables
+    give an empty result or all rows.
     """
     out = scanned(docs, items, docs.columns, window, block_words).filter(~is_contaminated(hit_words(F.col("spans")), F.col("n_words"), coverage))
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
-
+    if longest is None:
+        return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    long = F.filter("spans", lambda s: s["end"] - s["start"] > longest)
 
-def cut_text(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, spans = batch.column(0), batch.column(1)
+            texts = rows.field("text").to_pylist()
+            touched = np.flatnonzero(spans.value_lengths().to_numpy(zero_copy_only=False))
+            for i in touched.tolist():
+                texts[i] = cut_text(texts[i], [(s["start"], s["end"]) for s in spans[i].as_py()])
+            columns = {f.name: rows.field(f.name) for f in rows.type}
+            columns["text"] = pa.array(texts, columns["text"].type)
+            if "n_chars" in columns and len(touched):
+                n = columns["n_chars"].to_pylist()
+                for i in touched.tolist():
+                    n[i] = len(texts[i])
+                columns["n_chars"] = pa.array(n, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return out.select("row", long.alias("spans")).mapInArrow(run, docs.schema)
+
+
+def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
     """A text without the words of the spans and what stands between them."""
-    if text is None or not spans:
-        return text
     raw = text.encode()
     data = words.LOWER[np.frombuffer(raw, np.uint8)]
     starts, ends, _ = words.split(data, np.array([0, len(data)]), words.ALNUM)
@@ -360,7 +398,3 @@ def cut_text(text: str | None, spans: list[tuple[int, int]]) -> str | None:
         out.append(raw[at : starts[a]])
         at = int(ends[b - 1])
     return b"".join([*out, raw[at:]]).decode()
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
