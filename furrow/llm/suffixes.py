@@ -196,9 +196,9 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketch = spark.read.parquet(f"{folder}/sketch")
     rows = cut(sketch.drop("grams", "hulls", "places"))
     suffixes = sketch.select("r", F.explode(F.arrays_zip("grams", "hulls", "places")).alias("s")).select("r", F.col("s.grams").alias("gram"), F.col("s.hulls").alias("hull"), F.col("s.places").alias("place"))
+    # written once, so that the join exchanges both sides and adaptive execution can split a hot bucket
     buckets = suffixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("hull").alias("least"), F.max("hull").alias("most")).filter("n > 1")
-    same = F.col("least") == F.col("most")
-    member = suffixes.join(buckets.select("gram", same.alias("same")), "gram")
+    member = suffixes.join(cut(buckets.select("gram", (F.col("least") == F.col("most")).alias("same"))), "gram")
     split = F.when(~F.col("same"), F.struct("place", "gram", "hull"))
     verdicts = cut(member.groupBy("r").agg(F.collect_list(F.when(F.col("same"), F.col("place"))).alias("settled"), F.collect_list(split).alias("split")))
     deleted(spark, folder)
