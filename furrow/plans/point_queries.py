@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import association as V
 from ..operators import hierarchy as H
 from ..operators import points as P
+from ..session import cut
 from .fixtures import R, points, r, sql
 from .registry import query
 
@@ -113,12 +115,11 @@ def splats(spark: SparkSession, sf: str) -> DataFrame:
     return points(spark, sf).select("pid", (16 + c("x") * 40).alias("sx"), (16 + c("y") * 40).alias("sy"), (c("z") + 3).alias("depth"), (1.5 + F.abs("e3") * 6).alias("radius"), (1 / (1 + F.exp(-c("e4") * 4))).alias("opacity"), (c("file_id") % 4).alias("obj"))
 
 
-def composited(s: DataFrame, size: int = 32, tile: int = 8, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Weights of Gaussians at pixels, front to back: px, py, pid, obj, depth, alpha, t, w.
+def covered(s: DataFrame, size: int = 32, tile: int = 8) -> DataFrame:
+    """s for each pixel that a Gaussian covers: px, py and alpha.
 
-    Gaussians go to the tiles that they meet and are joined to the tiles' pixels. A pixel's
-    transparency before each is a running sum of logarithms; contributions under 1/255 do not
-    count, and a Gaussian that would leave under 1e-4 ends the pixel.
+    Gaussians go to the tiles that they meet and are joined to the tiles' pixels. What covers less
+    than 1/255 of a pixel does not count.
     """
     c, n = F.col, size // tile
     spread = lambda v: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((c(v) - c("radius")) / tile)), F.least(F.lit(n - 1), F.floor((c(v) + c("radius")) / tile))))
@@ -129,10 +130,19 @@ def composited(s: DataFrame, size: int = 32, tile: int = 8, keys: tuple[str, ...
     pixels = tiles.withColumn("dx", F.explode(within)).withColumn("dy", F.explode(within)).withColumn("px", c("tx") * tile + c("dx")).withColumn("py", c("ty") * tile + c("dy"))
     gap = (c("px") - c("sx")) * (c("px") - c("sx")) + (c("py") - c("sy")) * (c("py") - c("sy"))
     alpha = F.least(F.lit(0.99), c("opacity") * F.exp(-0.5 * gap / ((c("radius") / 3) * (c("radius") / 3))))
-    seen = pixels.withColumn("alpha", alpha).filter(c("alpha") >= 1 / 255.0)
+    return pixels.withColumn("alpha", alpha).filter(c("alpha") >= 1 / 255.0)
+
+
+def composited(s: DataFrame, size: int = 32, tile: int = 8, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Weights of Gaussians at pixels, front to back: px, py, pid, obj, depth, alpha, t, w.
+
+    A pixel's transparency before each is a running sum of logarithms; a Gaussian that would leave
+    under 1e-4 ends the pixel.
+    """
+    c = F.col
     before = Window.partitionBy(*keys, "px", "py").orderBy("depth", "pid").rowsBetween(Window.unboundedPreceding, -1)
     t = F.coalesce(F.exp(F.sum(F.ln(1 - c("alpha"))).over(before)), F.lit(1.0))
-    return seen.withColumn("t", t).filter(c("t") * (1 - c("alpha")) >= 1e-4).select(*keys, "px", "py", "pid", "obj", "depth", "alpha", "t", (c("alpha") * c("t")).alias("w"))
+    return covered(s, size, tile).withColumn("t", t).filter(c("t") * (1 - c("alpha")) >= 1e-4).select(*keys, "px", "py", "pid", "obj", "depth", "alpha", "t", (c("alpha") * c("t")).alias("w"))
 
 
 @query("splat_tiles", sql(SPLATS + ", k AS (SELECT tx + 4 * ty AS tile, pid, depth FROM u), n AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY depth, pid) AS n FROM k) SELECT tile, pid, n, count(*) OVER (PARTITION BY tile) AS size FROM n", "points"))
@@ -219,3 +229,43 @@ def running_maxima(spark: SparkSession, sf: str) -> DataFrame:
     """Greatest radius and mean gradient over the times seen."""
     seen = F.count_if(F.col("y") > 0)
     return points(spark, sf).groupBy("file_id").agg(r(F.max(F.abs("x"))).alias("radius"), r(F.coalesce(F.try_divide(F.sum("y"), seen), F.lit(0.0))).alias("grad"), seen.alias("seen"))
+
+
+#: Cosine and sine of the views' turns about the vertical.
+TURNS = ((1.0, 0.0), (0.96, 0.28), (0.936, 0.352), (0.8, 0.6))
+
+
+def view_splats(spark: SparkSession, sf: str) -> DataFrame:
+    """scene, view, pid, sx, sy, depth, radius, opacity, obj: each scene's Gaussians in views turned about the vertical; obj is the octant of the scene."""
+    c, w = F.col, Window.partitionBy("file_id")
+    octant = sum((F.when(c(a) > F.avg(a).over(w), 1 << i).otherwise(0) for i, a in enumerate("xyz")), F.lit(0))
+    p = points(spark, sf).withColumn("obj", octant)
+    views = F.explode(F.array(*[F.struct(F.lit(i).alias("view"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(TURNS)]))
+    turned = p.withColumn("v", views).withColumn("tx", c("v.a") * c("x") - c("v.b") * c("z")).withColumn("tz", c("v.b") * c("x") + c("v.a") * c("z"))
+    return turned.select(c("file_id").alias("scene"), c("v.view").cast("long").alias("view"), "pid", (16 + c("tx") * 40).alias("sx"), (16 + c("y") * 40).alias("sy"), (c("tz") + 3).alias("depth"), (1.5 + F.abs("e3") * 6).alias("radius"), (1 / (1 + F.exp(-c("e4") * 4))).alias("opacity"), "obj")
+
+
+def instance_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(masks, alphas, weights, low): in each view a mask for each octant, of the pixels to which it gives most, and what the Gaussians give."""
+    s, px = view_splats(spark, sf), (F.col("px") + 32 * F.col("py")).cast("long").alias("px")
+    weights = cut(composited(s, keys=("scene", "view")).select("scene", "view", px, "pid", "obj", "w"))
+    alphas = covered(s).select("scene", "view", px, "pid", "alpha")
+    shares = weights.groupBy("scene", "view", "px", "obj").agg(F.sum("w").alias("w"))
+    most = shares.groupBy("scene", "view", "px").agg(F.max(F.struct(F.round("w", 9).alias("w"), "obj")).alias("m")).filter("m.w > 0.2")
+    masks = most.select("scene", "view", F.col("m.obj").cast("long").alias("mask"), "px")
+    low = points(spark, sf).withColumn("mid", F.avg("z").over(Window.partitionBy("file_id"))).filter("z < mid").select(F.col("file_id").alias("scene"), "pid")
+    return masks, alphas, weights, low
+
+
+@query("instance_rounds")
+def instance_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of every mask of four views of each scene as the seed of an instance."""
+    masks, alphas, weights, low = instance_inputs(spark, sf)
+    return V.associated(masks, alphas, weights, low, 32, 0.3)[0]
+
+
+@query("instance_labels")
+def instance_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The instance of each Gaussian after all rounds."""
+    masks, alphas, weights, low = instance_inputs(spark, sf)
+    return V.associated(masks, alphas, weights, low, 32, 0.3)[1]
