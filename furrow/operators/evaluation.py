@@ -8,47 +8,81 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 EPS = 1e-16
 
 
-def curve(scored: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
-    """Running precision and recall in order of falling confidence.
+def dealt(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows written once in ranges of an order, with the number of its range in a column part."""
+    return cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
 
-    scored has by, conf, tie and tp (0 or 1); totals has n_true and some or all of by.
-    """
-    w = Window.partitionBy(*by).orderBy(F.desc("conf"), "tie")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = scored.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("tps", F.sum("tp").over(so_far))
-    joined = ranked.join(totals, [c for c in by if c in totals.columns])
-    return joined.withColumn("precision", F.col("tps") / F.col("rank")).withColumn("recall", F.col("tps") / (F.col("n_true") + EPS))
 
+def hit_bits(matches: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(image, det, hits) of matches (image, det, threshold): a bit for each threshold at which a detection has a match."""
+    place = F.array_position(F.array(*[F.lit(t) for t in thresholds]), F.col("threshold")).cast("int") - 1
+    return matches.groupBy("image", "det").agg(F.sum(F.pow(F.lit(2), place)).cast("int").alias("hits"))
 
-def envelope(points: DataFrame, by: list[str]) -> DataFrame:
-    """The curve with precision made non-increasing in rank."""
-    backwards = Window.partitionBy(*by).orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)  # one pass, unlike a frame that looks ahead
-    return points.withColumn("envelope", F.max("precision").over(backwards))
 
+def curve(scored: DataFrame, totals: DataFrame, by: list[str], n: int) -> DataFrame:
+    """Running hits at n thresholds in order of falling confidence: by, part, rank, tps (an array), n_true.
 
-def average_precision(points: DataFrame, by: list[str], steps: int = 100) -> DataFrame:
-    """(by, ap): area under the envelope, by trapezia between steps + 1 equally spaced recalls.
+    scored has by, conf, tie and hits (a bit for each threshold); totals has n_true and some or all
+    of by. Rows are dealt to ranges of by and confidence, summed in each, and each range starts
+    from the sums of those before it, so that no task holds a whole class.
+    """
+    order = [F.desc("conf"), F.col("tie")]
+    rows = dealt(scored.select(*by, "conf", "tie", "hits"), *by, *order)
+    hit = [F.shiftright("hits", i).bitwiseAND(1) for i in range(n)]
+    sums = rows.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(h).alias(f"s{i}") for i, h in enumerate(hit)])
+    earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("rows", *(f"s{i}" for i in range(n)))]
+    starts = cut(sums.select(*by, "part", before[0].alias("rank0"), F.array(*before[1:]).alias("tps0")))
+    so_far = Window.partitionBy(*by, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select(*by, "part", "conf", "tie", F.row_number().over(so_far).cast("long").alias("rank"), F.array(*[F.sum(h).over(so_far) for h in hit]).alias("tps"))
+    placed = local.join(starts, [*by, "part"]).join(totals, [c for c in by if c in totals.columns])
+    return placed.select(*by, "part", (F.col("rank") + F.col("rank0")).alias("rank"), F.zip_with("tps", "tps0", lambda a, b: a + b).alias("tps"), "n_true")
+
+
+def points(curves: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each rank and threshold, whose place is in k: by, part, rank, k, tps, precision, recall."""
+    rows = curves.select(*by, "part", "rank", "n_true", F.posexplode("tps").alias("k", "tps"))
+    return rows.withColumn("precision", F.col("tps") / F.col("rank")).withColumn("recall", F.col("tps") / (F.col("n_true") + EPS))
+
+
+def envelope(curves: DataFrame, by: list[str]) -> DataFrame:
+    """points with the precision made non-increasing in rank, in a column envelope: that of the same range from behind, or of a later range."""
+    rows = points(curves, by)
+    tops = rows.groupBy(*by, "k", "part").agg(F.max("precision").alias("top"))
+    later = Window.partitionBy(*by, "k").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    after = cut(tops.select(*by, "k", "part", F.max("top").over(later).alias("after")))
+    back = Window.partitionBy(*by, "k", "part").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("own", F.max("precision").over(back))
+    return own.join(after, [*by, "k", "part"]).withColumn("envelope", F.greatest("own", "after")).drop("own", "after")
+
+
+def average_precision(curves: DataFrame, by: list[str], steps: int = 100) -> DataFrame:
+    """(by, k, ap): area under the envelope, by trapezia between steps + 1 equally spaced recalls.
 
     The curve starts at recall 0 with precision 1 and ends at recall 1 with precision 0, and is
-    linear between its points; of points with equal recall the last counts.
+    linear between its points; of points with equal recall the last counts. Between two places of
+    the grid only the first and last point and the greatest precision matter, so that points are
+    summed up by place before anything is sorted.
     """
-    env = envelope(points, by).select(*by, F.col("recall").alias("x"), F.col("rank").alias("k"), F.col("envelope").alias("y"))
-    groups = env.select(*by).distinct()
-    ends = [groups.select(*by, F.lit(x).alias("x"), F.lit(k).cast("long").alias("k"), F.lit(y).alias("y")) for x, k, y in ((0.0, 0, 1.0), (1.0, 1 << 60, 0.0))]
-    order = Window.partitionBy(*by).orderBy("x", "k")
-    lines = env.unionByName(ends[0]).unionByName(ends[1])
-    spans = lines.select(*by, "k", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(order).alias("x1"), F.lead("y").over(order).alias("y1")).filter("x1 is not null")
-    # grid places in (x0, x1], the first span with its start too
-    first, last = F.floor(F.col("x0") * steps) + 1, F.floor(F.col("x1") * steps)
-    first = F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(first)
-    hit = spans.withColumn("g", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
-    share = F.when(F.col("x1") > F.col("x0"), (F.col("g") / steps - F.col("x0")) / (F.col("x1") - F.col("x0"))).otherwise(1.0)
-    heights = hit.withColumn("h", F.col("y0") + (F.col("y1") - F.col("y0")) * share)
+    rows = points(curves, by)
+    own = [*by, "k"]
+    place = F.ceil(F.col("recall") * steps).cast("int")
+    kept = rows.groupBy(*own, place.alias("g")).agg(F.max(F.struct("rank", "recall", "precision")).alias("last"), F.min(F.struct("rank", "recall")).alias("first"), F.max("precision").alias("top"))
+    kept = cut(kept)
+    grid = kept.select(*own).distinct().withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    w = Window.partitionBy(*own).orderBy("g")
+    at, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    near = grid.join(kept, [*own, "g"], "left").select(*own, "g", F.last("last", True).over(at).alias("l"), F.first("first", True).over(after).alias("r"), F.max("top").over(after).alias("top"))
+    x0, x1 = F.coalesce("l.recall", F.lit(0.0)), F.coalesce("r.recall", F.lit(1.0))
+    y0, y1 = F.greatest(F.coalesce("l.precision", F.lit(1.0)), F.col("top")), F.coalesce("top", F.lit(0.0))
+    height = F.when(F.col("g") == steps, 0.0).otherwise(y0 + (y1 - y0) * ((F.col("g") / steps - x0) / (x1 - x0)))
     weight = F.when((F.col("g") == 0) | (F.col("g") == steps), 0.5).otherwise(1.0)
-    return heights.groupBy(*by).agg((F.sum(F.col("h") * weight) / steps).alias("ap"))
+    return near.groupBy(*own).agg((F.sum(height * weight) / steps).alias("ap"))
 
 
 def f1(precision: Column, recall: Column) -> Column:

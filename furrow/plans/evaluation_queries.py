@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -47,24 +47,37 @@ CURVES = """, sc AS (SELECT d.cls, th, d.conf, d.image * 100000 + d.det AS tie,
 CURVE = MATCH + CURVES
 
 
-def curves(spark: SparkSession, sf: str, matched: DataFrame | None = None) -> DataFrame:
-    """Precision-recall curves of all detections by class and threshold, with box matches unless others are given."""
-    d = detections(spark, sf).select("image", "cls", "conf", "det").withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])))
-    m = (matches(spark, sf) if matched is None else matched).select("image", "det", "threshold", F.lit(1).cast("long").alias("hit"))
-    scored = d.join(m, ["image", "det", "threshold"], "left").select("cls", "threshold", "conf", (F.col("image") * 100000 + F.col("det")).alias("tie"), F.coalesce("hit", F.lit(0)).alias("tp"))
-    return E.curve(scored, truth(spark, sf).groupBy("cls").agg(F.count(F.lit(1)).alias("n_true")), ["cls", "threshold"])
+def th() -> Column:
+    """A threshold by its place k."""
+    return F.array(*[F.lit(t) for t in THRESHOLDS])[F.col("k")].alias("threshold")
+
+
+def scored(spark: SparkSession, sf: str, matched: DataFrame | None = None) -> DataFrame:
+    """All detections with their hits at the thresholds, by box matches unless others are given."""
+    d = detections(spark, sf).select("image", "cls", "conf", "det")
+    m = E.hit_bits(matches(spark, sf) if matched is None else matched, THRESHOLDS)
+    return d.join(m, ["image", "det"], "left").select("cls", "conf", (F.col("image") * 100000 + F.col("det")).alias("tie"), F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def curves(spark: SparkSession, sf: str) -> DataFrame:
+    """Running hits of all detections by class."""
+    return E.curve(scored(spark, sf), n_true(spark, sf), ["cls"], len(THRESHOLDS))
+
+
+def n_true(spark: SparkSession, sf: str) -> DataFrame:
+    return truth(spark, sf).groupBy("cls").agg(F.count(F.lit(1)).alias("n_true"))
 
 
 @query("pr_curve", sql(CURVE + f" SELECT cls, th AS threshold, rank, tps::BIGINT AS tps, {R('precision')} AS precision, {R('recall')} AS recall, {R('envelope')} AS envelope FROM en", "truth"))
 def pr_curve(spark: SparkSession, sf: str) -> DataFrame:
     """Precision and recall by confidence, and the monotone envelope."""
-    c = E.envelope(curves(spark, sf), ["cls", "threshold"])
-    return c.select("cls", "threshold", "rank", "tps", *[r(F.col(n)).alias(n) for n in ("precision", "recall", "envelope")])
+    c = E.envelope(curves(spark, sf), ["cls"])
+    return c.select("cls", th(), "rank", "tps", *[r(F.col(n)).alias(n) for n in ("precision", "recall", "envelope")])
 
 
 AREA = """, nd AS (SELECT cls, th, recall AS x, rank AS k, envelope AS y FROM en UNION ALL SELECT DISTINCT cls, th, 0.0::DOUBLE, 0, 1.0::DOUBLE FROM en UNION ALL SELECT DISTINCT cls, th, 1.0::DOUBLE, 1::BIGINT << 60, 0.0::DOUBLE FROM en),
  sp AS (SELECT cls, th, x AS x0, y AS y0, k, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM nd WINDOW w AS (PARTITION BY cls, th ORDER BY x, k)), gr AS (SELECT unnest(range(0, 101)) AS g),
- ht AS (SELECT cls, th, g, y0 + (y1 - y0) * CASE WHEN x1 > x0 THEN (g / 100.0::DOUBLE - x0) / (x1 - x0) ELSE 1 END AS h FROM sp JOIN gr ON g >= CASE WHEN k = 0 THEN 0 ELSE floor(x0 * 100) + 1 END AND g <= floor(x1 * 100) WHERE x1 IS NOT NULL),
+ ht AS (SELECT cls, th, g, y0 + (y1 - y0) * (g / 100.0::DOUBLE - x0) / (x1 - x0) AS h FROM sp JOIN gr ON g >= ceil(x0 * 100) AND g < ceil(x1 * 100) WHERE x1 IS NOT NULL),
  ap AS (SELECT cls, th, sum(h * CASE WHEN g IN (0, 100) THEN 0.5 ELSE 1 END) / 100 AS ap FROM ht GROUP BY cls, th)"""
 AP = CURVE + AREA
 
@@ -72,23 +85,23 @@ AP = CURVE + AREA
 @query("average_precision", sql(AP + f" SELECT cls, th AS threshold, {R('ap')} AS ap FROM ap", "truth"))
 def average_precision(spark: SparkSession, sf: str) -> DataFrame:
     """Average precision of each class at each threshold."""
-    return E.average_precision(curves(spark, sf), ["cls", "threshold"]).select("cls", "threshold", r(F.col("ap")).alias("ap"))
+    return E.average_precision(curves(spark, sf), ["cls"]).select("cls", th(), r(F.col("ap")).alias("ap"))
 
 
 @query("map_summary", sql(AP + f" SELECT cls, {R('avg(ap)')} AS map, {R('avg(ap) FILTER (th = 0.5)')} AS map50, {R('0.1 * avg(ap) FILTER (th = 0.5) + 0.9 * avg(ap)')} AS fitness FROM ap GROUP BY ROLLUP (cls)", "truth"))
 def map_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Mean average precision over all thresholds, by class and over all, and fitness."""
-    ap = E.average_precision(curves(spark, sf), ["cls", "threshold"])
-    at50 = F.avg(F.when(F.col("threshold") == 0.5, F.col("ap")))
+    ap = E.average_precision(curves(spark, sf), ["cls"])
+    at50 = F.avg(F.when(F.col("k") == 0, F.col("ap")))
     return ap.rollup("cls").agg(r(F.avg("ap")).alias("map"), r(at50).alias("map50"), r(0.1 * at50 + 0.9 * F.avg("ap")).alias("fitness"))
 
 
 @query("best_f1", sql(CURVE + f""", f AS (SELECT cls, th, rank, 2 * precision * recall / (precision + recall + 1e-16) AS f1 FROM cv), b AS (SELECT *, row_number() OVER (PARTITION BY cls, th ORDER BY round(f1, 9) DESC, rank) AS n FROM f) SELECT cls, th AS threshold, rank, {R('f1')} AS f1 FROM b WHERE n = 1""", "truth"))
 def best_f1(spark: SparkSession, sf: str) -> DataFrame:
     """The confidence rank with the best F1 of each class at each threshold."""
-    c = curves(spark, sf).withColumn("f1", E.f1(F.col("precision"), F.col("recall")))
-    best = O.top_n(c, ["cls", "threshold"], [F.round("f1", 9).desc(), F.col("rank")], 1)
-    return best.select("cls", "threshold", "rank", r(F.col("f1")).alias("f1"))
+    f1 = E.f1(F.col("precision"), F.col("recall"))
+    best = E.points(curves(spark, sf), ["cls"]).groupBy("cls", "k").agg(F.max(F.struct(F.round(f1, 9).alias("r"), (-F.col("rank")).alias("rank"), f1.alias("f1"))).alias("b"))
+    return best.select("cls", th(), (-F.col("b.rank")).alias("rank"), r(F.col("b.f1")).alias("f1"))
 
 
 @query("top_k_accuracy", sql(f""", s AS (SELECT image, box_id, cls, unnest([0, 1, 2]) AS c, unnest([conf, 0.3, (x1 % 7) / 10]) AS p FROM boxes), k AS (SELECT *, row_number() OVER (PARTITION BY image, box_id ORDER BY p DESC, c) AS n FROM s)
@@ -109,12 +122,12 @@ def mask_pixels(spark: SparkSession, sf: str) -> DataFrame:
     return cells(boxes(spark, sf).withColumnRenamed("box_id", "mask"))
 
 
-def cells(b: DataFrame) -> DataFrame:
+def cells(b: DataFrame, *more: str) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / 8)
     span = lambda a, c: F.explode(F.sequence(cell(a), cell(c) - 1))
     full = b.filter((cell("x2") > cell("x1")) & (cell("y2") > cell("y1")))
     rows = full.withColumn("gx", span("x1", "x2")).withColumn("gy", span("y1", "y2"))
-    return rows.select("image", "mask", (F.col("gx") + 100 * F.col("gy")).alias("px"))
+    return rows.select("image", "mask", *more, (F.col("gx") + 100 * F.col("gy")).alias("px"))
 
 
 @query("mask_iou", sql(PX + f""", s AS (SELECT image, mask, count(*) AS n FROM p GROUP BY image, mask), o AS (SELECT a.image, a.mask AS a, b.mask AS b, count(*) AS i FROM p a JOIN p b ON a.image = b.image AND a.px = b.px AND a.mask < b.mask GROUP BY ALL)
@@ -243,13 +256,11 @@ MASK_PAIRS = """, dm AS (SELECT image, det, cls, unnest(range(floor(x1 / 8)::BIG
 
 def mask_matches(spark: SparkSession, sf: str) -> DataFrame:
     """One-to-one matches of detections and truth at each threshold by the cells that their masks share."""
-    of = lambda df, name: cells(df.select("image", F.col(name).alias("mask"), *O.CORNERS)).withColumnRenamed("mask", name)
-    det, gt = detections(spark, sf), truth(spark, sf).withColumnRenamed("gt_id", "lab")
-    d, t = of(det, "det"), of(gt, "lab")
-    i = t.join(d, ["image", "px"]).groupBy("image", "lab", "det").agg(F.count(F.lit(1)).alias("i"))
-    same = i.join(det.select("image", "det", "cls"), ["image", "det"]).join(gt.select("image", "lab", "cls"), ["image", "lab", "cls"])
+    det, gt = detections(spark, sf).withColumnRenamed("det", "mask"), truth(spark, sf).withColumnRenamed("gt_id", "mask")
+    d, t = cells(det, "cls").withColumnRenamed("mask", "det"), cells(gt, "cls").withColumnRenamed("mask", "lab")
+    i = t.join(d, ["image", "cls", "px"]).groupBy("image", "lab", "det").agg(F.count(F.lit(1)).alias("i"))
     counted = lambda df, name, n: df.groupBy("image", name).agg(F.count(F.lit(1)).alias(n))
-    j = same.join(counted(t, "lab", "nt"), ["image", "lab"]).join(counted(d, "det", "nd"), ["image", "det"])
+    j = i.join(counted(t, "lab", "nt"), ["image", "lab"]).join(counted(d, "det", "nd"), ["image", "det"])
     iou = F.round(F.col("i") / (F.col("nt") + F.col("nd") - F.col("i") + 1e-7), 9)
     return O.match_greedy(j.select("image", "lab", "det", iou.alias("iou")), THRESHOLDS)
 
@@ -257,8 +268,9 @@ def mask_matches(spark: SparkSession, sf: str) -> DataFrame:
 @query("box_and_mask_ap", "SELECT 'box' AS kind, * FROM (" + sql(AP + f" SELECT cls, th AS threshold, {R('ap')} AS ap FROM ap", "truth") + ") UNION ALL SELECT 'mask', * FROM (" + sql(DET + MASK_PAIRS + GREEDY + CURVES + AREA + f" SELECT cls, th AS threshold, {R('ap')} AS ap FROM ap", "truth") + ")")
 def box_and_mask_ap(spark: SparkSession, sf: str) -> DataFrame:
     """Average precision of each class at each threshold, by boxes and by masks."""
-    out = [E.average_precision(curves(spark, sf, m), ["cls", "threshold"]).select(F.lit(kind).alias("kind"), "cls", "threshold", r(F.col("ap")).alias("ap")) for kind, m in (("box", matches(spark, sf)), ("mask", mask_matches(spark, sf)))]
-    return out[0].unionByName(out[1])
+    kinds = [scored(spark, sf, m).withColumn("kind", F.lit(kind)) for kind, m in (("box", matches(spark, sf)), ("mask", mask_matches(spark, sf)))]
+    c = E.curve(kinds[0].unionByName(kinds[1]), n_true(spark, sf), ["kind", "cls"], len(THRESHOLDS))
+    return E.average_precision(c, ["kind", "cls"]).select("kind", "cls", th(), r(F.col("ap")).alias("ap"))
 
 
 ODD = """, p AS (SELECT image, mask, px FROM (SELECT image, mask, gx + 100 * unnest(range(floor(y1 / 8)::BIGINT, floor(y2 / 8)::BIGINT)) AS px FROM (SELECT image, {id} AS mask, unnest(range(floor(x1 / 8)::BIGINT, floor(x2 / 8)::BIGINT)) AS gx, y1, y2 FROM {source})) WHERE px % 2 > 0 OR px % 3 > 0)"""
