@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..session import cut
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -66,64 +67,37 @@ def match_greedy(pairs: DataFrame, thresholds: Sequence[float], image: str = "im
     return kept.withColumn("n", F.row_number().over(second)).filter("n = 1").drop("n")
 
 
-def nms(boxes: DataFrame, by: Sequence[str], threshold: float = 0.45, most: int | None = 300, score: str = "conf", tie: str = "box_id") -> DataFrame:
+#: Most boxes of a group that suppression looks at, and that it leaves.
+MAX_NMS, MAX_DET = 30_000, 300
+
+
+def nms(boxes: DataFrame, by: Sequence[str], threshold: float = 0.45, most: int | None = MAX_DET, score: str = "conf", tie: str = "box_id", max_nms: int | None = MAX_NMS) -> DataFrame:
     """Boxes that no kept box of higher score in the same group overlaps by more than threshold.
 
-    Greedy suppression by score, ties by tie. Rows are dealt by group and sorted by score; a task
-    walks its groups one after the other, and the overlaps of a kept box with all later ones of
-    its group are one vector step.
+    Greedy suppression by score, ties by tie, as rounds over the graph of boxes that overlap: a box
+    that no undecided one beats is kept, what it beats goes, and so do their edges, until none
+    is left. Pairs meet in grid cells and edges are dealt by box, so that a crowded group spreads
+    over tasks; there are as many rounds as the longest chain of boxes that beat each other.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    def kept(table: pa.Table) -> list[int]:
-        keys = [table[c].to_numpy() for c in by]
-        x1, y1, x2, y2 = (table[c].to_numpy() for c in CORNERS)
-        size = (x2 - x1) * (y2 - y1)
-        new = np.zeros(table.num_rows, bool)
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-        ends = [*np.flatnonzero(new).tolist(), table.num_rows]
-        out, start = [], 0
-        for end in ends:
-            left, n = np.arange(start, end), 0
-            while len(left) and (most is None or n < most):
-                i, left = left[0], left[1:]
-                out.append(int(i))
-                n += 1
-                both = np.maximum(np.minimum(x2[i], x2[left]) - np.maximum(x1[i], x1[left]), 0) * np.maximum(np.minimum(y2[i], y2[left]) - np.maximum(y1[i], y1[left]), 0)
-                left = left[both <= threshold * (size[i] + size[left] - both)]
-            start = end
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            same = np.ones(batch.num_rows, bool)  # rows of the last group may go on in the next batch
-            for c in by:
-                column = batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-                same &= column == column[-1]
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            held.append(batch.slice(0, cut))
-            whole = pa.Table.from_batches(held).combine_chunks()
-            last = batch.slice(cut)
-            if cut:
-                yield from whole.take(pa.array(kept(whole), pa.int64())).to_batches()
-                held = [last]
-            elif whole.num_rows and any(whole[c][-1].as_py() != last.column(last.schema.get_field_index(c))[0].as_py() for c in by):
-                yield from whole.take(pa.array(kept(whole), pa.int64())).to_batches()
-                held = [last]
-            else:
-                held = [*held[:-1], last]
-        if held:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            yield from whole.take(pa.array(kept(whole), pa.int64())).to_batches()
-
-    # by a hash, as an exchange on the columns themselves is left out above a union whose inputs have it, and their partitions do not meet
-    dealt = boxes.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, F.desc(score), tie)
-    return dealt.mapInArrow(run, boxes.schema)
+    order = [F.desc(score), F.col(tie)]
+    first = boxes if max_nms is None else top_n(boxes, by, order, max_nms)
+    nodes = cut(first.withColumn("node", F.monotonically_increasing_id()))
+    own = nodes.select(*by, "node", F.col(score).alias("score"), F.col(tie).alias("tie"), *CORNERS)
+    a, b = B.box("a_"), B.box("b_")
+    both = B.intersection(a, b)
+    beats = F.struct(-F.col("a_score"), F.col("a_tie"), F.col("a_node")) < F.struct(-F.col("b_score"), F.col("b_tie"), F.col("b_node"))
+    pairs = overlap_join(own, own, by).filter(beats & (both > threshold * (B.area(a) + B.area(b) - both)))
+    edges, gone = cut(pairs.select(F.col("a_node").alias("winner"), F.col("b_node").alias("loser"))), None
+    while not edges.isEmpty():
+        beaten = edges.select(F.col("loser").alias("winner"), F.lit(True).alias("beaten")).distinct()
+        told = edges.join(beaten, "winner", "left")
+        lost = cut(told.filter("beaten is null").select("loser").distinct())
+        gone = lost if gone is None else gone.unionByName(lost)
+        open_edges = told.filter("beaten").select("winner", "loser")
+        edges = cut(open_edges.join(lost, "loser", "left_anti").join(lost.select(F.col("loser").alias("winner")), "winner", "left_anti"))
+    kept = nodes if gone is None else nodes.join(gone.select(F.col("loser").alias("node")), "node", "left_anti")
+    kept = kept.select(*boxes.columns)
+    return kept if most is None else top_n(kept, by, order, most)
 
 
 def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
