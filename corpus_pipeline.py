@@ -24,9 +24,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, _sf_dir: str) ->
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark items go."""
+    """Documents contaminated by benchmark items go; whole windows of items are cut out of the others."""
     ship(spark)
-    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"), longest=decontamination.WINDOW - 1)
 
 
 def personal_stage(spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
