@@ -105,7 +105,7 @@ def polygon_scale(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Boxes by the grid columns that they meet, so that the join has two equal keys; a pair counts in the column of its overlap's left edge.
 PAIRS = """, cells AS MATERIALIZED (SELECT *, unnest(range(floor(x1 / 64)::BIGINT, floor(x2 / 64)::BIGINT + 1)) AS cell FROM boxes),
-  pairs AS (SELECT a.image, a.box_id AS a_id, b.box_id AS b_id, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2,
+  pairs AS MATERIALIZED (SELECT a.image, a.box_id AS a_id, b.box_id AS b_id, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2,
   greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i,
   (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ba
   FROM cells a JOIN cells b ON a.image = b.image AND a.cell = b.cell WHERE a.cell = floor(greatest(a.x1, b.x1) / 64) AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2)"""
@@ -116,14 +116,14 @@ def pairs_of(spark: SparkSession, sf: str) -> DataFrame:
     return O.overlap_join(own, own, ["image"]).filter("a_box_id < b_box_id")
 
 
-@query("box_overlap_join", sql(PAIRS + " SELECT image, a_id, b_id FROM pairs WHERE a_id < b_id", "boxes"))
+@query("box_overlap_join", sql(PAIRS + " SELECT image, a_id, b_id FROM pairs WHERE b_id - a_id > 0", "boxes"))
 def box_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of boxes of an image that share a point."""
     return pairs_of(spark, sf).select("image", F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id"))
 
 
 @query("box_iou_pairs", sql(PAIRS + f""" SELECT image, a_id, b_id, {R('i / (aa + ba - i + 1e-7)')} AS iou, {R('CASE WHEN aa + ba - i > 0 THEN i / (aa + ba - i) ELSE 0 END')} AS iou_guarded,
-  {R('i / (ba + 1e-7)')} AS ioa, {R('least(ax2-ax1, bx2-bx1) * least(ay2-ay1, by2-by1) / (aa + ba - least(ax2-ax1, bx2-bx1) * least(ay2-ay1, by2-by1) + 1e-7)')} AS size_iou FROM pairs WHERE a_id < b_id""", "boxes"))
+  {R('i / (ba + 1e-7)')} AS ioa, {R('least(ax2-ax1, bx2-bx1) * least(ay2-ay1, by2-by1) / (aa + ba - least(ax2-ax1, bx2-bx1) * least(ay2-ay1, by2-by1) + 1e-7)')} AS size_iou FROM pairs WHERE b_id - a_id > 0""", "boxes"))
 def box_iou_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """IoU of overlapping pairs in four forms."""
     a, b = B.box("a_"), B.box("b_")
@@ -132,7 +132,7 @@ def box_iou_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("box_iou_family", sql(PAIRS + f""", m AS (SELECT *, aa + ba - i + 1e-7 AS u, (greatest(ax2, bx2) - least(ax1, bx1)) AS cw, (greatest(ay2, by2) - least(ay1, by1)) AS ch,
-  ((bx1 + bx2 - ax1 - ax2)^2 + (by1 + by2 - ay1 - ay2)^2) / 4 AS rho, 4 / pi()^2 * (atan((bx2-bx1)/(by2-by1)) - atan((ax2-ax1)/(ay2-ay1)))^2 AS v FROM pairs WHERE a_id < b_id)
+  ((bx1 + bx2 - ax1 - ax2)^2 + (by1 + by2 - ay1 - ay2)^2) / 4 AS rho, 4 / pi()^2 * (atan((bx2-bx1)/(by2-by1)) - atan((ax2-ax1)/(ay2-ay1)))^2 AS v FROM pairs WHERE b_id - a_id > 0)
   SELECT image, a_id, b_id, {R('i/u')} AS iou, {R('i/u - (cw*ch + 1e-7 - u) / (cw*ch + 1e-7)')} AS giou, {R('i/u - rho / (cw^2 + ch^2 + 1e-7)')} AS diou,
   {R('i/u - (rho / (cw^2 + ch^2 + 1e-7) + v * v / (v - i/u + (1 + 1e-7)))')} AS ciou FROM m""", "boxes"))
 def box_iou_family(spark: SparkSession, sf: str) -> DataFrame:
