@@ -261,8 +261,11 @@ SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>, longest int"
 
 
-def _pass(blocks: list, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Streams the texts in a column row through the automata of blocks, adding to what has been found; keeps some of row's fields."""
+def _pass(blocks: list, keep: list[str], longest_run: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Streams the texts in a column row through the automata of blocks, adding to what has been found; keeps some of row's fields.
+
+    With longest_run, runs of hits of more words are cut out of the texts kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = [pickle.loads(b.value) for b in blocks]
@@ -279,12 +282,33 @@ def _pass(blocks: list, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]],
                     for r, (s, names, most) in hits.items():
                         spans[at + r], items[at + r], longest[at + r] = spans[at + r] + s, items[at + r] | names, max(longest[at + r], most)
             kept = pa.StructArray.from_arrays([row.field(f) for f in keep], fields=[row.type.field(f) for f in keep]) if keep != [f.name for f in row.type] else row
-            found = [pa.array([[{"start": a, "end": b} for a, b in merged(s)] for s in spans], SPAN), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            runs = [merged(s) for s in spans]
+            if longest_run is not None:
+                kept = _shortened(kept, [[x for x in s if x[1] - x[0] > longest_run] for s in runs])
+            found = [pa.array([[{"start": a, "end": b} for a, b in s] for s in runs], SPAN), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([kept, pa.array(counts, pa.int64()), *found, pa.array(longest, pa.int32())], names=["row", "n_words", "spans", "items", "longest"])
 
     return run
 
 
+def _shortened(rows: pa.StructArray, runs: list[list[tuple[int, int]]]) -> pa.StructArray:
+    """rows with the runs of words cut out of text, and n_chars, where it is a field, brought up to date."""
+    touched = [i for i, r in enumerate(runs) if r]
+    if not touched:
+        return rows
+    fields = {f.name: rows.field(i) for i, f in enumerate(rows.type)}
+    texts = fields["text"].to_pylist()
+    for i in touched:
+        texts[i] = cut_text(texts[i], runs[i])
+    fields["text"] = pa.array(texts, fields["text"].type)
+    if "n_chars" in fields:
+        n = fields["n_chars"].to_pylist()
+        for i in touched:
+            n[i] = len(texts[i])
+        fields["n_chars"] = pa.array(n, fields["n_chars"].type)
+    return pa.StructArray.from_arrays(list(fields.values()), fields=list(rows.type))
+
+
 def _marked(filters: dict[int, bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts words, and tells which texts hold a gram of any item, by the filters over their hashes, by length of gram."""
 
@@ -307,7 +331,7 @@ def _marked(filters: dict[int, bytes]) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def scanned(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def scanned(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, block_words: int = BLOCK_WORDS, longest_run: int | None = None) -> DataFrame:
     """(row, n_words, spans, items, longest): docs as a column row with the fields to keep, through every automaton."""
     context = docs.sparkSession.sparkContext
     blocks = automata(items, window, block_words)
@@ -318,7 +342,7 @@ def scanned(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WI
     n = blocks.count()
     if n <= 1:  # all texts through the only automaton
         only = [context.broadcast(bytes(b["automaton"])) for b in blocks.select("automaton").collect()] or [context.broadcast(pickle.dumps(Automaton([], window)))]
-        return now.mapInArrow(_pass(only, keep), StructType([row, *found]))
+        return now.mapInArrow(_pass(only, keep, longest_run), StructType([row, *found]))
     filters: dict[int, np.ndarray] = {}
     for b in blocks.select("k", "filter").toLocalIterator():
         filters[b["k"]] = filters.get(b["k"], 0) | np.frombuffer(b["filter"], np.uint8)
@@ -333,7 +357,7 @@ def scanned(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WI
         some.append(context.broadcast(bytes(b["automaton"])))
         if len(some) == AT_ONCE and i < n:
             left, some = cut(left.mapInArrow(_pass(some, docs.columns), StructType([whole, *found]))), []
-    return rest.unionByName(left.mapInArrow(_pass(some, keep), StructType([row, *found])))
+    return rest.unionByName(left.mapInArrow(_pass(some, keep, longest_run), StructType([row, *found])))
 
 
 def hit_words(spans: Column) -> Column:
@@ -364,28 +388,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, cov
     date. Null and empty texts are clean and stay, repeated rows stay or go alike, empty tables
     give an empty result or all rows.
     """
-    out = scanned(docs, items, docs.columns, window, block_words).filter(~is_contaminated(hit_words(F.col("spans")), F.col("n_words"), coverage))
-    if longest is None:
-        return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
-    long = F.filter("spans", lambda s: s["end"] - s["start"] > longest)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, spans = batch.column(0), batch.column(1)
-            texts = rows.field("text").to_pylist()
-            touched = np.flatnonzero(spans.value_lengths().to_numpy(zero_copy_only=False))
-            for i in touched.tolist():
-                texts[i] = cut_text(texts[i], [(s["start"], s["end"]) for s in spans[i].as_py()])
-            columns = {f.name: rows.field(f.name) for f in rows.type}
-            columns["text"] = pa.array(texts, columns["text"].type)
-            if "n_chars" in columns and len(touched):
-                n = columns["n_chars"].to_pylist()
-                for i in touched.tolist():
-                    n[i] = len(texts[i])
-                columns["n_chars"] = pa.array(n, columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return out.select("row", long.alias("spans")).mapInArrow(run, docs.schema)
+    out = scanned(docs, items, docs.columns, window, block_words, longest).filter(~is_contaminated(hit_words(F.col("spans")), F.col("n_words"), coverage))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
