@@ -1,11 +1,9 @@
-"""Point clouds: neighbours, outliers, clusters, shape traits."""
+"""Point clouds: neighbours, outliers, clusters."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +15,6 @@ XYZ = ("x", "y", "z")
 SMALL = 256
 
 
-def _cloud(group: pa.Table) -> np.ndarray:
-    return np.stack([group[c].to_numpy() for c in XYZ], 1)
-
-
 def _celled(points: DataFrame, side: Column) -> DataFrame:
     return points.withColumns({"c" + c: F.floor((F.col(c) - F.col(c + "0")) / side).cast("long") for c in XYZ})
 
@@ -128,95 +122,3 @@ def main_cluster(clusters: DataFrame, by: str) -> DataFrame:
     counted = clusters.groupBy(by, "cluster").count()
     first = counted.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("count"), "cluster"))).filter("n = 1").select(by, "cluster")
     return clusters.join(first, [by, "cluster"])
-
-
-def principal(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(axes as rows by falling variance, centre); each axis points to its largest component."""
-    centre = p.mean(0)
-    c = np.cov((p - centre).T) if len(p) > 1 else np.zeros((3, 3))
-    values, vectors = np.linalg.eigh(c)
-    axes = vectors[:, np.argsort(values)[::-1]].T
-    sign = np.sign(axes[np.arange(3), np.abs(axes).argmax(1)])
-    return axes * np.where(sign == 0, 1, sign)[:, None], centre
-
-
-def hull_volume(p: np.ndarray) -> float:
-    """Volume of the convex hull, 0 of flat clouds; an incremental hull of outward triangles."""
-    p = np.unique(p, axis=0)
-    if len(p) < 4:
-        return 0.0
-    a = 0
-    b = int(((p - p[a]) ** 2).sum(1).argmax())
-    line = np.cross(p - p[a], p[b] - p[a])
-    c = int((line**2).sum(1).argmax())
-    normal = np.cross(p[b] - p[a], p[c] - p[a])
-    side = (p - p[a]) @ normal
-    d = int(np.abs(side).argmax())
-    size = np.abs(p - p.mean(0)).max()
-    if abs(side[d]) <= 1e-12 * max(size, 1e-300) ** 3:
-        return 0.0
-    inside = p[[a, b, c, d]].mean(0)
-
-    def outward(t: tuple[int, int, int]) -> tuple[int, int, int]:
-        n = np.cross(p[t[1]] - p[t[0]], p[t[2]] - p[t[0]])
-        return t if n @ (p[t[0]] - inside) > 0 else (t[0], t[2], t[1])
-
-    faces = {outward(t) for t in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))}
-    for i in range(len(p)):
-        if i in (a, b, c, d):
-            continue
-        seen = [t for t in faces if np.cross(p[t[1]] - p[t[0]], p[t[2]] - p[t[0]]) @ (p[i] - p[t[0]]) > 1e-12 * size**3]
-        if not seen:
-            continue
-        edges = {(t[k], t[(k + 1) % 3]) for t in seen for k in range(3)}
-        faces -= set(seen)
-        faces |= {(u, v, i) for u, v in edges if (v, u) not in edges}
-    return float(abs(sum(np.dot(p[t[0]] - inside, np.cross(p[t[1]] - inside, p[t[2]] - inside)) for t in faces)) / 6)
-
-
-def axis_length(flat: np.ndarray, samples: int = 1000) -> tuple[float, float]:
-    """(length, length over chord) of the cubic fitted to y(x), between the 0.5 and 99.5 percentiles of x.
-
-    It is the smoothing spline whenever the cubic's own residual is within the smoothing value.
-    """
-    x, y = flat[:, 0], flat[:, 1]
-    low, high = np.percentile(x, [0.5, 99.5])
-    fit = np.polynomial.Polynomial.fit(x, y, min(3, len(np.unique(x)) - 1))
-    at = np.linspace(low, high, samples)
-    step = np.hypot(np.diff(at), np.diff(fit(at)))
-    chord = float(np.hypot(at[-1] - at[0], fit(at[-1]) - fit(at[0])))
-    return float(step.sum()), float(step.sum() / chord) if chord else float("nan")
-
-
-TRAITS = "x double, y double, z double, n long, length double, width double, volume double, inclination double, curvature double"
-
-
-def traits(points: DataFrame, by: str, percentile: float = 95.0) -> DataFrame:
-    """One row a group: centroid, count, spline length, PCA width, hull volume, inclination, curvature."""
-
-    def run(group: pa.Table) -> pa.Table:
-        p = _cloud(group)
-        axes, centre = principal(p)
-        flat = (p - centre) @ axes.T
-        length, curvature = axis_length(flat) if len(p) > 1 else (0.0, float("nan"))
-        width = 2 * float(np.percentile(np.abs(flat[:, 2]), percentile))
-        tilt = float(np.degrees(np.arccos(np.clip(axes[0] @ [0, 0, 1], -1, 1))))
-        row = [*map(float, centre), len(p), length, width, hull_volume(p), tilt, curvature]
-        names = [x.split()[0] for x in TRAITS.split(", ")]
-        return pa.table({by: group[by][:1], **{n: pa.array([v], pa.int64() if n == "n" else pa.float64()) for n, v in zip(names, row, strict=True)}})
-
-    return points.groupBy(by).applyInArrow(run, f"{by} {dict(points.dtypes)[by]}, {TRAITS}")
-
-
-def oriented_boxes(points: DataFrame, by: str) -> DataFrame:
-    """Box of each group along its principal axes: centre, extent, axes (rows)."""
-
-    def run(group: pa.Table) -> pa.Table:
-        p = _cloud(group)
-        axes, centre = principal(p)
-        flat = (p - centre) @ axes.T
-        low, high = flat.min(0), flat.max(0)
-        mid = centre + ((low + high) / 2) @ axes
-        return pa.table({by: group[by][:1], "center": pa.array([mid.tolist()]), "extent": pa.array([(high - low).tolist()]), "axes": pa.array([axes.ravel().tolist()])})
-
-    return points.groupBy(by).applyInArrow(run, f"{by} {dict(points.dtypes)[by]}, center array<double>, extent array<double>, axes array<double>")

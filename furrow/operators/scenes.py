@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import hierarchy as H
 from . import points as P
+from . import traits as T
 
 
 def composed_labels(pixels: DataFrame) -> DataFrame:
@@ -126,5 +127,5 @@ def morphology(points: DataFrame, settings: Morphology = Morphology()) -> DataFr
     else:
         clusters = H.clustered(cleaned, "file_id", settings.min_cluster_size, settings.min_samples, True, settings.selection_epsilon)
     main = P.main_cluster(clusters, "file_id")
-    found = P.traits(main.select("file_id", "pid", *"xyz"), "file_id", settings.distance_percentile)
+    found = T.traits(main.select("file_id", "pid", *"xyz"), "file_id", settings.distance_percentile)
     return found.join(shift, "file_id").select("file_id", *[(F.col(c) + F.col("s" + c)).alias(c) for c in "xyz"], "n", "length", "width", "volume", "inclination", "curvature")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import association as V
-from ..operators import hierarchy as H
+from ..operators import hierarchy
 from ..operators import points as P
+from ..operators import shapes as H
+from ..operators import traits as T
 from ..session import cut
 from .fixtures import R, points, r, sql
 from .registry import query
@@ -63,7 +65,7 @@ def main_cluster(spark: SparkSession, sf: str) -> DataFrame:
 @query("hierarchical_clusters")
 def hierarchical_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """The most stable clusters of each cloud over all densities, noise -1."""
-    return H.clustered(cloud(spark, sf), "file_id", 5, 3, False).select("file_id", "pid", "cluster")
+    return hierarchy.clustered(cloud(spark, sf), "file_id", 5, 3, False).select("file_id", "pid", "cluster")
 
 
 @query("robust_location", sql(f""", m AS (SELECT file_id, median(x) AS mid FROM points GROUP BY file_id) SELECT p.file_id, {R('any_value(mid)')} AS mid, {R('median(abs(x - mid)) * 1.4826')} AS mad, {R('quantile_cont(x, 0.005)')} AS low, {R('quantile_cont(x, 0.995)')} AS high,
@@ -83,13 +85,38 @@ def robust_location(spark: SparkSession, sf: str) -> DataFrame:
 @query("shape_traits")
 def shape_traits(spark: SparkSession, sf: str) -> DataFrame:
     """Traits of each cloud: length, width, volume, inclination, curvature."""
-    return P.traits(cloud(spark, sf), "file_id")
+    return T.traits(cloud(spark, sf), "file_id")
 
 
-@query("oriented_boxes")
+#: Axes of each cloud in closed form: eigenvalues by the angle of the scaled determinant, axes as the longest product of two rows of what is left.
+AXES = """, m AS (SELECT file_id, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, var_samp(x) AS a, var_samp(y) AS b, var_samp(z) AS c, covar_samp(x, y) AS d, covar_samp(x, z) AS e, covar_samp(y, z) AS f FROM points GROUP BY file_id),
+ q AS (SELECT *, (a+b+c)/3 AS q, sqrt(((a-(a+b+c)/3)^2 + (b-(a+b+c)/3)^2 + (c-(a+b+c)/3)^2 + 2*(d*d+e*e+f*f))/6) AS p FROM m),
+ g AS (SELECT *, acos(greatest(-1, least(1, ((a-q)*((b-q)*(c-q)-f*f) - d*(d*(c-q)-f*e) + e*(d*f-(b-q)*e)) / (p*p*p) / 2)))/3 AS phi FROM q),
+ v AS (SELECT file_id, n, cx, cy, cz, a, b, c, d, e, f, k, q + 2*p*cos(phi + CASE k WHEN 1 THEN 0 WHEN 2 THEN -2*pi()/3 ELSE 2*pi()/3 END) AS l FROM g CROSS JOIN (VALUES (1), (2), (3)) t(k)),
+ w AS (SELECT file_id, n, cx, cy, cz, k, l, unnest([[d*f-e*(b-l), e*d-(a-l)*f, (a-l)*(b-l)-d*d], [d*(c-l)-e*f, e*e-(a-l)*(c-l), (a-l)*f-d*e], [(b-l)*(c-l)-f*f, f*e-d*(c-l), d*f-(b-l)*e]]) AS r FROM v),
+ o AS (SELECT file_id, n, cx, cy, cz, k, any_value(l) AS l, arg_max(r, r[1]^2 + r[2]^2 + r[3]^2) AS r FROM w GROUP BY file_id, n, cx, cy, cz, k),
+ s AS (SELECT *, sqrt(r[1]^2 + r[2]^2 + r[3]^2) * CASE WHEN greatest(r[1], r[2], r[3]) >= -least(r[1], r[2], r[3]) THEN 1 ELSE -1 END AS len FROM o),
+ ax AS (SELECT file_id, n, cx, cy, cz, k, l, r[1]/len AS ax, r[2]/len AS ay, r[3]/len AS az FROM s),
+ u AS (SELECT p.file_id, p.pid, ax.k, (p.x-cx)*ax + (p.y-cy)*ay + (p.z-cz)*az AS u FROM points p JOIN ax USING (file_id))"""
+
+
+@query("oriented_boxes", sql(AXES + f""", h AS (SELECT file_id, k, min(u) AS low, max(u) AS high FROM u GROUP BY file_id, k), j AS (SELECT ax.*, low, high FROM ax JOIN h USING (file_id, k))
+ SELECT file_id, {R('max(cx) + sum((low+high)/2*ax)')} AS c1, {R('max(cy) + sum((low+high)/2*ay)')} AS c2, {R('max(cz) + sum((low+high)/2*az)')} AS c3, {", ".join(f"{R(f'max(high-low) FILTER (k = {k})')} AS e{k}" for k in (1, 2, 3))},
+ {", ".join(f"{R(f'max(a{c}) FILTER (k = {k})')} AS a{3 * k - 2 + i}" for k in (1, 2, 3) for i, c in enumerate("xyz"))} FROM j GROUP BY file_id""", "points"))
 def oriented_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    """Boxes along the principal axes of each cloud."""
-    return P.oriented_boxes(cloud(spark, sf), "file_id")
+    """Boxes along the principal axes of each cloud: centre, extent, axes row by row."""
+    found = H.oriented_boxes(cloud(spark, sf), "file_id")
+    return found.select("file_id", *[r(F.col(c)[i]).alias(f"{n}{i + 1}") for c, n, k in (("center", "c", 3), ("extent", "e", 3), ("axes", "a", 9)) for i in range(k)])
+
+
+@query("principal_traits", sql(AXES + f""", h AS (SELECT file_id, 2 * quantile_cont(abs(u), 0.95) AS width FROM u WHERE k = 3 GROUP BY file_id) SELECT ax.file_id, max(n) AS n, {", ".join(f"{R(f'max(l) FILTER (k = {k})')} AS v{k}" for k in (1, 2, 3))},
+ {R('any_value(width)')} AS width, {R('degrees(acos(greatest(-1, least(1, max(az) FILTER (k = 1)))))')} AS inclination FROM ax JOIN h USING (file_id) GROUP BY ax.file_id""", "points"))
+def principal_traits(spark: SparkSession, sf: str) -> DataFrame:
+    """Variances along the axes of each cloud, its width across them and its inclination."""
+    p = cloud(spark, sf)
+    found = cut(H.frames(p, "file_id"))
+    width = H.widths(H.local(p, found, "file_id"), "file_id")
+    return found.join(width, "file_id").select("file_id", "n", *[r(F.col("values")[i]).alias(f"v{i + 1}") for i in range(3)], r(F.col("width")).alias("width"), r(H.inclination(F.col("axes"))).alias("inclination"))
 
 
 @query("scene_extent", sql(f""", c AS (SELECT file_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM points GROUP BY file_id) SELECT file_id, {R('max(sqrt((x-cx)^2 + (y-cy)^2 + (z-cz)^2)) * 1.1')} AS radius FROM points JOIN c USING (file_id) GROUP BY file_id""", "points"))

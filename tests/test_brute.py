@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 from furrow.operators import scenes as S
+from furrow.operators import shapes as H
 from furrow.plans import catalogue
 from furrow.plans.fixtures import boxes, points
 
@@ -61,7 +62,7 @@ def test_shape_traits(spark, sf_dir, clouds):
 
 
 def test_oriented_boxes(spark, sf_dir, clouds):
-    for r in catalogue.QUERIES["oriented_boxes"](spark, sf_dir).collect():
+    for r in H.oriented_boxes(points(spark, sf_dir), "file_id").collect():
         _, p = clouds[r["file_id"]]
         axes = np.array(r["axes"]).reshape(3, 3)
         assert np.allclose(axes @ axes.T, np.eye(3))
