@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,19 +38,51 @@ def best_partner(pairs: DataFrame, by: Sequence[str], score: Column, tie: Sequen
     return pairs.withColumn("rank_in_group", F.row_number().over(order)).filter("rank_in_group = 1").drop("rank_in_group")
 
 
-def best_or_nearest(queries: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """For each query box, the box with the largest overlap area in its keys, or the nearest if none overlaps.
+def _box(shape: Column) -> tuple[Column, ...]:
+    return tuple(shape[c] for c in CORNERS)
 
-    Adds b_box_id, overlap and distance (between the boxes, 0 where they meet).
+
+def box_overlap(a: Column, b: Column) -> Column:
+    return B.intersection(_box(a), _box(b))
+
+
+def box_distance(a: Column, b: Column) -> Column:
+    p, q = _box(a), _box(b)
+    dx, dy = (F.greatest(F.lit(0.0), q[i] - p[i + 2], p[i] - q[i + 2]) for i in (0, 1))
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def best_or_nearest(queries: DataFrame, others: DataFrame, keys: Sequence[str], overlap: Callable[[Column, Column], Column] = box_overlap, distance: Callable[[Column, Column], Column] = box_distance, reach: float = 16.0) -> DataFrame:
+    """For each query the shape of equal keys with which it shares most area, or the nearest if it shares none: keys, a_id, b_id, overlap, distance.
+
+    Both have keys, id, bounds x1 to y2 and shape, which overlap and distance take; ties go to the
+    least id. Shapes that share area meet by their bounds. The rest look for neighbours in bounds
+    that are widened by reach, then by twice that, and so on: what is found nearer than they are
+    widened is the nearest there is. A query without any other shape in its keys gives no row.
     """
-    q = queries.select(*keys, *[F.col(c).alias("a_" + c) for c in queries.columns if c not in keys])
-    b = boxes.select(*keys, *[F.col(c).alias("b_" + c) for c in boxes.columns if c not in keys])
-    p, r = B.box("a_"), B.box("b_")
-    dx = F.greatest(F.lit(0.0), r[0] - p[2], p[0] - r[2])
-    dy = F.greatest(F.lit(0.0), r[1] - p[3], p[1] - r[3])
-    pairs = q.join(b, list(keys)).withColumn("overlap", B.intersection(p, r)).withColumn("distance", F.sqrt(dx * dx + dy * dy))
-    order = Window.partitionBy(*keys, "a_gt_id").orderBy(F.col("overlap").desc(), "distance", "b_box_id")
-    return pairs.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+    q = cut(queries.select(*keys, "id", "shape", *CORNERS))
+    o = cut(others.select(*keys, "id", "shape", *CORNERS))
+    own = [*keys, F.col("a_id"), F.col("b_id")]
+    shared = overlap_join(q, o, keys).select(*own, overlap(F.col("a_shape"), F.col("b_shape")).alias("overlap")).filter("overlap > 0")
+    first = F.max(F.struct(F.round("overlap", 9).alias("k"), (-F.col("b_id")).alias("b"), "overlap")).alias("m")
+    best = cut(shared.groupBy(*keys, "a_id").agg(first).select(*keys, "a_id", (-F.col("m.b")).alias("b_id"), "m.overlap", F.lit(0.0).alias("distance")))
+    ends = [f(c).alias(c + "_end") for c, f in zip(CORNERS, (F.min, F.min, F.max, F.max), strict=True)]
+    wide = q.unionByName(o).groupBy(*keys).agg(*ends).select(*keys, F.greatest(F.col("x2_end") - F.col("x1_end"), F.col("y2_end") - F.col("y1_end")).alias("wide"))
+    here = o.select(*keys).distinct()
+    left = cut(q.join(best.select(*keys, F.col("a_id").alias("id")), [*keys, "id"], "left_anti").join(here, list(keys), "left_semi").join(wide, list(keys)))
+    parts = [best]
+    while not left.isEmpty():
+        grown = left.select(*keys, "id", "shape", "wide", *[(F.col(c) + d * reach).alias(c) for c, d in zip(CORNERS, (-1, -1, 1, 1), strict=True)])
+        near = overlap_join(grown, o, keys, max(64.0, 2 * reach)).select(*own, "a_wide", distance(F.col("a_shape"), F.col("b_shape")).alias("distance"))
+        nearest = near.groupBy(*keys, "a_id", "a_wide").agg(F.min(F.struct(F.round("distance", 9).alias("k"), "b_id", "distance")).alias("m"))
+        found = cut(nearest.filter((F.col("m.distance") <= reach) | (F.col("a_wide") <= reach)).select(*keys, "a_id", "m.b_id", F.lit(0.0).alias("overlap"), "m.distance"))
+        parts.append(found)
+        left = cut(left.join(found.select(*keys, F.col("a_id").alias("id")), [*keys, "id"], "left_anti"))
+        reach *= 2
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def match_greedy(pairs: DataFrame, thresholds: Sequence[float], image: str = "image", detection: str = "det", label: str = "lab", score: str = "iou", by_score: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..functions import polygons as G
 from ..operators import overlap as O
 from .fixtures import R, boxes, r, sql, truth
 from .registry import query
@@ -157,8 +158,50 @@ def box_best_partner(spark: SparkSession, sf: str) -> DataFrame:
   SELECT image, gt_id, box_id, {R('overlap')} AS overlap, {R('distance')} AS distance FROM n WHERE n = 1""", "truth"))
 def best_match_or_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """For each true box the box with the largest overlap, else the nearest."""
-    got = O.best_or_nearest(truth(spark, sf), boxes(spark, sf).filter("flag <> 'R'").drop("flag"), ["image"])
-    return got.select("image", F.col("a_gt_id").alias("gt_id"), F.col("b_box_id").alias("box_id"), r(F.col("overlap")).alias("overlap"), r(F.col("distance")).alias("distance"))
+    shape = F.struct(*O.CORNERS).alias("shape")
+    q = truth(spark, sf).select("image", F.col("gt_id").alias("id"), shape, *O.CORNERS)
+    o = boxes(spark, sf).filter("flag <> 'R'").select("image", F.col("box_id").alias("id"), shape, *O.CORNERS)
+    got = O.best_or_nearest(q, o, ["image"])
+    return got.select("image", F.col("a_id").alias("gt_id"), F.col("b_id").alias("box_id"), r(F.col("overlap")).alias("overlap"), r(F.col("distance")).alias("distance"))
+
+
+#: Turns of quads, by box: cosine and sine.
+TURNS = ((1.0, 0.0), (0.96, 0.28), (0.8, 0.6), (0.6, 0.8), (0.28, 0.96))
+
+
+def quads(df: DataFrame, name: str) -> DataFrame:
+    """image, id, shape and bounds of boxes turned about their centres by their ids."""
+    turn = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c, s in TURNS])[(F.col(name) % len(TURNS)).cast("int")]
+    shaped = df.select("image", F.col(name).alias("id"), G.quad(*B.box(), turn["c"], turn["s"]).alias("shape"))
+    return shaped.select("*", *[c.alias(n) for c, n in zip(G.bounds(F.col("shape")), O.CORNERS, strict=True)])
+
+
+def quad_sql(name: str, source: str, key: str) -> str:
+    turn = lambda i: "CASE " + f"{key} % {len(TURNS)} " + " ".join(f"WHEN {k} THEN {t[i]}::DOUBLE" for k, t in enumerate(TURNS)) + " END"
+    corner = lambda i, j: f"{{'x': cx + c*({i}*w) - s*({j}*h), 'y': cy + s*({i}*w) + c*({j}*h)}}"
+    return f""", {name} AS MATERIALIZED (SELECT image, id, [{corner(-1, -1)}, {corner(1, -1)}, {corner(1, 1)}, {corner(-1, 1)}] AS p FROM (SELECT image, {key} AS id, (x1+x2)/2 AS cx, (y1+y2)/2 AS cy, (x2-x1)/2 AS w, (y2-y1)/2 AS h, {turn(0)} AS c, {turn(1)} AS s FROM {source}))"""
+
+
+#: Clips each first quad by the four sides of the second, one after the other, keeping corners inside and cutting sides that cross.
+CLIPS = "".join(
+    f""", c{k + 1} AS MATERIALIZED (SELECT image, a_id, b_id, p, q, flatten(list_transform(range(1, len(o) + 1), lambda i: CASE WHEN d[i] >= 0 AND d[i % len(o) + 1] >= 0 THEN [o[i]] WHEN d[i] < 0 AND d[i % len(o) + 1] < 0 THEN []
+   ELSE CASE WHEN d[i] >= 0 THEN [o[i]] ELSE [] END || [{{'x': o[i].x + d[i] / (d[i] - d[i % len(o) + 1]) * (o[i % len(o) + 1].x - o[i].x), 'y': o[i].y + d[i] / (d[i] - d[i % len(o) + 1]) * (o[i % len(o) + 1].y - o[i].y)}}] END)) AS o
+   FROM (SELECT *, list_transform(o, lambda v: (q[{(k + 1) % 4 + 1}].x - q[{k + 1}].x) * (v.y - q[{k + 1}].y) - (q[{(k + 1) % 4 + 1}].y - q[{k + 1}].y) * (v.x - q[{k + 1}].x)) AS d FROM c{k}))"""
+    for k in range(4)
+)
+SIDE = "list_min(list_transform({v}, lambda c: list_min(list_transform(range(1, 5), lambda i: (({e}[i].x + greatest(0, least(1, ((c.x-{e}[i].x)*({e}[i % 4 + 1].x-{e}[i].x) + (c.y-{e}[i].y)*({e}[i % 4 + 1].y-{e}[i].y)) / (({e}[i % 4 + 1].x-{e}[i].x)^2 + ({e}[i % 4 + 1].y-{e}[i].y)^2))) * ({e}[i % 4 + 1].x-{e}[i].x) - c.x)^2 + ({e}[i].y + greatest(0, least(1, ((c.x-{e}[i].x)*({e}[i % 4 + 1].x-{e}[i].x) + (c.y-{e}[i].y)*({e}[i % 4 + 1].y-{e}[i].y)) / (({e}[i % 4 + 1].x-{e}[i].x)^2 + ({e}[i % 4 + 1].y-{e}[i].y)^2))) * ({e}[i % 4 + 1].y-{e}[i].y) - c.y)^2)))))"
+
+
+@query("quad_best_match", sql(quad_sql("qa", "truth", "gt_id") + quad_sql("qb", "(SELECT * FROM boxes WHERE flag <> 'R')", "box_id") + """, c0 AS MATERIALIZED (SELECT qa.image, qa.id AS a_id, qb.id AS b_id, qa.p, qb.p AS q, qa.p AS o FROM qa JOIN qb ON qa.image = qb.image AND (qa.p[1].x + qa.p[3].x - qb.p[1].x - qb.p[3].x)^2 + (qa.p[1].y + qa.p[3].y - qb.p[1].y - qb.p[3].y)^2 < 16384)""" + CLIPS + f""",
+ ar AS (SELECT image, a_id, b_id, abs(list_sum(list_transform(range(1, len(o) + 1), lambda i: o[i].x * o[i % len(o) + 1].y - o[i % len(o) + 1].x * o[i].y))) / 2 AS overlap FROM c4 WHERE len(o) > 0),
+ b1 AS (SELECT *, row_number() OVER (PARTITION BY image, a_id ORDER BY round(overlap, 9) DESC, b_id) AS n FROM ar WHERE overlap > 0), rest AS (SELECT qa.* FROM qa ANTI JOIN b1 ON qa.image = b1.image AND qa.id = b1.a_id),
+ di AS (SELECT r.image, r.id AS a_id, qb.id AS b_id, sqrt(least({SIDE.format(v='r.p', e='qb.p')}, {SIDE.format(v='qb.p', e='r.p')})) AS distance FROM rest r JOIN qb ON r.image = qb.image),
+ b2 AS (SELECT *, row_number() OVER (PARTITION BY image, a_id ORDER BY round(distance, 9), b_id) AS n FROM di)
+ SELECT image, a_id AS gt_id, b_id AS box_id, {R('overlap')} AS overlap, 0.0::DOUBLE AS distance FROM b1 WHERE n = 1 UNION ALL SELECT image, a_id, b_id, 0.0::DOUBLE, {R('distance')} FROM b2 WHERE n = 1""", "truth"))
+def quad_best_match(spark: SparkSession, sf: str) -> DataFrame:
+    """For each true quad the quad with the largest overlap, else the nearest."""
+    got = O.best_or_nearest(quads(truth(spark, sf), "gt_id"), quads(boxes(spark, sf).filter("flag <> 'R'"), "box_id"), ["image"], G.overlap, G.distance)
+    return got.select("image", F.col("a_id").alias("gt_id"), F.col("b_id").alias("box_id"), r(F.col("overlap")).alias("overlap"), r(F.col("distance")).alias("distance"))
 
 
 def nms_sql(by: str, most: int = 300, views: tuple[str, ...] = ("boxes",), head: str = "", source: str = "boxes") -> str:
