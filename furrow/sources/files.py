@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from itertools import islice
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -123,26 +121,6 @@ def normalised_scalar(points: DataFrame, name: str) -> DataFrame:
     return points.withColumn(name, value / F.max(value).over(Window.partitionBy("file")))
 
 
-#: Rows that are held as objects at once when a file is written.
-PLY_ROWS = 100_000
-
-
-def write_ply(df: DataFrame, path: str, columns: dict[str, str]) -> None:
-    """One PLY file of the rows in order of the first column given; columns maps names to number types.
-
-    Spark sorts; the rows of one cloud come to the driver a partition at a time, as a single
-    file must be written in one place. Write Parquet for more.
-    """
-    rows = df.select(*[F.col(c) for c in columns]).orderBy(next(iter(columns)))
-    parts: dict[str, list[np.ndarray]] = {c: [np.zeros(0, PLY_TYPES[t])] for c, t in columns.items()}
-    own = rows.toLocalIterator(prefetchPartitions=True)
-    while some := list(islice(own, PLY_ROWS)):
-        for i, (c, t) in enumerate(columns.items()):
-            parts[c].append(np.array([r[i] for r in some], PLY_TYPES[t]))
-    Path(path).write_bytes(format_ply({c: np.concatenate(p) for c, p in parts.items()}))
-
-
-
 def read_point_text(spark: SparkSession, path: str) -> DataFrame:
     """Clouds as text with a header and single blanks: the first three columns."""
     df = spark.read.csv(path, sep=" ", header=True)

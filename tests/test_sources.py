@@ -13,7 +13,7 @@ from furrow.functions import boxes as B
 from furrow.functions import geometry as G
 from furrow.operators import evaluation as E
 from furrow.operators import results
-from furrow.sources import files, sinks
+from furrow.sources import files, ply, sinks
 
 
 def test_gaussians_and_points(spark, tmp_path):
@@ -27,7 +27,7 @@ def test_gaussians_and_points(spark, tmp_path):
     points = files.read_points(spark, str(tmp_path / "p.ply"))
     got = files.normalised_scalar(points, "intensity").orderBy("pid").collect()
     assert [r["intensity"] for r in got] == [0.5, 1.0] and got[1]["r"] == 2 and got[0]["nx"] is None
-    files.write_ply(points, str(tmp_path / "q.ply"), {"pid": "int", "x": "float", "z": "double"})
+    ply.write_points(points, str(tmp_path / "q.ply"), {"pid": "int", "x": "float", "z": "double"})
     assert files.parse_ply((tmp_path / "q.ply").read_bytes())["z"].tolist() == [1.0, 2.0]
     ascii_ply = b"ply\nformat ascii 1.0\nelement vertex 1\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n"
     assert files.parse_ply(ascii_ply)["y"].tolist() == [2.0]
