@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered
+from .common import cut, narrowed, numbered
 
 #: Units in a block of the flight phase.
 BLOCK = 1024
@@ -233,9 +233,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     once = mixed.groupBy("src", "doc_id", "h").agg(F.max("copy").alias("m"), F.max("k").alias("k"))
     rows = docs.select(F.struct("*").alias("row")).withColumn("own_h", F.xxhash64(F.coalesce("row.text", F.lit(""))))
     key = F.col("row.source").eqNullSafe(F.col("src")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.col("own_h") == F.col("h"))
-    joined = rows.join(once.filter("m > 1 or k > 0"), key)
-    taken = joined.filter("m = 1").select("row", "k")
-    again = joined.filter("m > 1").select("row", "src", "doc_id", "h", F.monotonically_increasing_id().alias("nth"))
+    taken = rows.join(once.filter("m = 1 and k > 0"), key).select("row", "k")
+    repeated = cut(once.filter("m > 1"))
+    again = narrowed(rows, repeated.select(F.col("h").alias("own_h")), "own_h").join(repeated, key).select("row", "src", "doc_id", "h", F.monotonically_increasing_id().alias("nth"))
     # those that are repeated are numbered by a sort over all of them, which no group holds up
     order = [F.col("src").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("h"), F.xxhash64(F.to_json("row")), F.col("nth")]
     placed = numbered(again, "at", *order)
