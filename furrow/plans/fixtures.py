@@ -44,6 +44,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("label").cast("long").alias("file_id"), F.col("vec_id").alias("pid"), *dims)
 
 
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image, x, y, e: each embedding as an image of eight by eight."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("k", "e"))
+    return e.select("image", (F.col("k") % 8).cast("long").alias("x"), F.floor(F.col("k") / 8).alias("y"), F.col("e").cast("double").alias("e"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """grp, method, run, stamp, metric, from orders."""
     return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("grp"), F.col("o_orderpriority").alias("method"), F.col("o_orderkey").alias("run"), F.col("o_orderdate").alias("stamp"), F.col("o_totalprice").alias("metric"))
@@ -66,6 +72,7 @@ VIEWS = {
     "points": """SELECT label::BIGINT AS file_id, vec_id AS pid, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z,
       embedding[4]::DOUBLE AS e3, embedding[5]::DOUBLE AS e4, embedding[6]::DOUBLE AS e5, embedding[7]::DOUBLE AS e6, embedding[8]::DOUBLE AS e7,
       embedding[9]::DOUBLE AS e8 FROM embeddings""",
+    "pixels": "SELECT vec_id AS image, k % 8 AS x, k // 8 AS y, embedding[k + 1]::DOUBLE AS e FROM embeddings, (SELECT unnest(range(0, 64)) AS k)",
     "runs": "SELECT o_custkey % 50 AS grp, o_orderpriority AS method, o_orderkey AS run, o_orderdate AS stamp, o_totalprice AS metric FROM orders",
     "frames": """SELECT user_id AS source, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value,
       event_type AS kind, props FROM events""",

@@ -121,12 +121,17 @@ def learning_rates(spark: SparkSession, sf: str) -> DataFrame:
     return points(spark, sf).select("pid", r(G.exponential_rate(F.col("pid"), 0.01, 0.0001, 100, 0.1, 400) * 1000).alias("rate"))
 
 
-@query("orbit_path", sql(f""", c AS (SELECT unnest(range(0, 60)) AS i) SELECT i, {R('2 * cos(radians(20)) * cos(2 * pi() * i / 59)')} AS x, {R('2 * cos(radians(20)) * sin(2 * pi() * i / 59)')} AS y, {R('2 * sin(radians(20))')} AS z FROM c"""))
-def orbit_path(spark: SparkSession, _sf: str) -> DataFrame:
-    """Cameras on a circle at a fixed elevation, both ends included."""
-    i, e = F.col("id"), math.radians(20)
-    a = 2 * math.pi * i / 59
-    return spark.range(60).select(i.alias("i"), r(2 * math.cos(e) * F.cos(a)).alias("x"), r(2 * math.cos(e) * F.sin(a)).alias("y"), r(F.lit(2 * math.sin(e))).alias("z"))
+@query("orbit_path", sql(f""", c AS (SELECT file_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM points GROUP BY file_id), e AS (SELECT file_id, cx, cy, cz, max(sqrt((x-cx)^2 + (y-cy)^2 + (z-cz)^2)) * 1.1 AS far FROM points JOIN c USING (file_id) GROUP BY ALL), s AS (SELECT *, unnest(range(0, 60)) AS i FROM e)
+ SELECT file_id, i, {R('cx + far * cos(radians(20)) * cos(2 * pi() * i / 59)')} AS x, {R('cy + far * cos(radians(20)) * sin(2 * pi() * i / 59)')} AS y, {R('cz + far * sin(radians(20))')} AS z FROM s""", "points"))
+def orbit_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Cameras on a circle around each scene at a fixed elevation, as far out as its extent, both ends included."""
+    p, e = points(spark, sf), math.radians(20)
+    c = p.groupBy("file_id").agg(*[F.avg(a).alias("c" + a) for a in "xyz"])
+    gap = F.sqrt(sum(((F.col(a) - F.col("c" + a)) * (F.col(a) - F.col("c" + a)) for a in "xyz"), F.lit(0.0)))
+    far = p.join(c, "file_id").groupBy("file_id", "cx", "cy", "cz").agg((F.max(gap) * 1.1).alias("far"))
+    at = far.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"))))
+    a = 2 * math.pi * F.col("i") / 59
+    return at.select("file_id", "i", r(F.col("cx") + F.col("far") * math.cos(e) * F.cos(a)).alias("x"), r(F.col("cy") + F.col("far") * math.cos(e) * F.sin(a)).alias("y"), r(F.col("cz") + F.col("far") * math.sin(e)).alias("z"))
 
 
 @query("view_interpolation", sql(QSQL + f""", v AS (SELECT pid, qw, qx, qy, qz, CASE WHEN qw < 0 THEN -1 ELSE 1 END AS sg, acos(least(abs(qw), 1)) AS an FROM m), t AS (SELECT *, CASE WHEN sin(an) < 1e-6 THEN 0.7 ELSE sin(0.7*an)/sin(an) END AS wa, CASE WHEN sin(an) < 1e-6 THEN 0.3 ELSE sin(0.3*an)/sin(an) END * sg AS wb FROM v)

@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import overlap as O
 from ..operators import results as V
 from .box_queries import H, W, nms_sql
-from .fixtures import R, boxes, frames, points, r, runs, sql, table, truth
+from .fixtures import pixels, R, boxes, frames, points, r, runs, sql, table, truth
 from .registry import query
 
 IDS = ["image", "box_id"]
@@ -92,15 +92,14 @@ def free_run_names(spark: SparkSession, sf: str) -> DataFrame:
     return u.select("grp", "method", X.free_name(F.lit("exp"), F.col("used")).alias("name"))
 
 
-@query("overlay_blend", sql(""", px AS (SELECT image, x, y, ((x * 7 + y * 13 + image * 5) % 256)::DOUBLE AS v, ((x // 4 + y // 3) % 3 * 80)::DOUBLE AS mask FROM (SELECT unnest(range(0, 5)) AS image) CROSS JOIN (SELECT unnest(range(0, 64)) AS x) CROSS JOIN (SELECT unnest(range(0, 48)) AS y))
- SELECT image, x, y, (CASE WHEN mask > 0 THEN floor(0.5 * mask + 0.5 * v) ELSE v END)::BIGINT AS v FROM px"""))
-def overlay_blend(spark: SparkSession, _sf: str) -> DataFrame:
-    """Images with a mask laid over them at half strength."""
-    x, y, i = F.col("x"), F.col("y"), F.col("image")
-    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    px = spark.range(5).withColumnRenamed("id", "image").withColumn("x", span(64)).withColumn("y", span(48))
-    v, mask = ((x * 7 + y * 13 + i * 5) % 256).cast("double"), ((F.floor(x / 4) + F.floor(y / 3)) % 3 * 80).cast("double")
-    return px.select("image", "x", "y", V.overlaid(v, mask).cast("long").alias("v"))
+@query("overlay_blend", sql(""", px AS (SELECT image, x, y, floor(greatest(0, least(255, e * 400 + 128)))::DOUBLE AS v, CASE WHEN e > 0.05 THEN 160 WHEN (x + y) % 3 = 0 THEN 80 ELSE 0 END::DOUBLE AS mask FROM pixels)
+ SELECT image, x, y, (CASE WHEN mask > 0 THEN floor(0.5 * mask + 0.5 * v) ELSE v END)::BIGINT AS v FROM px""", "pixels"))
+def overlay_blend(spark: SparkSession, sf: str) -> DataFrame:
+    """Images with a mask of their bright and some other pixels laid over them at half strength."""
+    e = F.col("e")
+    v = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), e * 400 + 128))).cast("double")
+    mask = F.when(e > 0.05, 160).when((F.col("x") + F.col("y")) % 3 == 0, 80).otherwise(0).cast("double")
+    return pixels(spark, sf).select("image", "x", "y", V.overlaid(v, mask).cast("long").alias("v"))
 
 
 @query("observation_depths", sql(f""", o AS (SELECT image, box_id, box_id * 7 - 1 - 7 * (box_id % 3) AS point FROM boxes), n AS (SELECT max(pid) + 1 AS n FROM points), j AS (SELECT o.image, o.box_id, p.z + 3 AS depth FROM o CROSS JOIN n JOIN points p ON p.pid = o.point WHERE o.point >= 0 AND o.point < n.n)

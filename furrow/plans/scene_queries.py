@@ -8,23 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import scenes as S
 from .evaluation_queries import mask_pixels
-from .fixtures import R, boxes, frames, points, r, sql, table
+from .fixtures import R, boxes, frames, pixels, points, r, sql, table
 from .geometry_queries import QSQL, matrix, turned
 from .registry import query
 
 WEIGHTS = ", ".join(f"({dx}, {dy}, {v!r}::DOUBLE * {w!r}::DOUBLE)" for dx, v in S.window_weights() for dy, w in S.window_weights())
-GRID = ", px AS (SELECT image, x, y, ((x * 7 + y * 13 + image * 5) % 32) / 31.0::DOUBLE AS a, ((x * 7 + y * 13 + image * 5) % 32 + (x * y) % 3) / 34.0::DOUBLE AS b FROM (SELECT unnest(range(0, 5)) AS image) CROSS JOIN (SELECT unnest(range(0, 16)) AS x) CROSS JOIN (SELECT unnest(range(0, 12)) AS y))"
-
-
-@query("ssim_px", sql(GRID + f""", n(dx, dy, w) AS (VALUES {WEIGHTS}), m AS (SELECT image, x + dx AS x, y + dy AS y, sum(w*a) AS ma, sum(w*b) AS mb, sum(w*a*a) AS aa, sum(w*b*b) AS bb, sum(w*a*b) AS ab FROM px CROSS JOIN n
- WHERE x + dx BETWEEN 0 AND 15 AND y + dy BETWEEN 0 AND 11 GROUP BY ALL) SELECT image, {R('avg((2*ma*mb + 0.0001) * (2*(ab - ma*mb) + 0.0009) / ((ma*ma + mb*mb + 0.0001) * (aa - ma*ma + bb - mb*mb + 0.0009)))')} AS ssim FROM m GROUP BY image"""))
-def ssim_px(spark: SparkSession, _sf: str) -> DataFrame:
-    """Structural similarity of pairs of small images."""
-    x, y, i = F.col("x"), F.col("y"), F.col("image")
-    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    base = (x * 7 + y * 13 + i * 5) % 32
-    px = spark.range(5).withColumnRenamed("id", "image").withColumn("x", span(16)).withColumn("y", span(12)).withColumn("a", base / 31.0).withColumn("b", (base + (x * y) % 3) / 34.0)
-    return S.ssim(px, 16, 12).select("image", r(F.col("ssim")).alias("ssim"))
+PAIR = ", px AS (SELECT image, x, y, 0.5 + 2 * e AS a, 0.5 + 1.8 * e + 0.02 * ((x * 7 + y * 13 + image) % 5) AS b FROM pixels)"
+
+
+@query("ssim_px", sql(PAIR + f""", n(dx, dy, w) AS (VALUES {WEIGHTS}), m AS (SELECT image, x + dx AS x, y + dy AS y, sum(w*a) AS ma, sum(w*b) AS mb, sum(w*a*a) AS aa, sum(w*b*b) AS bb, sum(w*a*b) AS ab FROM px CROSS JOIN n
+ WHERE x + dx BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 7 GROUP BY ALL) SELECT image, {R('avg((2*ma*mb + 0.0001) * (2*(ab - ma*mb) + 0.0009) / ((ma*ma + mb*mb + 0.0001) * (aa - ma*ma + bb - mb*mb + 0.0009)))')} AS ssim FROM m GROUP BY image""", "pixels"))
+def ssim_px(spark: SparkSession, sf: str) -> DataFrame:
+    """Structural similarity of each image and a paler, uneven copy."""
+    x, y, e = F.col("x"), F.col("y"), F.col("e")
+    px = pixels(spark, sf).select("image", "x", "y", (0.5 + 2 * e).alias("a"), (0.5 + 1.8 * e + 0.02 * ((x * 7 + y * 13 + F.col("image")) % 5)).alias("b"))
+    return S.ssim(px, 8, 8).select("image", r(F.col("ssim")).alias("ssim"))
 
 
 @query("prefix_sums", sql(""", g AS (SELECT image, cls, count(*) AS n FROM boxes GROUP BY image, cls) SELECT image, cls, n, sum(n) OVER (PARTITION BY image ORDER BY cls ROWS UNBOUNDED PRECEDING)::BIGINT AS "end",

@@ -91,10 +91,14 @@ def class_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spine.join(counted, "cls", "left").select("cls", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("images", F.lit(0)).alias("images"))
 
 
-@query("grid_cells", "SELECT s.gx::BIGINT AS gx, t.gy::BIGINT AS gy, (s.gx + 20 * t.gy)::BIGINT AS cell FROM (SELECT unnest(range(0, 20)) AS gx) s CROSS JOIN (SELECT unnest(range(0, 15)) AS gy) t")
-def grid_cells(spark: SparkSession, _sf: str) -> DataFrame:
-    """Cells of a grid as rows."""
-    return spark.range(20).withColumnRenamed("id", "gx").withColumn("gy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(14).cast("long")))).withColumn("cell", F.col("gx") + 20 * F.col("gy"))
+@query("grid_cells", sql(""", g AS (SELECT image, ceil(max(x2) / 64)::BIGINT AS nx, ceil(max(y2) / 64)::BIGINT AS ny FROM boxes GROUP BY image), h AS (SELECT *, unnest(range(0, nx)) AS gx FROM g)
+ SELECT image, gx, unnest(range(0, ny)) AS gy, gx + nx * unnest(range(0, ny)) AS cell FROM h""", "boxes"))
+def grid_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of the grid that each image's boxes need, as rows."""
+    up = lambda c: F.ceil(F.max(c) / 64)
+    g = boxes(spark, sf).groupBy("image").agg(up("x2").alias("nx"), up("y2").alias("ny"))
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    return g.withColumn("gx", span("nx")).withColumn("gy", span("ny")).select("image", "gx", "gy", (F.col("gx") + F.col("nx") * F.col("gy")).alias("cell"))
 
 
 @query("matrix_product", sql(f"""SELECT b.pid, p.k::BIGINT AS k, 1 / (1 + exp(-(b.x * p.a + b.y * p.b + b.z * p.c))) > 0.5 AS inside, {R('b.x * p.a + b.y * p.b + b.z * p.c')} AS v FROM points b CROSS JOIN (VALUES (0, 0.5::DOUBLE, -0.2::DOUBLE, 0.1::DOUBLE), (1, -0.3, 0.8, 0.4)) p(k, a, b, c)""", "points"))
