@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("u", "v").filter("u != v")
     both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("label")))
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("label"))
     while True:
         own = labels.select(F.col("node").alias("v"), F.col("label").alias("theirs"))
         near = both.join(own, "v").groupBy(F.col("u").alias("node")).agg(F.min("theirs").alias("near"))

@@ -19,10 +19,12 @@ def _celled(points: DataFrame, side: Column) -> DataFrame:
     return points.withColumns({"c" + c: F.floor((F.col(c) - F.col(c + "0")) / side).cast("long") for c in XYZ})
 
 
-def _around(points: DataFrame, reach: int = 1) -> DataFrame:
-    """Each point once for each cell within reach of its own, which becomes its cell."""
+def _around(points: DataFrame, alone: Column | None = None) -> DataFrame:
+    """Each point once for each of the 27 cells around its own, which becomes its cell; where alone is true, once for its own."""
+    steps = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+    if alone is not None:
+        steps = F.when(alone, F.array(F.lit(0).cast("long"))).otherwise(steps)
     for c in XYZ:
-        steps = F.transform(F.array(*[F.lit(i).cast("long") for i in range(-reach, reach + 1)]), lambda i, c=c: i)
         points = points.withColumn("step", F.explode(steps)).withColumn("c" + c, F.col("c" + c) + F.col("step")).drop("step")
     return points
 
@@ -31,14 +33,24 @@ def _distance(a: str = "", b: str = "o") -> Column:
     return F.sqrt(sum(((F.col(a + c) - F.col(b + c)) * (F.col(a + c) - F.col(b + c)) for c in XYZ), F.lit(0.0)))
 
 
+def _nearest(near: DataFrame, by: str, k: int, least: float | None, *more: str) -> DataFrame:
+    """The k nearest of pairs (by, pid, other, places), with the distance d, the place n, and far, the distance of the k-th."""
+    near = near.filter("pid != other").withColumn("d", _distance())
+    near = near if least is None else near.filter(F.col("d") >= least)
+    own = Window.partitionBy(by, "pid")
+    ranked = near.withColumn("n", F.row_number().over(own.orderBy("d", "other")).cast("long")).filter(F.col("n") <= k)
+    return ranked.withColumn("far", F.max(F.when(F.col("n") == k, F.col("d"))).over(own)).select(by, "pid", "other", "d", "n", "far", *more)
+
+
 def neighbours(points: DataFrame, by: str, k: int, least: float | None = None) -> DataFrame:
     """(by, pid, other, d, n): the k nearest others of each point in its group, by distance, then pid.
 
     points has by, pid, x, y, z. Points are dealt to cells that hold a few times k points on
-    average, and each meets those of the 27 cells around its own. Whatever is nearer than a
-    cell's side has then been seen: points whose k-th neighbour is farther are searched again in
-    cells of twice the side, until a cell holds the whole cloud. With least, nearer points do
-    not count.
+    average, a small cloud to one, and meet those of their own cell first. A point whose k-th
+    neighbour is nearer than the walls of its cell is done. One whose k-th is farther meets the
+    points of the cells that are that near, and is done then. One that has met fewer than k is
+    searched for again in cells of twice the side, until a cell holds the whole cloud. With
+    least, nearer points do not count.
     """
     key = ["x0", "y0", "z0"]
     ends = points.groupBy(by).agg(*[F.min(c).alias(c + "0") for c in XYZ], *[F.max(c).alias(c + "1") for c in XYZ], F.count(F.lit(1)).alias("size"))
@@ -47,19 +59,23 @@ def neighbours(points: DataFrame, by: str, k: int, least: float | None = None) -
     ends = ends.select(by, *key, (wide * 1.0001 + 1e-12).alias("wide"), F.greatest(side * 1.0001, wide * 1e-6, F.lit(1e-12)).alias("side"))
     all_points = cut(points.select(by, "pid", *XYZ).join(ends, by))
     left, parts = all_points, []
+    cell = [by, "cx", "cy", "cz"]
     while True:
-        others = _celled(all_points, F.col("side")).select(by, "cx", "cy", "cz", F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in XYZ])
-        near = _around(_celled(left, F.col("side"))).join(others, [by, "cx", "cy", "cz"]).filter("pid != other").withColumn("d", _distance())
-        near = near if least is None else near.filter(F.col("d") >= least)
-        ranked = near.withColumn("n", F.row_number().over(Window.partitionBy(by, "pid").orderBy("d", "other")).cast("long")).filter(F.col("n") <= k)
-        # what is done: k neighbours within a side, or the whole cloud seen
-        ranked = ranked.withColumn("far", F.max(F.when(F.col("n") == k, F.col("d"))).over(Window.partitionBy(by, "pid")))
-        whole = F.col("side") >= F.col("wide")
-        found = cut(ranked.select(by, "pid", "other", "d", "n", (whole | (F.col("far") <= F.col("side"))).alias("done")))
-        parts.append(found.filter("done").drop("done"))
-        settled = found.filter("done").select(by, "pid").distinct()
-        left = left.filter(~whole).join(settled, [by, "pid"], "left_anti").withColumn("side", F.least(F.col("side") * 2, F.col("wide")))
-        left = cut(left)
+        others = _celled(all_points, F.col("side")).select(*cell, F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in XYZ])
+        walls = [F.least(at - F.col("c" + c) * F.col("side"), (F.col("c" + c) + 1) * F.col("side") - at) for c, at in ((c, F.col(c) - F.col(c + "0")) for c in XYZ)]
+        own = _celled(left, F.col("side")).withColumn("room", F.when(F.col("side") >= F.col("wide"), math.inf).otherwise(F.least(*walls)))
+        found = cut(_nearest(own.join(others, cell), by, k, least, "room"))
+        whole = F.col("room") == math.inf
+        parts.append(found.filter(whole | (F.col("far") <= F.col("room"))).select(by, "pid", "other", "d", "n"))
+        far = cut(found.filter(~whole & (F.col("far") > F.col("room"))).select(by, "pid", "far").distinct())
+        if not far.isEmpty():
+            near = left.join(far, [by, "pid"])
+            for c in XYZ:
+                low, high = (F.floor((F.col(c) - F.col(c + "0") + i * F.col("far")) / F.col("side")).cast("long") for i in (-1, 1))
+                near = near.withColumn("c" + c, F.explode(F.sequence(low, high)))
+            parts.append(_nearest(near.drop("far").join(others, cell), by, k, least).drop("far"))
+        short = left.filter(F.col("side") < F.col("wide")).join(found.filter("far is not null").select(by, "pid").distinct(), [by, "pid"], "left_anti")
+        left = cut(short.withColumn("side", F.least(F.col("side") * 2, F.col("wide"))))
         if left.isEmpty():
             break
         all_points = all_points.withColumn("side", F.least(F.col("side") * 2, F.col("wide")))
@@ -90,30 +106,37 @@ def clustered(points: DataFrame, by: str, eps: float, least: int) -> DataFrame:
 
     Cores have least points within eps, themselves included. Clusters are the components of
     cores in reach of each other, numbered by their first core's pid; a border point joins the
-    least-numbered cluster of a core in reach. Points meet in cells of side eps. Of a core's
-    links one is kept to each small cell (cores in one are all in reach of each other), so that
-    links grow with the points, not with the pairs.
+    least-numbered cluster of a core in reach. Points of one small cell are all in reach of each
+    other: those of a full one are cores without looking further, and its cores are one node of the
+    graph, so that links grow with the cells, not with the pairs. Other points meet in cells of
+    side eps, those of a small cloud in one.
     """
-    own = points.select(by, "pid", *XYZ).withColumns({c + "0": F.lit(0.0) for c in XYZ})
-    cells = _celled(own, F.lit(eps)).drop("x0", "y0", "z0")
-    others = cells.select(by, "cx", "cy", "cz", F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in XYZ])
-    reach = lambda a, b: _around(a).join(b, [by, "cx", "cy", "cz"]).filter(sum(((F.col(c) - F.col("o" + c)) * (F.col(c) - F.col("o" + c)) for c in XYZ), F.lit(0.0)) <= eps * eps)
-    cores = cut(reach(cells, others).groupBy(by, "pid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(by, "pid"))
-    core_cells = cut(cells.join(cores, [by, "pid"]))
-    small = F.struct(*[F.floor(F.col("o" + c) / (eps / math.sqrt(3) * 0.999)).alias(c) for c in XYZ])
-    core_others = core_cells.select(by, "cx", "cy", "cz", F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in XYZ])
-    links = reach(core_cells, core_others).groupBy(by, F.col("pid").alias("u"), small.alias("cell")).agg(F.min("other").alias("v"))
-    # numbers for (group, pid), so that nodes of different groups never meet
-    numbers = cut(cores.withColumn("node", F.monotonically_increasing_id()))
-    of = lambda c: numbers.select(by, F.col("pid").alias(c), F.col("node").alias("n" + c))
-    joined = components(links.select(by, "u", "v").join(of("u"), [by, "u"]).join(of("v"), [by, "v"]).select(F.col("nu").alias("u"), F.col("nv").alias("v")))
-    rooted = numbers.join(joined, "node", "left").select(by, "pid", F.coalesce("component", "node").alias("root"))
-    first = rooted.groupBy(by, "root").agg(F.min("pid").alias("first"))
+    small = {"s" + c: F.floor(F.col(c) / (eps / math.sqrt(3) * 0.999)).cast("long") for c in XYZ}
+    size = points.groupBy(by).agg((F.count(F.lit(1)) <= SMALL).alias("alone"))
+    own = points.select(by, "pid", *XYZ).join(size, by)
+    cells = cut(own.withColumns({"c" + c: F.when(F.col("alone"), F.lit(0).cast("long")).otherwise(F.floor(F.col(c) / eps).cast("long")) for c in XYZ} | small))
+    cell, node = [by, "cx", "cy", "cz"], [by, "sx", "sy", "sz"]
+    as_other = lambda df, *more: df.select(*cell, F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in XYZ], *more)
+    near = sum(((F.col(c) - F.col("o" + c)) * (F.col(c) - F.col("o" + c)) for c in XYZ), F.lit(0.0)) <= eps * eps
+    reach = lambda a, b: _around(a, F.col("alone")).join(b, cell).filter(near)
+    full = cells.groupBy(*node).count().filter(F.col("count") >= least).select(*node, F.lit(True).alias("full"))
+    told = cells.join(full, node, "left")
+    rest = told.filter("full is null").drop("full")
+    more = reach(rest, as_other(cells)).groupBy(by, "pid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(by, "pid")
+    cores = cut(told.filter("full").drop("full").unionByName(rest.join(more, [by, "pid"])))
+    # a node is a small cell with cores, known by a number; its first core stands for it
+    nodes = cut(cores.groupBy(*node).agg(F.min("pid").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    numbered = cut(cores.join(nodes.drop("first"), node))
+    links = reach(numbered, as_other(numbered, F.col("node").alias("v"))).filter("node < v").select(F.col("node").alias("u"), "v").distinct()
+    joined = components(links)
+    rooted = nodes.join(joined, "node", "left").select(by, "node", "first", F.coalesce("component", "node").alias("root"))
+    first = rooted.groupBy(by, "root").agg(F.min("first").alias("first"))
     number = (F.row_number().over(Window.partitionBy(by).orderBy("first")) - 1).cast("long")
-    core_labels = cut(rooted.join(first.select(by, "root", number.alias("cluster")), [by, "root"]).select(by, "pid", "cluster"))
-    labelled = core_cells.join(core_labels, [by, "pid"]).select(by, "cx", "cy", "cz", F.col("cluster"), *[F.col(c).alias("o" + c) for c in XYZ])
-    border = reach(cells.join(cores, [by, "pid"], "left_anti"), labelled).groupBy(by, "pid").agg(F.min("cluster").alias("cluster"))
-    found = core_labels.unionByName(border.select(by, "pid", "cluster"))
+    labels = rooted.join(first.select(by, "root", number.alias("cluster")), [by, "root"]).select("node", "cluster")
+    labelled = cut(numbered.join(labels, "node"))
+    loose = cells.join(labelled.select(by, "pid"), [by, "pid"], "left_anti")
+    border = reach(loose, as_other(labelled, "cluster")).groupBy(by, "pid").agg(F.min("cluster").alias("cluster"))
+    found = labelled.select(by, "pid", "cluster").unionByName(border.select(by, "pid", "cluster"))
     return points.join(found, [by, "pid"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long")))
 
 
