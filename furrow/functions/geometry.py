@@ -63,6 +63,11 @@ def camera_centre(m: Sequence[Sequence[Column]], t: Vec) -> tuple[Column, ...]:
     return tuple(-(m[0][i] * t[0] + m[1][i] * t[1] + m[2][i] * t[2]) for i in range(3))
 
 
+def shifted_centre(m: Sequence[Sequence[Column]], t: Vec, shift: Sequence[float], scale: float) -> tuple[Column, ...]:
+    """The centre of a camera in a world that is moved and then scaled."""
+    return tuple((c + float(d)) * float(scale) for c, d in zip(camera_centre(m, t), shift, strict=True))
+
+
 def projected(matrix: Sequence[Sequence[float]], v: Vec) -> tuple[Column, ...]:
     """Homogeneous transform and division by w + 1e-7."""
     x, y, z, w = (row[0] * v[0] + row[1] * v[1] + row[2] * v[2] + row[3] for row in matrix)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import hierarchy as H
 from . import points as P
 from . import traits as T
@@ -73,7 +75,7 @@ def fitted_anchors(sizes: DataFrame, n: int = 9, rounds: int = 15) -> DataFrame:
     at = [(i + 0.5) / n for i in range(n)]
     first = sizes.agg(F.percentile_approx("w", at).alias("w"), F.percentile_approx("h", at).alias("h")).first()
     centres = [(w / sw, h / sh) for w, h in zip(first["w"] or [], first["h"] or [], strict=True)]
-    for _ in range(rounds):
+    for _ in range(rounds if centres else 0):
         gaps = [(F.col("w") / sw - a) * (F.col("w") / sw - a) + (F.col("h") / sh - b) * (F.col("h") / sh - b) for a, b in centres]
         nearest = F.array_position(F.array(*gaps), F.array_min(F.array(*gaps))) - 1
         means = {r["k"]: (r["w"], r["h"]) for r in sizes.groupBy(nearest.alias("k")).agg((F.avg("w") / sw).alias("w"), (F.avg("h") / sh).alias("h")).collect()}
@@ -85,6 +87,51 @@ def fitted_anchors(sizes: DataFrame, n: int = 9, rounds: int = 15) -> DataFrame:
     return sizes.sparkSession.createDataFrame([(i, float(w), float(h)) for i, (w, h) in enumerate(sorted(rows, key=lambda r: r[0] * r[1]))], "anchor long, w double, h double")
 
 
+#: Chance and strength of a mutation, its bounds, the least side and the ratio of sides that an anchor still fits.
+MUTATED, STRENGTH, FACTORS, LEAST_SIDE, FITS = 0.9, 0.1, (0.3, 3.0), 2.0, 0.25
+
+
+def anchor_fitness(histogram: DataFrame, sets: list[list[tuple[float, float]]]) -> list[float]:
+    """Of each set of anchors the mean, over sizes (w, h, n), of how well the best anchor fits, 0 if none does.
+
+    All sets are scored in one aggregation; they come and their scores go as a few numbers.
+    """
+    grid = F.from_json(F.lit(json.dumps(sets)), "array<array<array<double>>>")
+    ratio = lambda a, b: F.least(a / b, b / a)
+    best = lambda anchors: F.array_max(F.transform(anchors, lambda a: F.least(ratio(F.col("w"), a[0]), ratio(F.col("h"), a[1]))))
+    scored = histogram.select("n", F.posexplode(F.transform(grid, best)).alias("k", "best"))
+    kept = F.when(F.col("best") > FITS, F.col("best")).otherwise(0.0)
+    found = {r["k"]: r["fit"] for r in scored.groupBy("k").agg((F.sum(kept * F.col("n")) / F.sum("n")).alias("fit")).collect()}
+    return [found.get(i) or 0.0 for i in range(len(sets))]
+
+
+def mutations(anchors: list[tuple[float, float]], children: int, draws: np.random.Generator) -> list[list[tuple[float, float]]]:
+    """Sets near a set: each side times a factor that is one now and then."""
+    k = np.array(anchors)
+    shape = (children, *k.shape)
+    factors = np.clip((draws.random(shape) < MUTATED) * draws.random((children, 1, 1)) * draws.normal(size=shape) * STRENGTH + 1, *FACTORS)
+    return np.maximum(k * factors, LEAST_SIDE).tolist()
+
+
+def evolved_anchors(sizes: DataFrame, n: int = 9, generations: int = 16, children: int = 64, seed: int = 0) -> DataFrame:
+    """(anchor, w, h, fitness): fitted anchors changed by chance as long as that fits sizes better.
+
+    A generation is a number of mutations of the best set so far, scored at once over the histogram of
+    sizes; the best of them takes over if it is better, so that fitness never falls.
+    """
+    histogram = cut(sizes.groupBy("w", "h").agg(F.count(F.lit(1)).alias("n")))
+    best = [(r["w"], r["h"]) for r in fitted_anchors(sizes, n).orderBy("anchor").collect()]
+    fit, draws = anchor_fitness(histogram, [best])[0] if best else 0.0, np.random.default_rng(seed)
+    for _ in range(generations if best else 0):
+        own = mutations(best, children, draws)
+        scores = anchor_fitness(histogram, own)
+        at = int(np.argmax(scores))
+        if scores[at] > fit:
+            best, fit = own[at], scores[at]
+    rows = sorted(((float(w), float(h)) for w, h in best), key=lambda r: r[0] * r[1])
+    return sizes.sparkSession.createDataFrame([(i, w, h, float(fit)) for i, (w, h) in enumerate(rows)], "anchor long, w double, h double, fitness double")
+
+
 @dataclass(frozen=True)
 class Morphology:
     """Settings of a morphology run; values out of range are errors."""

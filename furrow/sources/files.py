@@ -279,15 +279,31 @@ IMAGE_TYPES = ("bmp", "dng", "jpeg", "jpg", "mpo", "png", "tif", "tiff", "webp",
 VIDEO_TYPES = ("asf", "avi", "gif", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "ts", "wmv")
 
 
-def list_media(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """Images, then videos, below a folder, by path; metadata only."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+def list_media(spark: SparkSession, path: str | list[str], limit: int = 0) -> DataFrame:
+    """Images, then videos, by path; metadata only.
+
+    path is a folder, a file, a pattern with * in it, a .txt file with one of these on each line,
+    or several of these. Nothing to list is an error.
+    """
+    given = path if isinstance(path, list) else [path]
+    lines = [p for p in given if p.endswith(".txt")]
+    if lines:  # a list is as long as the paths that Spark is told to read
+        given = [p for p in given if p not in lines] + [r["value"].strip() for r in spark.read.text(lines).filter(F.trim("value") != "").collect()]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(given).select("path", "length", "modificationTime")
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = F.when(ext.isin(*IMAGE_TYPES), "image").when(ext.isin(*VIDEO_TYPES), "video")
-    out = files.withColumn("kind", kind).filter("kind is not null").orderBy("kind", "path")
+    out = files.withColumn("kind", kind).filter("kind is not null").dropDuplicates(["path"]).orderBy("kind", "path")
+    if out.isEmpty():
+        raise FileNotFoundError(f"no images or videos in {path}")
     return out.limit(limit) if limit else out
 
 
+def frames_of(media: DataFrame, frames: Column, stride: int = 1) -> DataFrame:
+    """media with a row for each frame that is looked at: 0 of an image, every stride-th of a video of frames frames, the last of each stride."""
+    last = F.when(F.col("kind") == "image", F.array(F.lit(0))).otherwise(F.when(frames >= stride, F.sequence(F.lit(stride - 1), (frames - 1).cast("int"), F.lit(stride))).otherwise(F.array().cast("array<int>")))
+    return media.withColumn("frame", F.explode(last))
+
+
 def class_folders(files: DataFrame) -> DataFrame:
     """Files with the class of their folder, numbered by the folder's name; the window sees one row a folder."""
     named = files.withColumn("name", F.element_at(F.split("path", "/"), -2))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def strided(frames: DataFrame, stride: int) -> DataFrame:
@@ -36,20 +36,40 @@ def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 hour") -> D
     return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("started"), "n")
 
 
-def second_strike(masks: DataFrame) -> DataFrame:
-    """Of masks (mask, matched) that arrive more than once: buffered at the first miss, done at a match or second miss."""
+class TwoStrikes(StatefulProcessor):
+    """Misses of each mask: done at a match or the second miss. A state that is not met again in time is forgotten."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        misses = state.get[0] if state.exists else 0
-        done = misses >= 2
-        for pdf in batches:
-            for matched in pdf["matched"]:
-                misses = 2 if matched else misses + 1
-                done = done or misses >= 2
-        state.update((misses,))
-        yield pd.DataFrame({"mask": [key[0]], "status": ["processed" if done else "buffered"]})
+    def __init__(self, forget_ms: int | None) -> None:
+        self.forget_ms = forget_ms
 
-    return masks.groupBy("mask").applyInPandasWithState(run, "mask long, status string", "misses int", "update", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.misses = handle.getValueState("misses", "n int", ttlDurationMs=self.forget_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        misses = self.misses.get()[0] if self.misses.exists() else 0
+        for batch in rows:
+            misses = 2 if batch["matched"].any() else min(2, misses + len(batch))
+        self.misses.update((misses,))
+        yield pd.DataFrame({"mask": [key[0]], "status": ["processed" if misses == 2 else "buffered"]})
+
+    def close(self) -> None:
+        pass
+
+
+def second_strike(masks: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """Of masks (mask, matched) that arrive more than once: buffered at the first miss, processed at a match or second miss.
+
+    Neither order nor batches matter, so that late and repeated input gives what strikes() gives for
+    all of it. With forget_ms, a mask that has not come again for so long starts anew.
+    """
+    masks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    mode = "ProcessingTime" if forget_ms else "None"
+    return masks.groupBy("mask").transformWithStateInPandas(TwoStrikes(forget_ms), "mask long, status string", "Update", mode)
+
+
+def strikes(masks: DataFrame) -> DataFrame:
+    """(mask, status) of masks (mask, matched) that have all arrived."""
+    return masks.groupBy("mask").agg(F.when(F.max("matched") | (F.count(F.lit(1)) > 1), "processed").otherwise("buffered").alias("status"))
 
 
 def not_done(items: DataFrame, done: DataFrame, key: str) -> DataFrame:

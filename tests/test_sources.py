@@ -180,3 +180,22 @@ def test_flat_and_equal(spark):
     q = G.unit([F.lit(0.0)] * 4)
     assert one.select(*[c.alias(f"c{i}") for i, c in enumerate(c for row in G.rotation(q) for c in row)]).first()[0] == 1.0
     assert tuple(one.select(E.psnr(F.lit(0.0)), E.psnr(F.lit(0.01)), E.psnr(F.lit(None).cast("double"))).first()) == (float("inf"), pytest.approx(20), None)
+
+
+def test_media_lists_patterns_and_strides(spark, tmp_path):
+    for name in ("a/1.jpg", "a/2.PNG", "a/note.md", "b/3.mp4", "b/4.jpg"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "list.txt").write_text(f"{tmp_path}/b/4.jpg\n\n{tmp_path}/a\n{tmp_path}/b/*.jpg\n")
+    names = lambda df: [r["path"].rpartition("/")[2] for r in df.collect()]
+    assert names(files.list_media(spark, f"{tmp_path}/list.txt")) == ["1.jpg", "2.PNG", "4.jpg"]
+    assert names(files.list_media(spark, f"{tmp_path}/*/*.jpg")) == ["1.jpg", "4.jpg"]
+    media = files.list_media(spark, [f"{tmp_path}/a/1.jpg", f"{tmp_path}/b"])
+    assert names(media) == ["1.jpg", "4.jpg", "3.mp4"]
+    looked = files.frames_of(media, F.lit(10), 3)
+    assert [(r["path"][-5:], r["frame"]) for r in looked.orderBy("path", "frame").collect()] == [("1.jpg", 0), ("3.mp4", 2), ("3.mp4", 5), ("3.mp4", 8), ("4.jpg", 0)]
+    assert files.frames_of(media.filter("kind = 'video'"), F.lit(2), 3).count() == 0
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.md").write_text("")
+    with pytest.raises(FileNotFoundError):
+        files.list_media(spark, f"{tmp_path}/c")

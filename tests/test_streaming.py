@@ -49,6 +49,48 @@ def test_second_strike_and_resume(spark, tmp_path):
     assert {r["mask"] for r in S.not_done(items, got.filter("status = 'processed'"), "mask").collect()} == {1}
 
 
+def test_strikes_over_restarts(spark, sf_dir, tmp_path):
+    """Input in four parts, one of them twice and late, a restart before each: the last word on each mask is that of the batch over all of it."""
+    own = table(spark, sf_dir, "events").filter("event_id < 60").select((F.col("event_id") % 37).alias("mask"), (F.col("event_type") == "purchase").alias("matched"), "event_id")
+    schema, said = own.drop("event_id").schema, {}
+
+    def go():
+        def put(df, _):
+            said.update({r["mask"]: r["status"] for r in df.collect()})
+
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        S.second_strike(stream).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination(120)
+
+    whole = None
+    for part in (2, 0, 1, 2):
+        new = own.filter(F.col("event_id") % 3 == part).drop("event_id").coalesce(1)
+        new.write.mode("append").parquet(str(tmp_path / "in"))
+        go()
+        whole = new if whole is None else whole.unionByName(new)
+        assert said == {r["mask"]: r["status"] for r in S.strikes(whole).collect()}
+    assert set(said.values()) == {"processed", "buffered"}
+
+
+def test_strikes_are_forgotten(spark, tmp_path):
+    schema = "mask long, matched boolean"
+    said = []
+
+    def go():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        put = lambda df, _: said.extend(tuple(r) for r in df.collect())
+        q = S.second_strike(stream, 1000).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", str(tmp_path / "at")).start()
+        before, began = len(said), time.time()
+        while len(said) == before and time.time() - began < 40:  # a query with a clock never runs out of batches
+            time.sleep(0.2)
+        q.stop()
+
+    for _ in range(2):
+        spark.createDataFrame([(7, False)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        go()
+        time.sleep(2.5)
+    assert said == [(7, "buffered"), (7, "buffered")]
+
+
 def test_accumulated_state(spark, tmp_path):
     """Contributions that arrive in two runs add up, from where the first left off."""
     schema = "obj long, gid long, w double"
