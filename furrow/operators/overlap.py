@@ -63,9 +63,9 @@ def best_or_nearest(queries: DataFrame, others: DataFrame, keys: Sequence[str],
     q = cut(queries.select(*keys, "id", "shape", *CORNERS))
     o = cut(others.select(*keys, "id", "shape", *CORNERS))
     own = [*keys, F.col("a_id"), F.col("b_id")]
-    shared = overlap_join(q, o, keys).select(*own, overlap(F.col("a_shape"), F.col("b_shape")).alias("overlap")).filter("overlap > 0")
+    shared = overlap_join(q, o, keys).select(*own, overlap(F.col("a_shape"), F.col("b_shape")).alias("overlap"))
     first = F.max(F.struct(F.round("overlap", 9).alias("k"), (-F.col("b_id")).alias("b"), "overlap")).alias("m")
-    best = cut(shared.groupBy(*keys, "a_id").agg(first).select(*keys, "a_id", (-F.col("m.b")).alias("b_id"), "m.overlap", F.lit(0.0).alias("distance")))
+    best = cut(shared.groupBy(*keys, "a_id").agg(first).filter("m.overlap > 0").select(*keys, "a_id", (-F.col("m.b")).alias("b_id"), "m.overlap", F.lit(0.0).alias("distance")))
     ends = [f(c).alias(c + "_end") for c, f in zip(CORNERS, (F.min, F.min, F.max, F.max), strict=True)]
     wide = q.unionByName(o).groupBy(*keys).agg(*ends).select(*keys, F.greatest(F.col("x2_end") - F.col("x1_end"), F.col("y2_end") - F.col("y1_end")).alias("wide"))
     here = o.select(*keys).distinct()

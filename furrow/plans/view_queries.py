@@ -9,6 +9,7 @@ from ..functions import boxes as B
 from ..functions import geometry as G
 from ..operators import sampling as D
 from ..operators import scenes as S
+from ..session import cut
 from ..streaming import frames as Z
 from .fixtures import R, boxes, points, r, sql, table
 from .geometry_queries import QSQL, SQL_COV, cols, matrix, quat, turned
@@ -72,8 +73,9 @@ def visible_splats(spark: SparkSession, sf: str) -> DataFrame:
     cov = G.let(scale + flat_m, names, lambda v: G.covariance(v[:3], [v[3:6], v[6:9], v[9:12]]))
     solid = turned(spark, sf).select("pid", "x", "y", (F.col("z") + 3).alias("z"), cov.alias("cov")).filter("z > 0.2")
     flat = G.let(cols("x", "y", "z", *(f"cov.{n}" for n in names)), ("a", "b", "c"), lambda v: G.covariance_2d(v[:3], v[3:], 50.0, 0.5))
-    shape = G.let(cols("flat.a", "flat.b", "flat.c"), ("ca", "cb", "cc", "radius"), lambda v: G.conic(*v))
-    got = solid.select("pid", "x", "y", "z", flat.alias("flat")).select("pid", "x", "y", "z", shape.alias("s")).select("*", "s.*")
+    # written once: the optimizer would repeat the covariance in every term of what follows
+    plain = cut(solid.select("pid", "x", "y", "z", flat.alias("flat")).select("pid", "x", "y", "z", "flat.*"))
+    got = plain.select("pid", "x", "y", "z", *[c.alias(n) for c, n in zip(G.conic(*cols("a", "b", "c")), ("ca", "cb", "cc", "radius"), strict=True)])
     at = got.withColumn("px", 320 + 50 * F.col("x") / F.col("z")).withColumn("py", 240 + 50 * F.col("y") / F.col("z"))
     seen = at.filter("radius > 0 and px + radius >= 0 and px - radius < 640 and py + radius >= 0 and py - radius < 480")
     columns = F.floor((F.col("px") + F.col("radius")) / 16) - F.floor((F.col("px") - F.col("radius")) / 16) + 1
