@@ -427,6 +427,14 @@ def test_jaccard(spark, docs, rows, empty, monkeypatch):
     assert jaccard.report(empty).count() == 0
 
 
+def test_jaccard_loses_no_link(spark):
+    """All pairs of a whole table, brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = brute_links([tuple(r) for r in docs.collect()])
+    assert sum(n for _, _, n in want) > 100
+    assert sorted_rows(jaccard.report(docs)) == want
+
+
 def test_posterior_drops_few():
     draws = np.random.default_rng(0)
     matches = np.cumsum(draws.random((200_000, jaccard.HASHES)) < 0.8, 1)[:, jaccard.STEP - 1 :: jaccard.STEP]
