@@ -686,4 +686,4 @@ def test_least_places(values, span):
 
 
 def test_every_query_is_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))
