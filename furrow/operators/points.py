@@ -56,10 +56,14 @@ def neighbours(points: DataFrame, by: str, k: int, least: float | None = None) -
     ends = points.groupBy(by).agg(*[F.min(c).alias(c + "0") for c in XYZ], *[F.max(c).alias(c + "1") for c in XYZ], F.count(F.lit(1)).alias("size"))
     wide = F.greatest(*[F.col(c + "1") - F.col(c + "0") for c in XYZ])
     side = F.when(F.col("size") <= SMALL, wide).otherwise(wide * F.cbrt(F.lit(4.0 * (k + 1)) / F.col("size")))
-    ends = ends.select(by, *key, (wide * 1.0001 + 1e-12).alias("wide"), F.greatest(side * 1.0001, wide * 1e-6, F.lit(1e-12)).alias("side"))
-    all_points = cut(points.select(by, "pid", *XYZ).join(ends, by))
-    left, parts = all_points, []
+    ends = cut(ends.select(by, *key, (wide * 1.0001 + 1e-12).alias("wide"), F.greatest(side * 1.0001, wide * 1e-6, F.lit(1e-12)).alias("side")))
+    all_points = points.select(by, "pid", *XYZ).join(ends, by)
     cell = [by, "cx", "cy", "cz"]
+    if ends.filter("side < wide").isEmpty():  # each cloud is a cell: nothing is left after the first search
+        own = points.select(by, "pid", *XYZ)
+        return _nearest(own.join(own.select(by, F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in XYZ]), by), by, k, least).drop("far")
+    all_points = cut(all_points)
+    left, parts = all_points, []
     while True:
         others = _celled(all_points, F.col("side")).select(*cell, F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in XYZ])
         walls = [F.least(at - F.col("c" + c) * F.col("side"), (F.col("c" + c) + 1) * F.col("side") - at) for c, at in ((c, F.col(c) - F.col(c + "0")) for c in XYZ)]

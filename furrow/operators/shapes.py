@@ -98,10 +98,13 @@ def ranked(rows: DataFrame, by: Sequence[str], *order: Column, name: str = "rank
     return dealt.withColumn("own", own).join(starts, [*by, "part"]).withColumn(name, (F.col("own") + F.col("first")).cast("long")).drop("own", "first", "part")
 
 
-def percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
-    """(by, p): exact percentiles of a column within by, linear between the two places around, as an array in the order of shares."""
-    placed = ranked(rows.select(*by, value), by, F.col(value))
-    last = rows.groupBy(*by).agg((F.count(F.lit(1)) - 1).alias("last"))
+def percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], placed: DataFrame | None = None) -> DataFrame:
+    """(by, p): exact percentiles of a column within by, linear between the two places around, as an array in the order of shares.
+
+    placed, if given, is rows as ranked by that column first.
+    """
+    placed = ranked(rows.select(*by, value), by, F.col(value)) if placed is None else placed
+    last = placed.groupBy(*by).agg((F.count(F.lit(1)) - 1).alias("last"))
     wanted = last.withColumn("w", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(s)) * F.col("last")).alias("at")) for i, s in enumerate(shares)])))
     ends = wanted.select(*by, "w.i", "w.at", F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))).alias("rank"))
     met = ends.join(placed, [*by, "rank"]).groupBy(*by, "i").agg((F.min(value) + (F.max(value) - F.min(value)) * (F.first("at") - F.min("rank"))).alias("p"))

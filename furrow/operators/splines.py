@@ -152,15 +152,14 @@ def _step(by: str, value: float):
     return run
 
 
-def smoothed(points: DataFrame, by: str, value: float) -> DataFrame:
-    """(by, pieces) of the smoothing spline of y over x in each group, its residual being value at most.
+def smoothed(placed: DataFrame, by: str, value: float) -> DataFrame:
+    """(by, pieces) of the smoothing spline of y over x in each group, its residual being value at most; placed is (by, x, y, rank).
 
     A piece is [from, to, c0, c1, c2, c3]: a cubic in a variable that goes from -1 to 1. Groups of fewer
     than four different x get a polynomial through their means. Rounds end when no group's residual is
     over value, after about twice the logarithm of the knots it takes.
     """
-    kind = dict(points.dtypes)[by]
-    placed = cut(ranked(points.select(by, "x", "y"), [by], F.col("x"), F.col("y")))
+    kind = dict(placed.dtypes)[by]
     sizes = placed.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.least(F.count_distinct("x"), F.lit(4)).cast("long").alias("kinds"))
     none = F.array().cast("array<double>")
     state, out = cut(sizes.select(by, "n", "low", "high", "kinds", F.array().cast("array<bigint>").alias("ranks"), none.alias("knots"), none.alias("ys"), F.lit(0.0).alias("before"), F.lit(0).cast("long").alias("adds"))), None
@@ -210,6 +209,7 @@ def axis_lengths(points: DataFrame, by: str, value: float = 1.0, samples: int =
                 ratios.append(lengths[-1] / chord if chord else float("nan"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.float64()), pa.array(ratios, pa.float64())], names=[by, "length", "curvature"])
 
-    found = smoothed(points, by, value).join(percentiles(points, [by], "x", ends), by)
+    placed = cut(ranked(points.select(by, "x", "y"), [by], F.col("x"), F.col("y")))
+    found = smoothed(placed, by, value).join(percentiles(placed, [by], "x", ends, placed), by)
     return found.select(by, "pieces", "p").mapInArrow(run, f"{by} {kind}, length double, curvature double")
 
