@@ -60,7 +60,8 @@ def neighbours(points: DataFrame, by: str, k: int, least: float | None = None) -
     all_points = points.select(by, "pid", *XYZ).join(ends, by)
     cell = [by, "cx", "cy", "cz"]
     if ends.filter("side < wide").isEmpty():  # each cloud is a cell: nothing is left after the first search
-        own = points.select(by, "pid", *XYZ)
+        # so many parts are kept: few bytes make many pairs, which one task should not get
+        own = points.select(by, "pid", *XYZ).repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
         return _nearest(own.join(own.select(by, F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in XYZ]), by), by, k, least).drop("far")
     all_points = cut(all_points)
     left, parts = all_points, []
