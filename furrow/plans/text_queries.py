@@ -79,8 +79,9 @@ def array_pack(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("conf")
     top = A.arg_max(F.array("x1", "y1", "x2", "y2"))
     y = A.interpolated(c, (0.1, 0.3, 0.5), (1.0, 5.0, 2.0))
+    bars = F.transform(A.linspace(0.5, 0.95, 10), lambda t: F.round(t + 0.001, 9))  # the doubles of the decimals, which a confidence may equal
     name = F.element_at(F.create_map(*[F.lit(v) for i, n in enumerate(("zero", "one", "two")) for v in (i, n)]), F.col("cls").cast("int"))
-    return boxes(spark, sf).select("image", "box_id", top.cast("long").alias("top"), r(y).alias("y"), name.alias("name"), F.size(F.filter(A.linspace(0.5, 0.95, 10), lambda t: c * 2 > t + 0.001)).cast("long").alias("past"))
+    return boxes(spark, sf).select("image", "box_id", top.cast("long").alias("top"), r(y).alias("y"), name.alias("name"), F.size(F.filter(bars, lambda t: c * 2 > t)).cast("long").alias("past"))
 
 
 @query("class_counts", sql("""SELECT c::BIGINT AS cls, count(b.cls) AS n, count(DISTINCT b.image) AS images FROM (SELECT unnest(range(0, 5)) AS c) s LEFT JOIN boxes b ON b.cls = s.c GROUP BY c""", "boxes"))

@@ -29,5 +29,10 @@ def line(order, price, part=1, supplier=1, number=1, quantity=10.0, flag="N"):
     return (order, part, supplier, number, quantity, price, 0.0, 0.0, flag, "O", datetime.datetime(2000, 1, 1))
 
 
+def test_a_confidence_on_a_threshold_does_not_pass_it(spark, tmp_path):
+    got, said = against_sql(spark, tmp_path, "array_pack", [line(i, 50100.0 + 5000 * i + d) for i in range(10) for d in (-0.01, 0.0, 0.01)])
+    assert got == said
+
+
 def test_a_polygon_is_worked_out_once_to_be_resampled():
     assert str(B.resampled(F.col("corners"), 7)).count("corners") <= 2
