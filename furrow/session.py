@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -53,3 +54,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage with a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, for what a loop carries from round to round.
+
+    A checkpoint keeps the size that the plan expects, for a join the product of both sides. Where each
+    round joins what the last one left, the digits of that product grow by a factor a round, until
+    planning takes longer than the work; files have a size of their own.
+    """
+    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

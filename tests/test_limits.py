@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime
 
 import duckdb
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from furrow.functions import boxes as B
+from furrow.operators import splines as L
 from furrow.plans import catalogue
+from furrow.session import written
 
 LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
 
@@ -36,3 +38,27 @@ def test_a_confidence_on_a_threshold_does_not_pass_it(spark, tmp_path):
 
 def test_a_polygon_is_worked_out_once_to_be_resampled():
     assert str(B.resampled(F.col("corners"), 7)).count("corners") <= 2
+
+
+def test_a_spline_is_solved_by_its_diagonals():
+    bands = np.random.default_rng(3).uniform(-1, 1, (5, 60))
+    bands[0] += 10
+    for k in range(1, 5):
+        bands[k, 60 - k :] = 0
+    full = sum(np.diag(bands[k, : 60 - k], -k) + (np.diag(bands[k, : 60 - k], k) if k else 0) for k in range(5))
+    assert np.allclose(L.solved(bands, np.arange(60.0)), np.linalg.solve(full, np.arange(60.0)))
+    wide = np.zeros((5, 50_000))  # 20 GB as a full matrix
+    wide[0], wide[1, :-1] = 2.0, -0.9
+    assert np.allclose(L.product(wide, L.solved(wide, np.ones(50_000))), 1.0, atol=1e-4)
+
+
+def test_knots_halve_many_intervals():
+    assert len(L.more_knots(list(range(10, 200_000, 10)), 200_000, [1.0] * 20_000, 100_000)) == 100_000
+
+
+def test_what_a_loop_carries_keeps_its_size(spark):
+    rows = spark.range(10).toDF("k")
+    for _ in range(6):
+        rows = written(rows.join(rows.withColumnRenamed("k", "other").withColumn("k", F.col("other")), "k").select("k"))
+    assert rows.count() == 10
+    assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toLong() < 1 << 20
