@@ -33,8 +33,13 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of flag R, moved a little, as ground truth: image, gt_id, x1, y1, x2, y2, cls."""
+    return moved(boxes(spark, sf_dir))
+
+
+def moved(b: DataFrame) -> DataFrame:
+    """truth of given boxes."""
     dx, dy = (F.col("box_id") % 5).cast("double"), (F.col("box_id") % 4).cast("double")
-    return boxes(spark, sf_dir).filter("flag = 'R'").select("image", F.col("box_id").alias("gt_id"), (F.col("x1") + dx).alias("x1"), (F.col("y1") + dy).alias("y1"), (F.col("x2") + dx).alias("x2"), (F.col("y2") + dy).alias("y2"), "cls")
+    return b.filter("flag = 'R'").select("image", F.col("box_id").alias("gt_id"), (F.col("x1") + dx).alias("x1"), (F.col("y1") + dy).alias("y1"), (F.col("x2") + dx).alias("x2"), (F.col("y2") + dy).alias("y2"), "cls")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
