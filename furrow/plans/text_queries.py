@@ -67,9 +67,10 @@ def holdout_split(spark: SparkSession, sf: str) -> DataFrame:
 @query("run_lengths", sql(""", px AS (SELECT image, x1::BIGINT AS px FROM boxes GROUP BY image, x1), g AS (SELECT *, px - row_number() OVER (PARTITION BY image ORDER BY px) AS g FROM px) SELECT image, min(px) AS start, count(*) AS length FROM g GROUP BY image, g""", "boxes"))
 def run_lengths(spark: SparkSession, sf: str) -> DataFrame:
     """Run-length encoding of each image's pixels."""
-    px = boxes(spark, sf).select("image", F.col("x1").cast("long").alias("px")).distinct()
-    g = px.withColumn("g", F.col("px") - F.row_number().over(Window.partitionBy("image").orderBy("px")))
-    return g.groupBy("image", "g").agg(F.min("px").alias("start"), F.count(F.lit(1)).alias("length")).drop("g")
+    px = boxes(spark, sf).select("image", F.col("x1").cast("long").alias("px"))
+    g = px.withColumn("g", F.col("px") - F.dense_rank().over(Window.partitionBy("image").orderBy("px")))
+    length = F.coalesce(F.max("px") - F.min("px") + 1, F.lit(1).cast("long"))
+    return g.groupBy("image", "g").agg(F.min("px").alias("start"), length.alias("length")).drop("g")
 
 
 @query("array_pack", sql(f"""SELECT image, box_id, (list_position([x1, y1, x2, y2], list_max([x1, y1, x2, y2])) - 1)::BIGINT AS top, {R('CASE WHEN conf <= 0.1 THEN 1 WHEN conf <= 0.3 THEN 1 + (5 - 1) * (conf - 0.1) / (0.3 - 0.1) WHEN conf <= 0.5 THEN 5 + (2 - 5) * (conf - 0.3) / (0.5 - 0.3) ELSE 2 END')} AS y,
