@@ -25,13 +25,14 @@ def composed_labels(pixels: DataFrame) -> DataFrame:
     """
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("obj", "ascending"), ("px", "ascending")])
         obj, px, depth = (group[c].to_numpy() for c in ("obj", "px", "depth"))
+        order = np.lexsort((px, obj))
+        obj, px, depth = obj[order], px[order], depth[order]
         places, at = np.unique(px, return_inverse=True)
         label, lies = np.full(len(places), -1, np.int64), np.zeros(len(places))
-        for o in np.unique(obj):
-            own = obj == o
-            where, new = at[own], depth[own]
+        starts = np.flatnonzero(np.diff(obj, prepend=obj[0] - 1))
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(obj)], strict=True):
+            o, where, new = obj[start], at[start:end], depth[start:end]
             taken = label[where] >= 0
             if taken.any() and lies[where[taken]].mean() < new[taken].mean():
                 where, new = where[~taken], new[~taken]

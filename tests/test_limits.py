@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import time
 
 import duckdb
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from furrow.functions import boxes as B
 from furrow.operators import evaluation as E
 from furrow.operators import overlap as O
+from furrow.operators import scenes as S
 from furrow.operators import splines as L
 from furrow.plans import catalogue, evaluation_queries
 from furrow.session import cut, written
@@ -145,3 +147,11 @@ def test_the_mask_on_top_is_found_without_a_join_or_a_sort_of_cells(spark, sf_di
 
 def test_paired_masks_are_compared_without_a_table_of_cells(spark, sf_dir):
     assert "Aggregate" not in planned(spark, sf_dir, "paired_mask_iou")
+
+
+def test_labels_of_many_objects_take_a_pass(spark):
+    # of 200,000 objects, each compared with all rows, the pixels would be read 8e10 times
+    pixels = spark.range(400_000).select(F.lit(1).cast("long").alias("image"), F.floor(F.col("id") / 2).alias("obj"), (F.col("id") % 1000).alias("px"), F.col("id").cast("double").alias("depth"))
+    began = time.monotonic()
+    assert S.composed_labels(pixels).filter("obj >= 500").count() == 0
+    assert time.monotonic() - began < 60
