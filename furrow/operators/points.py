@@ -33,13 +33,36 @@ def _distance(a: str = "", b: str = "o") -> Column:
     return F.sqrt(sum(((F.col(a + c) - F.col(b + c)) * (F.col(a + c) - F.col(b + c)) for c in XYZ), F.lit(0.0)))
 
 
-def _nearest(near: DataFrame, by: str, k: int, least: float | None, *more: str) -> DataFrame:
-    """The k nearest of pairs (by, pid, other, places), with the distance d, the place n, and far, the distance of the k-th."""
-    near = near.filter("pid != other").withColumn("d", _distance())
-    near = near if least is None else near.filter(F.col("d") >= least)
-    own = Window.partitionBy(by, "pid")
-    ranked = near.withColumn("n", F.row_number().over(own.orderBy("d", "other")).cast("long")).filter(F.col("n") <= k)
-    return ranked.withColumn("far", F.max(F.when(F.col("n") == k, F.col("d"))).over(own)).select(by, "pid", "other", "d", "n", "far", *more)
+#: Most points of a cell in one array.
+CHUNK = 256
+
+
+def _arrays(others: DataFrame, cell: list[str]) -> DataFrame:
+    """cell, with its points (by, pid, x, y, z) in arrays of CHUNK at most, so that a crowded cell is no row of its own."""
+    chunk = F.floor((F.row_number().over(Window.partitionBy(*cell).orderBy("pid")) - 1) / CHUNK)
+    dealt = others.withColumn("chunk", chunk)
+    return dealt.groupBy(*cell, "chunk").agg(F.collect_list(F.struct("pid", *XYZ)).alias("there")).drop("chunk")
+
+
+def _nearest(own: DataFrame, there: DataFrame, cell: list[str], by: str, k: int, least: float | None, *more: str) -> DataFrame:
+    """Of own points and the arrays of their cells the k nearest of each point: by, pid, near, an array of (d, other), far, the distance of the k-th, and more.
+
+    A point takes k of each array and then k of those, so that no pair but these becomes a row or is sorted in a task.
+    """
+    xyz = lambda o: [F.col(c) - o[c] for c in XYZ]
+    distance = lambda o: F.sqrt(sum((v * v for v in xyz(o)), F.lit(0.0)))
+    pairs = F.transform(F.filter("there", lambda o: o["pid"] != F.col("pid")), lambda o: F.struct(distance(o).alias("d"), o["pid"].alias("other")))
+    pairs = pairs if least is None else F.filter(pairs, lambda p: p["d"] >= least)
+    some = own.join(there, cell).select(by, "pid", *more, F.slice(F.array_sort(pairs), 1, k).alias("near"))
+    whole = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+    found = some.filter(F.size("near") > 0).groupBy(by, "pid", *more).agg(whole.alias("near"))
+    return found.select(by, "pid", "near", F.when(F.size("near") == k, F.get("near", F.lit(k - 1))["d"]).alias("far"), *more)
+
+
+def _listed(found: DataFrame, by: str) -> DataFrame:
+    """by, pid, other, d, n of the arrays of _nearest."""
+    rows = found.select(by, "pid", F.posexplode("near").alias("n", "p"))
+    return rows.select(by, "pid", F.col("p.other").alias("other"), F.col("p.d").alias("d"), (F.col("n") + 1).cast("long").alias("n"))
 
 
 def neighbours(points: DataFrame, by: str, k: int, least: float | None = None) -> DataFrame:
@@ -56,30 +79,30 @@ def neighbours(points: DataFrame, by: str, k: int, least: float | None = None) -
     ends = points.groupBy(by).agg(*[F.min(c).alias(c + "0") for c in XYZ], *[F.max(c).alias(c + "1") for c in XYZ], F.count(F.lit(1)).alias("size"))
     wide = F.greatest(*[F.col(c + "1") - F.col(c + "0") for c in XYZ])
     side = F.when(F.col("size") <= SMALL, wide).otherwise(wide * F.cbrt(F.lit(4.0 * (k + 1)) / F.col("size")))
-    ends = cut(ends.select(by, *key, (wide * 1.0001 + 1e-12).alias("wide"), F.greatest(side * 1.0001, wide * 1e-6, F.lit(1e-12)).alias("side")))
+    ends = cut(ends.select(by, *key, (wide * 1.0001 + 1e-12).alias("wide"), F.greatest(side * 1.0001 + 1e-12, wide * 1e-6).alias("side")))
     all_points = points.select(by, "pid", *XYZ).join(ends, by)
     cell = [by, "cx", "cy", "cz"]
     if ends.filter("side < wide").isEmpty():  # each cloud is a cell: nothing is left after the first search
         # so many parts are kept: few bytes make many pairs, which one task should not get
         own = points.select(by, "pid", *XYZ).repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
-        return _nearest(own.join(own.select(by, F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in XYZ]), by), by, k, least).drop("far")
+        return _listed(_nearest(own, _arrays(own, [by]), [by], by, k, least), by)
     all_points = cut(all_points)
     left, parts = all_points, []
     while True:
-        others = _celled(all_points, F.col("side")).select(*cell, F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in XYZ])
+        others = cut(_arrays(_celled(all_points, F.col("side")).select(*cell, "pid", *XYZ), cell))
         walls = [F.least(at - F.col("c" + c) * F.col("side"), (F.col("c" + c) + 1) * F.col("side") - at) for c, at in ((c, F.col(c) - F.col(c + "0")) for c in XYZ)]
         own = _celled(left, F.col("side")).withColumn("room", F.when(F.col("side") >= F.col("wide"), math.inf).otherwise(F.least(*walls)))
-        found = cut(_nearest(own.join(others, cell), by, k, least, "room"))
+        found = cut(_nearest(own, others, cell, by, k, least, "room"))
         whole = F.col("room") == math.inf
-        parts.append(found.filter(whole | (F.col("far") <= F.col("room"))).select(by, "pid", "other", "d", "n"))
-        far = cut(found.filter(~whole & (F.col("far") > F.col("room"))).select(by, "pid", "far").distinct())
+        parts.append(_listed(found.filter(whole | (F.col("far") <= F.col("room"))), by))
+        far = cut(found.filter(~whole & (F.col("far") > F.col("room"))).select(by, "pid", "far"))
         if not far.isEmpty():
             near = left.join(far, [by, "pid"])
             for c in XYZ:
                 low, high = (F.floor((F.col(c) - F.col(c + "0") + i * F.col("far")) / F.col("side")).cast("long") for i in (-1, 1))
                 near = near.withColumn("c" + c, F.explode(F.sequence(low, high)))
-            parts.append(_nearest(near.drop("far").join(others, cell), by, k, least).drop("far"))
-        short = left.filter(F.col("side") < F.col("wide")).join(found.filter("far is not null").select(by, "pid").distinct(), [by, "pid"], "left_anti")
+            parts.append(_listed(_nearest(near.drop("far"), others, cell, by, k, least), by))
+        short = left.filter(F.col("side") < F.col("wide")).join(found.filter("far is not null").select(by, "pid"), [by, "pid"], "left_anti")
         left = cut(short.withColumn("side", F.least(F.col("side") * 2, F.col("wide"))))
         if left.isEmpty():
             break

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from furrow.operators import points as P
 from furrow.operators.graph import components
@@ -85,3 +86,11 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 200), (300, 1)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got[40] == 0 and got[300] == 0 and got[102] == 100 and 200 not in got
+
+
+def test_pairs_of_a_cell_are_no_rows(spark):
+    points = spark.range(200).select(F.lit(1).cast("long").alias("file_id"), F.col("id").alias("pid"), *[(F.col("id") * s % 17).cast("double").alias(c) for c, s in zip("xyz", (3, 5, 7), strict=True)])
+    near = P.neighbours(points, "file_id", 4)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" not in plan and plan.count("Window [") == 1  # that of the arrays, not of the pairs
+    assert near.count() == 800
