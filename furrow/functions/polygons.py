@@ -1,15 +1,17 @@
-"""Convex polygons as arrays of points (x, y) in order, either way round."""
+"""Convex polygons as arrays of points (x, y) in order, either way round.
 
-from __future__ import annotations
+Pairs of polygons are worked out by numpy for a batch at once: as nested expressions each of their corners
+would be an object that the JVM makes and interprets.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    return F.transform(F.array(value), use)[0]
+from pyspark.sql.types import DoubleType
 
 
 def point(x: Column, y: Column) -> Column:
@@ -35,45 +37,86 @@ def area(p: Column) -> Column:
     return F.abs(signed_area(p))
 
 
-def clipped(p: Column, by: Column) -> Column:
-    """What of p lies inside by: for each side of by the half plane that by is in, corners inside kept and sides that cross it cut."""
-
-    def half(own: Column, side: Column, sign: Column) -> Column:
-        a, b = side["a"], side["b"]
-        inside = lambda c: sign * ((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
-
-        def kept(e: Column) -> Column:
-            def cut(d: Column) -> Column:
-                t = d["p"] / (d["p"] - d["q"])
-                crossing = F.struct((e["a"]["x"] + t * (e["b"]["x"] - e["a"]["x"])).alias("x"), (e["a"]["y"] + t * (e["b"]["y"] - e["a"]["y"])).alias("y"))
-                mine = F.when(d["p"] >= 0, F.array(e["a"])).otherwise(F.slice(F.array(e["a"]), F.lit(1), F.lit(0)))
-                return F.when((d["p"] >= 0) != (d["q"] >= 0), F.concat(mine, F.array(crossing))).otherwise(mine)
-
-            return _let(F.struct(inside(e["a"]).alias("p"), inside(e["b"]).alias("q")), cut)
-
-        return _let(own, lambda o: F.flatten(F.transform(edges(o), kept)))
-
-    sign = F.when(signed_area(by) < 0, -1.0).otherwise(1.0)
-    return _let(sign, lambda s: F.aggregate(edges(by), p, lambda own, side: half(own, side, s)))
+def _corners(p: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, number) of the corners of polygons, a row each, filled up with zeros."""
+    n = np.asarray(pc.fill_null(pc.list_value_length(p), 0))
+    at, flat = np.arange(n.max(initial=0)) < n[:, None], p.flatten()
+    x, y = np.zeros(at.shape), np.zeros(at.shape)
+    x[at], y[at] = (np.asarray(flat.field(c)) for c in "xy")
+    return x, y, n
+
+
+def _next(v: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What follows each corner, the first after the last."""
+    k = np.arange(v.shape[1]) + 1
+    return np.take_along_axis(v, np.where(k < n[:, None], k, 0), 1)
+
+
+def _signed_areas(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    part, sums = (x * _next(y, n) - _next(x, n) * y) / 2, np.zeros(len(n))
+    for k in range(x.shape[1]):  # in order, as an aggregate in the JVM adds them
+        sums += np.where(k < n, part[:, k], 0.0)
+    return sums
+
+
+def _clipped(x: np.ndarray, y: np.ndarray, n: np.ndarray, qx: np.ndarray, qy: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What of each polygon lies inside another: for each side of that the half plane that it is in, corners inside kept and sides that cross it cut."""
+    sign, nx, ny = np.where(_signed_areas(qx, qy, m) < 0, -1.0, 1.0)[:, None], _next(qx, m), _next(qy, m)
+    for j in range(qx.shape[1]):
+        ax, ay, bx, by = (v[:, j, None] for v in (qx, qy, nx, ny))
+        own, side = np.arange(x.shape[1]) < n[:, None], (j < m)[:, None]
+        d = sign * ((bx - ax) * (y - ay) - (by - ay) * (x - ax))
+        e, ex, ey = _next(d, n), _next(x, n), _next(y, n)
+        cross = own & side & ((d >= 0) != (e >= 0))
+        t = d / np.where(cross, d - e, 1.0)
+        kept = np.stack([own & ((d >= 0) | ~side), cross], 2).reshape(len(n), 2 * x.shape[1])
+        cut = [np.stack([v, v + t * (w - v)], 2).reshape(kept.shape) for v, w in ((x, ex), (y, ey))]
+        n = kept.sum(1)
+        at = np.arange(n.max(initial=0)) < n[:, None]
+        x, y = np.zeros(at.shape), np.zeros(at.shape)
+        x[at], y[at] = (c[kept] for c in cut)
+    return x, y, n
+
+
+@F.arrow_udf(DoubleType())
+def _overlap(p: pa.Array, q: pa.Array) -> pa.Array:
+    (x, y, n), (qx, qy, m) = _corners(p), _corners(q)
+    low, high = (lambda v, k, f=f, z=z: f(np.where(np.arange(v.shape[1]) < k[:, None], v, z), axis=1, initial=z) for f, z in ((np.min, np.inf), (np.max, -np.inf)))
+    meet = (n > 0) & (m > 0) & (low(x, n) <= high(qx, m)) & (low(qx, m) <= high(x, n)) & (low(y, n) <= high(qy, m)) & (low(qy, m) <= high(y, n))
+    out = np.zeros(len(n))
+    out[meet] = np.abs(_signed_areas(*_clipped(*(v[meet] for v in (x, y, n, qx, qy, m)))))
+    return pa.array(out)
+
+
+def _least_squares(x: np.ndarray, y: np.ndarray, n: np.ndarray, qx: np.ndarray, qy: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The least squared distance of any corner of a polygon from any side of another."""
+    least, own = np.full(len(n), np.inf), np.arange(x.shape[1]) < n[:, None]
+    nx, ny = _next(qx, m), _next(qy, m)
+    for j in range(qx.shape[1]):
+        ax, ay, bx, by = (v[:, j, None] for v in (qx, qy, nx, ny))
+        dx, dy = bx - ax, by - ay
+        size = dx * dx + dy * dy
+        t = np.where(size > 0, np.maximum(0.0, np.fmin(1.0, ((x - ax) * dx + (y - ay) * dy) / np.where(size > 0, size, 1.0))), 0.0)
+        px, py = ax + t * dx - x, ay + t * dy - y
+        least = np.fmin(least, np.where(own & (j < m)[:, None], px * px + py * py, np.inf).min(axis=1, initial=np.inf))
+    return least
+
+
+@F.arrow_udf(DoubleType())
+def _distance(p: pa.Array, q: pa.Array) -> pa.Array:
+    a, b = _corners(p), _corners(q)
+    far = np.sqrt(np.fmin(_least_squares(*a, *b), _least_squares(*b, *a)))
+    return pa.array(far, mask=(a[2] == 0) | (b[2] == 0))
 
 
 def overlap(p: Column, q: Column) -> Column:
     """Area that two convex polygons share."""
-    return F.coalesce(_let(clipped(p, q), area), F.lit(0.0))
-
-
-def _to_side(c: Column, e: Column) -> Column:
-    """Squared distance of a point from a side."""
-    dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
-    size = dx * dx + dy * dy
-    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((c["x"] - e["a"]["x"]) * dx + (c["y"] - e["a"]["y"]) * dy) / size))).otherwise(0.0)
-    return _let(F.struct((e["a"]["x"] + t * dx - c["x"]).alias("x"), (e["a"]["y"] + t * dy - c["y"]).alias("y")), lambda d: d["x"] * d["x"] + d["y"] * d["y"])
+    return _overlap(p, q)
 
 
 def distance(p: Column, q: Column) -> Column:
     """Distance of two convex polygons that share no area: the least of any corner of one from any side of the other."""
-    least = lambda a, b: F.array_min(F.transform(a, lambda c: F.array_min(F.transform(edges(b), lambda e: _to_side(c, e)))))
-    return F.sqrt(F.least(least(p, q), least(q, p)))
+    return _distance(p, q)
 
 
 def bounds(p: Column) -> tuple[Column, Column, Column, Column]:

@@ -91,3 +91,12 @@ def test_best_or_nearest(spark, reach):
         area, j = min(areas)
         want[g, i] = (j, pytest.approx(-area, abs=1e-6), 0) if area else (min((round(apart(p, q), 9), j) for j, q in own)[1], 0, pytest.approx(min(apart(p, q) for _, q in own)))
     assert got == want
+
+
+def test_pairs_are_not_interpreted(spark):
+    """Pairs of polygons go to numpy in batches; a polygon without corners shares nothing and is nowhere."""
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    df = spark.createDataFrame([(0, square, None), (1, None, square), (2, [], square), (3, square, square)], f"i int, p {POINTS}, q {POINTS}").repartition(3)
+    got = df.select("i", G.overlap(F.col("p"), F.col("q")).alias("o"), G.distance(F.col("p"), F.col("q")).alias("d"))
+    assert "lambda" not in got._jdf.queryExecution().toString()
+    assert {r["i"]: (r["o"], r["d"]) for r in got.collect()} == {0: (0, None), 1: (0, None), 2: (0, None), 3: (16, 0)}
