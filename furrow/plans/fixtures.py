@@ -36,10 +36,15 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved(boxes(spark, sf_dir))
 
 
+def moved_box() -> dict[str, Column]:
+    """The columns of a box's truth, but for image and class."""
+    dx, dy = (F.col("box_id") % 5).cast("double"), (F.col("box_id") % 4).cast("double")
+    return {"gt_id": F.col("box_id"), "x1": F.col("x1") + dx, "y1": F.col("y1") + dy, "x2": F.col("x2") + dx, "y2": F.col("y2") + dy}
+
+
 def moved(b: DataFrame) -> DataFrame:
     """truth of given boxes."""
-    dx, dy = (F.col("box_id") % 5).cast("double"), (F.col("box_id") % 4).cast("double")
-    return b.filter("flag = 'R'").select("image", F.col("box_id").alias("gt_id"), (F.col("x1") + dx).alias("x1"), (F.col("y1") + dy).alias("y1"), (F.col("x2") + dx).alias("x2"), (F.col("y2") + dy).alias("y2"), "cls")
+    return b.filter("flag = 'R'").select("image", *[c.alias(n) for n, c in moved_box().items()], "cls")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
