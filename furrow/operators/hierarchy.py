@@ -21,25 +21,80 @@ class Cluster:
     stability: float = 0.0
 
 
+#: Points of a leaf into which a cloud is cut, and most distances that are held at a time, but for those of one point.
+LEAF, MOST = 64, 1 << 20
+
+
+def _leaves(p: np.ndarray) -> np.ndarray:
+    """Points by leaf, halved at the median of the widest side; a row each in ascending order, filled up with -1."""
+    rows, stack = [], [np.arange(len(p))]
+    while stack:
+        own = stack.pop()
+        if len(own) <= LEAF:
+            rows.append(np.pad(np.sort(own), (0, LEAF - len(own)), constant_values=-1))
+        else:
+            half = np.argpartition(p[own, np.ptp(p[own], axis=0).argmax()], len(own) // 2)
+            stack += [own[half[: len(own) // 2]], own[half[len(own) // 2 :]]]
+    return np.array(rows)
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of points whose coordinates lie in the first axis."""
+    d = a - b
+    d *= d
+    return d[0] + d[1] + d[2]
+
+
+def _gaps(low: np.ndarray, high: np.ndarray, from_low: np.ndarray, from_high: np.ndarray) -> np.ndarray:
+    """Least squared distances of boxes from a box: no point of one is nearer to the other, also when rounded."""
+    return _squares(np.maximum(np.maximum(low - from_high, from_low - high), 0.0), np.zeros((3, 1)))
+
+
 def spanning_tree(p: np.ndarray, min_samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(from, to, distance) of a minimum spanning tree by mutual reachability, by distance.
 
     The distance of two points is at least that of each to its min_samples-th point, itself
-    included. One point joins at a time; a row of distances is held, never all of them.
+    included. One point joins at a time, of equally near ones the first, to the first that is so near. Points lie in
+    leaves, and only those leaves are looked at that could be nearer to the new point than they are to the tree.
     """
-    n = len(p)
-    core = np.array([np.partition(((p - q) ** 2).sum(1), min(min_samples, n) - 1)[min(min_samples, n) - 1] for q in p])
-    best, link, out = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool)
+    n, k = len(p), min(min_samples, len(p)) - 1
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    at_leaf = _leaves(p)
+    real, place = at_leaf >= 0, np.zeros((n, 2), np.int64)
+    place[at_leaf[real]] = np.argwhere(real)
+    own = np.ascontiguousarray(p[at_leaf].transpose(2, 0, 1))  # coordinate, leaf, slot
+    low, high = (f(np.where(real, own, end), axis=2) for f, end in ((np.min, np.inf), (np.max, -np.inf)))
+    core, filled = np.empty(n), real.sum(1)
+    for i in range(len(at_leaf)):
+        mine = own[:, i, : filled[i]]
+        to_own = _squares(mine[:, :, None], mine[:, None])
+        reach = np.partition(to_own, k, axis=1)[:, k].max() if k < filled[i] else np.inf
+        near = _gaps(low, high, low[:, i, None], high[:, i, None]) <= reach
+        others = own[:, near][:, real[near]]
+        rows = max(1, MOST // others.shape[1])
+        for j in range(0, filled[i], rows):
+            core[at_leaf[i, j : min(j + rows, filled[i])]] = np.partition(_squares(mine[:, j : j + rows, None], others[:, None]), k, axis=1)[:, k]
+    cores = np.where(real, core[at_leaf], np.inf)  # infinite where there is no point, or one that has joined
+    best, link, joined = np.full(real.shape, np.inf), np.zeros(real.shape, np.int64), ~real
+    least_core, farthest, nearest, first = cores.min(1), np.full(len(real), np.inf), np.full(len(real), np.inf), at_leaf[:, 0].copy()
     at, edges = 0, []
-    out[0] = True
     for _ in range(n - 1):
-        d = np.maximum(np.maximum(((p - p[at]) ** 2).sum(1), core), core[at])
-        nearer = ~out & (d < best)
-        best[nearer], link[nearer] = d[nearer], at
-        at = int(np.where(out, np.inf, best).argmin())
-        edges.append((link[at], at, best[at]))
-        out[at] = True
-    u, v, w = (np.array(x) for x in zip(*edges, strict=True)) if edges else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        leaf, slot = place[at]
+        here = p[at][:, None]
+        joined[leaf, slot], cores[leaf, slot], best[leaf, slot] = True, np.inf, np.inf
+        reached = np.maximum(np.maximum(_gaps(low, high, here, here), least_core), core[at]) < farthest
+        reached[leaf] = True
+        t = np.flatnonzero(reached)
+        d = np.maximum(np.maximum(_squares(own[:, t], here[:, :, None]), cores[t]), core[at])
+        nearer = d < best[t]
+        now = np.where(nearer, d, best[t])
+        best[t], link[t] = now, np.where(nearer, at, link[t])
+        farthest[t] = np.where(joined[t], -np.inf, now).max(1)
+        nearest[t], first[t] = now.min(1), at_leaf[t, now.argmin(1)]
+        at = int(first[nearest == nearest.min()].min())
+        edges.append((link[tuple(place[at])], at, best[tuple(place[at])]))
+    u, v, w = (np.array(x) for x in zip(*edges, strict=True))
     order = np.argsort(w, kind="stable")
     return u[order], v[order], np.sqrt(w[order])
 
@@ -153,9 +208,8 @@ def labels(p: np.ndarray, min_cluster_size: int, min_samples: int, single: bool
 def clustered(points: DataFrame, by: str, min_cluster_size: int, min_samples: int, single: bool = True, epsilon: float = 0.0) -> DataFrame:
     """points (by, pid, x, y, z and more) with cluster; points are taken in order of pid.
 
-    A cloud is a task's: the tree over all its densities needs each pair of points. It takes the
-    square of its points in time and a multiple of them in memory, so sample large clouds first,
-    as the morphology run does.
+    A cloud is a task's, as points join its tree one after the other. Each looks at the bounds of all leaves and at few
+    points, so that time still grows by the square of the points, at a sixty-fourth of them, and memory by a multiple of them.
     """
 
     def run(group: pa.Table) -> pa.Table:

@@ -31,6 +31,42 @@ def test_spanning_tree_is_least():
     assert w.sum() == pytest.approx(total) and len(u) == 29 and (np.diff(w) >= 0).all()
 
 
+def prim(p, min_samples):
+    """One point after the other over all pairs."""
+    n = len(p)
+    core = np.array([np.sort(((p - q) ** 2).sum(1))[min(min_samples, n) - 1] for q in p])
+    best, link, out, at, edges = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), 0, []
+    for _ in range(n - 1):
+        out[at] = True
+        d = np.maximum(np.maximum(((p - p[at]) ** 2).sum(1), core), core[at])
+        nearer = ~out & (d < best)
+        best[nearer], link[nearer] = d[nearer], at
+        at = int(np.where(out, np.inf, best).argmin())
+        edges.append((link[at], at, np.sqrt(best[at])))
+    return sorted(edges, key=lambda e: e[2])
+
+
+@pytest.mark.parametrize("kind", ["normal", "grid", "equal", "clumps"])
+def test_tree_is_that_of_all_pairs(kind):
+    """Edges and their order, also of equally near points, are those of a walk over all pairs."""
+    draws, n = np.random.default_rng(11), 900
+    p = {"normal": draws.normal(size=(n, 3)), "grid": draws.integers(0, 7, (n, 3)).astype(float), "equal": np.zeros((300, 3)), "clumps": clumps(((0, 0, 0), 0.05, n // 2), ((9, 0, 0), 0.4, n // 2))[0]}[kind]
+    for k in (3, 70):
+        assert list(zip(*(x.tolist() for x in H.spanning_tree(p, k)))) == prim(p, k)
+
+
+def test_distances_grow_with_points(monkeypatch):
+    """Four times the points take far less than sixteen times the distances."""
+    looked, squares = [], H._squares
+    monkeypatch.setattr(H, "_squares", lambda a, b: looked.append(np.broadcast(a, b).size // 3) or squares(a, b))
+    sums = []
+    for n in (2000, 8000):
+        looked.clear()
+        H.spanning_tree(np.random.default_rng(11).normal(size=(n, 3)), 3)
+        sums.append(sum(looked))
+    assert sums[1] < 8 * sums[0] and sums[1] < 8000**2
+
+
 def test_clumps_of_different_density():
     p, truth = clumps(((0, 0, 0), 0.05, 80), ((3, 0, 0), 0.4, 80), ((0, 6, 0), 0.1, 60), noise=10)
     got = H.labels(p, 15, 5, single=False)
