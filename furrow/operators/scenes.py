@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -137,7 +137,6 @@ def evolved_anchors(sizes: DataFrame, n: int = 9, generations: int = 16, childre
 class Morphology:
     """Settings of a morphology run; values out of range are errors."""
 
-    subsampling_threshold: int = 5000
     outlier_k: int = 200
     outlier_ratio: float = 3.0
     epsilon: float = 0.12
@@ -148,7 +147,7 @@ class Morphology:
     distance_percentile: float = 99.0
 
     def __post_init__(self) -> None:
-        if self.subsampling_threshold < 1 or self.outlier_k < 1 or self.min_samples < 1:
+        if self.outlier_k < 1 or self.min_samples < 1:
             raise ValueError("counts must be positive")
         if self.epsilon <= 0 or self.outlier_ratio <= 0 or not 1 <= self.distance_percentile <= 100:
             raise ValueError("a setting is out of range")
@@ -157,19 +156,14 @@ class Morphology:
 
 
 def morphology(points: DataFrame, settings: Morphology = Morphology()) -> DataFrame:
-    """Traits of each cloud (file_id, pid, x, y, z) after shifting, sampling, cleaning and clustering.
+    """Traits of each cloud (file_id, pid, x, y, z) after shifting, cleaning and clustering, from all its points.
 
     A cloud with a coordinate over 10,000 is moved to its mean and its centroid moved back.
     """
-    w = Window.partitionBy("file_id")
-    far = F.max(F.greatest(*[F.abs(c) for c in "xyz"])).over(w) > 10_000
-    shifts = [F.when(far, F.floor(F.avg(c).over(w))).otherwise(0.0) for c in "xyz"]
-    moved = points.select("file_id", "pid", *"xyz", *[s.alias("s" + c) for s, c in zip(shifts, "xyz", strict=True)])
-    shift = moved.groupBy("file_id").agg(*[F.first("s" + c).alias("s" + c) for c in "xyz"])
-    local = moved.select("file_id", "pid", *[(F.col(c) - F.col("s" + c)).alias(c) for c in "xyz"])
-    order = w.orderBy(F.xxhash64("pid", F.lit(7)), "pid")
-    sampled = local.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= settings.subsampling_threshold).drop("n")
-    cleaned = P.without_outliers(sampled, "file_id", settings.outlier_k, settings.outlier_ratio)
+    far = F.max(F.greatest(*[F.abs(c) for c in "xyz"])) > 10_000
+    shift = cut(points.groupBy("file_id").agg(*[F.when(far, F.floor(F.avg(c))).otherwise(0.0).alias("s" + c) for c in "xyz"]))
+    local = points.join(shift, "file_id").select("file_id", "pid", *[(F.col(c) - F.col("s" + c)).alias(c) for c in "xyz"])
+    cleaned = P.without_outliers(local, "file_id", settings.outlier_k, settings.outlier_ratio)
     if settings.clusterer == "dbscan":
         clusters = P.clustered(cleaned, "file_id", settings.epsilon, settings.min_samples)
     else:

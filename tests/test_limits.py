@@ -14,6 +14,7 @@ from furrow.functions import boxes as B
 from furrow.operators import evaluation as E
 from furrow.operators import overlap as O
 from furrow.operators import scenes as S
+from furrow.operators import shapes as H
 from furrow.operators import splines as L
 from furrow.plans import catalogue, evaluation_queries
 from furrow.session import cut, written
@@ -155,3 +156,16 @@ def test_labels_of_many_objects_take_a_pass(spark):
     began = time.monotonic()
     assert S.composed_labels(pixels).filter("obj >= 500").count() == 0
     assert time.monotonic() - began < 60
+
+
+def test_a_large_cloud_is_not_sampled(spark):
+    # 5,200 points, more than the 5,000 that were left of a cloud, and a few far from the origin
+    draws = np.random.default_rng(5)
+    clouds = {1: draws.uniform(0, 0.035, (5_200, 3)), 2: draws.uniform(0, 0.01, (100, 3)) + 20_000}
+    rows = [(k, i, *map(float, p)) for k, own in clouds.items() for i, p in enumerate(own)]
+    df = spark.createDataFrame(rows, "file_id long, pid long, x double, y double, z double")
+    got = {r["file_id"]: r for r in S.morphology(df, S.Morphology(outlier_k=8, outlier_ratio=1e6, epsilon=0.006)).collect()}
+    assert {k: r["n"] for k, r in got.items()} == {1: 5_200, 2: 100}
+    for k, own in clouds.items():
+        assert [got[k][c] for c in "xyz"] == pytest.approx(own.mean(0).tolist(), abs=1e-6)
+        assert got[k]["volume"] == pytest.approx(H.volume(own), rel=1e-6)
