@@ -21,14 +21,14 @@ def R(x: str) -> str:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image, box_id (its index in the image), x1, y1, x2, y2, conf, cls, flag, from lineitem."""
-    line = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("image"), "l_orderkey", "l_partkey", "l_extendedprice",
-        (F.col("l_partkey") % 500).cast("double").alias("x1"), (F.col("l_orderkey") % 400).cast("double").alias("y1"),
-        F.col("l_quantity").alias("w"), (F.col("l_quantity") * 0.5 + 5).alias("h"), (F.col("l_extendedprice") / 200000).alias("conf"),
-        (F.col("l_partkey") % 3).alias("cls"), F.col("l_returnflag").alias("flag"),
-    )
+    # only what the rest follows from is dealt by image
+    line = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("image"), "l_orderkey", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag")
     index = F.row_number().over(Window.partitionBy("image").orderBy("l_orderkey", "l_partkey", "l_extendedprice")) - 1
-    return line.select("image", index.cast("long").alias("box_id"), "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2"), "conf", "cls", "flag")
+    x1, y1 = ((F.col(c) % n).cast("double") for c, n in (("l_partkey", 500), ("l_orderkey", 400)))
+    return line.withColumn("box_id", index.cast("long")).select(
+        "image", "box_id", x1.alias("x1"), y1.alias("y1"), (x1 + F.col("l_quantity")).alias("x2"), (y1 + (F.col("l_quantity") * 0.5 + 5)).alias("y2"),
+        (F.col("l_extendedprice") / 200000).alias("conf"), (F.col("l_partkey") % 3).alias("cls"), F.col("l_returnflag").alias("flag"),
+    )
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
