@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+#: Corners of polygons, a row each, filled up with zeros: x, y and their number.
+Corners = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -24,6 +28,14 @@ def quad(x1: Column, y1: Column, x2: Column, y2: Column, cos: Column, sin: Colum
     return F.array(*[point(cx + cos * (i * w) - sin * (j * h), cy + sin * (i * w) + cos * (j * h)) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
 
 
+def quads(box: np.ndarray, cos: np.ndarray, sin: np.ndarray) -> Corners:
+    """The corners of quad for many boxes, rows x1 to y2 of an array."""
+    cx, cy, w, h = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2, (box[2] - box[0]) / 2, (box[3] - box[1]) / 2
+    corners = [(cx + cos * (i * w) - sin * (j * h), cy + sin * (i * w) + cos * (j * h)) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    x, y = (np.stack(c, 1) for c in zip(*corners, strict=True))
+    return x, y, np.full(len(cx), 4)
+
+
 def edges(p: Column) -> Column:
     """(a, b) of each side, the last back to the first point."""
     return F.transform(p, lambda a, i: F.struct(a.alias("a"), F.get(p, (i + 1) % F.size(p)).alias("b")))
@@ -37,8 +49,8 @@ def area(p: Column) -> Column:
     return F.abs(signed_area(p))
 
 
-def _corners(p: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, number) of the corners of polygons, a row each, filled up with zeros."""
+def _corners(p: pa.Array) -> Corners:
+    """The corners of polygons."""
     n = np.asarray(pc.fill_null(pc.list_value_length(p), 0))
     at, flat = np.arange(n.max(initial=0)) < n[:, None], p.flatten()
     x, y = np.zeros(at.shape), np.zeros(at.shape)
@@ -78,14 +90,19 @@ def _clipped(x: np.ndarray, y: np.ndarray, n: np.ndarray, qx: np.ndarray, qy: np
     return x, y, n
 
 
-@F.arrow_udf(DoubleType())
-def _overlap(p: pa.Array, q: pa.Array) -> pa.Array:
-    (x, y, n), (qx, qy, m) = _corners(p), _corners(q)
+def shared(p: Corners, q: Corners) -> np.ndarray:
+    """Area that each polygon shares with another, from their corners as (x, y, number)."""
+    (x, y, n), (qx, qy, m) = p, q
     low, high = (lambda v, k, f=f, z=z: f(np.where(np.arange(v.shape[1]) < k[:, None], v, z), axis=1, initial=z) for f, z in ((np.min, np.inf), (np.max, -np.inf)))
     meet = (n > 0) & (m > 0) & (low(x, n) <= high(qx, m)) & (low(qx, m) <= high(x, n)) & (low(y, n) <= high(qy, m)) & (low(qy, m) <= high(y, n))
     out = np.zeros(len(n))
     out[meet] = np.abs(_signed_areas(*_clipped(*(v[meet] for v in (x, y, n, qx, qy, m)))))
-    return pa.array(out)
+    return out
+
+
+@F.arrow_udf(DoubleType())
+def _overlap(p: pa.Array, q: pa.Array) -> pa.Array:
+    return pa.array(shared(_corners(p), _corners(q)))
 
 
 def _least_squares(x: np.ndarray, y: np.ndarray, n: np.ndarray, qx: np.ndarray, qy: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -102,11 +119,15 @@ def _least_squares(x: np.ndarray, y: np.ndarray, n: np.ndarray, qx: np.ndarray,
     return least
 
 
+def apart(p: Corners, q: Corners) -> np.ndarray:
+    """Distance of each polygon from another that it shares no area with, from their corners."""
+    return np.sqrt(np.fmin(_least_squares(*p, *q), _least_squares(*q, *p)))
+
+
 @F.arrow_udf(DoubleType())
 def _distance(p: pa.Array, q: pa.Array) -> pa.Array:
     a, b = _corners(p), _corners(q)
-    far = np.sqrt(np.fmin(_least_squares(*a, *b), _least_squares(*b, *a)))
-    return pa.array(far, mask=(a[2] == 0) | (b[2] == 0))
+    return pa.array(apart(a, b), mask=(a[2] == 0) | (b[2] == 0))
 
 
 def overlap(p: Column, q: Column) -> Column:

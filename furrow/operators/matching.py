@@ -1,18 +1,19 @@
-"""Greedy one-to-one matches of detections and truth, by numpy for many whole images at once."""
+"""Matches of detections and truth, and best or nearest polygons, by numpy for many whole images at once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions import polygons as G
 from .overlap import CORNERS
 
 EPS = 1e-7
-#: Pairs that are looked at together.
-PAIRS = 1 << 20
+#: Pairs that are looked at together, and pairs of polygons that are worked out together.
+PAIRS, POLYGONS = 1 << 20, 1 << 16
 
 
 def whole(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -121,3 +122,96 @@ def scored(rows: DataFrame, thresholds: Sequence[float], sides: Sequence[float]
             yield from out.combine_chunks().to_batches(10_000)
 
     return rows.sortWithinPartitions("image").mapInArrow(run, f"cls {kinds['cls']}, conf double, tie long, truth boolean, hits int")
+
+
+def _worked_out(f: Callable[[G.Corners, G.Corners], np.ndarray], shapes: G.Corners, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """f of pairs of shapes, some at a time."""
+    parts = [f(*(tuple(c[rows[k : k + POLYGONS]] for c in shapes) for rows in (a, b))) for k in range(0, len(a), POLYGONS)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
+def best_or_nearest(key: np.ndarray, ids: np.ndarray, query: np.ndarray, shapes: G.Corners, reach: float = 16.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, other row, overlap, distance): for each query the other polygon of equal key that it shares most area with, or the nearest if it shares none.
+
+    Ties to nine decimals go to the least id; a query without others in its key has no row, nor do rows of negative key or without
+    finite corners take part. Queries look for others in bounds widened by reach, which finds all that share
+    area too, the rest by four times that, and so on: what is found nearer than they are widened is the nearest there is.
+    """
+    x, y, _ = shapes
+    taken = (key >= 0) & np.isfinite(x).all(1) & np.isfinite(y).all(1)
+    low, high = (np.stack([f(x, axis=1), f(y, axis=1)]) for f in (np.min, np.max))
+    others = np.flatnonzero(taken & ~query)
+    left = np.flatnonzero(taken & query)
+    left = left[np.isin(key[left], key[others])]
+    none = np.zeros(0, np.int64)
+    out: list[tuple[np.ndarray, ...]] = [(none, none, np.zeros(0), np.zeros(0))]
+    if not len(left):
+        return out[0]
+    others = others[np.lexsort((low[0, others], key[others]))]
+    groups = int(key.max()) + 1
+    widest = np.zeros(groups)
+    np.maximum.at(widest, key[others], (high - low)[0, others])
+    ends = [np.full((2, groups), v) for v in (np.inf, -np.inf)]
+    some = np.concatenate([others, left])
+    for k in (0, 1):
+        np.minimum.at(ends[0][k], key[some], low[k, some])
+        np.maximum.at(ends[1][k], key[some], high[k, some])
+    whole_key = (ends[1] - ends[0]).max(axis=0)
+    base = low[0, some].min()
+    room = high[0, some].max() - base + 1.0
+    place, slack = key[others] * room + (low[0, others] - base), 1e-9 * room
+    at = lambda rows, to, side: np.searchsorted(place, key[rows] * room + np.clip(to - base, -slack, room - 1.0) + (slack if side == "right" else -slack), side)
+
+    def first_of(a: np.ndarray, b: np.ndarray, worth: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((ids[b], worth, a))
+        order = order[np.diff(a[order], prepend=-1) != 0]
+        return a[order], b[order], value[order]
+
+    widened = False
+    while len(left):
+        first = at(left, low[0, left] - reach - widest[key[left]], "left")
+        count = at(left, high[0, left] + reach, "right") - first
+        sums, begin, done = np.cumsum(count), 0, np.zeros(len(key), bool)
+        while begin < len(left):
+            stop = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + PAIRS, "right")))
+            n = count[begin:stop]
+            a, b = np.repeat(left[begin:stop], n), others[np.repeat(first[begin:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            begin = stop
+            near = (key[a] == key[b]) & (low[:, a] - reach <= high[:, b]).all(0) & (low[:, b] <= high[:, a] + reach).all(0)
+            a, b = a[near], b[near]
+            if not widened:
+                area = _worked_out(G.shared, shapes, a, b)
+                share = area > 0
+                p, q, best = first_of(a[share], b[share], -rounded(area[share]), area[share])
+                out.append((p, q, best, np.zeros(len(p))))
+                done[p] = True
+                a, b = a[~done[a]], b[~done[a]]
+            far = _worked_out(G.apart, shapes, a, b)
+            p, q, best = first_of(a, b, rounded(far), far)
+            sure = (best <= reach - 1e-6) | (whole_key[key[p]] <= reach)
+            out.append((p[sure], q[sure], np.zeros(int(sure.sum())), best[sure]))
+            done[p[sure]] = True
+        left, reach, widened = left[~done[left]], reach * 4, True
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def quad_matches(rows: DataFrame) -> DataFrame:
+    """(image, a_id, b_id, overlap, distance) of best_or_nearest within each image: rows has image, id, query, x1 to y2, and the cos and sin by which a box is turned.
+
+    Rows of an image follow one another, as for scored.
+    """
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in whole(batches, "image"):
+            image, ids = (found[c].fill_null(0).to_numpy() for c in ("image", "id"))
+            real = lambda c: found[c].fill_null(np.nan).to_numpy()
+            key = np.where(found["image"].is_valid().to_numpy(), np.cumsum(np.diff(image, prepend=image[0]) != 0), -1)
+            shapes = G.quads(np.stack([real(c) for c in CORNERS]), real("cos"), real("sin"))
+            a, b, overlap, distance = best_or_nearest(key, ids, found["query"].to_numpy(), shapes)
+            for k in range(0, len(a), 10_000):
+                p, q = a[k : k + 10_000], b[k : k + 10_000]
+                columns = (image[p], ids[p], ids[q], overlap[k : k + 10_000], distance[k : k + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["image", "a_id", "b_id", "overlap", "distance"])
+
+    return rows.sortWithinPartitions("image").mapInArrow(run, f"image {kinds['image']}, a_id long, b_id long, overlap double, distance double")

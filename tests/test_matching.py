@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from furrow.functions import polygons as G
 from furrow.operators import evaluation as E
 from furrow.operators import matching as M
 from furrow.operators import overlap as O
@@ -104,3 +106,39 @@ def test_pairs_of_boxes_and_masks_are_not_dealt_over_tasks(spark, sf_dir, monkey
     monkeypatch.setattr(O, "overlap_join", lambda *a, **k: joins.append(1) or join(*a, **k))
     catalogue.QUERIES["box_and_mask_ap"](spark, sf_dir).collect()
     assert not joins
+
+
+@pytest.mark.parametrize("reach", [16.0, 1.0])
+def test_quads_are_matched_as_in_a_join(spark, reach, monkeypatch):
+    """Crowds, lone shapes far away, equal ones, groups without others or queries, rows that take no part, and pairs a few at a time."""
+    draws, rows = np.random.default_rng(8), []
+    for g, (queries, others, spread) in enumerate([(40, 60, 60), (30, 8, 4000), (5, 0, 50), (0, 5, 50), (25, 25, 300)]):
+        for i in range(queries + others):
+            x, y, w, h = (float(v) for v in draws.integers(0, [spread, spread, 30, 20]))
+            rows.append((g, i, i < queries, [x, y, x + w + 1, y + h + 1], *[(1.0, 0.0), (0.8, 0.6), (0.28, 0.96)][i % 3]))
+        rows += [(g, 500 + i, False, *rows[-1][3:]) for i in range(2 if others else 0)]
+    key, ids, query = (np.array([r[i] for r in rows]) for i in range(3))
+    shapes = G.quads(np.array([r[3] for r in rows]).T, *(np.array([r[i] for r in rows]) for i in (4, 5)))
+    corners = [(int(k), int(i), bool(q), list(zip(x.tolist(), y.tolist()))) for k, i, q, x, y in zip(key, ids, query, *shapes[:2])]
+    df = spark.createDataFrame(corners, "g long, id long, query boolean, shape array<struct<x:double,y:double>>")
+    df = df.select("*", *[c.alias(n) for n, c in zip(O.CORNERS, G.bounds(F.col("shape")))])
+    want = O.best_or_nearest(df.filter("query"), df.filter("not query"), ["g"], G.overlap, G.distance, reach)
+    want = sorted((x["g"], x["a_id"], x["b_id"], x["overlap"], x["distance"]) for x in want.collect())
+    shapes[0][5, 2] = np.nan  # a query
+    key[6] = -1
+    want = [x for x in want if x[:2] not in ((0, 5), (0, 6))]
+    monkeypatch.setattr(M, "PAIRS", 50)
+    monkeypatch.setattr(M, "POLYGONS", 7)
+    a, b, overlap, distance = M.best_or_nearest(key, ids, query, shapes, reach)
+    got = sorted(zip(key[a].tolist(), ids[a].tolist(), ids[b].tolist(), overlap.tolist(), distance.tolist()))
+    assert got == want and {x[0] for x in got} == {0, 1, 4}
+
+
+def test_quads_go_through_one_shuffle(spark, sf_dir):
+    plan = catalogue.QUERIES["quad_best_match"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "MapInArrow" in plan and plan.count("Sort [") == 1
+
+
+def test_an_image_is_whole_in_a_table():
+    batches = [pa.RecordBatch.from_pydict({"image": pa.array(v, pa.int64())}) for v in ([1, 1], [], [1, 2], [2, 2], [2], [3, 4, 4], [None], [None], [0])]
+    assert [t["image"].to_pylist() for t in M.whole(iter(batches), "image")] == [[1, 1, 1], [2, 2, 2, 2, 3], [4, 4], [None, None], [0]]
