@@ -114,10 +114,13 @@ def started(found: DataFrame, totals: DataFrame, by: list[str], n: int) -> DataF
 
 
 def _each_block(found: DataFrame, by: list[str], run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """run of each block with its starts. Blocks are small, but much is made of them, so that they are not left to a few tasks."""
+    """run of each block with its starts. Blocks are small, but much is made of them, so that they are not left to a few tasks.
+
+    They are dealt by other keys than a join before, or else the step would be left out.
+    """
     key, kinds = [*by, "part", "block"], dict(found.dtypes)
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(parts, *key).groupBy(*key).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + schema)
+    return found.repartition(parts, "block", "part").groupBy(*key).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + schema)
 
 
 def _running(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

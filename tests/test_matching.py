@@ -99,6 +99,7 @@ def test_a_curve_is_sorted_once_and_narrow(spark, sf_dir):
     """What a task sorts after the ranges are blocks, not a wide row for each rank."""
     plan = catalogue.QUERIES["pr_curve"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "FlatMapGroupsInArrow" in plan
+    assert "REPARTITION_BY_NUM" in plan  # not left to as many tasks as the few bytes of blocks would get
 
 
 def test_pairs_of_boxes_and_masks_are_not_dealt_over_tasks(spark, sf_dir, monkeypatch):
